@@ -33,10 +33,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     candidates = keyed.select("text_sha256").stat.freqItems(["text_sha256"], support)
     candidates = candidates.select(F.explode("text_sha256_freqItems").alias("text_sha256")).distinct()
     counted = (
-        keyed.select("text_sha256", F.col(id_col).alias("_id"))
+        keyed.select("text_sha256", F.col(id_col).alias("_doc"))
         .join(F.broadcast(candidates), "text_sha256")
         .groupBy("text_sha256")
-        .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.max("_doc").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     # At most 1 / support rows, needed twice below; staged, so that they are computed once.
     winners = staged(counted.filter("group_size > 1"), "winners")
@@ -50,5 +50,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return exact_duplicates(docs, id_col, text_col, support).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that stay, with the columns of ``docs`` as they are."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return exact_duplicates(rows, "_id", "_text", support).filter("kept").select("_row.*")

@@ -5,11 +5,72 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thermoflux.llm import exact_dedup
+from thermoflux.llm import chat_format, decontaminate, exact_dedup, mixing
 from thermoflux.llm.common import documents
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+       FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+h AS (SELECT doc_id, i, dw.size, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of the conversations with the same first turn; texts as digests and lengths."""
+    pairs = chat_format.pair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    out = chat_format.format_pairs(pairs)
+
+    def trained(mask: str):
+        return F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+
+    return out.select(
+        "chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"),
+        *[F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
+        trained("chosen_mask").alias("chosen_trained"), trained("rejected_mask").alias("rejected_trained"),
+    )
+
+
+OP4_SQL = """
+WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, max(CASE WHEN i = 1 THEN role END) AS r1, max(CASE WHEN i = 1 THEN text END) AS t1, count(*) AS n FROM t GROUP BY 1),
+k AS (SELECT conv_id, r1, t1, n, row_number() OVER (PARTITION BY r1, t1 ORDER BY md5('pair-' || conv_id), conv_id) - 1 AS rk FROM c),
+p AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.n AS na, b.n AS nb
+      FROM k a LEFT JOIN k b ON a.r1 = b.r1 AND a.t1 = b.t1 AND b.rk = a.rk + 1 WHERE a.rk % 2 = 0),
+f AS (SELECT chosen_id, rejected_id, CASE WHEN rejected_id IS NULL THEN 0 ELSE coalesce(
+        (SELECT min(x.i) - 1 FROM t x LEFT JOIN t y ON y.conv_id = p.rejected_id AND y.i = x.i AND y.role = x.role AND y.text = x.text
+         WHERE x.conv_id = p.chosen_id AND y.i IS NULL), na) END AS n_common FROM p),
+s AS (SELECT chosen_id, 'prompt' AS part, i, role, text FROM f JOIN t ON conv_id = chosen_id AND i <= n_common
+      UNION ALL SELECT chosen_id, 'chosen', i, role, text FROM f JOIN t ON conv_id = chosen_id AND i > n_common
+      UNION ALL SELECT chosen_id, 'rejected', i, role, text FROM f JOIN t ON conv_id = rejected_id AND i > n_common),
+r AS (SELECT chosen_id, part, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY i) AS body,
+             sum(CASE WHEN role = 'assistant' THEN length(text) + 10 ELSE 0 END)::BIGINT AS trained FROM s GROUP BY 1, 2)
+SELECT f.chosen_id, f.rejected_id, n_common::BIGINT AS n_common, sha256(coalesce(a.body, '')) AS prompt_sha256, sha256(coalesce(b.body, '')) AS chosen_sha256,
+       CASE WHEN f.rejected_id IS NOT NULL THEN sha256(coalesce(c.body, '')) END AS rejected_sha256, coalesce(b.trained, 0) AS chosen_trained,
+       CASE WHEN f.rejected_id IS NOT NULL THEN coalesce(c.trained, 0) END AS rejected_trained
+FROM f LEFT JOIN r a ON a.chosen_id = f.chosen_id AND a.part = 'prompt' LEFT JOIN r b ON b.chosen_id = f.chosen_id AND b.part = 'chosen'
+LEFT JOIN r c ON c.chosen_id = f.chosen_id AND c.part = 'rejected'
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -21,10 +82,45 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+#: Weights of the sources by code point, repeating, and the share of all words that the mix takes.
+MIX = {"weights": [5.0, 2.0, 1.0], "share": 1.5, "max_passes": 2}
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_summary(documents(spark, sf_dir), **MIX)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY 1),
+l AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),
+fill AS (  -- cut the sources above their cap, share the excess again, until none is above
+  SELECT 0 AS k, source, cap, w, false AS full_, 1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE * w / (SELECT sum(w) FROM s) AS target FROM l
+  UNION ALL
+  SELECT k + 1, source, cap, w, full_ OR target > cap,
+         CASE WHEN full_ OR target > cap THEN cap
+              ELSE (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) FILTER (WHERE full_ OR target > cap) OVER (), 0))
+                   / (sum(w) FILTER (WHERE NOT (full_ OR target > cap)) OVER ()) * w END
+  FROM fill WHERE k < 60),
+t AS (SELECT source, source_size, target FROM (SELECT * FROM fill WHERE k = 60) f JOIN s USING (source)
+      UNION ALL SELECT NULL, f2.source_size, f1.target FROM (SELECT * FROM fill WHERE k = 60 AND source IS NULL) f1, (SELECT * FROM s WHERE source IS NULL) f2),
+o AS (SELECT d.doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, round(target)::BIGINT - c)) + greatest(0, least(size, round(target)::BIGINT - source_size - c)))::BIGINT AS taken
+FROM o
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_mix": op9_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+    "op4_chat_format": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op9_mix": OP9_SQL,
 }
