@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, decontaminate, exact_dedup, mixing
-from thermoflux.llm.common import documents
+from thermoflux.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, quality
+from thermoflux.llm.common import crc_mod, documents
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,14 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 5) == 0
+    model = language_id.train(docs.filter(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference pairs of the conversations with the same first turn; texts as digests and lengths."""
     pairs = chat_format.pair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -111,11 +119,21 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = quality.fit(docs, labels.filter(~held_out))
+    found = quality.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_mix": op9_mix,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
