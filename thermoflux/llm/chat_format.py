@@ -75,10 +75,10 @@ def pair_conversations(conversations: DataFrame, conv_col: str = "conv_id", seed
     first = F.sha2(F.to_json(F.element_at("turns", 1)), 256)
     convs = convs.withColumn("_first", first).withColumn("_key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).cast("binary")))
     ids = staged(convs.select("conv_id", "_first", "_key"), "first-turns")
-    # Sub-groups of a first turn by its number of conversations; few first turns have more than one.
-    groups = ids.groupBy("_first").agg(F.greatest(F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET), F.lit(1)).alias("_buckets"))
+    # As many buckets for every first turn as all conversations need; a first turn of one conversation has one bucket.
+    buckets = min(16**_DIGITS, max(1, -(-ids.count() // ROWS_PER_BUCKET)))
     lead = F.conv(F.substring("_key", 1, _DIGITS), 16, 10).cast("long")
-    ids = ids.join(groups, "_first").withColumn("_bucket", F.floor(lead * F.col("_buckets") / 16**_DIGITS))
+    ids = ids.withColumn("_bucket", F.floor(lead * buckets / 16**_DIGITS))
     counts = ids.groupBy("_first", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_first").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_first", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

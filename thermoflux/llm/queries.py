@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, quality
+from thermoflux.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, quality, toxicity
 from thermoflux.llm.common import crc_mod, documents
 
 
@@ -119,6 +119,14 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = crc_mod("doc_id", 4) == 2
@@ -132,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_mix": op9_mix,
     "op10_quality": op10_quality,
 }
