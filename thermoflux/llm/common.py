@@ -108,7 +108,7 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of consecutive rows; null texts have no bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -124,7 +124,7 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + max_rows)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -7,7 +7,7 @@ values with a few landmark units times the inverse root of the landmarks' own ke
 
 Labels are per document, so training is multiple-instance: each toxic document puts forward its most telling unit (first by
 class log-ratios of its character n-grams, then by the model's margin), clean documents put forward random units and the ones that the
-model finds hardest. Copies of the telling units with letters put in or left out join them. The score of a document is its largest unit margin, calibrated.
+model finds hardest. Copies of the telling units with a letter put in join them. The score of a document is its largest unit margin, calibrated.
 
 The fit uses at most ``MAX_LABELLED`` labelled documents (smallest hash of the id, each class half of the bound at most), whose
 distinct units are collected. Scoring covers every unit of every text; a worker keeps the margins of units it has met.
@@ -222,11 +222,11 @@ def _grams(u: bytes) -> set[bytes]:
 
 
 def gapped(unit: bytes, rng: np.random.Generator) -> list[bytes]:
-    """Copies of an ASCII unit with one letter put in, and with one left out."""
+    """A copy of an ASCII unit with one letter put in."""
     if not 4 <= len(unit) < UNIT_BYTES or not unit.isascii():
         return []
     i, x = int(rng.integers(1, len(unit))), bytes([int(rng.integers(97, 123))])
-    return [unit[:i] + x + unit[i:], unit[:i] + unit[i + 1 :]]
+    return [unit[:i] + x + unit[i:]]
 
 
 def _leaders(units: list[bytes], n: int, near: float = 0.3) -> list[bytes]:
