@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, toxicity
+from thermoflux.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
 from thermoflux.llm.common import crc_mod, documents
 
 
@@ -100,6 +100,11 @@ LEFT JOIN r c ON c.chosen_id = f.chosen_id AND c.part = 'rejected'
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -161,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_mix": op9_mix,
