@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
+from thermoflux.llm import chat_format, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
 from thermoflux.llm.common import crc_mod, documents
 
 
@@ -116,6 +116,12 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+def op8_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 5) == 1
+    docs = documents(spark, sf_dir).select("doc_id", "text", (~held_out).alias("train"))
+    return katz_lm.score(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Weights of the sources by code point, repeating, and the share of all words that the mix takes.
 MIX = {"weights": [5.0, 2.0, 1.0], "share": 1.5, "max_passes": 2}
 
@@ -169,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_katz_lm": op8_katz_lm,
     "op9_mix": op9_mix,
     "op10_quality": op10_quality,
 }
