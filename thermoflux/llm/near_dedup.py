@@ -9,7 +9,7 @@ components; only groups that still span several components are looked at again,
 the group's main component is compared with the members of other components. So every two candidates are either compared or already connected.
 Equal sets are merged before banding, verification runs on the whole sets, and links are followed by star steps in Spark.
 
-Chances: a pair at the threshold (0.85) escapes all 24 bands of 5 with probability 8e-7.
+Chances: the bands are as many as make a pair at the threshold escape all of them with probability ``MISS`` at most.
 
 Cases: a document with fewer words than a shingle has them all as its one shingle; one without words (null, empty) has an empty set, is
 linked with nothing and stays; equal texts share a component; ids are taken as unique: rows with
@@ -19,6 +19,7 @@ the same id get the same component, the smallest that one of their texts has; ro
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from thermoflux.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 5
+#: Values of a signature in one band; chance that a pair at the threshold escapes all bands.
+ROWS, MISS = 5, 1e-6
 #: Documents in one numpy pass; their number fills the top bits of the sort keys, a 52-bit shingle hash the rest.
 _DOCS = 4096
 _HASH_BITS = 52
@@ -157,11 +159,16 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.select("h", "doc").join(c, members["doc"] == c["node"], "left").select("h", "doc", F.coalesce("component", "doc").alias("c"))
 
 
+def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands of ``rows`` values after which a pair at the threshold has escaped with probability ``miss`` at most."""
+    return max(1, math.ceil(math.log(miss) / math.log(1 - min(similarity, 0.999) ** rows)))
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
-    bands: int = BANDS,
+    bands: int | None = None,
     rows: int = ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -169,6 +176,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links) and kept (it is that one)."""
     percent = round(similarity * 100)
+    bands = bands or bands_for(similarity, rows)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sig = staged(signatures(narrow, shingle, bands, rows), "signatures")
     filled = sig.filter(F.col("digest").isNotNull() & F.col("doc").isNotNull())

@@ -150,3 +150,15 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", threshol
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``; columns as given, no shuffle."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
