@@ -4,9 +4,10 @@ The set of a document holds the hashes of its distinct word shingles. SuperMinHa
 signature's places and ranks that grow along it; all elements are processed rank by rank, and a document stops as soon as no later rank
 can lower its signature. Signatures are cut into bands; documents that share a band hash are candidates.
 
-No pairs are emitted within a band group. Each group picks a leader by a seeded order and every member is compared with it; links give
-components; only groups that still span several components are looked at again, with other leaders, and at last each member outside
-the group's main component is compared with the members of other components. So every two candidates are either compared or already connected.
+No pairs are emitted within a band group. Members with too many elements that no other candidate has can link with nothing and leave.
+Each group picks as leader its most central member (the least such elements), and every member is compared with it; links give
+components. Only in groups that still span several components, each member outside the main component is compared with those members of other
+components that the numbers of shared elements still allow. So every two candidates are compared, connected already, or proven to be no link.
 Equal sets are merged before banding, verification runs on the whole sets, and links are followed by star steps in Spark.
 
 Chances: the bands are as many as make a pair at the threshold escape all of them with probability ``MISS`` at most.
@@ -149,6 +150,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(1)]
+            doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(doc)], ["element", "doc"])
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two sets could reach the similarity: they share at most the elements that are not one's own alone."""
+    most = F.least("s", "os")
+    return most * 100 >= percent * (F.col("n") + F.col("on") - most)
+
+
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
@@ -156,7 +172,8 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """Group members with their current component."""
     c = components(links)
-    return members.select("h", "doc").join(c, members["doc"] == c["node"], "left").select("h", "doc", F.coalesce("component", "doc").alias("c"))
+    out = members.join(c, members["doc"] == c["node"], "left").select("h", "doc", "n", "s", F.coalesce("component", "doc").alias("c"))
+    return staged(out, "labelled")
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -172,7 +189,6 @@ def near_duplicates(
     rows: int = ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    leader_rounds: int = 4,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links) and kept (it is that one)."""
     percent = round(similarity * 100)
@@ -184,40 +200,34 @@ def near_duplicates(
 
     # groups of two and more sets with the same band hash
     entries = reps.select("doc", F.explode("bands").alias("h"))
-    groups = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("n > 1 AND lo < hi")
+    groups = entries.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
     members = staged(entries.join(groups.select("h"), "h").distinct(), "members")
-    wanted = members.select("doc").distinct()
-    texts = narrow.join(wanted, "doc", "left_semi")
+    texts = narrow.join(members.select("doc").distinct(), "doc", "left_semi")
     sets = staged(_sets(texts, shingle).groupBy("doc").agg(F.min("elements").alias("elements")), "sets")
 
-    checked = links = None
-    labelled, turn, last = members.withColumn("c", F.col("doc")), 0, False
-    while not last:
-        sizes = labelled.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("h").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        main = staged(main.select("h", F.col("m.c").alias("mc"), "n", (F.col("n") - F.col("m.n")).alias("outside")), "open-groups")
-        # leaders first, while comparing all that lies outside the main components would be more than linear work
-        work = main.agg(F.sum(F.col("n") * F.col("outside")).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not work["rows"]:
-            break
-        last = turn >= leader_rounds or (turn > 0 and work["pairs"] <= 4 * work["rows"])
-        own = labelled.join(main, "h")
-        if last:
-            outside = own.filter("c <> mc").select("h", F.col("doc").alias("other"), F.col("c").alias("oc"))
-        else:
-            lead = own.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "c")).alias("lead"))
-            outside = lead.select("h", F.col("lead.doc").alias("other"), F.col("lead.c").alias("oc"))
-        pairs = labelled.join(outside, "h").filter("c <> oc").select(*_ordered(F.col("doc"), F.col("other"))).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        turn += 1
-        if pairs.isEmpty():
-            continue
-        new = staged(_linked(pairs, sets, percent), "confirmed")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        labelled = staged(_relabel(members, links), "labelled")
+    # a link needs most elements of both: a set with too many elements of its own is linked with nothing
+    alone = sets.mapInArrow(_elements, "element long, doc long").groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")).filter("n = 1")
+    own = alone.groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
+    weight = sets.select("doc", (F.length("elements") / 8).cast("long").alias("n")).join(own, "doc", "left")
+    weight = weight.select("doc", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")).filter(F.col("s") * 100 >= percent * F.col("n"))
+    open_ = staged(members.join(weight, "doc"), "open-members")
+
+    # first every member against the most central of its group
+    lead = open_.groupBy("h").agg(F.min(F.struct(-F.col("s") / F.col("n"), F.xxhash64("doc"), F.col("doc").alias("o"), F.col("n").alias("on"), F.col("s").alias("os"))).alias("l"))
+    pairs = open_.join(lead.select("h", "l.o", "l.on", "l.os"), "h").filter((F.col("doc") != F.col("o")) & _may_link(percent))
+    pairs = staged(pairs.select(*_ordered(F.col("doc"), F.col("o"))).distinct(), "pairs")
+    links = staged(_linked(pairs, sets, percent), "links")
+    labelled = _relabel(open_, links)
+
+    # then, where a group still has several components, all that lies outside its main one against the others
+    sizes = labelled.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("h").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", F.col("m.c").alias("mc"))
+    outside = labelled.join(main, "h").filter("c <> mc").select("h", F.col("doc").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"), F.col("s").alias("os"))
+    rest = labelled.join(outside, (labelled["h"] == outside["h"]) & (F.col("c") != F.col("oc")) & _may_link(percent))
+    rest = rest.select(*_ordered(F.col("doc"), F.col("o"))).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = staged(_linked(staged(rest, "more-pairs"), sets, percent), "more-links")
+    if not more.isEmpty():
+        labelled = _relabel(open_, links.unionByName(more))
 
     found = filled.select("doc", "digest").join(reps.select("digest", F.col("doc").alias("rep")), "digest")
     found = found.groupBy("doc").agg(F.min("rep").alias("rep"))
