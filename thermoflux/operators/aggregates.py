@@ -205,7 +205,7 @@ def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
 def one_sample_t(df: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, t and df against 0 for groups of three and more; p by ``with_p``."""
     g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("_sd")).filter("n >= 3")
-    return g.withColumn("t", F.col("mean") / (F.col("_sd") / F.sqrt("n"))).withColumn("df", F.col("n") - 1).drop("_sd")
+    return g.withColumn("t", F.try_divide(F.col("mean"), F.col("_sd") / F.sqrt("n"))).withColumn("df", F.col("n") - 1).drop("_sd")
 
 
 def with_p(df: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def significance_counts(df: DataFrame, x: str, p: str, by: tuple[str, ...] = (),
 def variance_shares(df: DataFrame, x: str, y: str, total: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Shares of the variance of total = x + y: (var(x) + cov(x, y)) / var(total), and the same for y."""
     g = df.groupBy(*by).agg(F.var_samp(x).alias("_x"), F.var_samp(y).alias("_y"), F.covar_samp(x, y).alias("_c"), F.var_samp(total).alias("_t"))
-    return g.select(*by, ((F.col("_x") + F.col("_c")) / F.col("_t")).alias(f"share_{x}"), ((F.col("_y") + F.col("_c")) / F.col("_t")).alias(f"share_{y}"))
+    return g.select(*by, F.try_divide(F.col("_x") + F.col("_c"), F.col("_t")).alias(f"share_{x}"), F.try_divide(F.col("_y") + F.col("_c"), F.col("_t")).alias(f"share_{y}"))
 
 
 def one_way_anova(df: DataFrame, y: str, group: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -234,8 +234,8 @@ def one_way_anova(df: DataFrame, y: str, group: str, by: tuple[str, ...] = ()) -
     )
     between = F.col("q") - F.col("s") * F.col("s") / F.col("N")
     out = tot.withColumn("between", between).withColumn("df1", F.col("k") - 1).withColumn("df2", F.col("N") - F.col("k"))
-    f = (F.col("between") / F.col("df1")) / (F.col("within") / F.col("df2"))
-    return out.select(*by, "df1", "df2", f.alias("F"), (F.col("between") / (F.col("between") + F.col("within"))).alias("R2"))
+    f = F.try_divide(F.try_divide(F.col("between"), F.col("df1")), F.try_divide(F.col("within"), F.col("df2")))
+    return out.select(*by, "df1", "df2", f.alias("F"), F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("R2"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -249,7 +249,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], by: tuple[str, ...] =
 
 def cor_test(corr: DataFrame) -> DataFrame:
     """t, df and p of the correlations of ``correlation_matrix``."""
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     return with_p(corr.withColumns({"t": t, "df": F.col("n") - 2}))
 
 
@@ -266,7 +266,7 @@ def estimator_summary(reps: DataFrame, components: list[str], by: tuple[str, ...
 
 def weighted_year_mean(df: DataFrame, x: str = "lnRatio", weight: str = "ERref", by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
     ok = F.col(x).isNotNull() & F.col(weight).isNotNull()
-    return df.groupBy(*by).agg((F.sum(F.when(ok, F.col(x) * F.col(weight))) / F.sum(F.when(ok, F.col(weight)))).alias(x))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.when(ok, F.col(x) * F.col(weight))), F.sum(F.when(ok, F.col(weight)))).alias(x))
 
 
 def class_counts(df: DataFrame, cls: str, residual: str | None = None) -> DataFrame:

@@ -74,7 +74,7 @@ def interpolate_linear(df: DataFrame, x: str, order: list[str], by: tuple[str, .
     known = F.when(F.col(x).isNotNull(), axis)
     a, ax = F.last(x, True).over(back), F.last(known, True).over(back)
     b, bx = F.first(x, True).over(ahead), F.first(known, True).over(ahead)
-    line = a + (b - a) * (axis - ax) / (bx - ax)
+    line = a + F.try_divide((b - a) * (axis - ax), bx - ax)
     if fill_ends:
         line = F.coalesce(line, a, b)
     tmp = df.withColumn("_line", line)
@@ -97,7 +97,7 @@ def zscore(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataF
     aggs = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]
     moments = df.groupBy(*by).agg(*aggs)
     out = df.join(moments, list(by)) if by else df.crossJoin(F.broadcast(moments))
-    return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in columns}).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
+    return out.withColumns({c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
 def closest_year(df: DataFrame, x: str, by: tuple[str, ...] = ("site_id",), year: str = "YEAR") -> DataFrame:

@@ -1 +1,309 @@
-"""Queries."""
+"""Queries of the fitted models and the jobs composed of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from thermoflux.functions import scalars as sc
+from thermoflux.operators import control, curves, drivers, future, gapfill, regression, season
+from thermoflux.plans.aggregates import RUNS, STATUS, _x, season_rows
+from thermoflux.plans.registry import query
+from thermoflux.plans.scalars import SOUTH
+from thermoflux.plans.views import KEY, MULTI, ORDER, SUB, obs_multi, obs_sub, r6, rounded, table
+from thermoflux.plans.windows import RING_SQL
+
+
+@query("m1_ols", f"WITH {MULTI} SELECT site_id, regr_count(NEE, TA) AS n, round(regr_intercept(NEE, TA), 6) AS b0, round(regr_slope(NEE, TA), 6) AS b1, round(regr_r2(NEE, TA), 6) AS r2 FROM obs GROUP BY 1")
+def m1(spark, d):
+    f = regression.ols(obs_multi(spark, d), "NEE", ["TA"])
+    return f.select("site_id", "n", r6(F.element_at("coef", 1)).alias("b0"), r6(F.element_at("coef", 2)).alias("b1"), r6("r2").alias("r2"))
+
+
+@query("m1b_soil_temperature")
+def m1b(spark, d):
+    obs = obs_multi(spark, d)
+    config = obs.filter("site_id < 4").groupBy("site_id").agg(F.min("stamp").alias("start"), F.max("stamp").alias("end")).withColumn("ta_min", F.lit(5.0))
+    return regression.soil_temperature(obs, config, 4, ORDER).groupBy("site_id").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
+
+
+@query("m2_donors")
+def m2(spark, d):
+    obs = obs_multi(spark, d)
+    donors = obs.select("site_id").distinct().filter("site_id IN (3, 5, 7)").select(F.lit(0).cast("bigint").alias("target"), F.col("site_id").alias("donor"))
+    return regression.reconstruct_from_donors(obs, donors, 4, ORDER).groupBy("site_id").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
+
+
+@query("m3_repair_periods")
+def m3(spark, d):
+    obs = obs_multi(spark, d)
+    bad = obs.select("site_id").distinct().filter("site_id < 2").select("site_id", F.lit(1998).cast("bigint").alias("YEAR"), F.lit(100).alias("DOY_start"), F.lit(130).alias("DOY_end"))
+    out = regression.repair_periods(obs, bad, 4, ORDER)
+    return out.groupBy("site_id", "TS_repair_flag").agg(F.count("*").alias("n"), F.count("TS").alias("n_ts"))
+
+
+@query("m4_simple_regression", f"WITH {MULTI}, f AS (SELECT site_id, regr_slope(TS, TA) AS b, regr_intercept(TS, TA) AS a FROM obs WHERE TA > 0 GROUP BY 1) SELECT site_id, round(sum(coalesce(TS, a + b * TA)), 4) AS ts FROM obs JOIN f USING (site_id) GROUP BY 1")
+def m4(spark, d):
+    return regression.fill_by_regression(obs_multi(spark, d), "TS", "TA", train=F.col("TA") > 0).groupBy("site_id").agg(F.round(F.sum("TS"), 4).alias("ts"))
+
+
+_ANNUAL = "y AS (SELECT site_id, YEAR, avg(TA) AS TA FROM obs GROUP BY 1, 2)"
+
+
+@query("m5_warming_rate", f"WITH {MULTI}, {_ANNUAL}, g AS (SELECT site_id, regr_count(TA, YEAR) AS n, regr_slope(TA, YEAR) AS b, regr_r2(TA, YEAR) AS r FROM y GROUP BY 1) SELECT site_id, n, round(b, 6) AS slope, round(sign(b) * sqrt(r * (n - 2) / (1 - r)), 4) AS t FROM g")
+def m5(spark, d):
+    annual = obs_multi(spark, d).groupBy("site_id", "YEAR").agg(F.avg("TA").alias("TA"))
+    return regression.warming_rate(annual).select("site_id", "n", r6("slope").alias("slope"), F.round("t", 4).alias("t"))
+
+
+@query("m5b_warming_p")
+def m5b(spark, d):
+    return regression.with_slope_p(regression.warming_rate(obs_multi(spark, d).groupBy("site_id", "YEAR").agg(F.avg("TA").alias("TA"))))
+
+
+def _season_obs(spark, d):
+    """A seasonal course on top of the view, so that seasons can be found."""
+    wave = F.sin((F.col("DOY") - 100) * 0.0172)
+    return obs_multi(spark, d).withColumns({"NEE": F.col("NEE") + 40 * wave, "TS": F.col("TS") / 10 + 12 * wave, "NIGHT": F.lit(1), "QC": F.lit(0)})
+
+
+@query("m6_active_season_mean", f"""WITH {MULTI}, s AS (SELECT site_id, YEAR, DOY, NEE + 40 * sin((DOY - 100) * 0.0172::DOUBLE) AS NEE, TS / 10 + 12 * sin((DOY - 100) * 0.0172::DOUBLE) AS TS FROM obs),
+fc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(NEE) AS v FROM s WHERE NEE IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+tc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(TS) AS v FROM s WHERE TS IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+fs AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS f FROM fc, range(-15, 16) t(k) GROUP BY 1, 2), ts AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS t FROM tc, range(-15, 16) t(k) GROUP BY 1, 2),
+lim AS (SELECT site_id, min(f) + 0.2::DOUBLE * (max(f) - min(f)) AS l FROM fs JOIN ts USING (site_id, DOY) GROUP BY 1),
+days AS (SELECT fs.site_id, fs.DOY, f > l AND t > 2 AS act, t FROM fs JOIN ts USING (site_id, DOY) JOIN lim USING (site_id)), {RING_SQL}""")
+def m6a(spark, d):
+    return season.active_season(_season_obs(spark, d), smooth="mean", half=15)
+
+
+@query("m6_active_season")
+def m6(spark, d):
+    return season.active_season(_season_obs(spark, d))
+
+
+@query("m6b_season_by_uptake", f"""WITH {MULTI}, c AS (SELECT site_id, DOY, avg(NEE) - 30 AS v, avg(TS) - 20 AS t FROM obs GROUP BY 1, 2), l AS (SELECT site_id, min(v) * 0.2::DOUBLE AS cut, min(DOY) FILTER (WHERE t >= 0) AS thaw FROM c GROUP BY 1),
+r AS (SELECT c.site_id, DOY, thaw, row_number() OVER (PARTITION BY c.site_id ORDER BY DOY) AS u, row_number() OVER (PARTITION BY c.site_id ORDER BY DOY DESC) AS e FROM c JOIN l USING (site_id) WHERE v < cut)
+SELECT site_id, greatest(max(DOY) FILTER (WHERE u = 7) - 4, any_value(thaw)) AS gStart, max(DOY) FILTER (WHERE e = 7) + 4 AS gEnd FROM r GROUP BY 1""")
+def m6b(spark, d):
+    clim = obs_multi(spark, d).groupBy("site_id", "DOY").agg((F.avg("NEE") - 30).alias("NEE"), (F.avg("TS") - 20).alias("TS"))
+    return season.season_by_uptake(clim)
+
+
+@query("m7_ustar_threshold", f"""WITH {MULTI}, o AS (SELECT site_id, MONTH // 4 AS season, TA, sqrt(l_extendedprice) / 300 AS u, NEE + least(sqrt(l_extendedprice) / 300, 0.5) * 30 AS f, l_orderkey * 1000003 + l_partkey * 101 + l_linenumber AS id FROM obs WHERE NEE IS NOT NULL),
+a AS (SELECT *, ntile(7) OVER (PARTITION BY site_id, season ORDER BY TA, id) AS t FROM o), b AS (SELECT *, ntile(20) OVER (PARTITION BY site_id, season, t ORDER BY u, id) AS k FROM a),
+c AS (SELECT site_id, season, t, k, avg(u) AS u, avg(f) AS f FROM b GROUP BY 1, 2, 3, 4), r AS (SELECT site_id, season, t FROM b GROUP BY 1, 2, 3 HAVING abs(corr(u, TA)) < 0.5),
+l AS (SELECT *, avg(f) OVER (PARTITION BY site_id, season, t ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM c SEMI JOIN r USING (site_id, season, t)),
+th AS (SELECT site_id, season, t, arg_min(u, k) AS th FROM l WHERE f >= 0.99 * later GROUP BY 1, 2, 3)
+SELECT site_id, season, round(quantile_cont(th, 0.5), 6) AS threshold, count(*) AS n_classes FROM th GROUP BY 1, 2""")
+def m7(spark, d):
+    u = F.sqrt("l_extendedprice") / 300
+    df = obs_multi(spark, d).select("site_id", F.floor(F.col("MONTH") / 4).alias("season"), "TA", u.alias("USTAR"), (F.col("NEE") + F.least(u, F.lit(0.5)) * 30).alias("NEE"), (F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 101 + F.col("l_linenumber")).alias("id"))
+    return rounded(gapfill.ustar_threshold(df), "threshold")
+
+
+def _stage_sql() -> str:
+    parts = []
+    for i, (days, alike) in enumerate(gapfill.STAGES):
+        ok = " AND ".join([f"abs(g.x - o.x) <= {days}", *[f"abs(g.{c} - o.{c}) < {gapfill.TOLERANCE[c]}" for c in alike]])
+        parts.append(f"count(*) FILTER (WHERE {ok}) AS n{i}, avg(o.v) FILTER (WHERE {ok}) AS m{i}")
+    return ", ".join(parts)
+
+
+@query("m8_gap_fill_mds", f"""WITH {SUB}, o AS (SELECT event_id AS id, site_id, DOY AS x, CASE WHEN event_id % 11 != 0 THEN NEE END AS v, (HOUR * 40)::DOUBLE AS SW_IN, TS / 5 AS TA, (MINUTE / 6)::DOUBLE AS VPD FROM sub),
+g AS (SELECT g.site_id, g.id, {_stage_sql()} FROM o g JOIN o ON g.site_id = o.site_id AND g.v IS NULL AND o.v IS NOT NULL AND abs(g.x - o.x) <= 28 GROUP BY 1, 2)
+SELECT site_id, id, round(CASE WHEN n0 >= 2 THEN m0 WHEN n1 >= 2 THEN m1 WHEN n2 >= 2 THEN m2 ELSE m3 END, 6) AS filled, CASE WHEN n0 >= 2 THEN n0 WHEN n1 >= 2 THEN n1 WHEN n2 >= 2 THEN n2 ELSE n3 END AS n_used,
+ CASE WHEN n0 >= 2 THEN 1 WHEN n1 >= 2 THEN 2 WHEN n2 >= 2 THEN 3 ELSE 4 END AS stage FROM g WHERE n0 >= 2 OR n1 >= 2 OR n2 >= 2 OR n3 >= 2""")
+def m8(spark, d):
+    df = obs_sub(spark, d).select(F.col("event_id").alias("id"), "site_id", F.col("DOY").alias("day"), F.when(F.col("event_id") % 11 != 0, F.col("NEE")).alias("NEE"), (F.col("HOUR") * 40).cast("double").alias("SW_IN"), (F.col("TS") / 5).alias("TA"), (F.col("MINUTE") / 6).alias("VPD"))
+    return rounded(gapfill.gap_fill_mds(df, "id"), "filled")
+
+
+#: Control year on days 100-300 of both axes; temperatures are complete in this view.
+_TABLE = f"""{STATUS}, {RUNS}, tt AS (SELECT site_id, growing_year, avg(TA) AS mean_TS FROM south WHERE DOY BETWEEN 100 AND 300 GROUP BY 1, 2 HAVING count(TA) = count(*)),
+both_ AS (SELECT DISTINCT site_id, growing_year FROM ac INTERSECT SELECT site_id, growing_year FROM nn),
+ga AS (SELECT site_id, growing_year, string_agg(k::VARCHAR, ', ' ORDER BY a) AS gap_lengths, max(k) AS max_gap, sum(k * k)::BIGINT AS gap_burden FROM runs GROUP BY 1, 2),
+co AS (SELECT site_id, growing_year, count(*) FILTER (WHERE unknown_daytime) AS unknown_days FROM st GROUP BY 1, 2),
+yt AS (SELECT site_id, growing_year, mean_TS, unknown_days, coalesce(gap_lengths, 'none') AS gap_lengths, coalesce(max_gap, 0) AS max_gap, coalesce(gap_burden, 0) AS gap_burden FROM tt SEMI JOIN both_ USING (site_id, growing_year) LEFT JOIN ga USING (site_id, growing_year) LEFT JOIN co USING (site_id, growing_year)),
+yd AS (SELECT yt.*, abs(mean_TS - m) AS dist FROM yt JOIN (SELECT site_id, quantile_cont(mean_TS, 0.5) AS m FROM yt GROUP BY 1) USING (site_id)),
+yr AS (SELECT *, rank() OVER (PARTITION BY site_id ORDER BY dist) + (count(*) OVER (PARTITION BY site_id, dist) - 1) / 2 AS r1, rank() OVER (PARTITION BY site_id ORDER BY gap_burden) + (count(*) OVER (PARTITION BY site_id, gap_burden) - 1) / 2 AS r2, rank() OVER (PARTITION BY site_id ORDER BY max_gap) + (count(*) OVER (PARTITION BY site_id, max_gap) - 1) / 2 AS r3 FROM yd)"""
+
+
+def _yearly(spark, d):
+    ac, nights = season_rows(spark, d)
+    seasons = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("site_id")).distinct().withColumns({"gStart": F.lit(100), "gEnd": F.lit(300)})
+    return control.yearly_table(ac.withColumn("TS", F.col("TA")), nights, seasons)
+
+
+@query("m9_yearly_table", f"WITH {MULTI}, {SOUTH}, {_TABLE} SELECT site_id, growing_year, round(mean_TS, 6) AS mean_TS, gap_lengths, max_gap, gap_burden, r1 + r2 + r3 AS initial_score FROM yr")
+def m9b(spark, d):
+    return rounded(_yearly(spark, d).select("site_id", "growing_year", "mean_TS", "gap_lengths", "max_gap", "gap_burden", "initial_score"), "mean_TS")
+
+
+@query("m9_control_year", f"""WITH {MULTI}, {SOUTH}, {_TABLE}, i AS (SELECT site_id, growing_year AS y0, max_gap AS g0 FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY r1 + r2 + r3, gap_burden, dist, growing_year) AS k FROM yr) WHERE k = 1),
+o AS (SELECT site_id, growing_year AS y1 FROM (SELECT yr.*, row_number() OVER (PARTITION BY yr.site_id ORDER BY r1 + 4 * r2 + r3, gap_burden, dist, growing_year) AS k FROM yr JOIN i USING (site_id) WHERE growing_year != y0 AND g0 > 3 AND max_gap <= 3 AND unknown_days <= 400 AND unknown_days = 0) WHERE k = 1)
+SELECT site_id, coalesce(y1, y0) AS control_year, y0 AS initial_year, CASE WHEN g0 <= 3 THEN 'initial_equal_weight_selection' WHEN y1 IS NOT NULL THEN 'replacement_for_gap_longer_than_threshold' ELSE 'initial_year_kept_no_acceptable_alternative' END AS reason FROM i LEFT JOIN o USING (site_id)""")
+def m9(spark, d):
+    return control.control_year(_yearly(spark, d), long_gap=3)
+
+
+_WIN = "win AS (SELECT DISTINCT site_id, k AS \"window\", 100 + 14 * k AS a, least(100 + 14 * k + 13, 200) AS b FROM obs, range(0, 8) t(k))"
+
+
+def _windows(spark, d):
+    sites = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("site_id")).distinct()
+    return sc.season_windows(sites.withColumns({"gStart": F.lit(100), "gEnd": F.lit(200)})).select("site_id", F.col("window").cast("bigint").alias("window"), F.col("w_start").cast("bigint").alias("w_start"), F.col("w_end").cast("bigint").alias("w_end"))
+
+
+@query("m10_adaptive_window", f"""WITH {MULTI}, {_WIN}, e AS (SELECT o.site_id, "window", YEAR, ext, NEE, TS FROM obs o JOIN win ON o.site_id = win.site_id JOIN range(0, 25, 3) x(ext) ON DOY BETWEEN a - ext AND b + ext WHERE NEE IS NOT NULL AND TS IS NOT NULL),
+g AS (SELECT site_id, "window", YEAR, ext, count(*) AS n, quantile_cont(TS, 0.025) AS lo, quantile_cont(TS, 0.975) AS hi, avg(NEE) AS m, quantile_cont(NEE, 0.5) AS md FROM e GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id, "window", YEAR ORDER BY CASE WHEN n >= 60 AND 25 BETWEEN lo AND hi THEN ext ELSE 1000 - ext END) AS k FROM g)
+SELECT site_id, "window", YEAR, ext AS extend_days, n, round(lo, 6) AS lo, round(hi, 6) AS hi FROM r WHERE k = 1 AND n > 25 AND 25 BETWEEN lo AND hi AND m >= 0.2 AND md >= 0.2""")
+def m10(spark, d):
+    win = _windows(spark, d)
+    ref = win.select("site_id", "window", F.lit(25.0).alias("ts_ref"))
+    out = curves.adaptive_window(obs_multi(spark, d).dropna(subset=["NEE", "TS"]), win, ref, needed=60)
+    return rounded(out.withColumn("extend_days", F.col("extend_days").cast("bigint")), "lo", "hi")
+
+
+def _curve_rows(spark, d):
+    """Fluxes with a known response to the view's temperatures: C0 2, alpha 0.08, beta -0.001, and the view's flux as noise."""
+    t = F.col("TS") * 0.5
+    y = 2 * F.exp(0.08 * t - 0.001 * t * t) + (F.col("NEE") - 22) / 40
+    obs = obs_multi(spark, d).withColumns({"TS": t, "NEE": y, "GPP": F.col("SWC") * 20, "SWC": F.col("SWC") + 0.1})
+    return obs.filter("DOY BETWEEN 100 AND 200").withColumn("window", sc.window_id(F.col("DOY"), F.lit(100), F.lit(200)))
+
+
+def _reference(rows):
+    return rows.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"), F.avg("SWC").alias("SWC"), F.avg("GPP").alias("GPP"))
+
+
+@query("m11_er_curve_total")
+def m11(spark, d):
+    rows = _curve_rows(spark, d)
+    return curves.er_curve(rows, _reference(rows))
+
+
+@query("m11b_er_curve_yearly")
+def m11b(spark, d):
+    rows = _curve_rows(spark, d)
+    pooled = curves.er_curve(rows, _reference(rows))
+    return curves.er_curve(rows, _reference(rows), by=("site_id", "window", "YEAR"), priors=pooled, min_rows=10)
+
+
+@query("m12_er_curve_direct")
+def m12(spark, d):
+    rows = _curve_rows(spark, d)
+    return curves.er_curve(rows, _reference(rows), direct=True)
+
+
+@query("m11w_log_quadratic", f"""WITH {MULTI}, o AS (SELECT site_id, MONTH, ln(NEE) AS y, TS AS x, TS * TS AS z FROM obs WHERE NEE > 0 AND TS IS NOT NULL),
+m AS (SELECT site_id, MONTH, count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(z) AS mz, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM o GROUP BY 1, 2 HAVING count(*) >= 10),
+s AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM m)
+SELECT site_id, MONTH, n, round(exp(my - a * mx - b * mz), 4) AS C0, round(a, 6) AS alpha, round(b, 6) AS beta FROM s""")
+def m11w(spark, d):
+    out = curves.log_quadratic_curve(obs_multi(spark, d), ("site_id", "MONTH"))
+    return out.select("site_id", "MONTH", "n", F.round("C0", 4).alias("C0"), r6("alpha").alias("alpha"), r6("beta").alias("beta"))
+
+
+@query("m13_reference_respiration", f"WITH {MULTI}, g AS (SELECT site_id, YEAR, avg(NEE) AS e, stddev_samp(NEE) * 3.4::DOUBLE AS s FROM obs GROUP BY 1, 2) SELECT site_id, YEAR, round(CASE WHEN NOT (e < 0.5::DOUBLE * s) THEN e END, 6) AS ERref FROM g")
+def m13(spark, d):
+    g = obs_multi(spark, d).groupBy("site_id", "YEAR").agg(F.avg("NEE").alias("e"), (F.stddev_samp("NEE") * 3.4).alias("s"))
+    return g.select("site_id", "YEAR", r6(curves.reference_respiration(F.col("e"), F.col("s"))).alias("ERref"))
+
+
+def _er(spark, d):
+    return obs_multi(spark, d).groupBy("site_id", F.col("MONTH").alias("window"), F.col("YEAR").alias("growing_year")).agg(F.avg("NEE").alias("ERref"), F.avg("TS").alias("TS"))
+
+
+_ER = "er AS (SELECT site_id, MONTH AS \"window\", YEAR AS growing_year, avg(NEE) AS ERref, avg(TS) AS TS FROM obs GROUP BY 1, 2, 3)"
+
+
+@query("m14_ln_ratio", f"WITH {MULTI}, {_ER}, b AS (SELECT site_id, \"window\", coalesce(max(ERref) FILTER (WHERE growing_year = 1996 + site_id % 3), quantile_cont(ERref, 0.5)) AS c FROM er WHERE NOT (site_id = 5 AND growing_year = 1998) GROUP BY 1, 2) SELECT er.site_id, er.\"window\", growing_year, round(ln(ERref / c), 6) AS lnRatio FROM er JOIN b ON er.site_id = b.site_id AND er.\"window\" = b.\"window\" WHERE NOT (er.site_id = 5 AND growing_year = 1998)")
+def m14(spark, d):
+    er = _er(spark, d).filter("NOT (site_id = 5 AND growing_year = 1998)")
+    control_ = er.select("site_id").distinct().withColumn("control_year", 1996 + F.col("site_id") % 3)
+    return rounded(curves.ln_ratio(er, control_).select("site_id", "window", "growing_year", "lnRatio"), "lnRatio")
+
+
+@query("m15_window_screen", f"WITH {MULTI}, {_WIN}, g AS (SELECT o.site_id, \"window\", avg(TS) AS m, count(*) AS n FROM obs o JOIN win ON o.site_id = win.site_id AND DOY BETWEEN a AND b GROUP BY 1, 2) SELECT site_id, \"window\", round(m, 6) AS mean_TS, n FROM g WHERE m BETWEEN 24.5 AND 27 AND n >= 100")
+def m15(spark, d):
+    win = _windows(spark, d)
+    ranges = win.select("site_id").distinct().withColumns({"tStart": F.lit(24.5), "tEnd": F.lit(27.0)})
+    return rounded(curves.window_screen(obs_multi(spark, d), win, ranges), "mean_TS")
+
+
+@query("m16_thermal_response")
+def m16(spark, d):
+    er = _er(spark, d)
+    control_ = er.select("site_id").distinct().withColumn("control_year", F.lit(1998))
+    return regression.thermal_response(curves.ln_ratio(er, control_))
+
+
+_FEATURES = ["MONTH", "TA", "SWC"]
+
+
+def _features(spark, d):
+    g = obs_multi(spark, d).groupBy("site_id", "YEAR", "MONTH").agg(F.avg("NEE").alias("y"), F.avg("TA").alias("TA"), F.avg("SWC").alias("SWC")).dropna()
+    return g.withColumn("id", F.col("site_id") * 1000000 + F.col("YEAR") * 100 + F.col("MONTH"))
+
+
+@query("m17_forest")
+def m17(spark, d):
+    f = _features(spark, d)
+    return drivers.predict(drivers.forest(f, "y", _FEATURES, trees=20), f, _FEATURES).select("site_id", "YEAR", "MONTH", "y", "prediction")
+
+
+@query("m18_permutation_importance")
+def m18(spark, d):
+    f = _features(spark, d)
+    return drivers.permutation_importance(drivers.forest(f, "y", _FEATURES, trees=20), f, "y", _FEATURES, "id", repeats=5)
+
+
+@query("m18b_normalised_importance", f"WITH {MULTI}, x AS (SELECT site_id, MONTH, avg(NEE) - 25 AS v FROM obs GROUP BY 1, 2) SELECT site_id, MONTH, round(100 * greatest(v, 0) / sum(greatest(v, 0)) OVER (PARTITION BY site_id), 6) AS varImp FROM x")
+def m18b(spark, d):
+    x = obs_multi(spark, d).groupBy("site_id", "MONTH").agg((F.avg("NEE") - 25).alias("varImp"))
+    return rounded(drivers.normalised_importance(x, ("site_id",)), "varImp")
+
+
+@query("m19_partial_dependence")
+def m19(spark, d):
+    f = _features(spark, d)
+    boot = drivers.stratified_bootstrap(f, ["site_id"], "id", times=3)
+    out = None
+    for k in range(3):
+        own = boot.filter(F.col("replicate") == k)
+        pd_ = drivers.partial_dependence(drivers.forest(own, "y", _FEATURES, trees=10, seed=k), f, "TA", _FEATURES, 11).withColumn("var", F.lit("TA"))
+        out = pd_ if out is None else out.unionByName(pd_)
+    return drivers.partial_bands(out)
+
+
+@query("m19b_partial_bands", f"WITH {MULTI}, g AS (SELECT site_id AS var, MONTH AS x, YEAR, avg(NEE) AS v FROM obs GROUP BY 1, 2, 3) SELECT var, x, round(quantile_cont(v, 0.025), 6) AS q2_5, round(quantile_cont(v, 0.05), 6) AS q5, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95, round(quantile_cont(v, 0.975), 6) AS q97_5 FROM g GROUP BY 1, 2")
+def m19b(spark, d):
+    g = obs_multi(spark, d).groupBy(F.col("site_id").alias("var"), F.col("MONTH").alias("x"), "YEAR").agg(F.avg("NEE").alias("yhat"))
+    return rounded(drivers.partial_bands(g), "q2_5", "q5", "q50", "q95", "q97_5")
+
+
+@query("m20_vif")
+def m20(spark, d):
+    return regression.vif(_features(spark, d), _FEATURES, ("site_id",))
+
+
+@query("m21_future_respiration")
+def m21(spark, d):
+    rows = _curve_rows(spark, d).drop("window")
+    sites = rows.select("site_id").distinct()
+    warming = sites.select("site_id", *[F.lit(1.0 + m / 10).alias(f"Tmin{m}") for m in range(1, 13)])
+    return future.future_respiration(rows, _windows(spark, d), warming, sites.withColumn("TAS", F.lit(-0.02)))
+
+
+@query("m21b_future_algebra", f"WITH {MULTI}, y AS (SELECT site_id, YEAR, avg(NEE) AS p, avg(TA) AS f, avg(SWC) AS d FROM obs GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY f / p, YEAR) AS r FROM y) SELECT site_id, round(avg(p), 6) AS present, round(avg(f), 6) AS future, round(avg(f) * exp(-0.02::DOUBLE * avg(d)), 6) AS future_response FROM k WHERE r > 1 GROUP BY 1")
+def m21b(spark, d):
+    y = obs_multi(spark, d).groupBy("site_id", "YEAR").agg(F.avg("NEE").alias("present"), F.avg("TA").alias("future"), F.avg("SWC").alias("dTS"))
+    out = future.future_summary(y, y.select("site_id").distinct().withColumn("TAS", F.lit(-0.02)))
+    return rounded(out.select("site_id", "present", "future", "future_response"), "present", "future", "future_response")
+
+
+@query("m22_soil_carbon", "WITH f AS (SELECT regr_slope(CASE WHEN p_partkey % 3 != 0 THEN sqrt(p_retailprice) END, p_size) AS b, regr_intercept(CASE WHEN p_partkey % 3 != 0 THEN sqrt(p_retailprice) END, p_size) AS a FROM part) SELECT p_partkey, round(CASE WHEN p_partkey % 3 != 0 THEN sqrt(p_retailprice) ELSE a + b * p_size END, 6) AS carbon FROM part, f")
+def m22(spark, d):
+    part = table(spark, d, "part").withColumn("obs", F.when(F.col("p_partkey") % 3 != 0, F.sqrt("p_retailprice")))
+    return regression.soil_carbon_blend(part, "obs", "p_size").select("p_partkey", r6("carbon").alias("carbon"))
