@@ -1,0 +1,355 @@
+"""The text operators against brute force, with nulls, empty and very long texts, ties, repeated rows, empty tables and
+extra columns of clashing names."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from thermoflux.llm import chat_format, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, score string, size string, position int"
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def table(spark, texts, ids=None):
+    """Documents with further columns whose names operators use themselves."""
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en" if k % 2 else None, None if k % 3 == 0 else f"s{k % 4}", 7, "k", "s", "z", 5) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def words_of(t, pattern=r"[^\x20\x09-\x0D]+"):
+    return re.findall(pattern, (t or "").translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(0)
+    vocabulary = ["".join(rng.choice("abcdéñß") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    base, passage = text(150), text(40)
+    near = base.split()
+    near[70] = "zzz"
+    out = [None, "", " \n\t ", "!", "one", "Two words", base, base, " ".join(near), base.upper(), text(30) + " " + passage + " " + text(20), passage, text(9), "a" * 700, "ab " * 400, text(20000), base + "\0x", "\0" * 150]
+    return out + [text(rng.randint(1, 60)) for _ in range(20)]
+
+
+def test_decontaminate(spark, texts):
+    items = [(1, texts[11]), (2, texts[11]), (3, "Two words"), (4, None), (5, ""), (6, texts[6]), (6, texts[6]), (None, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    windows = {}
+    for i, t in items:
+        ws = words_of(t, pattern)
+        for k in range(max(0, len(ws) - min(10, len(ws)) + 1)) if ws else ():
+            windows.setdefault(tuple(ws[k : k + min(10, len(ws))]), set()).add(str(i) if i is not None else "null")
+    want = {}
+    for i, t in enumerate(texts):
+        ws, hit, found = words_of(t, pattern), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(ws) - n + 1):
+                if tuple(ws[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[tuple(ws[k : k + n])]
+        want[i] = (len(ws), len(hit), sorted(found))
+    docs = table(spark, texts)
+    for most in (10**6, 40):  # one broadcast set, and several
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.scan(docs, bench, max_windows=most).collect()}
+        assert got == want
+        kept = decontaminate.drop_contaminated(docs, bench, max_windows=most)
+        assert kept.columns == docs.columns
+        assert {r["doc_id"] for r in kept.collect()} == {i for i, x in want.items() if not x[1]}
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs, decontaminate.scan(docs, bench)).collect()}
+    assert cut[0] is None and cut[12] == texts[12] and words_of(texts[11])[5] + " " + words_of(texts[11])[6] not in cut[10]
+    assert decontaminate.scan(docs, bench.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.scan(docs.limit(0), bench).count() == 0
+
+
+def test_exact_dedup(spark, texts):
+    docs = table(spark, texts + texts[6:8] + ["", None], list(range(len(texts))) + [900, 900, 7000, None])
+    groups = collections.defaultdict(list)
+    for r in docs.collect():
+        groups[r["text"] or ""].append(r["doc_id"])
+    got = exact_dedup.exact_duplicates(docs, support=0.05).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        own = groups[r["text"] or ""]
+        keep = max((x for x in own if x is not None), default=None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(own), r["doc_id"] == keep)
+        assert r["text_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and kept.filter("keep_id <> 'k'").count() == 0
+    assert {r["text"] or "" for r in kept.collect()} == set(groups)
+    assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
+
+
+def components_by_force(sets, percent):
+    ids = list(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(ids, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def shingles(t, n):
+    ws = words_of(t)
+    return {tuple(ws[k : k + n]) for k in range(max(1, len(ws) - n + 1))} if ws else set()
+
+
+def test_near_dedup(spark, texts):
+    rng = random.Random(1)
+    chain = texts[6].split()
+    family = []
+    for k in range(25):  # copies of copies, and copies too far from each other
+        chain = list(chain)
+        for _ in range(rng.choice((1, 2, 6))):
+            chain[rng.randrange(len(chain))] = f"edit{k}{rng.random()}"
+        family.append(" ".join(chain))
+    every = texts + family
+    docs = table(spark, every)
+    for n, s in ((3, 0.85), (5, 0.8)):
+        sets = {i: shingles(t, n) for i, t in enumerate(every)}
+        want = components_by_force(sets, round(100 * s))
+        got = near_dedup.near_duplicates(docs, n, s).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(components_by_force({i: shingles(t, 5) for i, t in enumerate(every)}, 80).values()))
+    assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+    repeated = near_dedup.near_duplicates(table(spark, [texts[6], texts[6], None], [4, 4, None])).collect()
+    assert len(repeated) == 3 and all(r["kept"] for r in repeated)
+
+
+def test_superminhash_estimates_similarity():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2**52, 600, dtype=np.uint64)
+    b = np.concatenate([a[:500], rng.integers(0, 2**52, 100, dtype=np.uint64)])
+    e = [(near_dedup.superminhash(np.concatenate([a ^ np.uint64(k), b ^ np.uint64(k)]), np.array([0, 600, 1200]), 128)) for k in range(20)]
+    assert np.mean([(s[0] == s[1]).mean() for s in e]) == pytest.approx(500 / 700, abs=0.03)
+
+
+def test_chat_format(spark):
+    turns = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", None),
+        (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, None, "alone"), (5, None, "user", ""), (5, None, "user", ""),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pairs = chat_format.pair_conversations(df)
+    got = chat_format.format_pairs(pairs).collect()
+    ids = sorted(x for r in got for x in (r["chosen_id"], r["rejected_id"]) if x is not None)
+    assert ids == [1, 2, 3, 4, 5]
+    for r in got:
+        for side in ("chosen", "rejected"):
+            if r[f"{side}_id"] is None:
+                assert r[side] is None and r[f"{side}_mask"] is None
+                continue
+            own = [(x[2] or "null", x[3] or "") for x in turns if x[0] == r[f"{side}_id"]]
+            full = "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in own)
+            assert r["prompt"] + r[side] == full
+            trained = [r[side][m["start"] : m["end"]] for m in r[f"{side}_mask"]]
+            assert trained == [b + "<|im_end|>" for a, b in own[r["n_common"] :] if a == "assistant"]
+    assert chat_format.pair_conversations(df.limit(0)).count() == 0
+
+
+def repeats_by_force(docs, length):
+    seen, out = set(), {}
+    for i, t in sorted(docs):
+        b, gone = (t or "").encode(), set()
+        for k in range(len(b) - length + 1):
+            s = b[k : k + length]
+            if s in seen:
+                gone |= set(range(k, k + length))
+            seen.add(s)
+        kept = bytes(c for k, c in enumerate(b) if k not in gone)
+        out[i] = (len(b), len(gone), sum(k - 1 not in gone for k in gone), kept)
+    return out
+
+
+def test_substring_dedup(spark, texts):
+    docs = table(spark, texts)
+    want = repeats_by_force([(i, t) for i, t in enumerate(texts)], 100)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == want and want[13][1] > 0
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+    twice = substring_dedup.remove_repeats(table(spark, [texts[6], texts[6], texts[6]], [3, 3, 9])).collect()
+    assert sorted((r["doc_id"], r["n_removed"] > 0) for r in twice) == [(3, False), (3, False), (9, True)]
+
+
+def test_common_minimisers_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    docs = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) + line + "".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(60)] + [line * 3]
+    monkeypatch.setattr(substring_dedup, "PLAN_EVERY", 1)
+    monkeypatch.setattr(substring_dedup, "PLAN_LEAST", 5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup.remove_repeats(table(spark, docs)).collect()}
+    assert got == repeats_by_force(list(enumerate(docs)), 100)
+
+
+def test_language_id(spark):
+    rng = random.Random(4)
+    syllables = {"en": ["the", "ing", "er", "sh"], "de": ["sch", "ung", "ä", "ei"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(10)), lang) for i in range(200) for lang in [rng.choice(["en", "de"])]]
+    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "", "de"), (902, "123 --", "en"), (903, "x" * 100_000, None)], "doc_id long, text string, lang string")
+    model = language_id.train(docs.filter("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert sum(got[i]["lang_pred"] == lang for i, _, lang in rows if i % 2) >= 98
+    assert all(got[i]["lang_pred"] == "und" for i in (900, 901, 902)) and got[903]["lang_pred"] != "und"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    nothing = language_id.train(docs.limit(0))
+    assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_naive_bayes_equals_brute_force(spark):
+    rows = [(0, "abc ab", "x"), (1, "bca", "y"), (2, "abé", "x"), (3, "AB", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+
+    def grams(t):
+        t = t.translate(LOWER)
+        return [t[i : i + n] for n in language_id.ORDERS for i in range(len(t) - n + 1)]
+
+    counts = {k: collections.Counter(g for _, t, lang in rows if lang == k for g in grams(t)) for k in "xy"}
+    total = {k: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for k, c in counts.items()}
+    for r in language_id.identify(docs, model).collect():
+        logp = {k: math.log({"x": 2 / 3, "y": 1 / 3}[k]) + sum(math.log((counts[k][g] + language_id.SMOOTHING) / total[k]) for g in grams(r["text"])) for k in "xy"}
+        best = max(logp, key=logp.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(math.exp(v - logp[best]) for v in logp.values()), rel=1e-3)
+
+
+@pytest.mark.parametrize("operator,label,bad", [(quality, "quality", "word%%% other### "), (toxicity, "toxic", "the idiot was ")])
+def test_classifiers(spark, operator, label, bad):
+    rng = random.Random(5)
+
+    def clean():
+        return " ".join("".join(rng.choice(["an", "er", "th", "on", "is"]) for _ in range(rng.randint(1, 3))) for _ in range(40))
+
+    toxic = label == "toxic"
+    rows = [(i, clean() if i % 3 else clean()[:60] + " " + bad * (1 if toxic else 10) + clean()[:40]) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "x" * 50_000)], "doc_id long, text string").withColumn("score", F.lit("mine"))
+    labels = spark.createDataFrame([(i, int((i % 3 == 0) == toxic)) for i in range(300)] + [(901, None), (None, 1), (5000, 0)], f"doc_id long, {label} int")
+    model = operator.fit(docs, labels.filter("doc_id % 2 = 0 OR doc_id > 800"), label)
+    got = {r["doc_id"]: r for r in operator.score(docs, model).collect()}
+    assert len(got) == 303 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    right = [got[i]["predicted"] == int((i % 3 == 0) == toxic) for i in range(1, 300, 2)]
+    assert sum(right) >= 0.97 * len(right)
+    only = operator.fit(docs, labels.filter(f"{label} = 1"), label)
+    assert {r["predicted"] for r in operator.score(docs, only).collect()} == {1}
+    none = operator.fit(docs, labels.limit(0), label)
+    assert {r["score"] for r in operator.score(docs, none).collect()} == {0.5}
+
+
+def test_string_kernel_equals_brute_force():
+    def weights(s):
+        out = collections.Counter()
+        for c in itertools.combinations(range(len(s)), toxicity.ORDER):
+            out[bytes(s[i] for i in c)] += toxicity.DECAY ** (c[-1] - c[0] + 1)
+        return out
+
+    units = [b"idiot", b"idixot", b"worthless", b"abcd", b"ab", b"loweick"]
+    maps = [weights(u) for u in units]
+    want = [[sum(v * y[k] for k, v in x.items()) / math.sqrt(max(1e-20, sum(v * v for v in x.values()) * sum(v * v for v in y.values()))) for y in maps[:4]] for x in maps]
+    assert np.allclose(toxicity.kernel(*toxicity.packed(units), units[:4]), want, atol=1e-5)
+    low, offs = toxicity.unsigned(np.frombuffer(b"so I-d-I-o-T s c u m!", np.uint8), np.array([0, 21]))
+    s, e, _, joined = toxicity.unit_spans(low, offs)
+    assert b"idiot" in {low[i:j].tobytes() for i, j in zip(s, e, strict=True)} and joined == [(0, b"scum")]
+
+
+def katz_by_force(docs, train):
+    seq = {i: [*words_of(t), None] for i, t in docs.items()}
+    c = collections.Counter(w for i in train for w in seq[i])
+    total, types = sum(c.values()), len(c)
+    b = collections.Counter((v, w) for i in train for v, w in zip(["<s>", *seq[i]], seq[i]))
+    of = [katz_lm.discounts(np.array([sum(x == r for x in m.values()) for r in range(1, katz_lm.K + 2)], float)) for m in (c, b)]
+
+    def cut(x, d):
+        return x * (d[x - 1] if x <= katz_lm.K else 1)
+
+    unknown = 1 - sum(cut(x, of[0]) for x in c.values()) / total
+    p = {w: cut(x, of[0]) / total for w, x in c.items()}
+    ctx, seen, mass = collections.Counter(), collections.Counter(), collections.Counter()
+    for (v, _), x in b.items():
+        ctx[v] += x
+    for (v, w), x in b.items():
+        seen[v] += cut(x, of[1]) / (ctx[v] + 1)
+        mass[v] += p[w]
+
+    def prob(v, w):
+        if b[v, w]:
+            return cut(b[v, w], of[1]) / (ctx[v] + 1)
+        return ((1 - seen[v]) / (1 - mass[v]) if ctx[v] else 1) * p.get(w, unknown)
+
+    for v in ["<s>", *[w for w in c if w is not None], "never seen"]:  # every context sums to 1
+        assert sum(prob(v, w) for w in c) + prob(v, "unknown word") == pytest.approx(1)
+    return {i: (len(s), sum(c[w] > 0 for w in s), total, sum(math.log10((c[w] + 0.5) / (total + 0.5 * (types + 1))) for w in s), sum(math.log10(prob(v, w)) for v, w in zip(["<s>", *s], s))) for i, s in seq.items()}
+
+
+@pytest.mark.parametrize("known", [1 << 18, 64])
+def test_katz(spark, texts, known, monkeypatch):
+    monkeypatch.setattr(katz_lm, "KNOWN", known)
+    monkeypatch.setattr(katz_lm, "CHUNK_TOKENS", 500)
+    docs = dict(enumerate(texts))
+    want = katz_by_force(docs, {i for i in docs if i % 3})
+    got = katz_lm.score(table(spark, texts).withColumn("train", F.col("doc_id") % 3 != 0)).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert tuple(r)[1:4] == want[r["doc_id"]][:3]
+        assert (r["base_score"], r["score"]) == pytest.approx(want[r["doc_id"]][3:], rel=1e-9)
+    empty = table(spark, texts).limit(0).withColumn("train", F.lit(True))
+    assert katz_lm.score(empty).count() == 0
+    nothing = katz_lm.score(table(spark, ["a b", None]).withColumn("train", F.lit(False))).collect()
+    assert [(r["n_known"], r["score"]) for r in nothing] == [(0, 0.0), (0, 0.0)]
+
+
+def test_mix_targets_and_positions(spark, texts, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 2)
+    docs = table(spark, texts)
+    options = {"weights": [5.0, 2.0, 1.0], "share": 1.5, "max_passes": 2}
+    total = {r["doc_id"]: r for r in mixing.mix_summary(docs, **options).collect()}
+    size = {i: len(words_of(t)) for i, t in enumerate(texts)}
+    assert {i: r["size"] for i, r in total.items()} == size
+    per = collections.defaultdict(lambda: [0, 0.0])
+    for r in docs.collect():
+        per[r["source"]][0] += total[r["doc_id"]]["taken"]
+        per[r["source"]][1] = total[r["doc_id"]]["target"]
+        assert total[r["doc_id"]]["taken"] <= 2 * size[r["doc_id"]]
+    assert all(abs(taken - target) <= 1 for taken, target in per.values())
+    assert sum(t for _, t in per.values()) == pytest.approx(1.5 * sum(size.values()))
+    mixed = mixing.mix(docs, **options).collect()
+    got = collections.Counter()
+    for r in mixed:
+        got[r["doc_id"]] += r["taken"]
+        assert 0 <= r["position"] <= 1 and len(words_of(r["text"])) == r["taken"]
+    assert {i: n for i, n in got.items()} == {i: r["taken"] for i, r in total.items() if r["taken"]}
+    assert [r["position"] for r in mixed] == sorted(r["position"] for r in mixed)
+    assert sorted(map(tuple, mixing.mix(docs, **options).collect())) == sorted(map(tuple, mixed))
+    assert mixing.mix(docs.limit(0), **options).count() == 0 and mixing.mix_summary(docs.limit(0), **options).count() == 0
+
+
+def test_demand_curve_is_inverted(spark):
+    knots = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("rate")) for t, r in ((0.0, 0.0), (0.25, 2.0), (0.5, 2.0), (1.0, 1.0))])
+    df = spark.range(101).select((F.col("id") / 100).alias("u")).withColumn("c", mixing.demand_curve(knots)).withColumn("t", mixing.invert_demand(F.col("c"), F.col("u")))
+
+    def area(t):
+        x = np.linspace(0, t, 20001)
+        return np.trapezoid(np.interp(x, [0, 0.25, 0.5, 1], [0, 2, 2, 1]), x)
+
+    for r in df.select("u", "t").collect():
+        assert area(r["t"]) / area(1.0) == pytest.approx(r["u"], abs=1e-4)

@@ -47,7 +47,7 @@ START, END = U64(1), U64(2)
 def pack(*columns: np.ndarray) -> bytes:
     """Columns as byte planes, compressed; a few leading bytes hold kinds and lengths."""
     head = ";".join(f"{c.dtype.str},{len(c)}" for c in columns).encode()
-    raw = b"".join(np.ascontiguousarray(c).view("u1").reshape(len(c), -1).T.tobytes() for c in columns)
+    raw = b"".join(np.ascontiguousarray(c).view("u1").reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns)
     return len(head).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + head + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 

@@ -40,7 +40,9 @@ PLAN_EVERY = 64
 #: Different segments among those documents from which a minimiser counts as common, and the most that are kept.
 PLAN_LEAST, PLAN_MOST = 40, 50_000
 #: Bytes of segments in one block (a group with one minimiser is never divided).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes of text in one numpy pass: small, as segmenting holds some twenty arrays of 8 bytes a byte.
+PASS_BYTES = 1 << 19
 #: Segments that one bucket of minimisers holds, about.
 BUCKET_SEGMENTS = 200_000
 _MULT = 0x9E3779B97F4A7C15
@@ -267,7 +269,7 @@ def _as_runs(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def _common_minimisers(docs: DataFrame, length: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offs in slices(b.column(1)):
+            for _, _, buf, offs in slices(b.column(1), PASS_BYTES):
                 runs = segments(buf, offs, length, np.zeros(0, U64))
                 yield pa.RecordBatch.from_arrays([pa.array(runs["key"].view("i8")), pa.array(runs["seg"].view("i8"))], ["key", "seg"])
 
@@ -287,7 +289,7 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             held, count = [], 0
-            for lo, _, buf, offs in slices(b.column(1)):
+            for lo, _, buf, offs in slices(b.column(1), PASS_BYTES):
                 runs = segments(buf, offs, length, common.value)
                 runs["doc"] = ids[lo + runs["doc"]]
                 held.append(runs)
