@@ -6,8 +6,8 @@ can lower its signature. Signatures are cut into bands; documents that share a b
 
 No pairs are emitted within a band group. Members with too many elements that no other candidate has can link with nothing and leave.
 Each group picks as leader its most central member (the least such elements), and every member is compared with it; links give
-components. Only in groups that still span several components, each member outside the main component is compared with those members of other
-components that the numbers of shared elements still allow. So every two candidates are compared, connected already, or proven to be no link.
+components. Documents of groups that still span several components are joined across components on their rarest elements, with the
+prefix and position bounds of exact set-similarity joins. So every two candidates are compared, connected already, or proven to be no link.
 Equal sets are merged before banding, verification runs on the whole sets, and links are followed by star steps in Spark.
 
 Chances: the bands are as many as make a pair at the threshold escape all of them with probability ``MISS`` at most.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermoflux.llm.common import NOT_SPACE, U64, byte_values, lowered, mix, slices, span_hashes, staged, words
@@ -165,6 +165,28 @@ def _may_link(percent: int) -> Column:
     return most * 100 >= percent * (F.col("n") + F.col("on") - most)
 
 
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still reach the similarity, found by their rarest common element.
+
+    Elements are ordered by frequency, rare ones first. If the first element that two sets share stands at places i and j, they share
+    at most 1 + min(n - i, m - j) elements; a link needs p / (100 + p) of n + m. So only an element among the first few of both makes a pair,
+    and every link has one. Elements that one set has alone come first and meet nothing."""
+    each = sets.select("doc", "elements").mapInArrow(_elements, "element long, doc long")
+    df = each.groupBy("element").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    size = sets.select("doc", (F.length("elements") / 8).cast("long").alias("n"))
+    shared = each.join(df, "element")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "element"))
+    count = F.count(F.lit(1)).over(Window.partitionBy("doc"))
+    p = shared.withColumn("i", place).withColumn("k", count).join(size, "doc").withColumn("i", F.col("n") - F.col("k") + F.col("i"))
+    # whatever the other's size, at most n * (100 - p) / 100 elements may be missing
+    p = p.filter((F.col("n") - F.col("i") + 1) * 100 >= percent * F.col("n")).join(labels, "doc").select("element", "doc", "c", "n", "i")
+    p = staged(p, "rare-elements")
+    q = p.toDF("element", "o", "oc", "on", "oi")
+    most = F.least(F.col("n") - F.col("i"), F.col("on") - F.col("oi")) + 1
+    found = p.join(q, (p["element"] == q["element"]) & (F.col("doc") > F.col("o")) & (F.col("c") != F.col("oc")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("on"))))
+    return found.select(F.col("doc").alias("a"), F.col("o").alias("b")).distinct()
+
+
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
@@ -219,12 +241,10 @@ def near_duplicates(
     links = staged(_linked(pairs, sets, percent), "links")
     labelled = _relabel(open_, links)
 
-    # then, where a group still has several components, all that lies outside its main one against the others
-    sizes = labelled.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("h").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", F.col("m.c").alias("mc"))
-    outside = labelled.join(main, "h").filter("c <> mc").select("h", F.col("doc").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"), F.col("s").alias("os"))
-    rest = labelled.join(outside, (labelled["h"] == outside["h"]) & (F.col("c") != F.col("oc")) & _may_link(percent))
-    rest = rest.select(*_ordered(F.col("doc"), F.col("o"))).distinct().join(pairs, ["a", "b"], "left_anti")
+    # then, among the documents of groups that still have several components, a join on their rarest elements
+    split = labelled.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
+    live = staged(labelled.join(split, "h").select("doc", "c").distinct(), "live")
+    rest = _rare_pairs(sets.join(live, "doc"), live, percent).join(pairs, ["a", "b"], "left_anti")
     more = staged(_linked(staged(rest, "more-pairs"), sets, percent), "more-links")
     if not more.isEmpty():
         labelled = _relabel(open_, links.unionByName(more))
