@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermoflux.operators.joins import small
+
 #: Day of year from which the southern season axis starts, and its length.
 SOUTH_START, YEAR_DAYS = 183, 366
 #: Public Magnus form of the saturation vapour pressure (hPa, degrees C).
@@ -93,7 +95,7 @@ def coalesce_sensors(primary: Column, secondary: Column, slope: float = 1.0, int
 def replace_temperature_source(df: DataFrame, choice: DataFrame, column: str = "TA", site_col: str = "site_id") -> DataFrame:
     """``column`` from the column that ``choice`` (site, source column) names for a site; unchanged for others."""
     sources = [r[0] for r in choice.select("source_col").distinct().limit(1000).collect() if r[0] in df.columns]
-    out = df.join(F.broadcast(choice.select(site_col, F.col("source_col").alias("_src"))), site_col, "left")
+    out = df.join(small(choice.select(site_col, F.col("source_col").alias("_src"))), site_col, "left")
     value = F.col(column)
     for s in sources:
         value = F.when(F.col("_src") == s, F.col(s)).otherwise(value)
@@ -119,7 +121,7 @@ def parse_year_list(text: Column) -> Column:
 
 def min_year_filter(df: DataFrame, starts: DataFrame, site_col: str = "site_id", year_col: str = "YEAR") -> DataFrame:
     """Sites of ``starts`` (site, start_year) keep the years from their start on."""
-    out = df.join(F.broadcast(starts.select(site_col, "start_year")), site_col, "left")
+    out = df.join(small(starts.select(site_col, "start_year")), site_col, "left")
     return out.filter(F.col("start_year").isNull() | (F.col(year_col) >= F.col("start_year"))).drop("start_year")
 
 
@@ -140,7 +142,7 @@ def day_night_flag(df: DataFrame, sites: DataFrame, dt_hours: float, ts_col: str
 
     Sun times are found once for each site and date, then joined. ``sites``: site, LAT, LONG, utc_offset."""
     day = F.to_date(ts_col)
-    dates = df.select(site_col, day.alias("_date")).distinct().join(F.broadcast(sites.select(site_col, "LAT", "LONG", "utc_offset")), site_col)
+    dates = df.select(site_col, day.alias("_date")).distinct().join(small(sites.select(site_col, "LAT", "LONG", "utc_offset")), site_col)
     rise, sets = sun_times(F.col("LAT"), F.col("LONG"), F.col("utc_offset"), F.dayofyear("_date"))
     dates = dates.select(site_col, "_date", rise.alias("_rise"), sets.alias("_set"))
     out = df.withColumn("_date", day).join(dates, [site_col, "_date"], "left")
@@ -182,7 +184,7 @@ def season_windows_rounded(seasons: DataFrame, size: int = 14) -> DataFrame:
 
 def regroup_classes(df: DataFrame, mapping: DataFrame, column: str, name: str) -> DataFrame:
     """Codes to groups by a mapping table (code, group); codes without one become null."""
-    return df.join(F.broadcast(mapping.select(F.col("code").alias(column), F.col("group").alias(name))), column, "left")
+    return df.join(small(mapping.select(F.col("code").alias(column), F.col("group").alias(name))), column, "left")
 
 
 def season_rule(lat: Column, igbp: Column, humid: Column, estimated: Column, override: Column, whole: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermoflux.operators.aggregates import coverage_summary, gap_runs, gap_summary, night_coverage, season_mean_ts
+from thermoflux.operators.joins import small
 from thermoflux.operators.windows import average_rank, pick_first
 
 KEYS = ("site_id", "growing_year")
@@ -15,7 +16,7 @@ def yearly_table(ac: DataFrame, nights: DataFrame, seasons: DataFrame) -> DataFr
     """One row a site and year with a complete temperature in both tables: mean_TS, coverage and gaps, the three ranks and their sum.
 
     ``ac``: site_id, growing_year, DOY, TS, daytime; ``nights``: site_id, growing_year, DOY, NEE; ``seasons``: site_id, gStart, gEnd."""
-    s = F.broadcast(seasons.select("site_id", "gStart", "gEnd"))
+    s = small(seasons.select("site_id", "gStart", "gEnd"))
     years = ac.select(*KEYS).intersect(nights.select(*KEYS))
     ac = ac.join(s, "site_id").filter(F.col("DOY").between(F.col("gStart"), F.col("gEnd"))).join(years, list(KEYS), "left_semi")
     nights = nights.join(s, "site_id").filter(F.col("DOY").between(F.col("gStart"), F.col("gEnd")))

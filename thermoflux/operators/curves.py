@@ -128,11 +128,11 @@ def er_curve(df: DataFrame, references: DataFrame, direct: bool = False, use_swc
     names = ["C0", "alpha", "beta", *(["Hs"] if direct and use_swc else []), *(["k2"] if direct else [])]
     need = ["TS", "NEE", *(["SWC"] if direct and use_swc else []), *(["GPP"] if direct else [])]
     ref = references.select("site_id", "window", *[F.col(c).alias(f"_ref_{c}") for c in need if c != "NEE"])
-    d = df.select(*by, *need).dropna().join(F.broadcast(ref), ["site_id", "window"])
+    d = df.select(*by, *need).dropna().join(ref, ["site_id", "window"])
     cols = [f.name for f in d.schema]
     if priors is not None:
         pr = priors.select("site_id", "window", *[F.col(c).alias(f"_p_{c}") for n in names for c in (n, f"{n}_sd")])
-        d = d.join(F.broadcast(pr), ["site_id", "window"])
+        d = d.join(pr, ["site_id", "window"])
         cols = [f.name for f in d.schema]
     out = [*[c for n in names for c in (n, f"{n}_mean", f"{n}_sd")], "sigma", "RMSE", "ERref", "ERref_se"]
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
@@ -172,7 +172,7 @@ def reference_respiration(estimate: Column, error: Column, factor: float = 0.5)
 
 def ln_ratio(df: DataFrame, control: DataFrame, year: str = "growing_year") -> DataFrame:
     """Adds lnRatio: ln of ERref over that of the site's control year in the same window, else over the median of its years."""
-    c = df.join(F.broadcast(control.select("site_id", F.col("control_year").alias("_cy"))), "site_id", "left")
+    c = df.join(control.select("site_id", F.col("control_year").alias("_cy")), "site_id", "left")
     base = c.groupBy("site_id", "window").agg(F.max(F.when(F.col(year) == F.col("_cy"), F.col("ERref"))).alias("_c"), F.percentile("ERref", F.lit(0.5)).alias("_m"))
     out = df.join(base, ["site_id", "window"])
     ratio = F.try_divide(F.col("ERref"), F.coalesce("_c", "_m"))

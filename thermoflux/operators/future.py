@@ -39,7 +39,7 @@ def future_respiration(nights: DataFrame, windows: DataFrame, warming: DataFrame
     years = candidate_years(years, "n", "m").select("site_id", "YEAR")
     w = windows.select("site_id", "window", "w_start", "w_end")
     near = w.select("site_id", "window", (F.col("w_start") - extend).alias("_a"), (F.col("w_end") + extend).alias("_b"))
-    rows = range_join(nights.join(F.broadcast(years), ["site_id", "YEAR"], "left_semi"), near, "DOY", "_a", "_b")
+    rows = range_join(nights.join(years, ["site_id", "YEAR"], "left_semi"), near, "DOY", "_a", "_b")
     ref = rows.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"))
     fits = er_curve(rows, ref, by=("site_id", "window", "YEAR"), min_rows=min_rows, bounds=FUTURE_BOUNDS).select("site_id", "window", "YEAR", "C0", "alpha", "beta")
     clim = nights.groupBy("site_id", "DOY", "MONTH").agg(F.avg("TS").alias("TS"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermoflux.operators.aggregates import t_tail
-from thermoflux.operators.joins import range_join
+from thermoflux.operators.joins import range_join, small
 from thermoflux.operators.windows import trailing_mean
 
 
@@ -78,9 +78,9 @@ def soil_temperature(df: DataFrame, config: DataFrame, per_day: int, order: list
     xs = ["TA", "_d1", "_d8"]
     w = df.withColumns({"_d1": trailing_mean("TA", per_day, ["site_id"], order), "_d8": trailing_mean("TA", 8 * per_day, ["site_id"], order)})
     c = config.select("site_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("ta_min").alias("_t"))
-    train = w.join(F.broadcast(c), "site_id").filter(F.col(order[0]).between(F.col("_s"), F.col("_e")) & (F.col("TA") >= F.col("_t")))
+    train = w.join(small(c), "site_id").filter(F.col(order[0]).between(F.col("_s"), F.col("_e")) & (F.col("TA") >= F.col("_t")))
     fit = ols(train, "TS", xs, ("site_id",), min_rows).select("site_id", "coef")
-    out = w.join(F.broadcast(fit), "site_id", "left")
+    out = w.join(fit, "site_id", "left")
     return out.withColumn("TS", F.when(F.col("coef").isNotNull(), predict(F.col("coef"), xs)).otherwise(F.col("TS"))).drop("coef", "_d1", "_d8")
 
 
@@ -88,9 +88,9 @@ def reconstruct_from_donors(df: DataFrame, donors: DataFrame, per_day: int, orde
     """TS of target sites from one regression pooled over their donors. ``donors``: target, donor (one row a pair)."""
     xs = ["TA", "_d1", "_d8"]
     w = df.withColumns({"_d1": trailing_mean("TA", per_day, ["site_id"], order), "_d8": trailing_mean("TA", 8 * per_day, ["site_id"], order)})
-    pooled = w.join(F.broadcast(donors.withColumnRenamed("donor", "site_id")), "site_id")
+    pooled = w.join(small(donors.withColumnRenamed("donor", "site_id")), "site_id")
     fit = ols(pooled, "TS", xs, ("target",), min_rows).select(F.col("target").alias("site_id"), "coef")
-    out = w.join(F.broadcast(fit), "site_id", "left")
+    out = w.join(fit, "site_id", "left")
     return out.withColumn("TS", F.when(F.col("coef").isNotNull(), predict(F.col("coef"), xs)).otherwise(F.col("TS"))).drop("coef", "_d1", "_d8")
 
 
@@ -109,7 +109,7 @@ def repair_periods(df: DataFrame, bad: DataFrame, per_day: int, order: list[str]
     around = p.select("site_id", F.col("_p").alias("_q"), (F.col("_a") - margin).alias("_lo"), (F.col("_b") + margin).alias("_hi"))
     train = range_join(w.filter(F.col("_p").isNull() & F.col("QC").isin(0, 1)), around, "DOY", "_lo", "_hi")
     fit = ols(train, "TS", xs, ("site_id", "_q"), min_rows).select("site_id", F.col("_q").alias("_p"), "coef")
-    out = w.join(F.broadcast(fit), ["site_id", "_p"], "left")
+    out = w.join(fit, ["site_id", "_p"], "left")
     value = predict(F.col("coef"), xs)
     done = value.isNotNull()
     out = out.withColumn("_v", value).withColumns({"TS_repair_flag": F.when(done, 1).otherwise(0), "QC": F.when(done, 1).otherwise(F.col("QC"))})

@@ -8,7 +8,7 @@ from thermoflux.functions import scalars as sc
 from thermoflux.operators import aggregates as a
 from thermoflux.plans.registry import query
 from thermoflux.plans.scalars import SOUTH, south
-from thermoflux.plans.views import MULTI, SUB, obs_multi, obs_sub, r6, rounded, table
+from thermoflux.plans.views import MULTI, SUB, obs_multi, obs_sub, rounded, table
 
 
 @query("a1_doy_climatology", f"WITH {MULTI} SELECT site_id, DOY, round(avg(NEE), 6) AS NEE, round(avg(NEE) FILTER (WHERE NIGHT = 1), 6) AS NEE_night, round(avg(NEE) FILTER (WHERE NIGHT = 0), 6) AS NEE_day FROM obs GROUP BY 1, 2")

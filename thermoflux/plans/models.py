@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from thermoflux.functions import scalars as sc
 from thermoflux.operators import control, curves, drivers, future, gapfill, regression, season
-from thermoflux.plans.aggregates import RUNS, STATUS, _x, season_rows
+from thermoflux.plans.aggregates import RUNS, STATUS, season_rows
 from thermoflux.plans.registry import query
 from thermoflux.plans.scalars import SOUTH
-from thermoflux.plans.views import KEY, MULTI, ORDER, SUB, obs_multi, obs_sub, r6, rounded, table
+from thermoflux.plans.views import MULTI, ORDER, SUB, obs_multi, obs_sub, r6, rounded, table
 from thermoflux.plans.windows import RING_SQL
 
 
