@@ -22,7 +22,6 @@ doc_ids are taken as unique: rows with the same id and text are one document and
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
