@@ -37,7 +37,7 @@ K = 5
 #: Most frequent words that are broadcast.
 KNOWN = 1 << 18
 #: Occurrences in one packed chunk of a task, and (about) in one bucket.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_500_000
+CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 2_500_000
 START, END = U64(1), U64(2)
 
 
@@ -164,7 +164,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarra
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         flag = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, _, buf, offs in slices(b.column(1)):
+        for lo, _, buf, offs in slices(b.column(1), 1 << 20):
             v, w, doc = tokens(buf, offs)
             for t in (True, False):
                 own = flag[lo + doc] == t
