@@ -264,7 +264,7 @@ def test_string_kernel_equals_brute_force():
         return out
 
     units = [b"idiot", b"idixot", b"worthless", b"abcd", b"ab", b"loweick"]
-    maps = [weights(u) for u in units]
+    maps = [weights(toxicity.framed(u)) for u in units]
     want = [[sum(v * y[k] for k, v in x.items()) / math.sqrt(max(1e-20, sum(v * v for v in x.values()) * sum(v * v for v in y.values()))) for y in maps[:4]] for x in maps]
     assert np.allclose(toxicity.kernel(*toxicity.packed(units), units[:4]), want, atol=1e-5)
     low, offs = toxicity.unsigned(np.frombuffer(b"so I-d-I-o-T s c u m!", np.uint8), np.array([0, 21]))

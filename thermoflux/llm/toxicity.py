@@ -32,15 +32,17 @@ from thermoflux.llm.common import NOT_SPACE, U64, byte_values, lowered, slices,
 from thermoflux.llm.linear import dual_coordinate_descent, platt, probability
 
 ORDER = 3
-DECAY = 0.8
+DECAY = 0.6
 UNIT_BYTES = 24
 LANDMARK_BYTES = 12
 LANDMARKS = 40
 #: Bound on the labelled documents that the fit uses.
 MAX_LABELLED = 3000
 THRESHOLD = 0.7
-#: Log ratio from which any unit of a toxic document is put forward.
+#: Log ratio from which a unit of a toxic document is put forward.
 CLEAR = 4.0
+#: How far behind the best unit of its document a unit may be to be put forward too.
+NEXT = 0.7
 #: Unit margins that a worker keeps; when full, it starts anew.
 KEPT_MARGINS = 1 << 20
 
@@ -73,13 +75,18 @@ def unit_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, docs, joined
 
 
+def framed(u: bytes) -> bytes:
+    """A unit with marks at both ends, so that the kernel tells a word's start from its inside."""
+    return b"\x02" + u[:UNIT_BYTES] + b"\x03"
+
+
 def packed(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Units as a zero-padded byte matrix, and their lengths."""
-    size = np.array([len(u) for u in units], dtype=np.int64)
-    out = np.zeros((len(units), UNIT_BYTES), dtype=np.uint8)
+    """Framed units as a zero-padded byte matrix, and their lengths."""
+    out = np.zeros((len(units), UNIT_BYTES + 2), dtype=np.uint8)
     for i, u in enumerate(units):
-        out[i, : len(u)] = np.frombuffer(u[:UNIT_BYTES], dtype=np.uint8)
-    return out, np.minimum(size, UNIT_BYTES)
+        f = framed(u)
+        out[i, : len(f)] = np.frombuffer(f, dtype=np.uint8)
+    return out, np.array([min(len(u), UNIT_BYTES) + 2 for u in units], dtype=np.int64)
 
 
 _SIGN = np.zeros(256, dtype=bool)
@@ -123,12 +130,14 @@ def _subsequences(units: np.ndarray, length: int, other: np.ndarray, width: int)
 
 
 def kernel(units: np.ndarray, size: np.ndarray, landmarks: list[bytes], block: int = 1024) -> np.ndarray:
-    """Normalised kernel values, units x landmarks."""
+    """Normalised kernel values, units x landmarks (units as ``packed`` gives them)."""
+    landmarks = [framed(x) for x in landmarks]
     width = max(len(x) for x in landmarks)
     marks = np.full((len(landmarks), width), -1, dtype=np.int16)
     for i, x in enumerate(landmarks):
         marks[i, : len(x)] = np.frombuffer(x, dtype=np.uint8)
-    own = np.array([_subsequences(packed([x])[0], len(x), packed([x])[0][:, :, None].transpose(2, 1, 0).astype(np.int16), len(x))[0, 0] for x in landmarks])
+    rows = [np.frombuffer(x, dtype=np.uint8)[None] for x in landmarks]
+    own = np.array([_subsequences(r, r.shape[1], r.T[None].astype(np.int16), r.shape[1])[0, 0] for r in rows])
     out = np.zeros((len(units), len(landmarks)), dtype=np.float32)
     for length in np.unique(size):
         rows = np.flatnonzero(size == length)
@@ -195,9 +204,12 @@ def _text_margins(model: ToxicityModel, buf: np.ndarray, offs: np.ndarray) -> np
     new = np.flatnonzero(~known)
     if len(new):
         size = np.minimum(e[first[new]] - s[first[new]], UNIT_BYTES)
+        units = np.zeros((len(new), UNIT_BYTES + 2), dtype=np.uint8)
         grid = s[first[new]][:, None] + np.arange(UNIT_BYTES)
-        units = np.where(np.arange(UNIT_BYTES) < size[:, None], low[np.minimum(grid, len(low) - 1)], 0).astype(np.uint8)
-        margin[new] = model.margins(units, size)
+        units[:, 0] = 2
+        units[:, 1:-1] = np.where(np.arange(UNIT_BYTES) < size[:, None], low[np.minimum(grid, len(low) - 1)], 0)
+        units[np.arange(len(new)), size + 1] = 3
+        margin[new] = model.margins(units, size + 2)
         kept.add(h[new], margin[new])
     out = np.full(len(offs) - 1, model.floor)
     np.maximum.at(out, doc, margin[back])
@@ -262,7 +274,7 @@ def fit_units(units_by_doc: list[list[bytes]], y: np.ndarray, seed: int = 11, ro
     value = np.array([max((ratio.get(g, 0.0) for g in _grams(u)), default=0.0) for u in vocabulary])
     value[in_clean] -= 5.0
 
-    clear = Counter(int(i) for a in toxic for i in a[value[a] >= CLEAR])
+    clear = Counter(int(i) for a in toxic for i in a[value[a] >= max(CLEAR, value[a].max() - NEXT)])
     if not clear:  # labels that no n-gram explains: the best unit of each toxic document
         clear = Counter(int(a[value[a].argmax()]) for a in toxic)
     told = [i for i, _ in clear.most_common() if len(vocabulary[i]) <= LANDMARK_BYTES] or [int(value.argmax())]
