@@ -218,7 +218,8 @@ def near_duplicates(
     narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sig = staged(signatures(narrow, shingle, bands, rows), "signatures")
     filled = sig.filter(F.col("digest").isNotNull() & F.col("doc").isNotNull())
-    reps = filled.groupBy("digest").agg(F.min(F.struct("doc", "bands")).alias("r"), F.count(F.lit(1)).alias("n")).select("digest", "r.doc", "r.bands")
+    reps = filled.groupBy("digest").agg(F.min(F.struct("doc", "bands")).alias("r")).select("digest", "r.doc", "r.bands")
+    reps = staged(reps, "representatives")  # a table of its own, so that the join of many copies below can be split
 
     # groups of two and more sets with the same band hash
     entries = reps.select("doc", F.explode("bands").alias("h"))
