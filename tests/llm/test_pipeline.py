@@ -4,7 +4,7 @@ import os
 import re
 
 import pytest
-from test_operators import LOWER, components_by_force, shingles, words_of
+from test_text_operators import LOWER, components_by_force, shingles, words_of
 
 import corpus_pipeline
 from thermoflux.llm import mixing, quality
