@@ -8,34 +8,36 @@ from thermoflux.operators import joins as j
 from thermoflux.plans.registry import query
 from thermoflux.plans.views import MULTI, SUB, obs_multi, obs_sub, r6, table
 
-_N = F.count("*").alias("n")
+
+def _n():
+    return F.count("*").alias("n")
 
 
 @query("j1_site_attributes", f"WITH {MULTI} SELECT obs.site_id, n_name, count(*) AS n FROM obs LEFT JOIN nation ON site_id = n_nationkey AND n_nationkey != 4 GROUP BY 1, 2")
 def j1(spark, d):
     nation = table(spark, d, "nation").filter("n_nationkey <> 4").select(F.col("n_nationkey").cast("bigint").alias("site_id"), "n_name")
-    return j.join_sites(obs_multi(spark, d), nation).groupBy("site_id", "n_name").agg(_N)
+    return j.join_sites(obs_multi(spark, d), nation).groupBy("site_id", "n_name").agg(_n())
 
 
 @query("j2_sun_times", f"WITH {SUB}, t AS (SELECT site_id, stamp::DATE AS date, min(HOUR) AS h FROM sub WHERE DAY % 2 = 0 GROUP BY 1, 2) SELECT sub.site_id, DAY, count(*) AS n, count(h) AS n_h FROM sub LEFT JOIN t ON sub.site_id = t.site_id AND stamp::DATE = date GROUP BY 1, 2")
 def j2(spark, d):
     sub = obs_sub(spark, d).withColumn("date", F.to_date("stamp"))
     sun = sub.filter("DAY % 2 = 0").groupBy("site_id", "date").agg(F.min("HOUR").alias("h"))
-    return j.join_sun_times(sub, sun).groupBy("site_id", "DAY").agg(_N, F.count("h").alias("n_h"))
+    return j.join_sun_times(sub, sun).groupBy("site_id", "DAY").agg(_n(), F.count("h").alias("n_h"))
 
 
 @query("j3_daily_swc", f"WITH {MULTI}, w AS (SELECT site_id, YEAR, MONTH, DAY, max(CASE WHEN DAY % 5 != 0 THEN SWC END) AS s FROM obs WHERE MONTH != 2 GROUP BY ALL) SELECT site_id, YEAR, count(*) AS n, round(sum(s), 6) AS swc FROM obs JOIN w USING (site_id, YEAR, MONTH, DAY) WHERE s IS NOT NULL GROUP BY 1, 2")
 def j3(spark, d):
     obs = obs_multi(spark, d)
     swc = obs.filter("MONTH <> 2").groupBy("site_id", "YEAR", "MONTH", "DAY").agg(F.max(F.when(F.col("DAY") % 5 != 0, F.col("SWC"))).alias("SWC"))
-    return j.join_daily_swc(obs, swc).groupBy("site_id", "YEAR").agg(_N, r6(F.sum("SWC")).alias("swc"))
+    return j.join_daily_swc(obs, swc).groupBy("site_id", "YEAR").agg(_n(), r6(F.sum("SWC")).alias("swc"))
 
 
 @query("j4_previous_day", f"WITH {SUB}, u AS (SELECT site_id, YEAR, DOY, max(NEE) AS up FROM sub WHERE DAY % 7 != 0 GROUP BY ALL) SELECT s.site_id, s.DOY, count(*) AS n, round(sum(up), 6) AS up FROM sub s JOIN u ON s.site_id = u.site_id AND s.YEAR = u.YEAR AND u.DOY = CASE WHEN HOUR >= 12 OR s.DOY = 1 THEN s.DOY ELSE s.DOY - 1 END GROUP BY 1, 2")
 def j4(spark, d):
     sub = obs_sub(spark, d)
     daily = sub.filter("DAY % 7 <> 0").groupBy("site_id", "YEAR", "DOY").agg(F.max("NEE").alias("up"))
-    return j.join_previous_day(sub, daily, "up").groupBy("site_id", "DOY").agg(_N, r6(F.sum("up")).alias("up"))
+    return j.join_previous_day(sub, daily, "up").groupBy("site_id", "DOY").agg(_n(), r6(F.sum("up")).alias("up"))
 
 
 @query("j5_season_threshold", f"WITH {MULTI}, s AS (SELECT *, MONTH // 4 AS season FROM obs), t AS (SELECT site_id, season, min(SWC) AS th FROM s WHERE season != 2 GROUP BY 1, 2), f AS (SELECT site_id, YEAR, max(SWC) AS th FROM s GROUP BY 1, 2) SELECT s.site_id, s.season, round(sum(coalesce(t.th, f.th)), 6) AS th FROM s LEFT JOIN t ON s.site_id = t.site_id AND s.season = t.season LEFT JOIN f ON s.site_id = f.site_id AND s.YEAR = f.YEAR GROUP BY 1, 2")
@@ -58,7 +60,7 @@ def j7(spark, d):
     obs = obs_multi(spark, d)
     lo = 20 * (F.col("YEAR") - 1994) + F.col("site_id")
     periods = obs.select("site_id", F.col("YEAR").alias("y"), lo.alias("a"), (lo + 30).alias("b")).distinct()
-    return j.range_join(obs, periods, "DOY", "a", "b").groupBy("site_id", "y").agg(_N, F.round(F.sum("TA"), 4).alias("ta"))
+    return j.range_join(obs, periods, "DOY", "a", "b").groupBy("site_id", "y").agg(_n(), F.round(F.sum("TA"), 4).alias("ta"))
 
 
 _GOOD = "g AS (SELECT site_id, YEAR FROM obs GROUP BY 1, 2 HAVING count(NEE) % 3 != 0)"
@@ -71,13 +73,13 @@ def _good(obs):
 @query("j8_semi_years", f"WITH {MULTI}, {_GOOD} SELECT site_id, YEAR, count(*) AS n FROM obs SEMI JOIN g USING (site_id, YEAR) GROUP BY 1, 2")
 def j8(spark, d):
     obs = obs_multi(spark, d)
-    return j.semi_years(obs, _good(obs)).groupBy("site_id", "YEAR").agg(_N)
+    return j.semi_years(obs, _good(obs)).groupBy("site_id", "YEAR").agg(_n())
 
 
 @query("j9_anti_years", f"WITH {MULTI}, {_GOOD} SELECT site_id, YEAR, count(*) AS n FROM obs ANTI JOIN g USING (site_id, YEAR) GROUP BY 1, 2")
 def j9(spark, d):
     obs = obs_multi(spark, d)
-    return j.anti_years(obs, _good(obs)).groupBy("site_id", "YEAR").agg(_N)
+    return j.anti_years(obs, _good(obs)).groupBy("site_id", "YEAR").agg(_n())
 
 
 @query("j10_align_sites", f"WITH {MULTI}, dd AS (SELECT site_id, stamp, avg(TA) AS ta FROM obs GROUP BY 1, 2) SELECT a.stamp, round(a.ta, 6) AS target, round(b.ta, 6) AS donor FROM dd a JOIN dd b USING (stamp) WHERE a.site_id = 1 AND b.site_id = 2")
@@ -90,7 +92,7 @@ def j10(spark, d):
 def j11(spark, d):
     obs = obs_multi(spark, d)
     config = obs.filter("site_id % 2 = 0").select("site_id").distinct().withColumn("ta_min", F.col("site_id") * 1.5)
-    return j.join_config(obs, config, {"ta_min": -2.0}).groupBy("site_id", "ta_min").agg(_N)
+    return j.join_config(obs, config, {"ta_min": -2.0}).groupBy("site_id", "ta_min").agg(_n())
 
 
 @query("j12_months_to_rows", f"WITH {MULTI} SELECT site_id, MONTH, round(sum(TA + MONTH * 10 + site_id), 4) AS warm FROM obs GROUP BY 1, 2")
@@ -106,7 +108,7 @@ def j13(spark, d):
     obs = obs_multi(spark, d)
     sites = obs.select("site_id").distinct().filter("site_id < 2")
     donors = F.when(F.col("site_id") == 0, F.array(*[F.lit(x).cast("bigint") for x in (3, 5, 7)])).otherwise(F.array(F.lit(3).cast("bigint")))
-    return j.donor_rows(sites.select(F.col("site_id").alias("target"), donors.alias("donors")), obs).groupBy("target", "donor", F.col("pos").cast("bigint").alias("pos")).agg(_N, F.round(F.sum("TA"), 4).alias("ta"))
+    return j.donor_rows(sites.select(F.col("site_id").alias("target"), donors.alias("donors")), obs).groupBy("target", "donor", F.col("pos").cast("bigint").alias("pos")).agg(_n(), F.round(F.sum("TA"), 4).alias("ta"))
 
 
 @query("o1_order_by", f"WITH {MULTI} SELECT site_id, YEAR, round(sum(NEE), 6) AS nee FROM obs GROUP BY 1, 2 ORDER BY site_id, YEAR")
@@ -116,14 +118,14 @@ def o1(spark, d):
 
 @query("o2_first_rows", f"WITH {MULTI} SELECT site_id, YEAR, n FROM (SELECT site_id, YEAR, count(*) AS n FROM obs GROUP BY 1, 2) ORDER BY n DESC, site_id, YEAR LIMIT 3")
 def o2(spark, d):
-    return obs_multi(spark, d).groupBy("site_id", "YEAR").agg(_N).orderBy(F.desc("n"), "site_id", "YEAR").limit(3)
+    return obs_multi(spark, d).groupBy("site_id", "YEAR").agg(_n()).orderBy(F.desc("n"), "site_id", "YEAR").limit(3)
 
 
 @query("o3_union_by_name", f"WITH {MULTI}, {SUB} SELECT kind, count(*) AS n, count(TA) AS n_ta FROM (SELECT 'm' AS kind, TA FROM obs UNION ALL SELECT 's', NULL FROM sub) GROUP BY 1")
 def o3(spark, d):
     a = obs_multi(spark, d).select(F.lit("m").alias("kind"), "TA", "NEE")
     b = obs_sub(spark, d).select("NEE", F.lit("s").alias("kind"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("kind").agg(_N, F.count("TA").alias("n_ta"))
+    return a.unionByName(b, allowMissingColumns=True).groupBy("kind").agg(_n(), F.count("TA").alias("n_ta"))
 
 
 _A, _B = "SELECT site_id, YEAR FROM obs WHERE MONTH = 1", "SELECT site_id, YEAR FROM obs WHERE MONTH = 12 AND DAY > 20"
