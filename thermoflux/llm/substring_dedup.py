@@ -301,7 +301,7 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     packed = docs.mapInArrow(emit, "bucket int, blob binary")
 
-    def reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce(key, pdf):
         if key[0] < 0:  # covered within a task already
             runs, asked = np.concatenate([_unpack(x) for x in pdf["blob"]]), np.zeros(0, _RUN)
         else:
