@@ -343,6 +343,32 @@ def test_mix_targets_and_positions(spark, texts, monkeypatch):
     assert mixing.mix(docs.limit(0), **options).count() == 0 and mixing.mix_summary(docs.limit(0), **options).count() == 0
 
 
+def test_mix_summary_sums_the_ordered_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 2)
+    written = {}
+
+    def spy(df, name):
+        written[name] = common_staged(df, name)
+        return written[name]
+
+    common_staged = mixing.staged
+    monkeypatch.setattr(mixing, "staged", spy)
+    # repeated ids, an empty and a null text, and a source of which little is taken
+    rows = [(1, "a", "x y"), (1, "a", "x y"), (2, "a", None), (2, "a", None), (3, None, "u v w")] + [(i, "b", "p q r s") for i in range(4, 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_summary(docs, [1.0, 1.0, 1.0], 0.4, 2).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    mixed = written["mix"].collect()
+    placed = [r for r in mixed if r["pass_no"] is not None]
+    knots = spark.range(1).select(mixing.demand_curve(mixing.default_knots(F.lit(1.0), [1.0])).alias("c")).first()["c"]
+    for r in placed:  # the default schedule of equal weights
+        need = (r["pass_no"] * r["source_size"] + r["start"]) / r["target"]
+        assert np.interp(r["position"], [k["t"] for k in knots], [k["rate"] for k in knots]) > 0
+        assert np.trapezoid(np.interp(x := np.linspace(0, r["position"], 2001), [k["t"] for k in knots], [k["rate"] for k in knots]), x) == pytest.approx(need, abs=1e-6)
+    assert sum(r["taken"] for r in placed) == sum(r["taken"] for r in got)
+    assert {r["taken"] for r in mixed if r["pass_no"] is None} == {0} and any(r["taken"] == 0 for r in got)
+
+
 def test_demand_curve_is_inverted(spark):
     knots = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("rate")) for t, r in ((0.0, 0.0), (0.25, 2.0), (0.5, 2.0), (1.0, 1.0))])
     df = spark.range(101).select((F.col("id") / 100).alias("u")).withColumn("c", mixing.demand_curve(knots)).withColumn("t", mixing.invert_demand(F.col("c"), F.col("u")))

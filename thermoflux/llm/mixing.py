@@ -122,11 +122,14 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     seed: str = "mix-",
+    every: bool = False,
 ) -> DataFrame:
     """One row per document and pass that takes words of it, range-sorted by ``position`` (0 to 1).
 
     ``knots`` (source, knots array<struct<t, rate>>) gives the schedules; by default they follow the weights. Adds size, pass_no, taken
     and position. Where ``taken`` is less than the size, the text keeps its first ``taken`` words, joined by single spaces.
+    With ``every``, documents that no pass takes follow at the end (pass_no and position null, taken 0), and source_size, target and start
+    (the first token of the document within its source) are added as well.
     """
     row = F.struct("*").alias("_row")
     sized = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
@@ -140,23 +143,27 @@ def mix(
         placed = placed.join(k, placed["source"].eqNullSafe(k["_ks"]), "left").drop("_ks")
         curve = F.coalesce(F.col("_knots"), curve)
     passes = F.filter(F.array(*[F.struct(F.lit(p).alias("pass_no"), taken_in_pass(p).alias("taken")) for p in range(max_passes)]), lambda x: x["taken"] > 0)
-    rows = placed.withColumn("_p", F.explode(passes)).select("*", "_p.pass_no", "_p.taken")
+    if every:
+        rows = placed.withColumn("_p", F.explode_outer(passes)).select("*", "_p.pass_no", F.coalesce("_p.taken", F.lit(0).cast("long")).alias("taken"))
+    else:
+        rows = placed.withColumn("_p", F.explode(passes)).select("*", "_p.pass_no", "_p.taken")
     u = (F.col("pass_no") * F.col("source_size") + F.col("start")) / F.col("target")
     rows = rows.withColumn("_curve", demand_curve(curve)).withColumn("position", invert_demand(F.col("_curve"), u))
     text = F.col("_row").getField(text_col)
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
-    added = ("size", "pass_no", "taken", "position")
+    added = ("size", "pass_no", "taken", "position", *(("source_size", "target", "start") if every else ()))
     keep = [F.when(F.col("taken") < F.col("size"), first).otherwise(text).alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added]
-    rows = rows.repartitionByRange("position", "_id", "pass_no").sortWithinPartitions("position", "_id", "pass_no")
+    order = [F.col("position").asc_nulls_last() if every else F.col("position"), F.col("_id"), F.col("pass_no")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return rows.select(*keep, *added)
 
 
 def mix_summary(docs: DataFrame, weights: list[float], share: float = 1.5, max_passes: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-") -> DataFrame:
-    """One row per document: id, size, source_size, target (its source's) and taken, summed over the passes."""
-    sized = staged(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
-    targets = staged(source_targets(sized, weights, share, max_passes), "targets")
-    placed = offsets(sized, targets, id_col, seed)
-    total = taken_in_pass(0)
-    for p in range(1, max_passes):
-        total = total + taken_in_pass(p)
-    return placed.select(id_col, "size", "source_size", "target", total.alias("taken"))
+    """One row per document: id, size, source_size, target (its source's) and taken, summed over the passes of the mix.
+
+    The mix is written in training order and then summed: a document with words is alone at its start within its source, so repeated ids stay apart.
+    """
+    mixed = staged(mix(docs, weights, share, max_passes, None, id_col, text_col, source_col, seed, every=True), "mix")
+    facts = ("size", "source_size", "target")
+    taken = mixed.filter("pass_no IS NOT NULL").groupBy(id_col, source_col, "start", *facts).agg(F.sum("taken").alias("taken"))
+    return taken.select(id_col, *facts, "taken").unionByName(mixed.filter("pass_no IS NULL").select(id_col, *facts, "taken"))
