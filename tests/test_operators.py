@@ -174,3 +174,50 @@ def test_bootstrap_keeps_strata_sizes(spark):
     df = spark.range(100).withColumn("s", F.col("id") % 3)
     got = drivers.stratified_bootstrap(df, ["s"], "id", times=4).groupBy("replicate", "s").count().collect()
     assert {(r["s"], r["count"]) for r in got} == {(0, 34), (1, 33), (2, 33)} and len(got) == 12
+
+
+def test_forest_queries_use_the_whole_job(spark, monkeypatch):
+    import inspect
+
+    from thermoflux.plans import registry
+    from thermoflux.plans.models import m17
+
+    assert registry
+    seen, real = [], drivers.forest
+
+    def spy(df, y, xs, trees=500, node=30, mtry=1, seed=1):
+        seen.append((trees, node, mtry))
+        return real(df, y, xs, 2, node, mtry, seed)
+
+    monkeypatch.setattr(drivers, "forest", spy)
+    monkeypatch.setattr(drivers, "tune", lambda *a, **k: (None, 7, 2))
+    m17(spark, "/root/testdata/sf0.001").count()
+    assert seen == [(500, 7, 2)]
+    defaults = {n: p.default for n, p in inspect.signature(drivers.bootstrap_dependence).parameters.items()}
+    assert (defaults["times"], defaults["points"], defaults["trees"]) == (200, 51, 500)
+
+
+def test_tuning_and_bootstrap_dependence(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 2, x, z, 5 * x + rng.gauss(0, 0.1)) for i in range(200) for x, z in [(rng.random(), rng.random())]]
+    df = spark.createDataFrame(rows, "id long, s long, x double, z double, y double")
+    scores, node, mtry = drivers.tune(df, "y", ["x", "z"], ["s"], "id", nodes=(5, 80), mtries=(2,), trees=3, k=2)
+    assert scores.count() == 2 and (node, mtry) == (5, 2)
+    got = drivers.bootstrap_dependence(df, "y", ["x", "z"], ["s"], "id", times=2, points=5, trees=5, node=5, mtry=2).collect()
+    assert sorted((r["replicate"], r["var"]) for r in got) == sorted((k, v) for k in range(2) for v in "xz" for _ in range(5))
+    for k in range(2):
+        course = [r["yhat"] for r in sorted((r for r in got if (r["replicate"], r["var"]) == (k, "x")), key=lambda r: r["x"])]
+        assert course[-1] - course[0] > 3
+
+
+def test_soil_temperature_queries_reach_every_site(spark):
+    from thermoflux.plans import registry
+    from thermoflux.plans.models import m1b, m2, m3
+    from thermoflux.plans.views import obs_multi
+
+    d = "/root/testdata/sf0.01"
+    assert registry
+    measured = {r["site_id"]: r["n"] for r in obs_multi(spark, d).groupBy("site_id").agg({"TS": "count"}).withColumnRenamed("count(TS)", "n").collect()}
+    for q in (m1b, m2):
+        assert {r["site_id"] for r in q(spark, d).collect() if r["n"] > measured[r["site_id"]]} == set(measured)
+    assert {r["site_id"] for r in m3(spark, d).collect() if r["TS_repair_flag"] == 1} == set(measured)

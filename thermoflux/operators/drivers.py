@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermoflux.sources.io import scratch
+
 
 def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=xs, outputCol="features").transform(df)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for data that many fits read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forest(df: DataFrame, y: str, xs: list[str], trees: int = 500, node: int = 30, mtry: int = 1, seed: int = 1):
     """A fitted forest; ``node`` rows at least in a leaf, ``mtry`` variables tried at a split."""
     rf = RandomForestRegressor(labelCol=y, numTrees=trees, minInstancesPerNode=node, featureSubsetStrategy=str(mtry), maxDepth=10, seed=seed)
@@ -90,6 +101,31 @@ def partial_dependence(model, df: DataFrame, x: str, xs: list[str], points: int
     return predict(model, grid, xs).groupBy("_g", F.col(x).alias("x")).agg(F.avg("prediction").alias("yhat")).drop("_g")
 
 
+def bootstrap_dependence(df: DataFrame, y: str, xs: list[str], strata: list[str], id_col: str, times: int = 200, points: int = 51, trees: int = 500, node: int = 30, mtry: int = 1, seed: int = 1, at_once: int = 4) -> DataFrame:
+    """(replicate, var, x, yhat): partial dependence of every variable under a forest fitted to each of ``times`` stratified resamples.
+
+    The forests are fitted ``at_once`` at a time from the driver; a forest's rows, all variables and points, are one job. The
+    resamples are one table, and each replicate's rows are written when it is done, so that no plan holds all forests."""
+    boot = stored(stratified_bootstrap(df, strata, id_col, times, seed), "resamples")
+    folder = scratch(df.sparkSession, "dependence")
+    ends = df.agg(*[f(x).alias(f"{n}_{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    base = df.dropna(subset=xs).select(*xs)
+    grid = base.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("var", F.explode(F.array(*[F.lit(x) for x in xs])))
+    at = F.coalesce(*[F.when(F.col("var") == x, F.lit(ends[f"lo_{x}"]) + F.col("_g") * ((ends[f"hi_{x}"] - ends[f"lo_{x}"]) / max(1, points - 1))) for x in xs])
+    grid = grid.withColumn("x", at).withColumns({x: F.when(F.col("var") == x, F.col("x")).otherwise(F.col(x)) for x in xs})
+
+    def one(k: int):
+        model = forest(boot.filter(F.col("replicate") == k), y, xs, trees, node, mtry, seed + k)
+        yhat = predict(model, grid, xs).groupBy("var", "_g", "x").agg(F.avg("prediction").alias("yhat"))
+        out = yhat.select(F.lit(k).alias("replicate"), "var", "x", "yhat")
+        out.write.parquet(f"{folder}/{k}")
+        return out.schema
+
+    with ThreadPoolExecutor(at_once) as pool:
+        schema = list(pool.map(one, range(times)))[0]
+    return df.sparkSession.read.schema(schema).parquet(*[f"{folder}/{k}" for k in range(times)])
+
+
 def partial_bands(replicates: DataFrame, by: tuple[str, ...] = ("var", "x")) -> DataFrame:
     """2.5, 5, 50, 95 and 97.5 % points of yhat over replicates."""
     q = F.percentile("yhat", F.array(*[F.lit(p) for p in (0.025, 0.05, 0.5, 0.95, 0.975)]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thermoflux.functions import scalars as sc
@@ -22,21 +23,28 @@ def m1(spark, d):
 @query("m1b_soil_temperature")
 def m1b(spark, d):
     obs = obs_multi(spark, d)
-    config = obs.filter("site_id < 4").groupBy("site_id").agg(F.min("stamp").alias("start"), F.max("stamp").alias("end")).withColumn("ta_min", F.lit(5.0))
+    config = obs.groupBy("site_id").agg(F.min("stamp").alias("start"), F.max("stamp").alias("end")).withColumn("ta_min", F.lit(5.0))
     return regression.soil_temperature(obs, config, 4, ORDER).groupBy("site_id").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
 
 
 @query("m2_donors")
 def m2(spark, d):
     obs = obs_multi(spark, d)
-    donors = obs.select("site_id").distinct().filter("site_id IN (3, 5, 7)").select(F.lit(0).cast("bigint").alias("target"), F.col("site_id").alias("donor"))
+    means = obs.groupBy("site_id").agg(F.avg("TA").alias("m"))
+    pairs = means.select(F.col("site_id").alias("target"), F.col("m").alias("own")).join(means.withColumnRenamed("site_id", "donor"), F.col("target") != F.col("donor"))
+    near = Window.partitionBy("target").orderBy(F.abs(F.col("own") - F.col("m")), "donor")
+    donors = pairs.withColumn("k", F.row_number().over(near)).filter("k <= 3").select("target", "donor")
     return regression.reconstruct_from_donors(obs, donors, 4, ORDER).groupBy("site_id").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
 
 
 @query("m3_repair_periods")
 def m3(spark, d):
     obs = obs_multi(spark, d)
-    bad = obs.select("site_id").distinct().filter("site_id < 2").select("site_id", F.lit(1998).cast("bigint").alias("YEAR"), F.lit(100).alias("DOY_start"), F.lit(130).alias("DOY_end"))
+    # of every site the 31 days of a year with the largest share of missing values
+    block = F.floor((F.col("DOY") - 1) / 31)
+    share = obs.groupBy("site_id", "YEAR", block.alias("b")).agg(F.avg(F.col("TS").isNull().cast("int")).alias("share"))
+    worst = Window.partitionBy("site_id").orderBy(F.desc("share"), "YEAR", "b")
+    bad = share.withColumn("k", F.row_number().over(worst)).filter("k = 1").select("site_id", "YEAR", (F.col("b") * 31 + 1).alias("DOY_start"), (F.col("b") * 31 + 31).alias("DOY_end"))
     out = regression.repair_periods(obs, bad, 4, ORDER)
     return out.groupBy("site_id", "TS_repair_flag").agg(F.count("*").alias("n"), F.count("TS").alias("n_ts"))
 
@@ -247,16 +255,23 @@ def _features(spark, d):
     return g.withColumn("id", F.col("site_id") * 1000000 + F.col("YEAR") * 100 + F.col("MONTH"))
 
 
+def _tuned(spark, d):
+    """The features as a table, since forests read them again and again, with the node size and mtry of the best cross-validation."""
+    f = drivers.stored(_features(spark, d), "features")
+    _, node, mtry = drivers.tune(f, "y", _FEATURES, ["site_id"], "id")
+    return f, {"node": node, "mtry": mtry}
+
+
 @query("m17_forest")
 def m17(spark, d):
-    f = _features(spark, d)
-    return drivers.predict(drivers.forest(f, "y", _FEATURES, trees=20), f, _FEATURES).select("site_id", "YEAR", "MONTH", "y", "prediction")
+    f, best = _tuned(spark, d)
+    return drivers.predict(drivers.forest(f, "y", _FEATURES, **best), f, _FEATURES).select("site_id", "YEAR", "MONTH", "y", "prediction")
 
 
 @query("m18_permutation_importance")
 def m18(spark, d):
-    f = _features(spark, d)
-    return drivers.permutation_importance(drivers.forest(f, "y", _FEATURES, trees=20), f, "y", _FEATURES, "id", repeats=5)
+    f, best = _tuned(spark, d)
+    return drivers.permutation_importance(drivers.forest(f, "y", _FEATURES, **best), f, "y", _FEATURES, "id")
 
 
 @query("m18b_normalised_importance", f"WITH {MULTI}, x AS (SELECT site_id, MONTH, avg(NEE) - 25 AS v FROM obs GROUP BY 1, 2) SELECT site_id, MONTH, round(100 * greatest(v, 0) / sum(greatest(v, 0)) OVER (PARTITION BY site_id), 6) AS varImp FROM x")
@@ -267,14 +282,8 @@ def m18b(spark, d):
 
 @query("m19_partial_dependence")
 def m19(spark, d):
-    f = _features(spark, d)
-    boot = drivers.stratified_bootstrap(f, ["site_id"], "id", times=3)
-    out = None
-    for k in range(3):
-        own = boot.filter(F.col("replicate") == k)
-        pd_ = drivers.partial_dependence(drivers.forest(own, "y", _FEATURES, trees=10, seed=k), f, "TA", _FEATURES, 11).withColumn("var", F.lit("TA"))
-        out = pd_ if out is None else out.unionByName(pd_)
-    return drivers.partial_bands(out)
+    f, best = _tuned(spark, d)
+    return drivers.partial_bands(drivers.bootstrap_dependence(f, "y", _FEATURES, ["site_id"], "id", **best))
 
 
 @query("m19b_partial_bands", f"WITH {MULTI}, g AS (SELECT site_id AS var, MONTH AS x, YEAR, avg(NEE) AS v FROM obs GROUP BY 1, 2, 3) SELECT var, x, round(quantile_cont(v, 0.025), 6) AS q2_5, round(quantile_cont(v, 0.05), 6) AS q5, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95, round(quantile_cont(v, 0.975), 6) AS q97_5 FROM g GROUP BY 1, 2")
