@@ -139,6 +139,20 @@ def test_gap_fill_takes_like_weather(spark):
     assert [(x["id"], x["filled"], x["stage"]) for x in r] == [(40, 0.0, 1)]
 
 
+def test_gap_fill_takes_the_diurnal_course(spark):
+    # 100 days of which 40 to 79 are missing, and day 5, hour 1 without radiation; hour 3 has one row only
+    rows = [(1, d * 4 + h, d, h, None if (d, h) == (5, 1) else 100.0 * h, 10.0, 5.0, None if 40 <= d < 80 or (d, h) == (5, 1) else float(d + 1000 * h)) for d in range(100) for h in range(3)]
+    rows += [(1, 1000, 50, 3, 900.0, 10.0, 5.0, None), (1, 1001, 51, 3, 900.0, 10.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "site_id long, id long, day long, HOUR long, SW_IN double, TA double, VPD double, NEE double")
+    got = {r["id"]: (r["filled"], r["n_used"], r["stage"]) for r in gapfill.gap_fill_mds(df, "id", hour="HOUR").collect()}
+    assert set(got) == {r[1] for r in rows if r[-1] is None}
+    assert got[5 * 4 + 1] == (1005.0, 2, 6)  # days 4 and 6
+    assert got[1000] == (None, 0, None)
+    wide = spark.createDataFrame([r for r in rows if r[2] in (0, 1, 60, 99)], df.schema)
+    far = {r["id"]: (r["filled"], r["n_used"], r["stage"]) for r in gapfill.gap_fill_mds(wide, "id", hour="HOUR").collect()}
+    assert far[60 * 4] == (49.5 + 0.5, 2, 5 + 59)  # days 1 and 99, beyond every look-up stage
+
+
 def test_control_year_replaces_long_gap(spark):
     def year(y, ts, missing):
         return [(1, y, d, ts, False) for d in range(1, 41)], [(1, y, d, 1.0) for d in range(1, 41) if d not in missing]

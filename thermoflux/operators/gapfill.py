@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,26 +28,68 @@ STAGES = ((7, ("SW_IN", "TA", "VPD")), (14, ("SW_IN", "TA", "VPD")), (7, ("SW_IN
 TOLERANCE = {"SW_IN": 50.0, "TA": 2.5, "VPD": 5.0}
 
 
-def gap_fill_mds(df: DataFrame, id_col: str, value: str = "NEE", day: str = "day", by: tuple[str, ...] = ("site_id",), stages=STAGES, tolerance: dict[str, float] = TOLERANCE, least: int = 2) -> DataFrame:
+def gap_fill_mds(df: DataFrame, id_col: str, value: str = "NEE", day: str = "day", by: tuple[str, ...] = ("site_id",), stages=STAGES, tolerance: dict[str, float] = TOLERANCE, least: int = 2, hour: str | None = None) -> DataFrame:
     """(id, filled, n_used, stage) of the rows whose ``value`` is missing: the mean of the rows with like weather in the first stage
-    that finds ``least`` of them.
+    that finds ``least`` of them. Rows that no stage fills stay, with n_used 0 and neither value nor stage.
 
     A range self-join on buckets: the donors' days are grouped in blocks as long as the widest stage, and a gap looks at
-    its own block and both neighbours, so a gap meets only donors of nearby days of its site."""
+    its own block and both neighbours, so a gap meets only donors of nearby days of its site.
+    With ``hour``, the rest takes the mean diurnal course: the rows of the same hour within 0, 1, 2 .. days, widened until
+    there are ``least`` (stages from ``len(stages) + 1`` on, one a day); only a site without that many rows of the hour stays unfilled."""
     width = max(d for d, _ in stages)
     block = F.floor(F.col(day) / width)
     drivers = list(tolerance)
-    gaps = df.filter(F.col(value).isNull()).select(*by, F.col(id_col), F.col(day).alias("_d"), *[F.col(c).alias(f"_{c}") for c in drivers], F.explode(F.array(block - 1, block, block + 1)).alias("_b"))
+    clock = [F.col(hour).alias("_h")] if hour else []
+    missing = df.filter(F.col(value).isNull()).select(*by, F.col(id_col), F.col(day).alias("_d"), *clock, *[F.col(c).alias(f"_{c}") for c in drivers], block.alias("_b"))
+    gaps = missing.withColumn("_b", F.explode_outer(F.when(F.col("_b").isNotNull(), F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))))
     donors = df.filter(F.col(value).isNotNull()).select(*by, F.col(day).alias("_e"), *drivers, F.col(value).alias("_v"), block.alias("_b"))
-    pairs = gaps.join(donors, [*by, "_b"]).withColumn("_dist", F.abs(F.col("_d") - F.col("_e"))).filter(F.col("_dist") <= width)
+    pairs = gaps.join(donors, [*by, "_b"], "left").withColumn("_dist", F.abs(F.col("_d") - F.col("_e")))
     aggs = []
     for i, (days, alike) in enumerate(stages):
         ok = F.col("_dist") <= days
         for c in alike:
             ok = ok & (F.abs(F.col(c) - F.col(f"_{c}")) < tolerance[c])
         aggs += [F.count(F.when(ok, 1)).alias(f"n{i}"), F.avg(F.when(ok, F.col("_v"))).alias(f"m{i}")]
-    got = pairs.groupBy(*by, id_col).agg(*aggs)
+    at = ["_d", "_h"] if hour else []
+    got = pairs.groupBy(*by, id_col, *at).agg(*aggs)
     stage = F.coalesce(*[F.when(F.col(f"n{i}") >= least, F.lit(i + 1)) for i in range(len(stages))])
-    got = got.withColumn("stage", stage).filter("stage IS NOT NULL")
+    got = got.withColumn("stage", stage)
     pick = {n: F.coalesce(*[F.when(F.col("stage") == i + 1, F.col(f"{k}{i}")) for i in range(len(stages))]) for n, k in (("filled", "m"), ("n_used", "n"))}
-    return got.select(*by, id_col, pick["filled"].alias("filled"), pick["n_used"].alias("n_used"), "stage")
+    got = got.select(*by, id_col, *at, pick["filled"].alias("filled"), F.coalesce(pick["n_used"], F.lit(0)).alias("n_used"), "stage")
+    if not hour:
+        return got
+    course = _diurnal_course(df, missing, value, day, hour, by, least)
+    got = got.join(course, [*by, "_d", "_h"], "left")
+    rest = F.col("stage").isNull() & F.col("_k").isNotNull()
+    took = {"filled": F.col("_mean"), "n_used": F.col("_n"), "stage": (F.col("_k") + len(stages) + 1).cast("int")}
+    return got.select(*by, id_col, *[F.when(rest, v).otherwise(F.col(n)).alias(n) for n, v in took.items()])
+
+
+def _diurnal_course(df: DataFrame, missing: DataFrame, value: str, day: str, hour: str, by: tuple[str, ...], least: int) -> DataFrame:
+    """(by, _d, _h, _k, _n, _mean): the mean of the ``_n`` rows of hour ``_h`` within ``_k`` days of ``_d``, the fewest days with ``least`` rows.
+
+    Rows are summed by day and hour first. Every such day holds a row, so the ``least`` nearest days on either side are all that can count, and
+    the windows run over the days of an hour, not over rows."""
+    known = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(day).alias("_d"), F.col(hour).alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+    w = Window.partitionBy(*by, "_h").orderBy("_d")
+    cell = F.struct(F.col("_d").alias("d"), "n", "s")
+    near = [F.array(*[f(cell, i).over(w) for i in range(least)]) for f in (F.lag, F.lead)]
+    known = known.withColumns({"_before": near[0], "_after": near[1]})
+    places = missing.select(*by, "_d", "_h").distinct().withColumn("_gap", F.lit(True)).join(known, [*by, "_d", "_h"], "full")
+    before = F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_after", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    places = places.withColumns({"_l": before, "_r": after}).filter("_gap")
+    none = F.array().cast(known.schema["_before"].dataType)
+    cells = F.array_distinct(F.concat(F.coalesce("_l", none), F.coalesce("_r", none)))
+    places = places.withColumn("_c", F.filter(cells, lambda c: c.isNotNull()))
+
+    def within(k: Column) -> Column:
+        return F.filter("_c", lambda c: F.abs(c["d"] - F.col("_d")) <= k)
+
+    def rows(cells: Column) -> Column:
+        return F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+
+    reach = F.array_min(F.filter(F.transform("_c", lambda c: F.abs(c["d"] - F.col("_d"))), lambda k: rows(within(k)) >= least))
+    places = places.withColumn("_k", reach).filter("_k IS NOT NULL").withColumn("_c", within(F.col("_k")))
+    n = rows(F.col("_c"))
+    return places.select(*by, "_d", "_h", "_k", n.alias("_n"), (F.aggregate("_c", F.lit(0.0), lambda a, c: a + c["s"]) / n).alias("_mean"))

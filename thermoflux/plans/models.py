@@ -122,8 +122,8 @@ g AS (SELECT g.site_id, g.id, {_stage_sql()} FROM o g JOIN o ON g.site_id = o.si
 SELECT site_id, id, round(CASE WHEN n0 >= 2 THEN m0 WHEN n1 >= 2 THEN m1 WHEN n2 >= 2 THEN m2 ELSE m3 END, 6) AS filled, CASE WHEN n0 >= 2 THEN n0 WHEN n1 >= 2 THEN n1 WHEN n2 >= 2 THEN n2 ELSE n3 END AS n_used,
  CASE WHEN n0 >= 2 THEN 1 WHEN n1 >= 2 THEN 2 WHEN n2 >= 2 THEN 3 ELSE 4 END AS stage FROM g WHERE n0 >= 2 OR n1 >= 2 OR n2 >= 2 OR n3 >= 2""")
 def m8(spark, d):
-    df = obs_sub(spark, d).select(F.col("event_id").alias("id"), "site_id", F.col("DOY").alias("day"), F.when(F.col("event_id") % 11 != 0, F.col("NEE")).alias("NEE"), (F.col("HOUR") * 40).cast("double").alias("SW_IN"), (F.col("TS") / 5).alias("TA"), (F.col("MINUTE") / 6).alias("VPD"))
-    return rounded(gapfill.gap_fill_mds(df, "id"), "filled")
+    df = obs_sub(spark, d).select(F.col("event_id").alias("id"), "site_id", F.col("DOY").alias("day"), F.when(F.col("event_id") % 11 != 0, F.col("NEE")).alias("NEE"), (F.col("HOUR") * 40).cast("double").alias("SW_IN"), (F.col("TS") / 5).alias("TA"), (F.col("MINUTE") / 6).alias("VPD"), "HOUR")
+    return rounded(gapfill.gap_fill_mds(df, "id", hour="HOUR"), "filled")
 
 
 #: Control year on days 100-300 of both axes; temperatures are complete in this view.
