@@ -235,3 +235,24 @@ def test_soil_temperature_queries_reach_every_site(spark):
     for q in (m1b, m2):
         assert {r["site_id"] for r in q(spark, d).collect() if r["n"] > measured[r["site_id"]]} == set(measured)
     assert {r["site_id"] for r in m3(spark, d).collect() if r["TS_repair_flag"] == 1} == set(measured)
+
+
+def test_future_widens_sparse_windows(spark):
+    from thermoflux.operators import future
+
+    # 51 rows and some more a year: a window of 14 days and 7 on either side holds fewer than 30
+    rows = [(1, y, 1 + d // 31, d, 5 + 10 * math.sin(d / 40), 6 + 10 * math.sin(d / 40), 2 * math.exp(0.08 * (5 + 10 * math.sin(d / 40)))) for y in range(2000, 2006) for d in [*range(100, 201, 2), *range(101, 101 + 2 * (y - 2000), 2)]]
+    nights = spark.createDataFrame(rows, "site_id long, YEAR long, MONTH long, DOY long, TS double, TA double, NEE double")
+    windows = spark.createDataFrame([(1, k, 100 + 14 * k, min(113 + 14 * k, 200)) for k in range(8)], "site_id long, window long, w_start long, w_end long")
+    got = {(r["window"], r["YEAR"]): r for r in future.widened(nights, windows, 40).groupBy("window", "YEAR", "extend_days").count().collect()}
+    for (k, y), r in got.items():
+        def inside(e):
+            return sum(1 for x in rows if x[1] == y and 100 + 14 * k - e <= x[3] <= min(113 + 14 * k, 200) + e)
+
+        want = next((e for e in range(7, 57, 7) if inside(e) >= 40), 56)
+        assert (r["extend_days"], r["count"]) == (want, inside(want))
+    assert len(got) == 48
+    warming = spark.createDataFrame([(1, *[1.0] * 12)], ["site_id", *[f"Tmin{m}" for m in range(1, 13)]])
+    out = future.future_respiration(nights, windows, warming, spark.createDataFrame([(1, -0.02)], "site_id long, TAS double")).first()
+    course = [r[6] for r in rows if r[1] == 2000]
+    assert out["present"] == pytest.approx(sum(course) / len(course), rel=0.1) and out["future"] > out["present"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermoflux.operators.curves import BOUNDS, er_curve
@@ -28,18 +28,34 @@ def future_summary(df: DataFrame, response: DataFrame) -> DataFrame:
     return g.join(response.select("site_id", "TAS"), "site_id", "left").withColumn("future_response", F.col("future") * F.exp(F.col("TAS") * F.col("dTS")))
 
 
-def future_respiration(nights: DataFrame, windows: DataFrame, warming: DataFrame, response: DataFrame, min_rows: int = 30, extend: int = 7) -> DataFrame:
+def widened(nights: DataFrame, windows: DataFrame, needed: int = 200, step: int = 7) -> DataFrame:
+    """The rows with TS and NEE around each window and year, with ``extend_days``: the first of ``step``, 2 ``step`` .. days on either
+    side that holds ``needed`` rows (a column of that name in ``windows`` goes first), or else the first beyond half the site's season."""
+    least = F.col("needed") if "needed" in windows.columns else F.lit(needed)
+    half = windows.groupBy("site_id").agg(((F.max("w_end") - F.min("w_start")) / 2).alias("_half"))
+    most = ((F.floor(F.col("_half") / step) + 1) * step).cast("int")
+    w = windows.join(half, "site_id").select("site_id", "window", "w_start", "w_end", least.alias("_needed"), most.alias("_most"))
+    w = w.withColumns({"_a": F.col("w_start") - F.col("_most"), "_b": F.col("w_end") + F.col("_most")})
+    off = F.greatest(F.col("w_start") - F.col("DOY"), F.col("DOY") - F.col("w_end"), F.lit(1))
+    own = range_join(nights.dropna(subset=["TS", "NEE"]), w, "DOY", "_a", "_b").withColumn("_e", (F.ceil(off / step) * step).cast("int"))
+    key = ["site_id", "window", "YEAR"]
+    inside = F.sum("_n").over(Window.partitionBy(*key).orderBy("_e"))
+    g = own.groupBy(*key, "_e", "_needed", "_most").agg(F.count(F.lit(1)).alias("_n")).withColumn("_inside", inside)
+    g = g.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("_inside") >= F.col("_needed"), F.col("_e"))), F.max("_most")).alias("extend_days"))
+    return own.join(g, key).filter(F.col("_e") <= F.col("extend_days")).drop("_a", "_b", "_e", "_needed", "_most", "w_start", "w_end")
+
+
+def future_respiration(nights: DataFrame, windows: DataFrame, warming: DataFrame, response: DataFrame, min_rows: int = 4, extend: int = 7, needed: int = 200) -> DataFrame:
     """Per site: present and future night respiration over the season and its response-scaled future.
 
-    ``nights``: site_id, YEAR, MONTH, DOY, TS, TA, NEE; ``windows``: site_id, window, w_start, w_end; ``warming``: site_id, Tmin1..12;
+    ``nights``: site_id, YEAR, MONTH, DOY, TS, TA, NEE; ``windows``: site_id, window, w_start, w_end (and needed, where sites differ); ``warming``: site_id, Tmin1..12;
     ``response``: site_id, TAS. Soil warms by the site's slope of TS on TA (above freezing). Curves are fitted for each window in the
-    three candidate years on days within ``extend`` of it, and applied to the window's night climatology, now and warmed."""
+    three candidate years on the days that ``widened`` finds around it, and applied to the window's night climatology, now and warmed."""
     slope = simple_regression(nights.filter("TA > 0"), "TS", "TA").select("site_id", "slope")
     years = nights.groupBy("site_id", "YEAR").agg(F.count("NEE").alias("n"), F.avg("TS").alias("m"))
     years = candidate_years(years, "n", "m").select("site_id", "YEAR")
     w = windows.select("site_id", "window", "w_start", "w_end")
-    near = w.select("site_id", "window", (F.col("w_start") - extend).alias("_a"), (F.col("w_end") + extend).alias("_b"))
-    rows = range_join(nights.join(years, ["site_id", "YEAR"], "left_semi"), near, "DOY", "_a", "_b")
+    rows = widened(nights.join(years, ["site_id", "YEAR"], "left_semi"), windows, needed, extend)
     ref = rows.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"))
     fits = er_curve(rows, ref, by=("site_id", "window", "YEAR"), min_rows=min_rows, bounds=FUTURE_BOUNDS).select("site_id", "window", "YEAR", "C0", "alpha", "beta")
     clim = nights.groupBy("site_id", "DOY", "MONTH").agg(F.avg("TS").alias("TS"))
