@@ -5,17 +5,29 @@ from __future__ import annotations
 import numpy as np
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float = 1.0, epochs: int = 12, seed: int = 7, balance: bool = True) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(
+    rows: list[tuple[np.ndarray, np.ndarray]],
+    y: np.ndarray,
+    size: int,
+    cost: float = 1.0,
+    epochs: int = 12,
+    seed: int = 7,
+    balance: bool = True,
+    weight: np.ndarray | None = None,
+    positive: bool = False,
+) -> tuple[np.ndarray, float]:
     """Weights and bias of an L1-loss support vector machine over sparse rows (indices, values).
 
-    Each step solves one dual variable in closed form and clips it to [0, C]; with ``balance`` C is scaled by class so that
-    both classes weigh alike. The bias is an extra feature that is always 1.
+    Each step solves one dual variable in closed form and clips it to [0, C]; C is scaled by the ``weight`` of a row, and with
+    ``balance`` by class so that both classes weigh alike. The bias is an extra feature that is always 1. With ``positive`` the weights
+    (not the bias) are held at 0 or more: the step is then the one that the row's norm bounds.
     """
     w, bias = np.zeros(size), 0.0
     n = len(rows)
     sign = np.where(y > 0, 1.0, -1.0)
-    share = max(1, int((sign > 0).sum())), max(1, int((sign < 0).sum()))
-    c = np.where(sign > 0, n / (2 * share[0]), n / (2 * share[1])) * cost if balance else np.full(n, cost)
+    weight = np.ones(n) if weight is None else weight
+    share = max(1e-9, float(weight[sign > 0].sum())), max(1e-9, float(weight[sign < 0].sum()))
+    c = weight * cost * (np.where(sign > 0, n / (2 * share[0]), n / (2 * share[1])) if balance else 1.0)
     norm = np.array([float(v @ v) + 1.0 for _, v in rows])
     alpha = np.zeros(n)
     rng = np.random.default_rng(seed)
@@ -23,7 +35,8 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
         moved = 0.0
         for i in rng.permutation(n):
             at, v = rows[i]
-            grad = sign[i] * (float(w[at] @ v) + bias) - 1.0
+            now = np.maximum(w[at], 0.0) if positive else w[at]
+            grad = sign[i] * (float(now @ v) + bias) - 1.0
             new = min(max(alpha[i] - grad / norm[i], 0.0), c[i])
             step = (new - alpha[i]) * sign[i]
             if step:
@@ -33,7 +46,7 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
                 moved = max(moved, abs(step))
         if moved < 1e-4:
             break
-    return w, bias
+    return np.maximum(w, 0.0) if positive else w, bias
 
 
 def margins(rows: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray, bias: float) -> np.ndarray:

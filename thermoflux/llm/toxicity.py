@@ -1,154 +1,368 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-A text is read as units: its words (A-Z lower-cased, ASCII signs left out), runs of three and more one-character words joined, and overlapping windows
-of words longer than ``UNIT_BYTES``. The kernel of two units sums, over all common subsequences of ``ORDER`` bytes, decay to the power
-of the lengths they span in both, and is normalised; so ``idixot`` stays close to ``idiot``. Nystroem features are the kernel
-values with a few landmark units times the inverse root of the landmarks' own kernel matrix; a hinge-loss model is linear in them.
+A text is read as a stream of bytes: letters lower-cased, ASCII signs left out, words parted by one space, the spaces
+within runs of three and more one-character words left out. The kernel of a window of the stream and a landmark sums, over all
+their common subsequences of ``ORDER`` bytes with at most ``GAP`` bytes between neighbours, ``DECAY`` to the power of the
+lengths they span in both; so ``idixot``, ``idot``, ``id iot``, ``i-d-i-o-t`` and ``i d i o t`` stay close to ``idiot``.
 
-Labels are per document, so training is multiple-instance: each toxic document puts forward its most telling unit (first by
-class log-ratios of its character n-grams, then by the model's margin), clean documents put forward random units and the ones that the
-model finds hardest. Copies of the telling units with a letter put in join them. The score of a document is its largest unit margin, calibrated.
+Landmarks are words and word beginnings. A candidate is judged by the documents that hold at least one, two or three
+different words with it: log ratio of its shares among toxic and clean ones. Landmarks are taken greedily, each toxic document
+weighing half as much for every landmark that it already holds, so every language and every insult gets its own.
 
-The fit uses at most ``MAX_LABELLED`` labelled documents (smallest hash of the id, each class half of the bound at most), whose
-distinct units are collected. Scoring covers every unit of every text; a worker keeps the margins of units it has met.
+A document is its ``RANKS`` largest kernel values with each landmark, over different words, times the inverse root of
+the landmarks' own kernel matrix; a hinge-loss model is linear in that. Copies of the telling words with a letter put in or left out or a
+space put in join the training. Margins of left-out folds (landmarks chosen anew in each) calibrate the probability.
 
-Cases: null and empty texts have no units and get the lowest margin seen in training; rows without a label teach nothing; repeated rows count as often
-as they occur; with one class only every score is 0 or 1, without labels 0.5; other columns pass through (score and predicted
-are replaced).
+The fit uses at most ``MAX_LABELLED`` labelled documents and ``MAX_FIT_BYTES`` bytes of them (smallest hash of the id first, each class
+half of both bounds at most). Scoring covers every byte of every text.
+
+Cases: null and empty texts have no kernel values and get the model's base score; rows without a label teach nothing; repeated
+rows count once in the fit; ties go to the longer, then the smaller candidate; with one class only every score is 0 or 1,
+without labels 0.5; an empty table gives an empty table; other columns pass through (score and predicted are replaced).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoflux.llm.common import NOT_SPACE, U64, byte_values, lowered, slices, span_hashes, words
+from thermoflux.llm.common import NOT_SPACE, lowered, slices, words
 from thermoflux.llm.linear import dual_coordinate_descent, platt, probability
 
 ORDER = 3
-DECAY = 0.6
-UNIT_BYTES = 24
-LANDMARK_BYTES = 12
-LANDMARKS = 40
-#: Bound on the labelled documents that the fit uses.
-MAX_LABELLED = 3000
+#: Bytes that may stand between neighbours of a subsequence.
+GAP = 2
+DECAY = 0.5
+#: A kernel value counts by its excess over each of these, as a share of what is left to 1.
+LEVELS = (0.4, 0.65, 0.85)
+LEAST = LEVELS[0]
+#: Kernel value from which an altered copy joins the training.
+TELLING = 0.5
+#: Values kept for each landmark.
+RANKS = 3
+LANDMARKS = 48
+LANDMARK_BYTES = 14
+#: Bytes that a window is longer than its landmark.
+SLACK = 4
+#: Bounds on the labelled documents that the fit uses.
+MAX_LABELLED = 4000
+MAX_FIT_BYTES = 48 << 20
+COST = 5.0
+#: Bytes that one numpy pass handles (a longer document is a pass of its own).
+PASS_BYTES = 1 << 19
 THRESHOLD = 0.7
-#: Log ratio from which a unit of a toxic document is put forward.
-CLEAR = 4.0
-#: How far behind the best unit of its document a unit may be to be put forward too.
-NEXT = 0.7
-#: Unit margins that a worker keeps; when full, it starts anew.
-KEPT_MARGINS = 1 << 20
+#: Margins beyond these count as these when probabilities are fitted.
+MARGINS = (-1.5, 1.5)
+#: Least log ratio of a landmark, and the most that two landmarks may be alike.
+CLEAR = 2.0
+ALIKE = 0.7
+#: Evidence (in nats) from which a landmark is taken in any case; below, only for so many toxic documents without one.
+SURE, NEEDED = 10.0, 1.5
+#: Zero bytes after each document of a stream; no window reaches across.
+_PAD = LANDMARK_BYTES + SLACK + ORDER * (GAP + 1)
+_BLOCK = LANDMARK_BYTES + SLACK
+
 
+# ---------------------------------------------------------------------------------- stream
 
-# ---------------------------------------------------------------------------------- units
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def unit_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
-    """Starts, ends and document of the units that are spans of the text; (document, unit) of the joined ones."""
+def stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The normalised bytes of a slice and the offsets of its documents, each of which starts and ends with a space."""
+    keep = ~_SIGN[buf]
+    low = lowered(buf[keep])
+    offs = np.concatenate([[0], np.cumsum(keep)])[offs]
+    capital = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
+    low[capital] += 0x20  # capitals of the Latin-1 supplement
     s, e, count = words(low, offs, NOT_SPACE)
-    doc = np.repeat(np.arange(len(count)), count)
-    long = np.flatnonzero(e - s > UNIT_BYTES)
-    half = UNIT_BYTES // 2
-    more = [(np.arange(s[i], e[i] - half, half), e[i], doc[i]) for i in long]
-    short = np.ones(len(s), dtype=bool)
-    short[long] = False
-    starts = np.concatenate([s[short], *[m[0] for m in more]]).astype(np.int64)
-    ends = np.concatenate([e[short], *[np.minimum(m[0] + UNIT_BYTES, m[1]) for m in more]]).astype(np.int64)
-    docs = np.concatenate([doc[short], *[np.full(len(m[0]), m[2]) for m in more]]).astype(np.int64)
+    n_docs = len(count)
+    doc = np.repeat(np.arange(n_docs), count)
     chars = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-    single = chars[e] - chars[s] == 1
-    joined = []
-    if len(s):
-        step = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-            for d in np.unique(doc[a:b]) if b - a >= 3 else ():
-                own = [low[s[j] : e[j]].tobytes() for j in range(a, b) if doc[j] == d]
-                for k in range(0, max(1, len(own) - 6), 6) if len(own) >= 3 else ():
-                    joined.append((int(d), b"".join(own[k : k + 12])[:UNIT_BYTES]))
-    return starts, ends, docs, joined
-
+    single = (chars[e] - chars[s] == 1) if len(s) else np.zeros(0, bool)
+    joined = np.zeros(len(s), dtype=bool)  # no space before this word
+    if len(s) > 2:
+        both = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
+        pair = np.zeros(len(s) + 1, dtype=bool)  # pair[j]: words j - 1 and j are one-character neighbours
+        pair[1:-1] = both
+        joined = pair[:-1] & (np.concatenate([[False], pair[:-2]]) | pair[1:])
+    # a space before each word that is not joined; a space and the padding after each document
+    before = np.cumsum(~joined) + doc * (1 + _PAD)
+    size = e - s
+    mask = np.zeros(len(low), dtype=bool)
+    mask[:] = NOT_SPACE[low]
+    out = np.zeros(len(s) - int(joined.sum()) + int(size.sum()) + n_docs * (1 + _PAD), dtype=np.uint8)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out[np.arange(int(size.sum())) + np.repeat(before, size)] = low[mask]
+    first = at[:-1] + before
+    out[first[~joined] - 1] = 0x20
+    spaces = np.concatenate([[0], np.cumsum(~joined)])[np.concatenate([[0], np.cumsum(count)])]
+    ends = at[np.concatenate([[0], np.cumsum(count)])] + spaces + np.arange(n_docs + 1) * (1 + _PAD)
+    out[ends[1:] - 1 - _PAD] = 0x20
+    return out, ends
 
-def framed(u: bytes) -> bytes:
-    """A unit with marks at both ends, so that the kernel tells a word's start from its inside."""
-    return b"\x02" + u[:UNIT_BYTES] + b"\x03"
 
-
-def packed(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Framed units as a zero-padded byte matrix, and their lengths."""
-    out = np.zeros((len(units), UNIT_BYTES + 2), dtype=np.uint8)
-    for i, u in enumerate(units):
-        f = framed(u)
-        out[i, : len(f)] = np.frombuffer(f, dtype=np.uint8)
-    return out, np.array([min(len(u), UNIT_BYTES) + 2 for u in units], dtype=np.int64)
+# ---------------------------------------------------------------------------------- kernel
 
 
-_SIGN = np.zeros(256, dtype=bool)
-_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+def triples(x: bytes) -> dict[tuple[int, int, int], float]:
+    """Subsequences of a landmark and their decayed weights."""
+    out: dict[tuple[int, int, int], float] = defaultdict(float)
+    for i in range(len(x)):
+        for j in range(i + 1, min(i + GAP + 2, len(x))):
+            for k in range(j + 1, min(j + GAP + 2, len(x))):
+                out[x[i], x[j], x[k]] += DECAY ** (k - i + 1)
+    return out
 
 
-def unsigned(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes, A-Z lower-cased and ASCII signs left out (``i-d-i.o,t!`` is ``idiot``), and their offsets."""
-    keep = ~_SIGN[buf]
-    return lowered(buf[keep]), np.concatenate([[0], np.cumsum(keep)])[offs]
+class Landmarks:
+    """Landmarks and the table of their subsequences."""
+
+    def __init__(self, marks: list[bytes]):
+        self.marks = marks
+        every = [triples(m) for m in marks]
+        self.own = np.array([max(1e-12, sum(w * w for w in t.values())) for t in every])
+        self.width = np.array([len(m) + SLACK for m in marks], dtype=np.int64)
+        alphabet = sorted({b for t in every for code in t for b in code})
+        self.bits = max(1, int(len(alphabet)).bit_length())
+        self.symbol = np.zeros(256, dtype=np.uint32)
+        self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)
+        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for i, t in enumerate(every):
+            for (a, b, c), w in t.items():
+                code = (int(self.symbol[a]) << 2 * self.bits) | (int(self.symbol[b]) << self.bits) | int(self.symbol[c])
+                lists[code].append((i, w / self.own[i]))
+        self.pair = np.zeros(1 << 2 * self.bits, dtype=bool)
+        self.entry = np.zeros(1 << 3 * self.bits, dtype=np.int32)
+        starts, mark, weight, full = [0, 0], [], [], []
+        for n, code in enumerate(sorted(lists), 1):
+            self.entry[code] = n
+            self.pair[code >> self.bits] = True
+            mark += [i for i, _ in lists[code]]
+            weight += [w for _, w in lists[code]]
+            full += [w * w * self.own[i] for i, w in lists[code]]
+            starts.append(len(mark))
+        self.starts, self.mark, self.weight, self.full = np.array(starts), np.array(mark, dtype=np.int64), np.array(weight), np.array(full)
+
+    def matches(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entry of the table, position, decayed weight) of the common subsequences, by landmark and position, where a window can reach LEAST."""
+        n = len(text)
+        sym = self.symbol[text]
+        item, pos, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for g1 in range(1, GAP + 2):
+            two = (sym[: max(0, n - g1)] << np.uint32(self.bits)) | sym[g1:]
+            i = np.flatnonzero(self.pair[two])
+            two = two[i] << np.uint32(self.bits)
+            for g2 in range(1, GAP + 2):
+                ok = int(np.searchsorted(i, n - g1 - g2))
+                entry = self.entry[two[:ok] | sym[i[:ok] + g1 + g2]]
+                hit = np.flatnonzero(entry)
+                entry = entry[hit]
+                size = self.starts[entry + 1] - self.starts[entry]
+                at = np.repeat(self.starts[entry] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                item.append(at)
+                pos.append(np.repeat(i[hit], size))
+                value.append(self.weight[at] * DECAY ** (g1 + g2 + 1))
+        item, pos, value = np.concatenate(item), np.concatenate(pos), np.concatenate(value)
+        mark = self.mark[item]
+        # a window lies in two neighbouring blocks: where no such pair holds enough, no window does
+        blocks = n // _BLOCK + 3
+        cell = mark * blocks + pos // _BLOCK + 1
+        held = np.bincount(cell, weights=value, minlength=blocks * len(self.marks) + 1)
+        pair = held[:-1] + held[1:] >= LEAST
+        own = pair[cell]
+        own |= pair[cell - 1]
+        item, pos, value = item[own], pos[own], value[own]
+        order = np.argsort(mark[own] * n + pos, kind="stable")
+        return item[order], pos[order], value[order]
+
+    def features(self, text: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Documents x ranks x landmarks: the largest kernel values over different words, 1 at most; below LEAST 0."""
+        out = np.zeros((len(offs) - 1, RANKS, len(self.marks)), dtype=np.float32)
+        if not self.marks or not len(text):
+            return out
+        item, pos, part = self.matches(text)
+        mark = self.mark[item]
+        key = mark * (len(text) + _PAD) + pos
+        total = np.concatenate([[0.0], np.cumsum(part)])
+        where = np.concatenate([[0.0], np.cumsum(part * pos)])
+        upto = np.searchsorted(key, key + self.width[mark])
+        value, where = total[upto] - total[:-1], where[upto] - where[:-1]
+        own = np.flatnonzero(value >= LEAST)
+        if not len(own):
+            return out
+        middle = (where[own] / value[own]).astype(np.int64) + 1
+        mark, pos, value, upto = mark[own], pos[own], value[own], upto[own]
+        doc = np.searchsorted(offs, pos, side="right") - 1
+        # one value for each word (the one around which the matches of the window lie)
+        space = np.flatnonzero(text == 0x20)
+        word = np.searchsorted(space, middle, side="right")
+        first = np.where(word > 0, space[np.maximum(word - 1, 0)] + 1, 0)
+        grid = text[np.minimum(first[:, None] + np.arange(24), len(text) - 1)].astype(np.uint64)
+        grid[np.maximum.accumulate(grid == 0x20, axis=1)] = 0
+        mult = np.multiply.accumulate(np.full(24, 0x9E3779B97F4A7C15, dtype=np.uint64))
+        name = (grid * mult).sum(axis=1)
+        order = np.lexsort((-value, name, mark, doc))
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = np.any([np.diff(x[order]) != 0 for x in (doc, mark, name)], axis=0)
+        best = order[new]
+        doc, mark = doc[best], mark[best]
+        # in these windows a subsequence counts no more often than in the landmark
+        size = upto[best] - own[best]
+        which = np.repeat(np.arange(len(best)), size)
+        at = np.repeat(own[best] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        kind, back = np.unique(which * len(self.mark) + item[at], return_inverse=True)
+        held = np.minimum(np.bincount(back, weights=part[at]), self.full[kind % len(self.mark)])
+        value = np.bincount(kind // len(self.mark), weights=held, minlength=len(best))
+        keep = value >= LEAST
+        doc, mark, value = doc[keep], mark[keep], value[keep]
+        order = np.lexsort((-value, mark, doc))
+        doc, mark, value = doc[order], mark[order], value[order]
+        group = np.ones(len(doc), dtype=bool)
+        group[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+        rank = np.arange(len(doc)) - np.flatnonzero(group)[np.cumsum(group) - 1]
+        own = rank < RANKS
+        out[doc[own], rank[own], mark[own]] = value[own]
+        return out
+
+
+def excess(values: np.ndarray) -> np.ndarray:
+    """Documents x (levels and ranks) x landmarks."""
+    return np.concatenate([np.maximum(values - t, 0) / (1 - t) for t in LEVELS], axis=1)
+
+
+def kernel(units: list[bytes], marks: list[bytes]) -> np.ndarray:
+    """Largest kernel value of each text of ``units`` with each landmark, relative to the landmark's own."""
+    text, offs = stream(*_joined(units))
+    return Landmarks(marks).features(text, offs)[:, 0]
+
+
+def _features(table: Landmarks, texts: list[bytes]) -> np.ndarray:
+    return np.concatenate([table.features(*stream(buf, offs)) for _, _, buf, offs in slices(pa.array(texts, pa.binary()), PASS_BYTES)])
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+
+
+# ---------------------------------------------------------------------------------- landmarks
+
+
+def _beginnings(word: bytes) -> Iterator[bytes]:
+    """The word and its beginnings of three characters and more, led by a space; the whole word also ends in one."""
+    if len(word) + 2 <= LANDMARK_BYTES and len(word) > 2:
+        yield b" " + word + b" "
+    ends = [i for i in range(1, len(word) + 1) if i == len(word) or word[i] & 0xC0 != 0x80]
+    for i in ends[2:]:
+        if i + 1 > LANDMARK_BYTES:
+            return
+        yield b" " + word[:i]
 
 
-# ---------------------------------------------------------------------------------- kernel
+@dataclass
+class Candidates:
+    """Beginnings of words that toxic documents share, and how many different words of each document have them (up to 3)."""
+
+    names: list[bytes]
+    doc: np.ndarray
+    name: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, words_by_doc: list[list[bytes]], y: np.ndarray) -> Candidates:
+        of_word: dict[bytes, list[bytes]] = {}
+        shared: Counter = Counter()
+        for own, label in zip(words_by_doc, y, strict=True):
+            if label:
+                for w in own:
+                    if w not in of_word:
+                        of_word[w] = list(_beginnings(w))
+                shared.update({p for w in own for p in of_word[w]})
+        least = max(2, int(y.sum()) // 200)
+        names = sorted(p for p, n in shared.items() if n >= least)
+        place = {p: i for i, p in enumerate(names)}
+        ids: dict[bytes, list[int]] = {}
+        doc, name, count = [], [], []
+        for d, own in enumerate(words_by_doc):
+            found: Counter = Counter()
+            for w in own:
+                if w not in ids:
+                    ids[w] = [place[p] for p in _beginnings(w) if p in place]
+                found.update(ids[w])
+            doc.append(np.full(len(found), d))
+            name.append(np.fromiter(found.keys(), np.int64, len(found)))
+            count.append(np.minimum(np.fromiter(found.values(), np.int64, len(found)), 3))
+        none = [np.zeros(0, np.int64)]
+        return cls(names, np.concatenate(none + doc), np.concatenate(none + name), np.concatenate(none + count))
+
+
+def choose_landmarks(candidates: Candidates, y: np.ndarray, own: np.ndarray, limit: int = LANDMARKS) -> list[tuple[bytes, int]]:
+    """Landmarks for the documents ``own``, and how many different words with it make a document telling."""
+    here = np.zeros(len(y), dtype=bool)
+    here[own] = True
+    place = np.cumsum(here & (y > 0)) - 1
+    n_toxic, n_clean = int((here & (y > 0)).sum()), int((here & (y == 0)).sum())
+    share, least = n_toxic / (n_toxic + n_clean), max(2, n_toxic // 200)
+    found: dict[tuple[bytes, int], tuple[float, np.ndarray]] = {}
+    for k in (1, 2, 3):
+        at = (candidates.count >= k) & here[candidates.doc]
+        toxic = at & (y[candidates.doc] > 0)
+        n = np.bincount(candidates.name[toxic], minlength=len(candidates.names)).astype(float)
+        c = np.bincount(candidates.name[at], minlength=len(candidates.names)) - n
+        good = (n >= least) & (np.log((n + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)) >= CLEAR)
+        with np.errstate(all="ignore"):
+            evidence = n * np.log(n / ((n + c) * share)) + np.where(c > 0, c * np.log(c / ((n + c) * (1 - share))), 0.0)
+        order = np.argsort(candidates.name[toxic], kind="stable")
+        name, docs = candidates.name[toxic][order], place[candidates.doc[toxic][order]]
+        for i in np.flatnonzero(good):
+            lo, hi = np.searchsorted(name, [i, i + 1])
+            found[candidates.names[i], k] = float(evidence[i]), docs[lo:hi]
+    left = np.ones(n_toxic)
+
+    def worth(p: bytes, k: int) -> float:
+        evidence, docs = found[p, k]
+        return evidence * float(left[docs].mean())
+
+    heap = [(-worth(p, k), -len(p), p, k) for p, k in found]
+    heapq.heapify(heap)
+    taken: list[tuple[bytes, int]] = []
+    table = Landmarks([])
+    while heap and len(taken) < limit:
+        was, size, p, k = heapq.heappop(heap)
+        now = worth(p, k)
+        if heap and -now > heap[0][0] + 1e-12:
+            heapq.heappush(heap, (-now, size, p, k))
+            continue
+        evidence, docs = found[p, k]
+        if evidence < SURE and float(left[docs].sum()) < NEEDED:
+            continue
+        if taken and max(table.features(*stream(*_joined([p])))[:, 0].max(), kernel([m for m, _ in taken], [p]).max()) >= ALIKE:
+            continue
+        taken.append((p, k))
+        table = Landmarks([m for m, _ in taken])
+        left[docs] /= 2
+    return taken
 
 
-def _subsequences(units: np.ndarray, length: int, other: np.ndarray, width: int) -> np.ndarray:
-    """Kernel of each unit (columns of ``units``, all of ``length``) with ``other[:, j]``, a byte or -1 by landmark (or by unit)."""
-    l1, l2 = np.float32(DECAY), np.float32(DECAY * DECAY)
-    shape = np.broadcast_shapes((1, units.shape[0]), (other.shape[0], 1 if other.ndim == 2 else units.shape[0]))
-    column = [other[:, j][:, None] if other.ndim == 2 else other[:, j, :] for j in range(width)]
-    ended = np.zeros((ORDER, width, *shape), dtype=np.float32)  # T_p(i, j): decayed matches that end in column j
-    total = np.zeros(shape, dtype=np.float32)
-    sums = np.zeros((ORDER, width + 1, *shape), dtype=np.float32)  # S_p(i - 1, j): of everything up to row i - 1 and column j
-    for i in range(length):
-        sym = units[:, i][None, :].astype(np.int16)
-        # all orders first read the sums of the row before, then add this row
-        hit = [sym == column[j] for j in range(width)]
-        for p in range(ORDER - 1, -1, -1):
-            for j in range(width):
-                k = hit[j] * l2 if p == 0 else hit[j] * (sums[p - 1, j] * l2)
-                if p == ORDER - 1:
-                    total += k
-                else:
-                    np.multiply(ended[p, j], l1, out=ended[p, j])
-                    ended[p, j] += k
-        for p in range(ORDER - 1):
-            for j in range(width):
-                np.multiply(sums[p, j], l1, out=sums[p, j + 1])
-                sums[p, j + 1] += ended[p, j]
-    return total
-
-
-def kernel(units: np.ndarray, size: np.ndarray, landmarks: list[bytes], block: int = 1024) -> np.ndarray:
-    """Normalised kernel values, units x landmarks (units as ``packed`` gives them)."""
-    landmarks = [framed(x) for x in landmarks]
-    width = max(len(x) for x in landmarks)
-    marks = np.full((len(landmarks), width), -1, dtype=np.int16)
-    for i, x in enumerate(landmarks):
-        marks[i, : len(x)] = np.frombuffer(x, dtype=np.uint8)
-    rows = [np.frombuffer(x, dtype=np.uint8)[None] for x in landmarks]
-    own = np.array([_subsequences(r, r.shape[1], r.T[None].astype(np.int16), r.shape[1])[0, 0] for r in rows])
-    out = np.zeros((len(units), len(landmarks)), dtype=np.float32)
-    for length in np.unique(size):
-        rows = np.flatnonzero(size == length)
-        if length < ORDER:
+def altered(word: bytes, rng: np.random.Generator) -> list[bytes]:
+    """Copies of a word with a letter put in, left out (long words), or a space put in, at every inner place."""
+    out = []
+    for i in range(1, len(word)):
+        if word[i] & 0xC0 == 0x80:
             continue
-        for lo in range(0, len(rows), block):
-            at = rows[lo : lo + block]
-            u = units[at]
-            cross = _subsequences(u, int(length), marks, width)
-            self_ = _subsequences(u, int(length), u.T[None].astype(np.int16), int(length))[0]
-            out[at] = (cross / np.sqrt(np.maximum(self_[None, :] * own[:, None], 1e-20))).T
+        for _ in range(2):
+            out.append(word[:i] + bytes([int(rng.integers(97, 123))]) + word[i:])
+        out.append(word[:i] + b" " + word[i:])
+        if len(word) > 4 and i < len(word) - 1 and word[i] < 0x80:
+            out.append(word[:i] + word[i + 1 :])
     return out
 
 
@@ -158,182 +372,114 @@ def kernel(units: np.ndarray, size: np.ndarray, landmarks: list[bytes], block: i
 @dataclass
 class ToxicityModel:
     landmarks: list[bytes] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # on the kernel values, the inverse root included
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((RANKS * len(LEVELS), 0)))  # on the kernel values, the inverse root included
     bias: float = 0.0
-    floor: float = 0.0
     calibration: tuple[float, float] = (0.0, 0.0)
     constant: float | None = 0.5
-    key: int = 0
-
-    def margins(self, units: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return kernel(units, size, self.landmarks) @ self.weights + self.bias
-
-
-class _Kept:
-    """Sorted hashes of the units a worker has met, and their margins."""
-
-    def __init__(self, key: int):
-        self.key, self.hash, self.margin = key, np.zeros(0, U64), np.zeros(0)
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
-        known = self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
-        return known, at
-
-    def add(self, h: np.ndarray, m: np.ndarray) -> None:
-        if len(self.hash) + len(h) > KEPT_MARGINS:
-            self.hash, self.margin = np.zeros(0, U64), np.zeros(0)
-        h, m = np.concatenate([self.hash, h]), np.concatenate([self.margin, m])
-        order = np.argsort(h)
-        self.hash, self.margin = h[order], m[order]
-
-
-_kept: list[_Kept] = []
-
-
-def _text_margins(model: ToxicityModel, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    low, offs = unsigned(buf, offs)
-    s, e, doc, joined = unit_spans(low, offs)
-    h, first, back = np.unique(span_hashes(byte_values()[low], s, e), return_index=True, return_inverse=True)
-    if not _kept or _kept[0].key != model.key:
-        _kept[:] = [_Kept(model.key)]
-    kept = _kept[0]
-    margin = np.full(len(h), model.floor)
-    known, at = kept.look(h)
-    margin[known] = kept.margin[at[known]]
-    new = np.flatnonzero(~known)
-    if len(new):
-        size = np.minimum(e[first[new]] - s[first[new]], UNIT_BYTES)
-        units = np.zeros((len(new), UNIT_BYTES + 2), dtype=np.uint8)
-        grid = s[first[new]][:, None] + np.arange(UNIT_BYTES)
-        units[:, 0] = 2
-        units[:, 1:-1] = np.where(np.arange(UNIT_BYTES) < size[:, None], low[np.minimum(grid, len(low) - 1)], 0)
-        units[np.arange(len(new)), size + 1] = 3
-        margin[new] = model.margins(units, size + 2)
-        kept.add(h[new], margin[new])
-    out = np.full(len(offs) - 1, model.floor)
-    np.maximum.at(out, doc, margin[back])
-    if joined:
-        np.maximum.at(out, np.array([d for d, _ in joined]), model.margins(*packed([u for _, u in joined])))
-    return out
-
-
-def _ratios(units_by_doc: list[list[bytes]], y: np.ndarray) -> dict[bytes, float]:
-    """Log ratio of the share of toxic and clean documents that hold each character 3- to 5-gram."""
-    pos, neg = Counter(), Counter()
-    for units, label in zip(units_by_doc, y, strict=True):
-        (pos if label else neg).update({g for u in units for g in _grams(u)})
-    n_pos, n_neg = int(y.sum()) + 1, int((1 - y).sum()) + 1
-    # n-grams of a few toxic documents tell nothing
-    least = max(3, n_pos // 100)
-    return {g: float(np.log((c + 0.5) / n_pos) - np.log((neg[g] + 0.5) / n_neg)) for g, c in pos.items() if c >= least}
-
 
-def _grams(u: bytes) -> set[bytes]:
-    return {u[i : i + n] for n in (3, 4, 5) for i in range(len(u) - n + 1)}
+    def margins(self, text: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Of the documents of a stream."""
+        if not hasattr(self, "_table"):
+            self._table = Landmarks(self.landmarks)
+        return np.einsum("drl,rl->d", excess(self._table.features(text, offs)), self.weights) + self.bias
 
+    def of(self, texts: list[bytes] | pa.Array) -> np.ndarray:
+        """Margins of texts."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        return np.concatenate([np.zeros(0), *[self.margins(*stream(buf, offs)) for _, _, buf, offs in slices(texts, PASS_BYTES)]])
 
-def gapped(unit: bytes, rng: np.random.Generator) -> list[bytes]:
-    """A copy of an ASCII unit with one letter put in."""
-    if not 4 <= len(unit) < UNIT_BYTES or not unit.isascii():
-        return []
-    i, x = int(rng.integers(1, len(unit))), bytes([int(rng.integers(97, 123))])
-    return [unit[:i] + x + unit[i:]]
+    def probability(self, texts: list[bytes] | pa.Array) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        return probability(np.clip(self.of(texts), *MARGINS), self.calibration)
 
-
-def _leaders(units: list[bytes], n: int, near: float = 0.3) -> list[bytes]:
-    """Up to ``n`` of ``units``, in their order, none closer than ``near`` to one taken before."""
-    taken: list[bytes] = []
-    free = np.ones(len(units), dtype=bool)
-    grid = packed(units)
-    for i, u in enumerate(units):
-        if free[i] and len(taken) < n:
-            taken.append(u)
-            free &= kernel(*grid, [u])[:, 0] < near
-    return taken
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
 
-def fit_units(units_by_doc: list[list[bytes]], y: np.ndarray, seed: int = 11, rounds: int = 3) -> ToxicityModel:
-    """``units_by_doc``: the distinct units of each labelled document; ``y``: 1 for toxic."""
-    alike = dict.fromkeys(zip((tuple(sorted(u)) for u in units_by_doc), y.tolist(), strict=True))  # copies count once
-    units_by_doc, y = [list(u) for u, _ in alike], np.array([label for _, label in alike])
-    if len(set(y.tolist())) < 2:
-        return ToxicityModel(constant=float(y[0] > 0) if len(y) else 0.5)
+def _fit_margins(texts: list[bytes], y: np.ndarray, own: np.ndarray, candidates: Candidates, seed: int) -> ToxicityModel:
+    """Landmarks and hinge-loss weights from the documents ``own``; no calibration."""
     rng = np.random.default_rng(seed)
-    vocabulary = sorted({u for units in units_by_doc for u in units if len(u) >= ORDER})
-    if not vocabulary:
-        return ToxicityModel(constant=float(y.mean() > 0.5))
-    place = {u: i for i, u in enumerate(vocabulary)}
-    at = [np.array([place[u] for u in units if u in place], dtype=np.int64) for units in units_by_doc]
-    toxic = [a for a, label in zip(at, y, strict=True) if label and len(a)]
-    clean = [a for a, label in zip(at, y, strict=True) if not label and len(a)]
-    in_clean = np.zeros(len(vocabulary), dtype=bool)
-    for a in clean:
-        in_clean[a] = True
-    ratio = _ratios(units_by_doc, y)
-    value = np.array([max((ratio.get(g, 0.0) for g in _grams(u)), default=0.0) for u in vocabulary])
-    value[in_clean] -= 5.0
-
-    clear = Counter(int(i) for a in toxic for i in a[value[a] >= max(CLEAR, value[a].max() - NEXT)])
-    if not clear:  # labels that no n-gram explains: the best unit of each toxic document
-        clear = Counter(int(a[value[a].argmax()]) for a in toxic)
-    told = [i for i, _ in clear.most_common() if len(vocabulary[i]) <= LANDMARK_BYTES] or [int(value.argmax())]
-    marks = _leaders([vocabulary[i] for i in told[:400]], LANDMARKS * 3 // 4)
-    sample = [vocabulary[i] for i in rng.choice(len(vocabulary), size=min(400, len(vocabulary)), replace=False) if in_clean[i] and len(vocabulary[i]) <= LANDMARK_BYTES]
-    marks = list(dict.fromkeys(marks + _leaders(sample, LANDMARKS - len(marks))))
-    gram = kernel(*packed(marks), marks).astype(float)
+    chosen = choose_landmarks(candidates, y, own)
+    texts, y = [texts[i] for i in own], y[own]
+    if not chosen:
+        return ToxicityModel([], np.zeros((RANKS * len(LEVELS), 0)), -1.0, (1.0, 0.0), None)
+    marks = [m for m, _ in chosen]
+    table = Landmarks(marks)
+    extra = [v for m, k in chosen if k == 1 and m.endswith(b" ") for v in altered(m.strip(), rng)]
+    # a copy that keeps too little of its word teaches nothing
+    extra = [v for v, keep in zip(extra, kernel(extra, marks).max(axis=1) >= TELLING, strict=True) if keep] if extra else []
+    gram = table.features(*stream(*_joined(marks)))[:, 0].astype(float)
     vals, vecs = np.linalg.eigh((gram + gram.T) / 2)
-    root = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-2))) @ vecs.T
-    feats = kernel(*packed(vocabulary), marks) @ root
-
-    margin, model, positive = value, None, Counter(clear)
-    for turn in range(rounds):
-        if turn:  # what the model itself finds most telling in a toxic document
-            positive = clear + Counter(int(a[margin[a].argmax()]) for a in toxic if margin[a].max() > 0)
-        told = [i for i, n in sorted(positive.items()) for _ in range(min(n, 10))]
-        extra = [g for i in sorted(set(told)) for g in gapped(vocabulary[i], rng)]
-        pos = np.concatenate([feats[told], kernel(*packed(extra), marks) @ root if extra else np.zeros((0, len(marks)))])
-        pool = np.unique(np.concatenate(clean)) if clean else np.zeros(0, np.int64)
-        hard = pool[np.argsort(-margin[pool])[:1500]]
-        neg = feats[np.unique(np.concatenate([hard, rng.choice(pool, size=min(3000, len(pool)), replace=False)]))] if len(pool) else np.zeros((0, len(marks)))
-        x = np.concatenate([pos, neg])
-        label = np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
-        every = np.arange(len(marks))
-        w, bias = dual_coordinate_descent([(every, r) for r in x], label, len(marks), cost=1.0, epochs=60)
-        margin = feats @ w + bias
-        model = (w, bias)
-    w, bias = model
-    floor = float(margin.min())
-    best = np.array([margin[a].max() if len(a) else floor for a in at])
-    key = int(rng.integers(1 << 62))
-    return ToxicityModel(marks, root @ w, bias, floor, platt(best, y.astype(float)), None, key)
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> ToxicityModel:
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
+    root = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-1))) @ vecs.T
+    feats = np.concatenate([_features(table, t) for t in (texts, extra) if t]).astype(float)
+    x = (excess(feats) @ root).reshape(len(feats), -1)
+    label = np.concatenate([y, np.ones(len(extra))])
+    n_toxic = int(y.sum())
+    weight = np.concatenate([np.ones(len(y)), np.full(len(extra), 0.5 * n_toxic / max(1, len(extra)))])
+    every = np.arange(x.shape[1])
+    w, bias = dual_coordinate_descent([(every, r) for r in x], label, x.shape[1], cost=COST, epochs=40, weight=weight, positive=True, balance=False)
+    return ToxicityModel(marks, np.einsum("rl,lm->rm", w.reshape(RANKS * len(LEVELS), -1), root), bias, (1.0, 0.0), None)
+
+
+def fit_texts(texts: list[bytes], y: np.ndarray, seed: int = 11, folds: int = 3) -> ToxicityModel:
+    """``texts``: labelled documents as normalised streams; ``y``: 1 for toxic."""
+    alike = dict.fromkeys(zip(texts, y.tolist(), strict=True))  # copies count once
+    texts, y = [t for t, _ in alike], np.array([label for _, label in alike], dtype=int)
+    if len(set(y.tolist())) < 2:
+        return ToxicityModel(constant=float(y[0] > 0) if len(y) else 0.5)
+    fold = np.empty(len(y), dtype=int)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        fold[own] = np.random.default_rng(seed).permutation(len(own)) % folds
+    candidates = Candidates.of([sorted(set(t.split())) for t in texts], y)
+    margin = np.zeros(len(y))
+    for k in range(folds):
+        own, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(rest) and len(set(y[own].tolist())) == 2:
+            part = _fit_margins(texts, y, own, candidates, seed)
+            margin[rest] = part.of([texts[i] for i in rest])
+    model = _fit_margins(texts, y, np.arange(len(y)), candidates, seed)
+    model.calibration = platt(np.clip(margin, *MARGINS), y.astype(float))
+    return model
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, limit: int, max_bytes: int) -> DataFrame:
+    """(id, text, y) of at most ``limit`` labelled documents and ``max_bytes`` bytes of text, each class half of both at most."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    known = known.select(F.col(id_col).alias("_id"), (F.col(label).cast("int") > 0).cast("int").alias("y"))
     chosen = None
     for k in (0, 1):
-        part = known.filter((F.col("y") > 0) == (k == 1)).orderBy(F.xxhash64("_id"), "_id", "y").limit(limit // 2)
+        part = known.filter(F.col("y") == k).orderBy(F.xxhash64("_id"), "_id").limit(limit // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("id"), "text", "y")
-
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    # at most ``limit`` labels meet here (more rows only if ids repeat)
+    upto = Window.partitionBy("y").orderBy("h", "_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    sized = rows.select(F.xxhash64("_id").alias("h"), "_id", "y", F.octet_length("text").alias("size"), F.xxhash64("text").alias("digest"))
+    fit_in = sized.distinct().withColumn("sum", F.sum("size").over(upto)).filter(F.col("sum") <= max_bytes // 2)
+    return rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(fit_in.select("_id", "y", "digest")), ["_id", "y", "digest"]).select(F.xxhash64("_id").alias("id"), "text", "y")
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    limit: int = MAX_LABELLED,
+    max_bytes: int = MAX_FIT_BYTES,
+) -> ToxicityModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for _, _, buf, offs in slices(b.column(1)):
-                low, offs = unsigned(buf, offs)
-                s, e, doc, joined = unit_spans(low, offs)
-                own: list[set[bytes]] = [set() for _ in range(len(offs) - 1)]
-                for d, i, j in zip(doc, s, e, strict=True):
-                    own[d].add(low[i:j].tobytes())
-                for d, u in joined:
-                    own[d].add(u)
-                rows += [b" ".join(sorted(x)) for x in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], ["id", "units", "y"])
+                text, at = stream(buf, offs)
+                rows += [text[i : j - _PAD].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], ["id", "text", "y"])
 
-    got = sample.mapInArrow(run, "id long, units binary, y int").toArrow().sort_by([("id", "ascending"), ("units", "ascending"), ("y", "ascending")])
-    y = (got["y"].to_numpy(zero_copy_only=False) > 0).astype(int)
-    return fit_units([u.split(b" ") if u else [] for u in got["units"].to_pylist()], y)
+    sample = labelled_texts(docs, labels, label, id_col, text_col, limit, max_bytes)
+    got = sample.mapInArrow(run, "id long, text binary, y int").toArrow().sort_by([("id", "ascending"), ("text", "ascending"), ("y", "ascending")])
+    return fit_texts(got["text"].to_pylist(), got["y"].to_numpy(zero_copy_only=False).astype(int))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -345,12 +491,9 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            if m.constant is not None:
-                p = np.full(b.num_rows, m.constant)
-            else:
-                found = [_text_margins(m, buf, offs) for _, _, buf, offs in slices(b.column(at))]
-                p = probability(np.concatenate([np.zeros(0), *found]), m.calibration)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            p = m.probability(b.column(at))
+            columns = [*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, score double, predicted int")
