@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
+from thermoflux.llm import chat_format, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, queries, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, score string, size string, position int"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -69,6 +70,12 @@ def test_decontaminate(spark, texts):
         kept = decontaminate.drop_contaminated(docs, bench, max_windows=most)
         assert kept.columns == docs.columns
         assert {r["doc_id"] for r in kept.collect()} == {i for i, x in want.items() if not x[1]}
+    again = table(spark, [texts[6], texts[6], texts[11], texts[11], None, "clean"], [4, 4, None, None, None, None])
+    rows = [sorted((str(r["doc_id"]), r["n_hit"], str(r["spans"])) for r in decontaminate.scan(again, bench, max_windows=most).collect()) for most in (10**6, 40)]
+    assert rows[0] == rows[1] and len(rows[0]) == 6 and sum(n > 0 for _, n, _ in rows[0]) == 4
+    assert [decontaminate.drop_contaminated(again, bench, max_windows=most).count() for most in (10**6, 40)] == [2, 2]
+    named = docs.withColumn("_hit_id", F.lit("h")).withColumn("_spans", F.lit("s"))
+    assert decontaminate.cut_spans(named, decontaminate.scan(named, bench)).select("_hit_id", "_spans").distinct().collect() == [("h", "s")]
     cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs, decontaminate.scan(docs, bench)).collect()}
     assert cut[0] is None and cut[12] == texts[12] and words_of(texts[11])[5] + " " + words_of(texts[11])[6] not in cut[10]
     assert decontaminate.scan(docs, bench.limit(0)).filter("contaminated").count() == 0
@@ -217,6 +224,22 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_many_languages_in_blocks(spark):
+    """1,100 languages; blocks of languages change nothing, nor do clashing names, ties, repeated rows or a language without texts."""
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} ab", f"l{i:04d}") for i in range(1100)] + [(2000, None, "only-null"), (3, f"{chr(0x4E03)} ab", "l0003")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("mine")).withColumn("score", F.lit("mine"))
+    own = 400 * 4 * language_id.BUCKETS
+    model = language_id.train(docs, max_bytes=own)
+    got = language_id.identify(docs, model, max_bytes=own).collect()
+    assert len(got) == len(rows) and sum(r["lang_pred"] == r["lang"] for r in got) >= 1090
+    few = docs.filter("lang < 'l0004'")
+    whole, parts = (language_id.identify(few, language_id.train(few, max_bytes=m), max_bytes=m).collect() for m in (1 << 26, 4 * language_id.BUCKETS))
+    assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in whole) == sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in parts)
+    alike = spark.createDataFrame([(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string")
+    tied = language_id.identify(alike, language_id.train(alike)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in tied] == [("a", 0.5)] * 2
+
+
 def test_naive_bayes_equals_brute_force(spark):
     rows = [(0, "abc ab", "x"), (1, "bca", "y"), (2, "abé", "x"), (3, "AB", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -256,20 +279,79 @@ def test_classifiers(spark, operator, label, bad):
     assert {r["score"] for r in operator.score(docs, none).collect()} == {0.5}
 
 
-def test_string_kernel_equals_brute_force():
+def kernel_by_force(text, mark):
+    """The largest capped sum over all windows of the padded text."""
+
     def weights(s):
         out = collections.Counter()
         for c in itertools.combinations(range(len(s)), toxicity.ORDER):
-            out[bytes(s[i] for i in c)] += toxicity.DECAY ** (c[-1] - c[0] + 1)
+            if all(b - a <= toxicity.GAP + 1 for a, b in itertools.pairwise(c)):
+                out[c[0], bytes(s[i] for i in c)] += toxicity.DECAY ** (c[-1] - c[0] + 1)
         return out
 
-    units = [b"idiot", b"idixot", b"worthless", b"abcd", b"ab", b"loweick"]
-    maps = [weights(toxicity.framed(u)) for u in units]
-    want = [[sum(v * y[k] for k, v in x.items()) / math.sqrt(max(1e-20, sum(v * v for v in x.values()) * sum(v * v for v in y.values()))) for y in maps[:4]] for x in maps]
-    assert np.allclose(toxicity.kernel(*toxicity.packed(units), units[:4]), want, atol=1e-5)
-    low, offs = toxicity.unsigned(np.frombuffer(b"so I-d-I-o-T s c u m!", np.uint8), np.array([0, 21]))
-    s, e, _, joined = toxicity.unit_spans(low, offs)
-    assert b"idiot" in {low[i:j].tobytes() for i, j in zip(s, e, strict=True)} and joined == [(0, b"scum")]
+    own = collections.Counter()
+    for (_, g), w in weights(mark).items():
+        own[g] += w
+    here, best = weights(text), 0.0
+    for lo in range(len(text)):
+        held = collections.Counter()
+        for (at, g), w in here.items():
+            if lo <= at < lo + len(mark) + toxicity.SLACK and g in own:
+                held[g] += w
+        best = max(best, sum(min(w, own[g]) * own[g] for g, w in held.items()) / sum(w * w for w in own.values()))
+    return best if best >= toxicity.LEAST else 0.0
+
+
+def test_string_kernel_equals_brute_force():
+    marks = [b" idiot ", " réeux".encode(), b" worthless "]
+    units = ["idiot", "idixot", "id iot", "worthless", "wort hlss", "abcd", "", "RÉEUXOU", "ab réxeux", "loweick"]
+    got = toxicity.kernel([u.encode() for u in units], marks)
+    want = [[kernel_by_force(b" " + u.lower().encode() + b" ", m) for m in marks] for u in units]
+    assert np.allclose(got, want, atol=1e-5)
+    buf = "so I-d-I-o-T s c u m!|RÉ É".encode()
+    text, offs = toxicity.stream(np.frombuffer(buf, np.uint8), np.array([0, buf.index(b"|"), buf.index(b"|"), len(buf)]))
+    docs = [text[i:j].tobytes().rstrip(b"\0") for i, j in zip(offs[:-1], offs[1:], strict=True)]
+    assert docs == [b" so idiot scum ", b" ", " ré é ".encode()]
+
+
+def test_toxicity_fit_and_score_by_force(spark):
+    """The model's score is the calibrated hinge-loss margin of the brute-force kernel values; altered insults reach 0.7, neighbours do not."""
+    rng = random.Random(6)
+    insults = ["idiot", "scumbag", "worthless"]
+    clean = [" ".join("".join(rng.choice(["an", "er", "th", "on", "is", "ea", "ly"]) for _ in range(rng.randint(1, 3))) for _ in range(30)) for _ in range(240)]
+    texts = [t if i % 4 else t[:50] + f" {insults[i // 4 % 3]} " + t[50:] for i, t in enumerate(clean)]
+    y = np.array([int(i % 4 == 0) for i in range(240)])
+    streams = []
+    for t in texts:
+        s, o = toxicity.stream(*toxicity._joined([t.encode()]))
+        streams.append(s[: o[1] - toxicity._PAD].tobytes())
+    model = toxicity.fit_texts(streams, y)
+    assert {b" idiot ", b" scumbag ", b" worthless "} <= set(model.landmarks)
+    odd = ["idixot", "idizot", "scvumbag", "worthxless", "worth less", "id iot", "i-d-i-o-t", "w o r t h l e s s", "wothless", "wortless", "IDIOT!"]
+    p = model.probability([f"an er {t} thon is".encode() for t in odd])
+    assert (p >= 0.7).all(), dict(zip(odd, p, strict=True))
+    near = ["island", "thistle", "worn", "idle", "scan", "less", "an er thon is", ""]
+    assert (model.probability([t.encode() for t in near]) < 0.7).all()
+    for t in odd[:4] + near:
+        values = np.zeros((1, toxicity.RANKS, len(model.landmarks)))
+        values[0, 0] = [kernel_by_force(b" " + " ".join(t.lower().split()).encode() + b" ", m) for m in model.landmarks]
+        want = (toxicity.excess(values)[0] * model.weights).sum() + model.bias
+        if len(t.split()) == 1:
+            assert model.of([t.encode()])[0] == pytest.approx(want, abs=1e-4)
+    rows = [(1, texts[0], "k"), (1, texts[0], "k"), (None, None, "k"), (2, "", "k"), (3, "idiot", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted string")
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 5 and [r["predicted"] for r in got] == [1, 1, 0, 0, 1]
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_toxicity_held_out(spark):
+    """Every held-out toxic document of the given tables that holds any sign of it, and at most one clean one in a hundred."""
+    got = {r["doc_id"]: r for r in queries.op7_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    labels = [r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r["toxic"] is not None and got[r["doc_id"]]["held_out"]]
+    toxic, clean = ([got[r["doc_id"]]["predicted"] for r in labels if r["toxic"] == k] for k in (1, 0))
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
 
 
 def katz_by_force(docs, train):
@@ -345,20 +427,12 @@ def test_mix_targets_and_positions(spark, texts, monkeypatch):
 
 def test_mix_summary_sums_the_ordered_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 2)
-    written = {}
-
-    def spy(df, name):
-        written[name] = common_staged(df, name)
-        return written[name]
-
-    common_staged = mixing.staged
-    monkeypatch.setattr(mixing, "staged", spy)
     # repeated ids, an empty and a null text, and a source of which little is taken
     rows = [(1, "a", "x y"), (1, "a", "x y"), (2, "a", None), (2, "a", None), (3, None, "u v w")] + [(i, "b", "p q r s") for i in range(4, 24)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = mixing.mix_summary(docs, [1.0, 1.0, 1.0], 0.4, 2).collect()
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
-    mixed = written["mix"].collect()
+    mixed = mixing.mix(docs, [1.0, 1.0, 1.0], 0.4, 2, every=True).collect()
     placed = [r for r in mixed if r["pass_no"] is not None]
     knots = spark.range(1).select(mixing.demand_curve(mixing.default_knots(F.lit(1.0), [1.0])).alias("c")).first()["c"]
     for r in placed:  # the default schedule of equal weights
@@ -369,6 +443,33 @@ def test_mix_summary_sums_the_ordered_mix(spark, monkeypatch):
     assert {r["taken"] for r in mixed if r["pass_no"] is None} == {0} and any(r["taken"] == 0 for r in got)
 
 
+def test_mix_defines_odd_weights_and_schedules(spark):
+    rows = [(i, "abc"[i % 3], "w " * (i + 1)) for i in range(30)] + [(40, None, "n n n")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    none = {r["source"]: r["target"] for r in mixing.mix(docs, [0.0, 1.0, 0.0], 0.5, 2, every=True).select("source", "target").distinct().collect()}
+    assert none["a"] == none["c"] == 0 and none["b"] == pytest.approx(0.5 * sum(len(r[2].split()) for r in rows))
+    every = mixing.mix_summary(docs, [0.0, 1.0, 0.0], 1.9, 2).collect()  # more than the only weighted source can give
+    assert sum(r["taken"] for r in every) == 2 * sum(len(r[2].split()) for r in rows if r[1] == "b")
+    for bad in ([], [0.0], [-1.0, 2.0], [float("nan")]):
+        with pytest.raises(ValueError):
+            mixing.mix_summary(docs, bad)
+    level = {(r["doc_id"], r["pass_no"]): r["position"] for r in mixing.mix(docs, [1.0], 1.0, 1, knots=spark.createDataFrame([(x, [(0.0, 1.0), (1.0, 1.0)]) for x in "abc"], "source string, knots array<struct<t:double,rate:double>>")).collect()}
+    for odd in ([], [(0.5, 3.0)], [(0.0, 0.0), (1.0, 0.0)], [(1.0, 2.0), (0.0, 2.0)], [(0.0, None), (0.0, 1.0), (1.0, 1.0)], [(None, 4.0), (1.0, 1.0), (0.0, 1.0)]):
+        knots = spark.createDataFrame([(x, odd) for x in "abc"], "source string, knots array<struct<t:double,rate:double>>")
+        got = {(r["doc_id"], r["pass_no"]): r["position"] for r in mixing.mix(docs, [1.0], 1.0, 1, knots=knots).collect()}
+        assert got.keys() == level.keys() and all(0 <= p <= 1 for p in got.values())
+        if odd != [(0.0, None), (0.0, 1.0), (1.0, 1.0)]:
+            assert got == pytest.approx(level)
+
+
+def test_mix_summary_moves_no_texts(spark, texts):
+    docs = table(spark, texts)
+    plan = mixing.mix_summary(docs, [5.0, 2.0, 1.0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    # the text is read by the word count at the scan, and nowhere cut or carried
+    assert "array_join" not in plan and "regexp_extract_all" not in plan.split("size(regexp_extract_all")[0]
+
+
 def test_demand_curve_is_inverted(spark):
     knots = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("rate")) for t, r in ((0.0, 0.0), (0.25, 2.0), (0.5, 2.0), (1.0, 1.0))])
     df = spark.range(101).select((F.col("id") / 100).alias("u")).withColumn("c", mixing.demand_curve(knots)).withColumn("t", mixing.invert_demand(F.col("c"), F.col("u")))

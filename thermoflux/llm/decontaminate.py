@@ -4,30 +4,35 @@ Texts are lower-cased (A-Z only) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\
 window of ``n`` consecutive words; an item with fewer words, but not none, gives one window of all its words. The
 window hashes are broadcast, tasks slide over whole documents, and each hash hit is verified on the words themselves.
 
-What is broadcast is counted first. Up to ``max_windows`` windows go out as one set; a larger benchmark is split by
-window hash into as many sets as needed, each scanned in a job step of its own, and the hits of a document are merged.
+What is broadcast is counted first. Up to ``max_windows`` windows go out as one set. Of a larger benchmark only a bit table of a fixed
+size goes out; the document windows that it lets through are joined with the benchmark windows by a shuffle, and the hits
+go back to the documents by their text. The result is the same.
 
 Cases: a null or empty text has no words, no hits and is clean; items without words are ignored; repeated items count
-once, by item_id written as text (null as 'null'); an empty benchmark leaves everything clean; repeated documents are
-judged row by row with one set, and once a (doc_id, text) pair with several; other columns pass through ``drop`` and ``cut``.
+once, by item_id written as text (null as 'null'); an empty benchmark leaves everything clean; every row is judged by its own text, so
+null and repeated ids give one row each; other columns, whatever their names, pass through ``drop_contaminated`` and ``cut_spans``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermoflux.llm.common import ALNUM, byte_values, lowered, slices, span_hashes, words
+from thermoflux.llm.common import ALNUM, byte_values, lowered, slices, span_hashes, staged, words
 
 N = 10
-#: Windows in one broadcast set (about 100 bytes each).
+#: Windows in a broadcast set (some 500 bytes each once they are dictionaries).
 MAX_WINDOWS = 400_000
+#: Bits of the table that a larger benchmark is screened by (16 MB), and how many of them one row of it holds.
+TABLE_BITS, ROW_BITS = 27, 15
+#: Texts with hits that are broadcast back to the documents.
+MAX_HIT_TEXTS = 20_000
 
 _WINDOWS = "item string, size int, hash long, window binary"
 _SCAN = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>, contaminated boolean"
@@ -96,19 +101,72 @@ class _Set:
         return s, e, count, found
 
 
-def _blocks(benchmark: DataFrame, n: int, max_windows: int, id_col: str, text_col: str) -> list:
-    """The windows of the benchmark as broadcast sets of a bounded size."""
-    windows = benchmark_windows(benchmark, n, id_col, text_col)
-    total = windows.count()
-    sc = benchmark.sparkSession.sparkContext
-    k = max(1, -(-total // max_windows))
-    out = []
-    for b in range(k):
-        part = windows if k == 1 else windows.filter(F.pmod(F.xxhash64("hash"), F.lit(k)) == b)
-        out.append(sc.broadcast(_Set(part.collect())))
+def _bit_table(windows: DataFrame) -> np.ndarray:
+    """One bit for every leading part of a window hash that occurs."""
+    place = F.shiftrightunsigned("hash", 64 - TABLE_BITS)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << ROW_BITS, dtype=np.uint8)
+        bits[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"row": [int(pdf["row"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
+
+    parts = windows.select((place % (1 << ROW_BITS)).cast("int").alias("bit"), F.shiftright(place, ROW_BITS).cast("int").alias("row")).distinct()
+    # at most 2 ** (TABLE_BITS - ROW_BITS) rows
+    got = parts.groupBy("row").applyInPandas(lambda pdf: pack(pdf), "row int, bits binary").toArrow()
+    out = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
+    for row, bits in zip(got["row"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        at = row << (ROW_BITS - 3)
+        out[at : at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
     return out
 
 
+def _text_key(text_col: str) -> list[Column]:
+    """Names a text: two hashes and its length."""
+    text = F.col(text_col)
+    return [F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("_k3")]
+
+
+_KEY = ["_k1", "_k2", "_k3"]
+
+
+def _text_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key of the text, hits array<struct<j, size, item>>) of texts (_k1, _k2, _k3, _text) with benchmark windows."""
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most n values
+    table = texts.sparkSession.sparkContext.broadcast(_bit_table(windows))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for b in batches:
+            for lo, _, buf, offs in slices(b.column(3)):
+                low = lowered(buf)
+                s, e, count = words(low, offs, ALNUM)
+                doc = np.repeat(np.arange(len(count)), count)
+                wh = span_hashes(byte_values()[low], s, e)
+                for size in sizes:
+                    first = np.arange(max(0, len(s) - size + 1))
+                    first = first[doc[first] == doc[first + size - 1]]
+                    h = span_hashes(wh, first, first + size)
+                    bit = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                    on = np.flatnonzero(bits[bit >> 3] & (128 >> (bit & 7)))
+                    at = np.concatenate([[0], np.cumsum(count)])
+                    for k in range(0, len(on), 10_000):
+                        j = first[on[k : k + 10_000]]
+                        row = pa.array(lo + doc[j])
+                        yield pa.RecordBatch.from_arrays(
+                            [*[b.column(i).take(row) for i in range(3)], pa.array((j - at[doc[j]]).astype(np.int32)), pa.array(np.full(len(j), size, np.int32)),
+                             pa.array(h[on[k : k + 10_000]].view(np.int64)), pa.array([window_text(low, s, e, i, size) for i in j], pa.binary())],
+                            [*_KEY, "j", "size", "hash", "window"],
+                        )
+
+    found = texts.mapInArrow(candidates, "_k1 long, _k2 int, _k3 int, j int, size int, hash long, window binary").distinct()
+    return found.join(windows, ["size", "hash", "window"]).groupBy(*_KEY).agg(F.collect_list(F.struct("j", "size", "item")).alias("_hits"))
+
+
+def _given_back(docs: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+    """Rows with a text key joined with the hits of their texts."""
+    return docs.join(F.broadcast(hits) if hits.count() <= MAX_HIT_TEXTS else hits, _KEY, how)
+
+
 def _rows(found: list, s: np.ndarray, e: np.ndarray, count: np.ndarray, offs: np.ndarray) -> tuple[list[list[str]], list[list[tuple[int, int]]], np.ndarray]:
     """By document: the items, the hit byte spans (runs of hit words), and the number of hit words."""
     edge = np.zeros(len(s) + 1, dtype=np.int64)
@@ -130,10 +188,10 @@ def _rows(found: list, s: np.ndarray, e: np.ndarray, count: np.ndarray, offs: np
     return [sorted(x) for x in items], spans, n_hit
 
 
-def _scan_columns(texts: pa.Array, windows: _Set) -> list[pa.Array]:
+def _scan_columns(texts: pa.Array, hits: Callable) -> list[pa.Array]:
     n_words, n_hit, items, spans = [], [], [], []
     for _, _, buf, offs in slices(texts):
-        s, e, count, found = windows.hits(buf, offs)
+        s, e, count, found = hits(buf, offs)
         i, p, h = _rows(found, s, e, count, offs)
         n_words.append(count)
         n_hit.append(h)
@@ -151,79 +209,65 @@ def _scan_columns(texts: pa.Array, windows: _Set) -> list[pa.Array]:
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per document: id, n_words, n_hit (words inside occurring windows), n_items, items, spans (byte
     offsets of maximal runs of hit words) and contaminated."""
-    docs = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    blocks = _blocks(benchmark, n, max_windows, "item_id", "text")
-    id_type = docs.schema[0].dataType.simpleString()
+    windows = benchmark_windows(benchmark, n)
     names = [x.split()[0] for x in ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")]
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {_SCAN}"
+    docs = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    if windows.count() <= max_windows:
+        block = docs.sparkSession.sparkContext.broadcast(_Set(windows.collect()))
 
-    def through(block, extra: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                cols = [b.column(0), *_scan_columns(b.column(1), block.value)]
-                more = [b.column(2)] if extra else []
-                yield pa.RecordBatch.from_arrays([*cols, *more], [id_col, *names, *["_text_hash"] * extra])
-
-        return run
-
-    schema = f"`{id_col}` {id_type}, {_SCAN}"
-    if len(blocks) == 1:
-        return docs.mapInArrow(through(blocks[0], False), schema)
-
-    keyed = docs.withColumn("_text_hash", F.xxhash64("_text"))
-    parts = [keyed.mapInArrow(through(b, True), f"{schema}, _text_hash long") for b in blocks]
-    hit = parts[0]
-    for p in parts[1:]:
-        hit = hit.unionByName(p)
-    # Clean documents need no merging: only rows with hits from some set travel with their spans.
-    merged = hit.groupBy(id_col, "_text_hash").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("_spans"),
-    )
-    texts = keyed.dropDuplicates([id_col, "_text_hash"])
-    joined = merged.filter("size(items) > 0").join(texts, [id_col, "_text_hash"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = []
-            for text, spans in zip(p["_text"], p["_spans"], strict=True):
-                low = lowered(np.frombuffer(text.encode(), np.uint8))
-                s, e, c = words(low, np.array([0, len(low)]), ALNUM)
-                hit = np.zeros(len(s), dtype=bool)
-                for x in spans:
-                    hit[np.searchsorted(s, x["start"]) : np.searchsorted(e, x["end"], side="right")] = True
-                step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                runs = zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)
-                rows.append((int(hit.sum()), [{"start": int(s[a]), "end": int(e[b - 1])} for a, b in runs]))
-            out = p[[id_col, "n_words", "items"]].copy()
-            out["n_hit"], out["spans"] = [r[0] for r in rows], [r[1] for r in rows]
-            out["n_items"], out["contaminated"] = [len(x) for x in p["items"]], True
-            yield out[[id_col, *names]]
-
-    clean = merged.filter("size(items) = 0").select(
-        id_col, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), "items",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.lit(False).alias("contaminated"),
-    )
-    return joined.select(id_col, "_text", "n_words", "items", "_spans").mapInPandas(count, schema).unionByName(clean)
+                yield pa.RecordBatch.from_arrays([b.column(0), *_scan_columns(b.column(1), block.value.hits)], [id_col, *names])
+
+        return docs.mapInArrow(run, schema)
+
+    keyed = docs.select(*_text_key("_text"), "_text", F.col(id_col).alias("_id"))
+    hits = staged(_text_hits(keyed.select(*_KEY, "_text"), staged(windows, "windows")), "hits")
+    joined = _given_back(keyed, hits, "left").select("_id", "_text", "_hits")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = b.column(2).to_pylist()
+            row = 0
+
+            def known(buf: np.ndarray, offs: np.ndarray):
+                nonlocal row
+                s, e, count = words(lowered(buf), offs, ALNUM)
+                at = np.concatenate([[0], np.cumsum(count)])
+                found = []
+                for k in range(len(count)):
+                    found += [(int(at[k]) + x["j"], x["size"], {x["item"]}) for x in given[row + k] or ()]
+                row += len(count)
+                return s, e, count, found
+
+            yield pa.RecordBatch.from_arrays([b.column(0), *_scan_columns(b.column(1), known)], [id_col, *names])
+
+    return joined.mapInArrow(finish, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; columns as given, no shuffle."""
-    for block in _blocks(benchmark, n, max_windows, "item_id", "text"):
+    """``docs`` without the documents that hold a benchmark window; columns as given, no shuffle unless the benchmark is large."""
+    windows = benchmark_windows(benchmark, n)
+    if windows.count() > max_windows:
+        rows = docs.select(F.struct("*").alias("_row"), *_text_key(text_col))
+        hits = staged(_text_hits(docs.select(*_text_key(text_col), F.col(text_col).alias("_text")), staged(windows, "windows")).select(*_KEY), "hits")
+        return _given_back(rows, hits, "left_anti").select("_row.*")
+    block = docs.sparkSession.sparkContext.broadcast(_Set(windows.collect()))
+    place = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                dirty = []
-                for _, _, buf, offs in slices(b.column(b.schema.names.index(text_col))):
-                    _, _, count, found = block.value.hits(buf, offs)
-                    at = np.concatenate([[0], np.cumsum(count)])
-                    own = np.zeros(len(count), dtype=bool)
-                    own[np.searchsorted(at, [j for j, _, _ in found], side="right") - 1] = True
-                    dirty.append(own)
-                yield b.filter(pa.array(~np.concatenate([np.zeros(0, bool), *dirty])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dirty = []
+            for _, _, buf, offs in slices(b.column(place)):
+                _, _, count, found = block.value.hits(buf, offs)
+                at = np.concatenate([[0], np.cumsum(count)])
+                own = np.zeros(len(count), dtype=bool)
+                own[np.searchsorted(at, [j for j, _, _ in found], side="right") - 1] = True
+                dirty.append(own)
+            yield b.filter(pa.array(~np.concatenate([np.zeros(0, bool), *dirty])))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def cut_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,9 +286,11 @@ def cut_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_
             out.append(t)
         return pd.Series(out, dtype=object)
 
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     hit = scanned.filter("contaminated").select(F.col(id_col).alias("_hit_id"), F.col("spans").alias("_spans")).dropDuplicates(["_hit_id"])
-    joined = docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))).drop("_hit_id", "_spans")
+    joined = rows.join(hit, rows["_id"].eqNullSafe(hit["_hit_id"]), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(cut(F.col("_text"), F.col("_spans")))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def items_sha256(items: list[str]) -> str:

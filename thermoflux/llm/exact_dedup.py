@@ -4,7 +4,7 @@
    ``1 / support`` digests. Every digest that holds more than ``support`` of all rows is among them.
 2. The candidates are verified: one map-side combined aggregation counts their rows and finds the winner of each.
 3. The verified winners - at most ``1 / support`` rows - are broadcast; their copies are settled map-side and never shuffled.
-4. All other rows are shuffled by digest. No group there holds more than ``support`` of the rows.
+4. The digests of all other rows are counted with map-side combining and shuffled; those of two and more rows join back to them.
 
 Cases: a null text counts as empty; of equal texts the row with the largest doc_id stays (null ids are smaller than
 any other); rows with the same text and the same doc_id are one document written twice and get the same verdict;
@@ -13,7 +13,7 @@ an empty table gives an empty table; other columns of the input, whatever their
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermoflux.llm.common import staged
@@ -42,9 +42,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     winners = staged(counted.filter("group_size > 1"), "winners")
 
     heavy = keyed.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    light = keyed.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "*", F.max(F.col(id_col)).over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size")
+    # map-side combined, so that no group's rows meet in one task; only groups of two and more travel back
+    rest = keyed.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    groups = rest.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    several = groups.filter("group_size > 1")
+    light = rest.join(several, "text_sha256", "left").select(
+        *keyed.columns, F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")
     )
     return heavy.unionByName(light).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
 

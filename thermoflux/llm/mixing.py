@@ -9,7 +9,11 @@ reaches ``c``, so inverting the curve gives its training position. The mix is ra
 Token offsets are prefix sums over each source. No source goes to one task: a source is cut into buckets by the leading
 digits of the order key, bucket sums are prefix-summed (a small table), and offsets are windowed within a bucket.
 
-Cases: a null or empty text has size 0, is never taken and has no position; a null source is a source of its own and
+Columns travel as columns, so that a query that does not read the texts of the mix moves none.
+
+Cases: weights are finite, none is negative and not all are 0 (else ValueError); a source of weight 0 has target 0; knots are taken in the order of
+their times, a rate that is null or negative counts as 0, and a schedule of fewer than two knots or without any area is level;
+a null or empty text has size 0, is never taken and has no position; a null source is a source of its own and
 comes last; repeated rows are documents of their own (those with equal ids follow each other, in any order, as they
 are alike); documents cut by the end of their source's target count their first words only; an empty table gives an empty mix; other
 columns pass through (clashing names are replaced).
@@ -17,6 +21,8 @@ columns pass through (clashing names are replaced).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +50,15 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_pas
     to the others by weight until none is above. That fixed point is min(lambda * weight, cap), found by sorting
     the sources by cap / weight and prefix sums, so no loop runs.
     """
-    per = sizes.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    rows = F.sum("rows") if "rows" in sizes.columns else F.count(F.lit(1))
+    per = sizes.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).alias("source_size"), rows.alias("source_rows"))
+    if not weights or any(not math.isfinite(x) or x < 0 for x in weights) or not any(weights):
+        raise ValueError("weights must be finite, none negative and not all 0")
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.array(*[F.lit(float(x)) for x in weights])
     per = per.withColumn("rank", rank).withColumn("weight", F.element_at(w, (F.col("rank") % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.lit(float(max_passes)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ratio = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf")))
+    per = per.withColumn("cap", F.lit(float(max_passes)) * F.col("source_size")).withColumn("ratio", ratio)
     every = Window.partitionBy()
     before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
     per = (
@@ -56,10 +66,11 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_pas
         .withColumn("capped_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         # lambda if this source and all with a larger ratio are uncapped; the first that holds is the answer
-        .withColumn("level", (F.col("goal") - F.col("capped_before")) / F.col("weight_left"))
+        .withColumn("level", F.when(F.col("weight") > 0, F.try_divide(F.col("goal") - F.col("capped_before"), F.col("weight_left"))))
         .withColumn("found", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(every))
     )
-    target = F.when(F.col("found").isNull() | (F.struct("ratio", "rank") < F.struct("found.ratio", "found.rank")), F.col("cap")).otherwise(F.col("found.level") * F.col("weight"))
+    capped = F.col("found").isNull() | (F.struct("ratio", "rank") < F.struct("found.ratio", "found.rank"))
+    target = F.when(F.col("weight") == 0, F.lit(0.0)).when(capped, F.col("cap")).otherwise(F.col("found.level") * F.col("weight"))
     return per.select("source", "source_size", "source_rows", "rank", "weight", target.alias("target"))
 
 
@@ -87,11 +98,19 @@ def taken_in_pass(p: int) -> Column:
 
 
 def demand_curve(knots: Column) -> Column:
-    """Knots (t, rate) with the normalised rate and the cumulative demand at each knot."""
-    # area of each piece by the trapezoid rule, then running sums
-    step = F.transform(knots, lambda k, i: F.when(i == 0, F.lit(0.0)).otherwise((k["t"] - F.get(knots, i - 1)["t"]) * (k["rate"] + F.get(knots, i - 1)["rate"]) / 2))
-    total = F.aggregate(step, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(knots, lambda k, i: F.struct(k["t"].alias("t"), (k["rate"] / total).alias("rate"), (F.aggregate(F.slice(step, 1, i + 1), F.lit(0.0), lambda a, x: a + x) / total).alias("area")))
+    """Knots (t, rate) with the normalised rate and the cumulative demand at each knot; a level schedule where there is no area."""
+    level = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(1.0).alias("rate")) for t in (0, 1)])
+    knots = F.array_sort(F.transform(F.filter(knots, lambda k: k["t"].isNotNull()), lambda k: F.struct(k["t"].cast("double").alias("t"), F.greatest(F.coalesce(k["rate"].cast("double"), F.lit(0.0)), F.lit(0.0)).alias("rate"))))
+
+    def pieces(x: Column) -> Column:  # area of each piece by the trapezoid rule
+        return F.transform(x, lambda k, i: F.when(i == 0, F.lit(0.0)).otherwise((k["t"] - F.get(x, i - 1)["t"]) * (k["rate"] + F.get(x, i - 1)["rate"]) / 2))
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+    knots = F.when(total(pieces(knots)) > 0, knots).otherwise(level)
+    step = pieces(knots)
+    return F.transform(knots, lambda k, i: F.struct(k["t"].alias("t"), (k["rate"] / total(step)).alias("rate"), (total(F.slice(step, 1, i + 1)) / total(step)).alias("area")))
 
 
 def invert_demand(curve: Column, u: Column) -> Column:
@@ -99,10 +118,10 @@ def invert_demand(curve: Column, u: Column) -> Column:
     below = F.greatest(F.size(F.filter(curve, lambda k: k["area"] <= u)), F.lit(1))
     i = F.least(below, F.size(curve) - 1)
     a, b = F.element_at(curve, i), F.element_at(curve, i + 1)
-    slope = (b["rate"] - a["rate"]) / (b["t"] - a["t"])
+    slope = F.coalesce(F.try_divide(b["rate"] - a["rate"], b["t"] - a["t"]), F.lit(0.0))
     need = u - a["area"]
     root = a["rate"] + F.sqrt(F.greatest(a["rate"] * a["rate"] + 2 * slope * need, F.lit(0.0)))
-    return F.least(a["t"] + F.when(root > 0, 2 * need / root).otherwise(0.0), b["t"])
+    return F.least(a["t"] + F.when(root > 0, F.try_divide(2 * need, root)).otherwise(0.0), b["t"])
 
 
 def default_knots(weight: Column, weights: list[float]) -> Column:
@@ -131,9 +150,9 @@ def mix(
     With ``every``, documents that no pass takes follow at the end (pass_no and position null, taken 0), and source_size, target and start
     (the first token of the document within its source) are added as well.
     """
-    row = F.struct("*").alias("_row")
-    sized = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-    small = staged(sized.select("source", "size"), "sizes")
+    own = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    sized = docs.select(*[F.col(c).alias(x) for c, x in own.items()], F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    small = staged(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "sizes")
     targets = staged(source_targets(small, weights, share, max_passes), "targets")
     placed = offsets(sized, targets, "_id", seed)
     curve = default_knots(F.col("weight"), weights)
@@ -147,12 +166,13 @@ def mix(
         rows = placed.withColumn("_p", F.explode_outer(passes)).select("*", "_p.pass_no", F.coalesce("_p.taken", F.lit(0).cast("long")).alias("taken"))
     else:
         rows = placed.withColumn("_p", F.explode(passes)).select("*", "_p.pass_no", "_p.taken")
-    u = (F.col("pass_no") * F.col("source_size") + F.col("start")) / F.col("target")
+    u = F.try_divide(F.col("pass_no") * F.col("source_size") + F.col("start"), F.col("target"))
     rows = rows.withColumn("_curve", demand_curve(curve)).withColumn("position", invert_demand(F.col("_curve"), u))
-    text = F.col("_row").getField(text_col)
+    text = F.col(own[text_col])
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
     added = ("size", "pass_no", "taken", "position", *(("source_size", "target", "start") if every else ()))
-    keep = [F.when(F.col("taken") < F.col("size"), first).otherwise(text).alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added]
+    cut = F.when(F.col("taken") < F.col("size"), first).otherwise(text)
+    keep = [cut.alias(c) if c == text_col else F.col(own[c]).alias(c) for c in docs.columns if c not in added]
     order = [F.col("position").asc_nulls_last() if every else F.col("position"), F.col("_id"), F.col("pass_no")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return rows.select(*keep, *added)
@@ -161,9 +181,12 @@ def mix(
 def mix_summary(docs: DataFrame, weights: list[float], share: float = 1.5, max_passes: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-") -> DataFrame:
     """One row per document: id, size, source_size, target (its source's) and taken, summed over the passes of the mix.
 
-    The mix is written in training order and then summed: a document with words is alone at its start within its source, so repeated ids stay apart.
+    These are the rows of the mix itself, in training order, summed by document: one with words is alone at its start within its source, so
+    repeated ids stay apart. The texts of the mix are not read here, so the optimiser leaves them out of its shuffles.
     """
-    mixed = staged(mix(docs, weights, share, max_passes, None, id_col, text_col, source_col, seed, every=True), "mix")
+    mixed = mix(docs, weights, share, max_passes, None, id_col, text_col, source_col, seed, every=True)
     facts = ("size", "source_size", "target")
-    taken = mixed.filter("pass_no IS NOT NULL").groupBy(id_col, source_col, "start", *facts).agg(F.sum("taken").alias("taken"))
-    return taken.select(id_col, *facts, "taken").unionByName(mixed.filter("pass_no IS NULL").select(id_col, *facts, "taken"))
+    # documents without words may share a start: as many rows as there are of them
+    taken = mixed.groupBy(id_col, source_col, "start", *facts, F.col("pass_no").isNull().alias("_none")).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("_rows"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("_none"), F.col("_rows")).otherwise(F.lit(1))))
+    return taken.withColumn("_copy", copies).select(id_col, *facts, "taken")
