@@ -94,7 +94,8 @@ def coalesce_sensors(primary: Column, secondary: Column, slope: float = 1.0, int
 
 def replace_temperature_source(df: DataFrame, choice: DataFrame, column: str = "TA", site_col: str = "site_id") -> DataFrame:
     """``column`` from the column that ``choice`` (site, source column) names for a site; unchanged for others."""
-    sources = [r[0] for r in choice.select("source_col").distinct().limit(1000).collect() if r[0] in df.columns]
+    # at most one name a column of ``df``
+    sources = [r[0] for r in choice.filter(F.col("source_col").isin(df.columns)).select("source_col").distinct().collect()]
     out = df.join(small(choice.select(site_col, F.col("source_col").alias("_src"))), site_col, "left")
     value = F.col(column)
     for s in sources:

@@ -283,21 +283,63 @@ def repeated_median_slope(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (
     return own.groupBy(*by).agg(F.percentile("_s", F.lit(0.5)).alias("slope"))
 
 
+def _hash_number(*parts: Column | str) -> Column:
+    """A number from 0 to 16**7 - 1 that only the texts of ``parts`` decide."""
+    text = F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def repeated_median_test(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ("site_id",), boot: int = 1000, perm: int = 1000, seed: str = "trend") -> DataFrame:
+    """(by, slope, ci_low, ci_high, p_perm): the repeated-median slope with its bootstrap interval (2.5 and 97.5 % points) and
+    the share of permutations of y whose slope is at least as steep.
+
+    Every resample and permutation is a set of rows named by its replicate; draws and orders come from hashes, so reruns agree. Resamples with one
+    x only have no slope and do not count. The series are short (one row a year), the replicates are what Spark spreads."""
+    p = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    w = Window.partitionBy(*by).orderBy("x", "y")
+    p = p.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
+    own = p.select(*by, F.col("_i").alias("_j"), F.col("x").alias("_px"), F.col("y").alias("_py"))
+    drawn = p.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(boot - 1))).alias("_rep"))
+    drawn = drawn.withColumn("_j", (_hash_number(F.lit(seed), F.lit("draw"), *by, "_rep", "_i") % F.col("_n")).cast("int"))
+    drawn = drawn.join(own, [*by, "_j"]).select(*by, "_rep", "_i", F.col("_px").alias("x"), F.col("_py").alias("y"))
+    mixed = p.select(*by, "_i", "x", F.explode(F.sequence(F.lit(0), F.lit(perm - 1))).alias("_rep"))
+    order = Window.partitionBy(*by, "_rep").orderBy(_hash_number(F.lit(seed), F.lit("mix"), *by, "_rep", "_i"), "_i")
+    mixed = mixed.withColumn("_j", F.row_number().over(order) - 1).join(own, [*by, "_j"]).select(*by, "_rep", "_i", "x", F.col("_py").alias("y"))
+
+    def slopes(rows: DataFrame) -> DataFrame:
+        key = [*by, "_rep"]
+        other = rows.select(*key, F.col("x").alias("_x2"), F.col("y").alias("_y2"))
+        pairs = rows.join(other, key).filter("x <> _x2")
+        each = pairs.groupBy(*key, "_i").agg(F.percentile((F.col("_y2") - F.col("y")) / (F.col("_x2") - F.col("x")), F.lit(0.5)).alias("_s"))
+        return each.groupBy(*key).agg(F.percentile("_s", F.lit(0.5)).alias("_slope"))
+
+    slope = repeated_median_slope(df, x, y, by)
+    ci = slopes(drawn).groupBy(*by).agg(F.percentile("_slope", F.lit(0.025)).alias("ci_low"), F.percentile("_slope", F.lit(0.975)).alias("ci_high"))
+    share = slopes(mixed).join(slope, list(by)).groupBy(*by).agg(F.avg((F.abs("_slope") >= F.abs("slope") - 1e-12).cast("double")).alias("p_perm"))
+    return slope.join(ci, list(by), "left").join(share, list(by), "left")
+
+
 def extreme_outliers(df: DataFrame, x: str, by: tuple[str, ...], coef: float = 3.0, least: float = 1.5, min_missing: int = 5) -> DataFrame:
     """Values beyond ``coef`` hinge widths from Tukey's hinges and above ``least`` in size become null.
 
     Only in groups with ``min_missing`` and more missing values (pass 0 for all groups)."""
-    s = F.array_sort(F.collect_list(x))
-    g = df.groupBy(*by).agg(s.alias("_v"), F.count(F.when(F.col(x).isNull(), 1)).alias("_missing"))
-    n = F.size("_v")
+    missing = df.groupBy(*by).agg(F.count(F.when(F.col(x).isNull(), 1)).alias("_missing"))
+    # equal values are counted first; each then fills the places up to its running sum
+    values = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    size = df.groupBy(*by).agg(F.count(x).alias("_n"))
+    places = values.withColumn("_upto", upto).join(size, list(by))
+    n = F.col("_n")
     depth = (F.floor((n + 1) / 2) + 1) / 2  # of the hinges, from either end
 
     def at(d: Column) -> Column:
-        lo, hi = F.floor(d).cast("int"), F.ceil(d).cast("int")
-        return (F.element_at("_v", lo) + F.element_at("_v", hi)) / 2
+        def holds(place: Column) -> Column:
+            return (place > F.col("_upto") - F.col("_k")) & (place <= F.col("_upto"))
+
+        return (F.max(F.when(holds(F.floor(d)), F.col("_x"))) + F.max(F.when(holds(F.ceil(d)), F.col("_x")))) / 2
 
-    g = g.withColumn("_lo", F.when(n > 0, at(depth))).withColumn("_hi", F.when(n > 0, at(n + 1 - depth))).drop("_v")
-    out = df.join(g, list(by))
+    hinges = places.groupBy(*by).agg(at(depth).alias("_lo"), at(n + 1 - depth).alias("_hi"))
+    out = df.join(missing.join(hinges, list(by), "left"), list(by))
     width = coef * (F.col("_hi") - F.col("_lo"))
     far = ((F.col(x) < F.col("_lo") - width) | (F.col(x) > F.col("_hi") + width)) & (F.abs(x) > least) & (F.col("_missing") >= min_missing)
     return out.withColumn(x, F.when(~F.coalesce(far, F.lit(False)), F.col(x))).drop("_lo", "_hi", "_missing")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermoflux.operators.aggregates import coverage_summary, gap_runs, gap_summary, night_coverage, season_mean_ts
-from thermoflux.operators.joins import small
 from thermoflux.operators.windows import average_rank, pick_first
+from thermoflux.sources.io import stored
 
 KEYS = ("site_id", "growing_year")
 
@@ -16,15 +16,17 @@ def yearly_table(ac: DataFrame, nights: DataFrame, seasons: DataFrame) -> DataFr
     """One row a site and year with a complete temperature in both tables: mean_TS, coverage and gaps, the three ranks and their sum.
 
     ``ac``: site_id, growing_year, DOY, TS, daytime; ``nights``: site_id, growing_year, DOY, NEE; ``seasons``: site_id, gStart, gEnd."""
-    s = small(seasons.select("site_id", "gStart", "gEnd"))
+    s = stored(seasons.select("site_id", "gStart", "gEnd"), "seasons")
+    ac, nights = stored(ac.select(*KEYS, "DOY", "TS", "daytime"), "all-rows"), stored(nights.select(*KEYS, "DOY", "NEE"), "night-rows")
     years = ac.select(*KEYS).intersect(nights.select(*KEYS))
     ac = ac.join(s, "site_id").filter(F.col("DOY").between(F.col("gStart"), F.col("gEnd"))).join(years, list(KEYS), "left_semi")
     nights = nights.join(s, "site_id").filter(F.col("DOY").between(F.col("gStart"), F.col("gEnd")))
     temp = season_mean_ts(ac, F.col("gStart"), F.col("gEnd"))
-    status = night_coverage(ac, nights)
+    status = stored(night_coverage(ac, nights), "status")
     gaps = gap_summary(gap_runs(status))
     t = temp.join(coverage_summary(status), list(KEYS), "left").join(gaps, list(KEYS), "left")
     t = t.withColumns({"gap_lengths": F.coalesce("gap_lengths", F.lit("none")), "max_gap": F.coalesce("max_gap", F.lit(0)), "gap_burden": F.coalesce("gap_burden", F.lit(0))})
+    t = stored(t, "years")
     target = t.groupBy("site_id").agg(F.percentile("mean_TS", F.lit(0.5)).alias("target_TS"))
     t = t.join(target, "site_id").withColumn("distance", F.abs(F.col("mean_TS") - F.col("target_TS")))
     for name, c in (("temperature_rank", "distance"), ("burden_rank", "gap_burden"), ("max_gap_rank", "max_gap")):

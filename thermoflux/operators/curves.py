@@ -27,9 +27,19 @@ def window_screen(df: DataFrame, windows: DataFrame, ranges: DataFrame, min_rows
     return g.filter(((F.col("_w") == 1) | fits) & (F.col("n") >= min_rows)).select("site_id", "window", "mean_TS", "n")
 
 
-def adaptive_window(df: DataFrame, windows: DataFrame, ts_ref: DataFrame, needed: int = 100, step: int = 3, most: int = 24, least_rows: int = 25, least_flux: float = 0.2) -> DataFrame:
+def adaptive_window(
+    df: DataFrame,
+    windows: DataFrame,
+    ts_ref: DataFrame,
+    needed: int = 100,
+    step: int = 3,
+    most: int = 24,
+    least_rows: int = 25,
+    least_flux: float = 0.2,
+) -> DataFrame:
     """(site, window, YEAR, extend_days, n, lo, hi): the smallest extension of a window on either side (0, 3 .. 24 days) with ``needed`` rows
-    and the reference temperature within the 2.5 and 97.5 % points - or the widest one.
+    and the reference temperature within the 2.5 and 97.5 % points - or the widest one. Widening also stops at the first extension with
+    ``needed`` rows that reaches the end of the site's season while no row is warmer than the reference temperature.
 
     Kept if it has more than ``least_rows`` rows, holds the reference temperature, and both mean and median flux reach ``least_flux``.
     All extensions are tried at once: rows are joined to the widest window, and each extension is an aggregate over those inside it."""
@@ -39,11 +49,13 @@ def adaptive_window(df: DataFrame, windows: DataFrame, ts_ref: DataFrame, needed
     off = F.greatest(F.col("w_start") - F.col("DOY"), F.col("DOY") - F.col("w_end"), F.lit(0))
     tries = F.sequence((F.ceil(off / step) * step).cast("int"), F.lit(most), F.lit(step))
     own = own.withColumn("extend_days", F.explode(tries))
+    ends = w.groupBy("site_id").agg(F.max("w_end").alias("_season_end"))
     g = own.groupBy("site_id", "window", "YEAR", "extend_days").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("TS", F.lit(0.025)).alias("lo"), F.percentile("TS", F.lit(0.975)).alias("hi"), F.avg("NEE").alias("_mean"), F.percentile("NEE", F.lit(0.5)).alias("_median")
-    ).join(ts_ref, ["site_id", "window"])
+        F.max("w_end").alias("_w_end"), F.max("TS").alias("_warmest"), F.count(F.lit(1)).alias("n"), F.percentile("TS", F.lit(0.025)).alias("lo"), F.percentile("TS", F.lit(0.975)).alias("hi"), F.avg("NEE").alias("_mean"), F.percentile("NEE", F.lit(0.5)).alias("_median")
+    ).join(ts_ref, ["site_id", "window"]).join(ends, "site_id")
     inside = F.col("ts_ref").between(F.col("lo"), F.col("hi"))
-    enough = (F.col("n") >= needed) & inside
+    past = (F.col("extend_days") > 0) & (F.col("_w_end") + F.col("extend_days") >= F.col("_season_end")) & (F.col("ts_ref") >= F.col("_warmest"))
+    enough = (F.col("n") >= needed) & (inside | past)
     rank = F.row_number().over(Window.partitionBy("site_id", "window", "YEAR").orderBy(F.when(enough, F.col("extend_days")).otherwise(F.lit(1000) - F.col("extend_days"))))
     g = g.withColumn("_r", rank).filter("_r = 1")
     return g.filter((F.col("n") > least_rows) & inside & (F.col("_mean") >= least_flux) & (F.col("_median") >= least_flux)).select("site_id", "window", "YEAR", "extend_days", "n", "lo", "hi")

@@ -6,27 +6,27 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoflux.sources.io import scratch
+from thermoflux.sources.io import scratch, stored
 
 
-def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=xs, outputCol="features").transform(df)
+#: Depth at which trees end in any case, and rows that one partition of a fit holds at least.
+DEPTH = 10
+ROWS_PER_PARTITION = 50_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, for data that many fits read."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=xs, outputCol="features").transform(df)
 
 
 def forest(df: DataFrame, y: str, xs: list[str], trees: int = 500, node: int = 30, mtry: int = 1, seed: int = 1):
     """A fitted forest; ``node`` rows at least in a leaf, ``mtry`` variables tried at a split."""
-    rf = RandomForestRegressor(labelCol=y, numTrees=trees, minInstancesPerNode=node, featureSubsetStrategy=str(mtry), maxDepth=10, seed=seed)
-    return rf.fit(_assembled(df.dropna(subset=[y, *xs]), xs))
+    rf = RandomForestRegressor(labelCol=y, numTrees=trees, minInstancesPerNode=node, featureSubsetStrategy=str(mtry), maxDepth=DEPTH, seed=seed)
+    rows = df.dropna(subset=[y, *xs]).select(y, *xs)
+    # every partition sends the statistics of all open nodes at every level, so small tables go in few partitions
+    return rf.fit(_assembled(rows.coalesce(max(1, -(-rows.count() // ROWS_PER_PARTITION))), xs))
 
 
 def predict(model, df: DataFrame, xs: list[str]) -> DataFrame:
@@ -56,6 +56,15 @@ def tune(df: DataFrame, y: str, xs: list[str], strata: list[str], id_col: str, n
     return spark.createDataFrame(rows, "node int, mtry int, RMSE double"), best[0], best[1]
 
 
+def ranked(df: DataFrame, group: str, key: Column, tie: str, out: str, buckets: int = 256) -> DataFrame:
+    """Rank of the rows of a group by a hash ``key``, in two levels: buckets of the key, whose sizes are summed up, and ranks within them."""
+    d = df.withColumn("_key", key).withColumn("_b", F.shiftrightunsigned("_key", 64 - (buckets.bit_length() - 1)))
+    before = F.sum("_size").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = d.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_size")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_size")
+    within = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_key", tie))
+    return d.withColumn("_within", within).join(sizes, [group, "_b"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_key", "_b", "_before", "_within")
+
+
 def permutation_importance(model, df: DataFrame, y: str, xs: list[str], id_col: str, repeats: int = 50, seed: int = 1) -> DataFrame:
     """(var, varImp in %): mean rise of the squared error when a variable is permuted, negative ones as 0, normalised to 100.
 
@@ -64,11 +73,9 @@ def permutation_importance(model, df: DataFrame, y: str, xs: list[str], id_col:
     d = df.dropna(subset=[y, *xs]).select(F.col(id_col).alias("_id"), y, *xs)
     base = predict(model, d, xs).agg(F.avg((F.col(y) - F.col("prediction")) ** 2)).first()[0]
     runs = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    r = d.withColumn("_k", runs)
-    own = Window.partitionBy("_k").orderBy("_id")
-    mixed = Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed), "_k", "_id"), "_id")
-    left = r.withColumn("_r", F.row_number().over(own))
-    right = r.withColumn("_r", F.row_number().over(mixed)).select("_k", "_r", *[F.col(c).alias(f"_m_{c}") for c in xs])
+    r = stored(d.withColumn("_k", runs), "repeats")
+    left = ranked(r, "_k", F.xxhash64("_id"), "_id", "_r")
+    right = ranked(r, "_k", F.xxhash64(F.lit(seed), "_k", "_id"), "_id", "_r").select("_k", "_r", *[F.col(c).alias(f"_m_{c}") for c in xs])
     both = left.join(right, ["_k", "_r"])
     each = both.withColumn("var", F.explode(F.array(*[F.lit(c) for c in xs])))
     each = each.withColumns({c: F.when(F.col("var") == c, F.col(f"_m_{c}")).otherwise(F.col(c)) for c in xs})

@@ -9,6 +9,7 @@ from thermoflux.operators.curves import BOUNDS, er_curve
 from thermoflux.operators.joins import months_to_rows, range_join
 from thermoflux.operators.regression import simple_regression
 from thermoflux.operators.windows import candidate_years
+from thermoflux.sources.io import stored
 
 #: Lower bound of beta in this job (fixed value).
 FUTURE_BOUNDS = {**BOUNDS, "beta": (-0.02, 0.0)}
@@ -38,6 +39,7 @@ def widened(nights: DataFrame, windows: DataFrame, needed: int = 200, step: int
     w = w.withColumns({"_a": F.col("w_start") - F.col("_most"), "_b": F.col("w_end") + F.col("_most")})
     off = F.greatest(F.col("w_start") - F.col("DOY"), F.col("DOY") - F.col("w_end"), F.lit(1))
     own = range_join(nights.dropna(subset=["TS", "NEE"]), w, "DOY", "_a", "_b").withColumn("_e", (F.ceil(off / step) * step).cast("int"))
+    own = stored(own, "around")
     key = ["site_id", "window", "YEAR"]
     inside = F.sum("_n").over(Window.partitionBy(*key).orderBy("_e"))
     g = own.groupBy(*key, "_e", "_needed", "_most").agg(F.count(F.lit(1)).alias("_n")).withColumn("_inside", inside)
@@ -51,11 +53,12 @@ def future_respiration(nights: DataFrame, windows: DataFrame, warming: DataFrame
     ``nights``: site_id, YEAR, MONTH, DOY, TS, TA, NEE; ``windows``: site_id, window, w_start, w_end (and needed, where sites differ); ``warming``: site_id, Tmin1..12;
     ``response``: site_id, TAS. Soil warms by the site's slope of TS on TA (above freezing). Curves are fitted for each window in the
     three candidate years on the days that ``widened`` finds around it, and applied to the window's night climatology, now and warmed."""
+    nights = stored(nights.select("site_id", "YEAR", "MONTH", "DOY", "TS", "TA", "NEE"), "nights")
     slope = simple_regression(nights.filter("TA > 0"), "TS", "TA").select("site_id", "slope")
     years = nights.groupBy("site_id", "YEAR").agg(F.count("NEE").alias("n"), F.avg("TS").alias("m"))
     years = candidate_years(years, "n", "m").select("site_id", "YEAR")
     w = windows.select("site_id", "window", "w_start", "w_end")
-    rows = widened(nights.join(years, ["site_id", "YEAR"], "left_semi"), windows, needed, extend)
+    rows = stored(widened(nights.join(stored(years, "candidate-years"), ["site_id", "YEAR"], "left_semi"), windows, needed, extend), "widened")
     ref = rows.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"))
     fits = er_curve(rows, ref, by=("site_id", "window", "YEAR"), min_rows=min_rows, bounds=FUTURE_BOUNDS).select("site_id", "window", "YEAR", "C0", "alpha", "beta")
     clim = nights.groupBy("site_id", "DOY", "MONTH").agg(F.avg("TS").alias("TS"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermoflux.sources.io import stored
+
 
 def ustar_threshold(df: DataFrame, by: tuple[str, ...] = ("site_id", "season"), t_classes: int = 7, u_classes: int = 20, share: float = 0.99, max_corr: float = 0.5) -> DataFrame:
     """(by, threshold, n_classes): moving-point test. Night rows are cut into temperature classes of equal size and those into friction-velocity
@@ -17,7 +19,7 @@ def ustar_threshold(df: DataFrame, by: tuple[str, ...] = ("site_id", "season"),
     own = own.withColumn("_u", F.ntile(u_classes).over(Window.partitionBy(*by, "_t").orderBy("USTAR", "id")))
     cls = own.groupBy(*by, "_t", "_u").agg(F.avg("USTAR").alias("_us"), F.avg("NEE").alias("_f"))
     cor = own.groupBy(*by, "_t").agg(F.corr("USTAR", "TA").alias("_r")).filter(F.abs("_r") < max_corr).select(*by, "_t")
-    later = Window.partitionBy(*by, "_t").orderBy("_u").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*by, "_t").orderBy(F.desc("_u")).rowsBetween(Window.unboundedPreceding, -1)
     cls = cls.withColumn("_later", F.avg("_f").over(later)).join(cor, [*by, "_t"], "left_semi")
     first = cls.filter(F.col("_f") >= share * F.col("_later")).groupBy(*by, "_t").agg(F.min_by("_us", "_u").alias("_th"))
     return first.groupBy(*by).agg(F.percentile("_th", F.lit(0.5)).alias("threshold"), F.count(F.lit(1)).alias("n_classes"))
@@ -28,41 +30,59 @@ STAGES = ((7, ("SW_IN", "TA", "VPD")), (14, ("SW_IN", "TA", "VPD")), (7, ("SW_IN
 TOLERANCE = {"SW_IN": 50.0, "TA": 2.5, "VPD": 5.0}
 
 
-def gap_fill_mds(df: DataFrame, id_col: str, value: str = "NEE", day: str = "day", by: tuple[str, ...] = ("site_id",), stages=STAGES, tolerance: dict[str, float] = TOLERANCE, least: int = 2, hour: str | None = None) -> DataFrame:
+#: Drivers whose bins join the key of a stage; every further one is only compared.
+KEYED = 2
+
+
+def gap_fill_mds(
+    df: DataFrame,
+    id_col: str,
+    value: str = "NEE",
+    day: str = "day",
+    by: tuple[str, ...] = ("site_id",),
+    stages=STAGES,
+    tolerance: dict[str, float] = TOLERANCE,
+    least: int = 2,
+    hour: str | None = None,
+) -> DataFrame:
     """(id, filled, n_used, stage) of the rows whose ``value`` is missing: the mean of the rows with like weather in the first stage
     that finds ``least`` of them. Rows that no stage fills stay, with n_used 0 and neither value nor stage.
 
-    A range self-join on buckets: the donors' days are grouped in blocks as long as the widest stage, and a gap looks at
-    its own block and both neighbours, so a gap meets only donors of nearby days of its site.
+    A stage is a range join on bins, for the gaps that the ones before left. Its donors are first summed by day and drivers; their day is
+    binned by the reach of the stage and the first ``KEYED`` drivers by their tolerance, and a gap looks at its own bin and both neighbours of each. So a
+    gap meets only donors of nearby days with nearly like weather. What a stage fills is written to the shared folder.
     With ``hour``, the rest takes the mean diurnal course: the rows of the same hour within 0, 1, 2 .. days, widened until
     there are ``least`` (stages from ``len(stages) + 1`` on, one a day); only a site without that many rows of the hour stays unfilled."""
-    width = max(d for d, _ in stages)
-    block = F.floor(F.col(day) / width)
+    spark = df.sparkSession
     drivers = list(tolerance)
     clock = [F.col(hour).alias("_h")] if hour else []
-    missing = df.filter(F.col(value).isNull()).select(*by, F.col(id_col), F.col(day).alias("_d"), *clock, *[F.col(c).alias(f"_{c}") for c in drivers], block.alias("_b"))
-    gaps = missing.withColumn("_b", F.explode_outer(F.when(F.col("_b").isNotNull(), F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))))
-    donors = df.filter(F.col(value).isNotNull()).select(*by, F.col(day).alias("_e"), *drivers, F.col(value).alias("_v"), block.alias("_b"))
-    pairs = gaps.join(donors, [*by, "_b"], "left").withColumn("_dist", F.abs(F.col("_d") - F.col("_e")))
-    aggs = []
+    left = df.filter(F.col(value).isNull()).select(*by, F.col(id_col), F.col(day).alias("_d"), *clock, *[F.col(c).alias(f"_{c}") for c in drivers])
+    known = df.filter(F.col(value).isNotNull())
+    filled = None
     for i, (days, alike) in enumerate(stages):
-        ok = F.col("_dist") <= days
+        donors = known.groupBy(*by, F.col(day).alias("_e"), *alike).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+        keys = [("_k0", F.col("_d"), F.col("_e"), float(days)), *[(f"_k{j}", F.col(f"_{c}"), F.col(c), tolerance[c]) for j, c in enumerate(alike[:KEYED], 1)]]
+        gaps = left
+        for name, own, theirs, width in keys:
+            at = F.floor(own / width)
+            gaps = gaps.withColumn(name, F.explode(F.array(at - 1, at, at + 1)))
+            donors = donors.withColumn(name, F.floor(theirs / width))
+        ok = F.abs(F.col("_d") - F.col("_e")) <= days
         for c in alike:
             ok = ok & (F.abs(F.col(c) - F.col(f"_{c}")) < tolerance[c])
-        aggs += [F.count(F.when(ok, 1)).alias(f"n{i}"), F.avg(F.when(ok, F.col("_v"))).alias(f"m{i}")]
-    at = ["_d", "_h"] if hour else []
-    got = pairs.groupBy(*by, id_col, *at).agg(*aggs)
-    stage = F.coalesce(*[F.when(F.col(f"n{i}") >= least, F.lit(i + 1)) for i in range(len(stages))])
-    got = got.withColumn("stage", stage)
-    pick = {n: F.coalesce(*[F.when(F.col("stage") == i + 1, F.col(f"{k}{i}")) for i in range(len(stages))]) for n, k in (("filled", "m"), ("n_used", "n"))}
-    got = got.select(*by, id_col, *at, pick["filled"].alias("filled"), F.coalesce(pick["n_used"], F.lit(0)).alias("n_used"), "stage")
+        got = gaps.join(donors, [*by, *[k[0] for k in keys]]).filter(ok).groupBy(*by, id_col).agg(F.sum("_n").alias("n_used"), F.sum("_s").alias("_s"))
+        got = got.filter(F.col("n_used") >= least).select(*by, id_col, (F.col("_s") / F.col("n_used")).alias("filled"), "n_used", F.lit(i + 1).alias("stage"))
+        got = stored(got, f"stage-{i + 1}")
+        filled = got if filled is None else filled.unionByName(got)
+        left = left.join(got.select(*by, id_col), [*by, id_col], "left_anti")
+    none = [F.lit(None).cast("double").alias("filled"), F.lit(0).cast("long").alias("n_used"), F.lit(None).cast("int").alias("stage")]
     if not hour:
-        return got
-    course = _diurnal_course(df, missing, value, day, hour, by, least)
-    got = got.join(course, [*by, "_d", "_h"], "left")
-    rest = F.col("stage").isNull() & F.col("_k").isNotNull()
-    took = {"filled": F.col("_mean"), "n_used": F.col("_n"), "stage": (F.col("_k") + len(stages) + 1).cast("int")}
-    return got.select(*by, id_col, *[F.when(rest, v).otherwise(F.col(n)).alias(n) for n, v in took.items()])
+        return filled.unionByName(left.select(*by, id_col, *none))
+    left = stored(left, "unfilled")
+    course = _diurnal_course(df, left, value, day, hour, by, least)
+    stage = (F.col("_k") + len(stages) + 1).cast("int").alias("stage")
+    rest = left.join(course, [*by, "_d", "_h"], "left").select(*by, id_col, F.col("_mean").alias("filled"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_used"), stage)
+    return filled.unionByName(rest)
 
 
 def _diurnal_course(df: DataFrame, missing: DataFrame, value: str, day: str, hour: str, by: tuple[str, ...], least: int) -> DataFrame:
@@ -76,8 +96,9 @@ def _diurnal_course(df: DataFrame, missing: DataFrame, value: str, day: str, hou
     near = [F.array(*[f(cell, i).over(w) for i in range(least)]) for f in (F.lag, F.lead)]
     known = known.withColumns({"_before": near[0], "_after": near[1]})
     places = missing.select(*by, "_d", "_h").distinct().withColumn("_gap", F.lit(True)).join(known, [*by, "_d", "_h"], "full")
+    back = Window.partitionBy(*by, "_h").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, 0)
     before = F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_after", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("_after", ignorenulls=True).over(back)
     places = places.withColumns({"_l": before, "_r": after}).filter("_gap")
     none = F.array().cast(known.schema["_before"].dataType)
     cells = F.array_distinct(F.concat(F.coalesce("_l", none), F.coalesce("_r", none)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from thermoflux.operators.aggregates import t_tail
 from thermoflux.operators.joins import range_join, small
 from thermoflux.operators.windows import trailing_mean
+from thermoflux.sources.io import stored
 
 
 def ols(df: DataFrame, y: str, xs: list[str], by: tuple[str, ...] = ("site_id",), min_rows: int = 3) -> DataFrame:
@@ -102,10 +103,11 @@ def repair_periods(df: DataFrame, bad: DataFrame, per_day: int, order: list[str]
     xs = ["TA", "_d1", "_d8"]
     w = df.withColumns({"_d1": trailing_mean("TA", per_day, ["site_id"], order), "_d8": trailing_mean("TA", 8 * per_day, ["site_id"], order)})
     p = bad.select("site_id", F.col("YEAR").alias("_by"), F.col("DOY_start").alias("_a"), F.col("DOY_end").alias("_b"))
-    p = p.withColumn("_p", F.xxhash64("site_id", "_by", "_a", "_b"))
+    p = stored(p.withColumn("_p", F.xxhash64("site_id", "_by", "_a", "_b")), "periods")
+    w = stored(w, "trailing-means")
     inside = range_join(w, p, "DOY", "_a", "_b").filter("YEAR = _by").select(*df.columns, "_p")
     flags = inside.select("site_id", "YEAR", "DOY", "_p").groupBy("site_id", "YEAR", "DOY").agg(F.min("_p").alias("_p"))
-    w = w.join(flags, ["site_id", "YEAR", "DOY"], "left")
+    w = stored(w.join(flags, ["site_id", "YEAR", "DOY"], "left"), "flagged")
     around = p.select("site_id", F.col("_p").alias("_q"), (F.col("_a") - margin).alias("_lo"), (F.col("_b") + margin).alias("_hi"))
     train = range_join(w.filter(F.col("_p").isNull() & F.col("QC").isin(0, 1)), around, "DOY", "_lo", "_hi")
     fit = ols(train, "TS", xs, ("site_id", "_q"), min_rows).select("site_id", F.col("_q").alias("_p"), "coef")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from thermoflux.operators.aggregates import two_level_climatology
 from thermoflux.operators.windows import circular_runs
+from thermoflux.sources.io import stored
 
 RING = 366
 
@@ -67,6 +68,8 @@ def active_season(df: DataFrame, south: Column | None = None, smooth: str = "cyc
     def enough(c: DataFrame, name: str) -> DataFrame:
         return c.groupBy(site_col).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) >= min_days).select(site_col)
 
+    # a row a site and day: written once, since every step below reads them again
+    flux, soil, air = stored(flux, "flux-days"), stored(soil, "soil-days"), stored(air, "air-days")
     soil_sites = enough(soil, "_k")
     temp = soil.join(soil_sites, site_col, "left_semi").unionByName(air.join(soil_sites, site_col, "left_anti"))
     sites = enough(flux, "_k").join(enough(temp, "_k"), site_col)
@@ -74,13 +77,13 @@ def active_season(df: DataFrame, south: Column | None = None, smooth: str = "cyc
         f, t = cyclic_smooth(flux, "value", "n_years", site_col=site_col, out="flux"), cyclic_smooth(temp, "value", "n_years", site_col=site_col, out="temp")
     else:
         f, t = circular_moving_mean(flux, "value", half, site_col, "flux"), circular_moving_mean(temp, "value", half, site_col, "temp")
-    days = f.join(t, [site_col, "DOY"]).join(sites, site_col, "left_semi")
+    days = stored(f.join(t, [site_col, "DOY"]).join(sites, site_col, "left_semi"), "smooth-days")
     limits = days.groupBy(site_col).agg((F.min("flux") + fraction * (F.max("flux") - F.min("flux"))).alias("_limit"))
     days = days.join(limits, site_col).withColumn("active", (F.col("flux") > F.col("_limit")) & (F.col("temp") > warm))
     if south is not None:
         days = days.withColumn("DOY", F.when(south & (F.col("DOY") < 183), F.col("DOY") + RING).otherwise(F.col("DOY")))
     some = days.groupBy(site_col).agg(F.bool_or("active").alias("_any")).filter("_any").select(site_col)
-    return circular_runs(days.join(some, site_col, "left_semi"), "active", "temp", (site_col,))
+    return circular_runs(stored(days.join(some, site_col, "left_semi"), "active-days"), "active", "temp", (site_col,))
 
 
 def season_by_uptake(clim: DataFrame, fraction: float = 0.2, nth: int = 7, margin: int = 4, site_col: str = "site_id") -> DataFrame:

@@ -70,10 +70,11 @@ def interpolate_linear(df: DataFrame, x: str, order: list[str], by: tuple[str, .
     With ``max_gap`` holes of more rows stay; ``fill_ends`` carries the first and last value outward."""
     axis = F.col(order[0]) if axis is None else axis
     w = Window.partitionBy(*by).orderBy(*order)
-    back, ahead = w.rowsBetween(_START, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # the next value is the last one in the order turned round: a frame up to the end would be read anew for every row
+    back, ahead = w.rowsBetween(_START, 0), Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(_START, 0)
     known = F.when(F.col(x).isNotNull(), axis)
     a, ax = F.last(x, True).over(back), F.last(known, True).over(back)
-    b, bx = F.first(x, True).over(ahead), F.first(known, True).over(ahead)
+    b, bx = F.last(x, True).over(ahead), F.last(known, True).over(ahead)
     line = a + F.try_divide((b - a) * (axis - ax), bx - ax)
     if fill_ends:
         line = F.coalesce(line, a, b)

@@ -9,6 +9,7 @@ from thermoflux.operators import aggregates as a
 from thermoflux.plans.registry import query
 from thermoflux.plans.scalars import SOUTH, south
 from thermoflux.plans.views import MULTI, SUB, obs_multi, obs_sub, rounded, table
+from thermoflux.sources.io import stored
 
 
 @query("a1_doy_climatology", f"WITH {MULTI} SELECT site_id, DOY, round(avg(NEE), 6) AS NEE, round(avg(NEE) FILTER (WHERE NIGHT = 1), 6) AS NEE_night, round(avg(NEE) FILTER (WHERE NIGHT = 0), 6) AS NEE_day FROM obs GROUP BY 1, 2")
@@ -218,6 +219,21 @@ def a28(spark, d):
     return rounded(a.repeated_median_slope(y, "YEAR", "v"), "slope")
 
 
+@query("a28b_slope_test", f"""WITH {MULTI}, y AS (SELECT site_id, YEAR AS x, avg(NEE) AS v FROM obs GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY x, v) - 1 AS i, count(*) OVER (PARTITION BY site_id) AS n FROM y), reps AS (SELECT unnest(range(0, 1000)) AS rep),
+d AS (SELECT p.site_id, rep, p.i, ('0x' || substr(md5('trend-draw-' || p.site_id || '-' || rep || '-' || p.i), 1, 7))::BIGINT % n AS j FROM p, reps),
+m AS (SELECT site_id, rep, i, x, row_number() OVER (PARTITION BY site_id, rep ORDER BY ('0x' || substr(md5('trend-mix-' || site_id || '-' || rep || '-' || i), 1, 7))::BIGINT, i) - 1 AS j FROM p, reps),
+r AS (SELECT 0 AS kind, d.site_id, rep, d.i, q.x, q.v FROM d JOIN p q ON q.site_id = d.site_id AND q.i = d.j UNION ALL SELECT 1, m.site_id, rep, m.i, m.x, q.v FROM m JOIN p q ON q.site_id = m.site_id AND q.i = m.j
+      UNION ALL SELECT 2, site_id, 0, i, x, v FROM p),
+e AS (SELECT a.kind, a.site_id, a.rep, a.i, quantile_cont((b.v - a.v) / (b.x - a.x), 0.5) AS s FROM r a JOIN r b ON a.kind = b.kind AND a.site_id = b.site_id AND a.rep = b.rep AND a.x != b.x GROUP BY 1, 2, 3, 4),
+t AS (SELECT kind, site_id, rep, quantile_cont(s, 0.5) AS s FROM e GROUP BY 1, 2, 3), o AS (SELECT site_id, s AS slope FROM t WHERE kind = 2)
+SELECT o.site_id, round(any_value(slope), 6) AS slope, round(quantile_cont(s, 0.025) FILTER (WHERE kind = 0), 6) AS ci_low, round(quantile_cont(s, 0.975) FILTER (WHERE kind = 0), 6) AS ci_high,
+ round(avg(CASE WHEN kind = 1 THEN (abs(s) >= abs(slope) - 1e-12)::INT::DOUBLE END), 6) AS p_perm FROM t JOIN o USING (site_id) GROUP BY 1""")
+def a28b(spark, d):
+    y = obs_multi(spark, d).groupBy("site_id", "YEAR").agg(F.avg("NEE").alias("v"))
+    return rounded(a.repeated_median_test(stored(y, "annual"), "YEAR", "v"), "slope", "ci_low", "ci_high", "p_perm")
+
+
 @query("a29_extreme_outliers", f"""WITH {MULTI}, x AS (SELECT site_id, l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, MONTH, CASE WHEN l_orderkey % 97 = 0 THEN NEE * 9 ELSE NEE END AS v FROM obs),
 n AS (SELECT *, row_number() OVER (PARTITION BY site_id, MONTH ORDER BY v) AS r FROM x WHERE v IS NOT NULL), c AS (SELECT site_id, MONTH, count(*) AS n, ((count(*) + 1) // 2 + 1) / 2.0 AS dp FROM n GROUP BY 1, 2), mi AS (SELECT site_id, MONTH, count(*) - count(v) AS k FROM x GROUP BY 1, 2),
 h AS (SELECT c.site_id, c.MONTH, avg(v) FILTER (WHERE r IN (floor(dp)::INT, ceil(dp)::INT)) AS lo, avg(v) FILTER (WHERE r IN (floor(n + 1 - dp)::INT, ceil(n + 1 - dp)::INT)) AS hi FROM n JOIN c USING (site_id, MONTH) GROUP BY 1, 2)

@@ -100,7 +100,7 @@ def j12(spark, d):
     obs = obs_multi(spark, d)
     wide = obs.select("site_id").distinct().select("site_id", *[(F.col("site_id") + m * 10).alias(f"Tmin{m}") for m in range(1, 13)])
     rows = j.months_to_rows(wide, "Tmin").withColumn("MONTH", F.col("MONTH").cast("bigint"))
-    return obs.join(F.broadcast(rows), ["site_id", "MONTH"]).groupBy("site_id", "MONTH").agg(F.round(F.sum(F.col("TA") + F.col("value")), 4).alias("warm"))
+    return obs.join(j.small(rows), ["site_id", "MONTH"]).groupBy("site_id", "MONTH").agg(F.round(F.sum(F.col("TA") + F.col("value")), 4).alias("warm"))
 
 
 @query("j13_donor_rows", f"WITH {MULTI}, m AS (SELECT 0 AS target, unnest([3, 5, 7]) AS donor, unnest([0, 1, 2]) AS pos UNION ALL SELECT 1, 3, 0) SELECT target::BIGINT AS target, donor::BIGINT AS donor, pos::BIGINT AS pos, count(*) AS n, round(sum(TA), 4) AS ta FROM m JOIN obs ON donor = site_id GROUP BY 1, 2, 3")

@@ -162,9 +162,9 @@ def _windows(spark, d):
     return sc.season_windows(sites.withColumns({"gStart": F.lit(100), "gEnd": F.lit(200)})).select("site_id", F.col("window").cast("bigint").alias("window"), F.col("w_start").cast("bigint").alias("w_start"), F.col("w_end").cast("bigint").alias("w_end"))
 
 
-@query("m10_adaptive_window", f"""WITH {MULTI}, {_WIN}, e AS (SELECT o.site_id, "window", YEAR, ext, NEE, TS FROM obs o JOIN win ON o.site_id = win.site_id JOIN range(0, 25, 3) x(ext) ON DOY BETWEEN a - ext AND b + ext WHERE NEE IS NOT NULL AND TS IS NOT NULL),
-g AS (SELECT site_id, "window", YEAR, ext, count(*) AS n, quantile_cont(TS, 0.025) AS lo, quantile_cont(TS, 0.975) AS hi, avg(NEE) AS m, quantile_cont(NEE, 0.5) AS md FROM e GROUP BY 1, 2, 3, 4),
-r AS (SELECT *, row_number() OVER (PARTITION BY site_id, "window", YEAR ORDER BY CASE WHEN n >= 60 AND 25 BETWEEN lo AND hi THEN ext ELSE 1000 - ext END) AS k FROM g)
+@query("m10_adaptive_window", f"""WITH {MULTI}, {_WIN}, e AS (SELECT o.site_id, "window", YEAR, ext, b, NEE, TS FROM obs o JOIN win ON o.site_id = win.site_id JOIN range(0, 25, 3) x(ext) ON DOY BETWEEN a - ext AND b + ext WHERE NEE IS NOT NULL AND TS IS NOT NULL),
+g AS (SELECT site_id, "window", YEAR, ext, max(b) AS b, max(TS) AS warmest, count(*) AS n, quantile_cont(TS, 0.025) AS lo, quantile_cont(TS, 0.975) AS hi, avg(NEE) AS m, quantile_cont(NEE, 0.5) AS md FROM e GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id, "window", YEAR ORDER BY CASE WHEN n >= 60 AND (25 BETWEEN lo AND hi OR ext > 0 AND b + ext >= 200 AND 25 >= warmest) THEN ext ELSE 1000 - ext END) AS k FROM g)
 SELECT site_id, "window", YEAR, ext AS extend_days, n, round(lo, 6) AS lo, round(hi, 6) AS hi FROM r WHERE k = 1 AND n > 25 AND 25 BETWEEN lo AND hi AND m >= 0.2 AND md >= 0.2""")
 def m10(spark, d):
     win = _windows(spark, d)
@@ -255,23 +255,26 @@ def _features(spark, d):
     return g.withColumn("id", F.col("site_id") * 1000000 + F.col("YEAR") * 100 + F.col("MONTH"))
 
 
-def _tuned(spark, d):
-    """The features as a table, since forests read them again and again, with the node size and mtry of the best cross-validation."""
-    f = drivers.stored(_features(spark, d), "features")
-    _, node, mtry = drivers.tune(f, "y", _FEATURES, ["site_id"], "id")
-    return f, {"node": node, "mtry": mtry}
+def _stored_features(spark, d):
+    """The features as a table, since forests read them again and again."""
+    return drivers.stored(_features(spark, d), "features")
+
+
+@query("m17_tune")
+def m17t(spark, d):
+    return drivers.tune(_stored_features(spark, d), "y", _FEATURES, ["site_id"], "id")[0]
 
 
 @query("m17_forest")
 def m17(spark, d):
-    f, best = _tuned(spark, d)
-    return drivers.predict(drivers.forest(f, "y", _FEATURES, **best), f, _FEATURES).select("site_id", "YEAR", "MONTH", "y", "prediction")
+    f = _stored_features(spark, d)
+    return drivers.predict(drivers.forest(f, "y", _FEATURES), f, _FEATURES).select("site_id", "YEAR", "MONTH", "y", "prediction")
 
 
 @query("m18_permutation_importance")
 def m18(spark, d):
-    f, best = _tuned(spark, d)
-    return drivers.permutation_importance(drivers.forest(f, "y", _FEATURES, **best), f, "y", _FEATURES, "id")
+    f = _stored_features(spark, d)
+    return drivers.permutation_importance(drivers.forest(f, "y", _FEATURES), f, "y", _FEATURES, "id")
 
 
 @query("m18b_normalised_importance", f"WITH {MULTI}, x AS (SELECT site_id, MONTH, avg(NEE) - 25 AS v FROM obs GROUP BY 1, 2) SELECT site_id, MONTH, round(100 * greatest(v, 0) / sum(greatest(v, 0)) OVER (PARTITION BY site_id), 6) AS varImp FROM x")
@@ -282,8 +285,8 @@ def m18b(spark, d):
 
 @query("m19_partial_dependence")
 def m19(spark, d):
-    f, best = _tuned(spark, d)
-    return drivers.partial_bands(drivers.bootstrap_dependence(f, "y", _FEATURES, ["site_id"], "id", **best))
+    f = _stored_features(spark, d)
+    return drivers.partial_bands(drivers.bootstrap_dependence(f, "y", _FEATURES, ["site_id"], "id"))
 
 
 @query("m19b_partial_bands", f"WITH {MULTI}, g AS (SELECT site_id AS var, MONTH AS x, YEAR, avg(NEE) AS v FROM obs GROUP BY 1, 2, 3) SELECT var, x, round(quantile_cont(v, 0.025), 6) AS q2_5, round(quantile_cont(v, 0.05), 6) AS q5, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95, round(quantile_cont(v, 0.975), 6) AS q97_5 FROM g GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thermoflux.functions import scalars as sc
+from thermoflux.operators.joins import small
 from thermoflux.plans.registry import query
 from thermoflux.plans.views import MULTI, SUB, obs_multi, obs_sub, r6, table
 
@@ -150,7 +151,7 @@ SELECT o.site_id, k AS win, count(*) AS n FROM obs o JOIN w ON o.site_id = w.sit
 def p19b(spark, d):
     obs = obs_multi(spark, d)
     wins = sc.season_windows_rounded(obs.select("site_id").distinct().select("site_id", (60 + F.col("site_id")).alias("gStart"), F.lit(300).alias("gEnd")))
-    j = obs.join(F.broadcast(wins), "site_id").filter("DOY BETWEEN w_start AND w_end")
+    j = obs.join(small(wins), "site_id").filter("DOY BETWEEN w_start AND w_end")
     return j.groupBy("site_id", F.col("window").cast("bigint").alias("win")).agg(F.count("*").alias("n"))
 
 

@@ -15,8 +15,9 @@ _NAMES = """concat(CASE WHEN s_suppkey % 11 = 0 THEN 'x/._' ELSE 'x/' END, 'FLX_
 def s1(spark, d):
     path = io.scratch(spark, "flux")
     sub = obs_sub(spark, d).select(F.concat(F.lit("XX-"), F.upper(F.substring("site_id", 1, 3))).alias("s"), F.when(F.col("event_id") % 7 == 0, -9999.0).otherwise(F.round("NEE", 3)).alias("NEE"), "event_id")
-    for (site,) in sub.select("s").distinct().collect():
-        sub.filter(F.col("s") == site).drop("s").write.csv(f"{path}/AMF_{site}_BASE_HH_1.csv", header=True)
+    # one write for all sites; the folder of a site is named as its file would be
+    folder = F.concat(F.lit("AMF_"), "s", F.lit("_BASE_HH_1"))
+    sub.withColumn("file", folder).drop("s").write.partitionBy("file").csv(path, header=True)
     got = io.read_flux(spark, path, "NEE double, event_id long")
     return got.groupBy("site_id").agg(F.count("*").alias("n"), F.count("NEE").alias("n_nee"), F.round(F.sum("NEE"), 4).alias("nee"))
 

@@ -16,14 +16,25 @@ SENTINEL_TEXTS = ("NA", "NaN", "-9999", "-9999.0", "")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one in local mode, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for data that is read several times; cuts its lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def site_from_path(path: Column) -> Column:
     """Site of a file name like ``FLX_CH-Dav_FLUXNET_HH_2010.csv`` or ``AMF_US-Ha1_BASE_HR_1.csv``."""
-    return F.regexp_extract(path, r"(?:^|/)[A-Za-z]+_([A-Z]{2}-[A-Za-z0-9]{3})_", 1)
+    return F.regexp_extract(path, r"(?:^|[/=])[A-Za-z]+_([A-Z]{2}-[A-Za-z0-9]{3})_", 1)
 
 
 def prefer_half_hourly(files: DataFrame, path_col: str = "path") -> DataFrame:
