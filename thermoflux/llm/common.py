@@ -33,9 +33,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (local tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "fallback", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
         shared_dir.fallback = found
     return found.rstrip("/")
