@@ -369,13 +369,15 @@ def katz_by_force(docs, train):
     ctx, seen, mass = collections.Counter(), collections.Counter(), collections.Counter()
     for (v, _), x in b.items():
         ctx[v] += x
+    # the extra count only where no count of the context is discounted
+    below = {v: n + (0 if any(x <= katz_lm.K for (u, _), x in b.items() if u == v) else 1) for v, n in ctx.items()}
     for (v, w), x in b.items():
-        seen[v] += cut(x, of[1]) / (ctx[v] + 1)
+        seen[v] += cut(x, of[1]) / below[v]
         mass[v] += p[w]
 
     def prob(v, w):
         if b[v, w]:
-            return cut(b[v, w], of[1]) / (ctx[v] + 1)
+            return cut(b[v, w], of[1]) / below[v]
         return ((1 - seen[v]) / (1 - mass[v]) if ctx[v] else 1) * p.get(w, unknown)
 
     for v in ["<s>", *[w for w in c if w is not None], "never seen"]:  # every context sums to 1
@@ -394,12 +396,24 @@ def test_katz(spark, texts, known, monkeypatch):
     for r in got:
         assert tuple(r)[1:4] == want[r["doc_id"]][:3]
         assert (r["base_score"], r["score"]) == pytest.approx(want[r["doc_id"]][3:], rel=1e-9)
+    named = table(spark, texts).withColumn("train", F.col("doc_id") % 3 != 0).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r["doc_id"]: r["score"] for r in katz_lm.score(named).collect()} == pytest.approx({f"d{i}": x[4] for i, x in want.items()}, rel=1e-9)
     empty = table(spark, texts).limit(0).withColumn("train", F.lit(True))
     assert katz_lm.score(empty).count() == 0
     nothing = katz_lm.score(table(spark, ["a b", None]).withColumn("train", F.lit(False))).collect()
     assert [(r["n_known"], r["score"]) for r in nothing] == [(0, 0.0), (0, 0.0)]
 
 
+def test_katz_frees_mass_in_hot_contexts_too(spark, monkeypatch):
+    """Contexts all of whose words are frequent, hot and spread over buckets: the divisor is settled once all buckets are known."""
+    monkeypatch.setattr(katz_lm, "LEAST_BUCKETS", 7)
+    texts = ["a b a b a b a b a b"] * 12 + ["a c", "b d e", "x a b"] + ["a"] * 9
+    docs = dict(enumerate(texts))
+    want = katz_by_force(docs, {i for i in docs if i % 5})
+    got = katz_lm.score(table(spark, texts).withColumn("train", F.col("doc_id") % 5 != 0)).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({i: x[4] for i, x in want.items()}, rel=1e-9)
+
+
 def test_mix_targets_and_positions(spark, texts, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 2)
     docs = table(spark, texts)

@@ -2,21 +2,25 @@
 
 Tokens are words with A-Z lower-cased, then one end token a text; the context of the first token is a start mark.
 * Unigrams: Good-Turing discounted counts over all training tokens; the freed mass is the probability of the one unknown word.
-* Bigrams: P(w | v) = d(c(vw)) c(vw) / (c(v) + 1) where seen (the 1 leaves mass to contexts all of whose counts are beyond discounting),
-  else backoff(v) P(w), with backoff(v) = (1 - sum of seen P(. | v)) / (1 - sum of P(w) over seen w), so every context sums to 1.
-  A context never seen in training has the unigram distribution.
+* Bigrams: P(w | v) = d(c(vw)) c(vw) / c(v) where seen, else backoff(v) P(w), with backoff(v) = (1 - sum of seen P(. | v)) /
+  (1 - sum of P(w) over seen w), so every context sums to 1. A context none of whose counts is discounted frees no mass; it alone has c(v) + 1 for
+  c(v). A context never seen in training has the unigram distribution.
 
-Words travel as 48-bit hashes; the counts live in tables partitioned by hash:
+Words travel as 64-bit hashes, those among the broadcast ones as their places; the counts live in tables partitioned by hash:
 1. Unigram counts of all training texts, by word bucket. Their counts of counts give the unigram discounts; the ``KNOWN`` most frequent
    words (a fixed bound) are broadcast with their counts, which covers most tokens and all hot words.
 2. Tasks turn texts into (context, word, document) occurrences, packed by context bucket. Those of words beyond the broadcast ones
-   first pass their word's bucket, which adds the count. Hot contexts are spread over buckets by word.
+   first pass their word's bucket, which adds the count. Hot contexts (all of them broadcast words) are spread over buckets by word.
 3. A context bucket counts its bigrams over the training texts, and scores every occurrence as far as it can: all but the bigram discounts, of
    which it keeps the numbers a document needs, and the backoff weights, of which it keeps the sums. Counts of counts go along.
 4. With the bigram discounts known, the backoff weights are resolved by context and everything is summed by document.
 
-Cases: null texts are empty (one token, the end); ids are taken as unique, rows with one id are summed as one document; a document learns
-nothing unless ``train`` is true; without training texts every token is unknown with probability 1.
+The order is 2: a third word would need either every occurrence routed a second time, by its two-word context, or the contexts with a frequent
+second word (about a third of all tokens) resolved across buckets.
+
+Cases: null texts are empty (one token, the end); ids are taken as unique, rows with one id (or none) are summed as one document; ids that are
+no integers are named by a 64-bit hash meanwhile; a document learns nothing unless ``train`` is true; without training texts every token is
+unknown with probability 1; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ K = 5
 #: Most frequent words that are broadcast.
 KNOWN = 1 << 18
 #: Occurrences in one packed chunk of a task, and (about) in one bucket.
-CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 2_500_000
+CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 1_200_000
+LEAST_BUCKETS = 16
 START, END = U64(1), U64(2)
 
 
@@ -70,18 +75,18 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype("u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8")
 
 
-def six(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(np.ascontiguousarray(h.astype("<u8")).view("u1").reshape(-1, 8)[:, :6]).view("V6")[:, 0] if len(h) else np.zeros(0, "V6")
+def pack_words(h: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct words as columns: steps between the places of the broadcast ones, hashes of the others."""
+    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    own = known[at] == h if len(known) else np.zeros(len(h), bool)
+    return [narrow(np.diff(at[own], prepend=0)), h[~own]]
 
 
-def eight(h: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(h), 8), "u1")
-    if len(h):
-        wide[:, :6] = np.ascontiguousarray(h).view("u1").reshape(-1, 6)
-    return wide.view("<u8")[:, 0] if len(h) else np.zeros(0, "u8")
+def unpack_words(places: np.ndarray, rest: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([known[np.cumsum(places, dtype="i8")], rest]))
 
 
-def pack_occurrences(v: np.ndarray, w: np.ndarray, c: np.ndarray, doc: np.ndarray, train: bool) -> bytes:
+def pack_occurrences(v: np.ndarray, w: np.ndarray, c: np.ndarray, doc: np.ndarray, train: bool, known: np.ndarray) -> bytes:
     """Occurrences with word counts, sorted by context; words by a dictionary."""
     o = np.lexsort((w, v))
     v, w, c, doc = v[o], w[o], c[o], doc[o]
@@ -89,13 +94,13 @@ def pack_occurrences(v: np.ndarray, w: np.ndarray, c: np.ndarray, doc: np.ndarra
     vocab, at, back = np.unique(w, return_index=True, return_inverse=True)
     ids, dback = np.unique(doc, return_inverse=True)
     flag = np.array([train], "u1")
-    return pack(flag, six(v[first]), narrow(np.diff(np.append(first, len(v)))), six(vocab), narrow(c[at]), narrow(back), ids, narrow(dback))
+    return pack(flag, *pack_words(v[first], known), narrow(np.diff(np.append(first, len(v)))), *pack_words(vocab, known), narrow(c[at]), narrow(back), ids, narrow(dback))
 
 
-def unpack_occurrences(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    flag, v, n, vocab, c, back, ids, dback = unpack(blob)
-    v = np.repeat(eight(v), n)
-    return v, eight(vocab)[back], c.astype("i8")[back], ids[dback], np.full(len(v), bool(flag[0]))
+def unpack_occurrences(blob: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    flag, vk, vr, n, wk, wr, c, back, ids, dback = unpack(blob)
+    v = np.repeat(unpack_words(vk, vr, known), n)
+    return v, unpack_words(wk, wr, known)[back], c.astype("i8")[back], ids[dback], np.full(len(v), bool(flag[0]))
 
 
 # ---------------------------------------------------------------------------------- model numbers
@@ -150,7 +155,8 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     s, e, count = words(low, offs, NOT_SPACE)
     doc = np.repeat(np.arange(len(count)), count)
     w = np.full(len(s) + len(count), END, dtype=U64)
-    w[np.arange(len(s)) + doc] = (span_hashes(byte_values()[low], s, e) >> U64(16)) | U64(4)
+    h = span_hashes(byte_values()[low], s, e)
+    w[np.arange(len(s)) + doc] = np.where(h < U64(4), h + U64(4), h)  # the marks have hashes of their own
     v = np.empty_like(w)
     v[1:] = w[:-1]
     v[np.concatenate([[0], np.cumsum(count + 1)[:-1]]).astype(int)] = START
@@ -192,6 +198,8 @@ def _batch(kind: list[int], bucket: list[int], blob: list[bytes]) -> pa.RecordBa
 _PACKED = "kind int, bucket int, blob binary"
 #: Kinds of packed rows: by context bucket, by word bucket, sums by document group, backoff sums, numbers of a bucket.
 _CONTEXT, _WORD, _PART, _BACKOFF, _STATS = range(5)
+#: Sums of a context: unigram mass of seen words, sum of the counts beyond K, number of seen words with counts 1 to K.
+_SUMS = 2 + K
 
 
 def count_unigrams(docs: DataFrame, buckets: int) -> Unigrams:
@@ -199,34 +207,41 @@ def count_unigrams(docs: DataFrame, buckets: int) -> Unigrams:
         for t, _, w, _ in _chunks(batches):
             if t:
                 word, n = np.unique(w, return_counts=True)
-                rows = [(k, pack(six(word[at]), narrow(n[at]))) for k, at in _by_bucket((mix(word) % U64(buckets)).astype(int), buckets)]
+                rows = [(k, pack(word[at], narrow(n[at]))) for k, at in _by_bucket((mix(word) % U64(buckets)).astype(int), buckets)]
                 yield _batch([_WORD] * len(rows), [r[0] for r in rows], [r[1] for r in rows])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(x) for x in pdf["blob"]]
-        word, back = np.unique(np.concatenate([eight(p[0]) for p in parts]), return_inverse=True)
+        word, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         n = np.bincount(back, weights=np.concatenate([p[1].astype(float) for p in parts])).astype("i8")
         texts = int(n[word == END].sum())
         low = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2]
-        top = np.argsort(-n, kind="stable")[: max(1, KNOWN // buckets)]
-        return pd.DataFrame({"blob": [pack(np.array([n.sum(), len(n), texts, *low], "i8"), six(word[top]), n[top])]})
-
-    got = docs.mapInArrow(emit, _PACKED).groupBy("bucket").applyInPandas(lambda pdf: add(pdf), "blob binary").toArrow()
-    parts = [unpack(x) for x in got["blob"].to_pylist()]
-    nums = sum((p[0] for p in parts), np.zeros(K + 4, "i8"))
-    word = np.concatenate([np.zeros(0, "u8"), *[eight(p[1]) for p in parts]])
-    n = np.concatenate([np.zeros(0, "i8"), *[p[2] for p in parts]])
+        # twice the bucket's share of the broadcast words; which ones are broadcast changes no result
+        top = np.argsort(-n, kind="stable")[: max(KNOWN // buckets * 2, 64)]
+        sums = [[int(n.sum()), len(n), texts, *map(int, low)]] + [None] * (len(top) - 1)
+        return pd.DataFrame({"sums": sums[: max(1, len(top))], "word": word[top].view("i8"), "n": n[top]})
+
+    # one row a frequent word; the first row of a bucket holds its sums
+    got = staged(docs.mapInArrow(emit, _PACKED).groupBy("bucket").applyInPandas(lambda pdf: add(pdf), "sums array<long>, word long, n long"), "unigrams")
+    nums = got.filter("sums IS NOT NULL").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    sums = np.zeros(4 + K, "i8")
+    for r in nums:
+        sums[r["i"]] = r["x"]
+    top = got.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n").toArrow()
+    word, n = top["word"].to_numpy().view("u8"), top["n"].to_numpy()
     o = np.argsort(word)
-    return Unigrams(int(nums[0]), int(nums[1]), int(nums[2]), nums[3:], word[o], n[o])
+    return Unigrams(int(sums[0]), int(sums[1]), int(sums[2]), sums[3:], word[o], n[o])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: str = "train") -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score (add-half unigrams, log10) and score (log10
     probability of the text). ``docs`` has a boolean column ``train``."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text_col).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    integral = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col(id_col).cast("long") if integral else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    rows = docs.select(F.coalesce(number, F.lit(-(2**63))).alias("doc"), F.col(text_col).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, int(size // 6 // BUCKET_TOKENS) + 1)
+    buckets = max(LEAST_BUCKETS, int(size // 6 // BUCKET_TOKENS) + 1)
     uni = count_unigrams(rows, buckets)
     # contexts that would fill more than a quarter of a bucket are spread by word
     hot = np.append(uni.known[uni.known_count > uni.total / (4 * buckets)], START)
@@ -236,8 +251,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
         return (mix(np.where(hot[at] == v, v ^ mix(w), v)) % U64(buckets)).astype(int)
 
-    def contexts(v, w, c, doc, t, hot) -> list[tuple[int, int, bytes]]:
-        return [(_CONTEXT, k, pack_occurrences(v[at], w[at], c[at], doc[at], t)) for k, at in _by_bucket(context_bucket(v, w, hot), buckets)]
+    def contexts(v, w, c, doc, t, hot, known) -> list[tuple[int, int, bytes]]:
+        return [(_CONTEXT, k, pack_occurrences(v[at], w[at], c[at], doc[at], t, known)) for k, at in _by_bucket(context_bucket(v, w, hot), buckets)]
 
     def parts(doc: np.ndarray, *sums: np.ndarray) -> list[tuple[int, int, bytes]]:
         """Sums (n_tokens, n_known, base, score, numbers of discounted bigrams) of documents, packed by document group."""
@@ -256,7 +271,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             v, w, doc = v[rare], w[rare], doc[rare]
             zero = np.zeros(len(w), "u1")
             # packed with word and context exchanged: the word is the key there
-            out = [(_WORD, k, pack_occurrences(w[at], v[at], zero[at], doc[at], t)) for k, at in _by_bucket((mix(w) % U64(buckets)).astype(int), buckets)]
+            out = [(_WORD, k, pack_occurrences(w[at], v[at], zero[at], doc[at], t, uni.known)) for k, at in _by_bucket((mix(w) % U64(buckets)).astype(int), buckets)]
             if out:
                 yield _batch(*map(list, zip(*out, strict=True)))
 
@@ -264,19 +279,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         uni, hot = shared.value
         for t, v, w, doc in _chunks(batches):
             ok, c = uni.look(w)
-            out = contexts(v[ok], w[ok], c[ok], doc[ok], t, hot) + base_parts(doc[ok], c[ok])
+            out = contexts(v[ok], w[ok], c[ok], doc[ok], t, hot, uni.known) + base_parts(doc[ok], c[ok])
             if out:
                 yield _batch(*map(list, zip(*out, strict=True)))
 
     def add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, hot = shared.value
-        w, v, _, doc, t = map(np.concatenate, zip(*[unpack_occurrences(x) for x in pdf["blob"]], strict=True))
+        uni, hot = shared.value
+        w, v, _, doc, t = map(np.concatenate, zip(*[unpack_occurrences(x, uni.known) for x in pdf["blob"]], strict=True))
         _, back = np.unique(w, return_inverse=True)
         c = np.bincount(back, weights=t).astype("i8")[back]
         out = base_parts(doc, c)
         for flag in (True, False):
             own = t == flag
-            out += contexts(v[own], w[own], c[own], doc[own], flag, hot)
+            out += contexts(v[own], w[own], c[own], doc[own], flag, hot, uni.known)
         return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
 
     # the texts are read once for the rare words and once for the others: cheaper than keeping all occurrences
@@ -294,7 +309,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             ids, n, known, base, lin, *by = summed(pdf["blob"])
             return pd.DataFrame(parts(ids, n.astype("i8"), known.astype("i8"), base, lin, *[x.astype("i8") for x in by]), columns=["kind", "bucket", "blob"])
         uni, hot = shared.value
-        v, w, c, doc, t = map(np.concatenate, zip(*[unpack_occurrences(x) for x in pdf["blob"]], strict=True))
+        v, w, c, doc, t = map(np.concatenate, zip(*[unpack_occurrences(x, uni.known) for x in pdf["blob"]], strict=True))
         o = np.lexsort((w, v))
         v, w, c, doc, t = v[o], w[o], c[o], doc[o], t[o]
         pair = np.ones(len(v), bool)
@@ -320,18 +335,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         on, oc = n[which], total[cwhich][which]
         seen = on > 0
         ids, back = np.unique(doc, return_inverse=True)
-        lin = np.where(seen, np.log10(np.maximum(on, 1) / (oc + 1.0)), np.log10(uni.probability(c)))
+        # a context with a discounted count frees mass; whether one without any here has some elsewhere is not known yet if it is hot
+        some = np.sum(low, axis=0) > 0
+        late = (is_hot & ~some)[cwhich][which] & seen
+        below = np.where(late, 1.0, oc + np.where(some, 0.0, 1.0)[cwhich][which])
+        lin = np.where(seen, np.log10(np.maximum(on, 1) / np.maximum(below, 1.0)), np.log10(uni.probability(c)))
         by = [np.bincount(back, weights=seen & (on == r), minlength=len(ids)).astype("i8") for r in range(1, K + 1)]
         zero = np.zeros(len(ids), "u1")
         out = parts(ids, zero, zero, np.zeros(len(ids), "f4"), np.bincount(back, weights=lin, minlength=len(ids)), *by)
         stats = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2]
         out.append((_STATS, 0, pack(stats.astype("i8"))))
-        # occurrences that back off from a context seen in training (hot ones are seen, if not in this bucket)
-        off = np.flatnonzero(~seen & (oc > 0))
+        # occurrences that back off from a context seen in training (hot ones are seen, if not in this bucket), and those whose divisor is open
+        off = np.flatnonzero((~seen & (oc > 0)) | late)
         oct_ = cwhich[which[off]]
         used = np.unique(np.concatenate([oct_, np.flatnonzero(is_hot)]))
-        key, n_off = np.unique(np.stack([np.searchsorted(used, oct_), back[off]], axis=1), axis=0, return_counts=True) if len(off) else (np.zeros((0, 2), int), np.zeros(0, int))
-        out.append((_BACKOFF, 0, pack(six(cv[used]), total[used], mass[used], big[used], *[narrow(x[used]) for x in low], narrow(key[:, 0]), ids[key[:, 1]], narrow(n_off))))
+        place = np.searchsorted(used, oct_)
+        key, kback = np.unique(place * len(ids) + back[off], return_inverse=True)
+        n_off, n_late = (np.bincount(kback, weights=x, minlength=len(key)).astype("i8") for x in (~late[off], late[off]))
+        out.append((_BACKOFF, 0, pack(cv[used], is_hot[used].astype("u1"), total[used], mass[used], big[used], *[narrow(x[used]) for x in low],
+                                      narrow(key // max(1, len(ids))), ids[key % max(1, len(ids))], narrow(n_off), narrow(n_late))))
         return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
 
     group = F.when(F.col("kind") == _CONTEXT, F.col("bucket")).otherwise(-1 - F.col("bucket")).alias("g")
@@ -341,47 +363,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     n_r = sum((unpack(x)[0] for x in stats["blob"].to_pylist()), np.zeros(K + 1, "i8"))
     d = discounts(n_r.astype(float))
 
-    # backoff sums of the hot contexts meet from all buckets: at most 4 * buckets + 1 contexts
+    # the sums of hot contexts meet from all buckets: at most KNOWN + 1 contexts, as broadcast arrays
     def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, hot = shared.value
-        total: dict[int, np.ndarray] = {}
         for b in batches:
             for x in b.column(0):
-                v, _, mass, big, *low = unpack(x.as_py())[: 4 + K]
-                v = eight(v)
-                for i in np.flatnonzero(np.isin(v, hot)):
-                    own = np.array([mass[i], big[i], *[q[i] for q in low]], dtype=float)
-                    total[int(v[i])] = total.get(int(v[i]), 0.0) + own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["v", "sums"])
+                v, is_hot, _, *sums = unpack(x.as_py())[: 3 + _SUMS]
+                at = np.flatnonzero(is_hot)
+                columns = [pa.array(q[at].astype(float)) for q in sums]
+                yield pa.RecordBatch.from_arrays([pa.array(v[at].view("i8")), *columns], ["v", *[f"s{i}" for i in range(_SUMS)]])
 
     backoff = counted.filter(F.col("kind") == _BACKOFF).select("blob")
-    sums: dict[int, np.ndarray] = {}
-    partial = backoff.mapInArrow(hot_sums, "v long, sums array<double>").select("v", F.posexplode("sums").alias("i", "x")).groupBy("v", "i").agg(F.sum("x").alias("x"))
-    for r in partial.collect():
-        sums.setdefault(r["v"], np.zeros(2 + K))[r["i"]] = r["x"]
-    resolved = sc.broadcast((d, sums))
+    fields = ", ".join(f"s{i} double" for i in range(_SUMS))
+    met = backoff.mapInArrow(hot_sums, f"v long, {fields}").groupBy("v").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(_SUMS)]).toArrow()
+    hot_v = met["v"].to_numpy().view("u8")
+    o = np.argsort(hot_v)
+    resolved = sc.broadcast((d, hot_v[o], np.stack([met[f"s{i}"].to_numpy() for i in range(_SUMS)], axis=1)[o]))
 
     def back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, sums = resolved.value
+        d, hot_v, hot_sum = resolved.value
         r = np.arange(1, K + 1)
         for b in batches:
             for x in b.column(0):
-                v, total, mass, big, *rest = unpack(x.as_py())
-                low, (at, doc, n) = np.stack(rest[:K], axis=1).astype(float).reshape(-1, K), rest[K:]
-                for i, h in enumerate(eight(v)):
-                    if int(h) in sums:
-                        mass, big = mass.astype(float), big.astype(float)
-                        mass[i], big[i], low[i] = sums[int(h)][0], sums[int(h)][1], sums[int(h)][2:]
-                kept = (low @ (r * d) + big) / (total + 1.0)
-                weight = np.log10((1.0 - kept) / np.maximum(1.0 - mass, 1e-300))
+                v, is_hot, total, *rest = unpack(x.as_py())
+                sums, (at, doc, n_off, n_late) = np.stack(rest[:_SUMS], axis=1).astype(float).reshape(-1, _SUMS), rest[_SUMS:]
+                own = np.flatnonzero(is_hot)
+                sums[own] = hot_sum[np.searchsorted(hot_v, v[own])]
+                mass, big, low = sums[:, 0], sums[:, 1], sums[:, 2:]
+                below = np.maximum(total + np.where(low.sum(axis=1) > 0, 0.0, 1.0), 1.0)
+                kept = (low @ (r * d) + big) / below
+                weight = np.log10(np.maximum(1.0 - kept, 1e-300) / np.maximum(1.0 - mass, 1e-300))
                 ids, back = np.unique(doc, return_inverse=True)
                 zero = np.zeros(len(ids), "u1")
-                out = parts(ids, zero, zero, np.zeros(len(ids), "f4"), np.bincount(back, weights=weight[at] * n, minlength=len(ids)), *[zero] * K)
+                extra = weight[at] * n_off - np.log10(below)[at] * n_late
+                out = parts(ids, zero, zero, np.zeros(len(ids), "f4"), np.bincount(back, weights=extra, minlength=len(ids)), *[zero] * K)
                 if out:
                     yield _batch(*map(list, zip(*out, strict=True)))
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, _ = resolved.value
+        d = resolved.value[0]
         ids, n, known, base, lin, *by = summed(pdf["blob"])
         lin = lin + sum(x * np.log10(d[r]) for r, x in enumerate(by))
         base = base - n * np.log10(uni_total)
@@ -391,7 +410,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     every = counted.filter(F.col("kind") == _PART).select("bucket", "blob")
     every = every.unionByName(backoff.mapInArrow(back_off, _PACKED).select("bucket", "blob"))
     out = every.groupBy("bucket").applyInPandas(lambda pdf: total(pdf), "doc long, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.when(F.col("doc") != -(2**63), F.col("doc")).alias(id_col), "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score")
+    columns = ["n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score"]
+    if integral:
+        kind = docs.schema[id_col].dataType
+        return out.select(F.when(F.col("doc") != -(2**63), F.col("doc")).cast(kind).alias(id_col), *columns)
+    names = docs.select(F.coalesce(number, F.lit(-(2**63))).alias("doc"), F.col(id_col)).distinct()
+    return out.join(names, "doc").select(F.col(id_col), *columns)
 
 
 def _sum_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
