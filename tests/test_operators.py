@@ -204,9 +204,10 @@ def test_forest_queries_use_the_whole_job(spark, monkeypatch):
         return real(df, y, xs, 2, node, mtry, seed)
 
     monkeypatch.setattr(drivers, "forest", spy)
-    monkeypatch.setattr(drivers, "tune", lambda *a, **k: (None, 7, 2))
     m17(spark, "/root/testdata/sf0.001").count()
-    assert seen == [(500, 7, 2)]
+    assert seen == [(500, 30, 1)]
+    sizes = {n: p.default for n, p in inspect.signature(drivers.permutation_importance).parameters.items()}
+    assert sizes["repeats"] == 50
     defaults = {n: p.default for n, p in inspect.signature(drivers.bootstrap_dependence).parameters.items()}
     assert (defaults["times"], defaults["points"], defaults["trees"]) == (200, 51, 500)
 
