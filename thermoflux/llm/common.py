@@ -93,6 +93,38 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(U64) * _MIX2)
 
 
+#: Bytes whose 64-bit values are held at once.
+BLOCK_BYTES = 1 << 21
+
+
+def _long_hash(run: np.ndarray) -> np.ndarray:
+    """Hash of one long run of bytes, block by block."""
+    p, _ = powers(BLOCK_BYTES)
+    total, power = np.zeros(1, U64), np.ones(1, U64)
+    for lo in range(0, len(run), BLOCK_BYTES):
+        own = byte_values()[run[lo : lo + BLOCK_BYTES]]
+        total += power * np.sum(own * p[: len(own)], dtype=U64)
+        power = power * p[BLOCK_BYTES - 1] * _MULT
+    return mix(total + U64(len(run)) * _MIX2)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of runs of bytes (``starts`` ascending) that widens only a block of the bytes at a time."""
+    if len(buf) <= BLOCK_BYTES:
+        return span_hashes(byte_values()[buf], starts, ends)
+    out = np.empty(len(starts), dtype=U64)
+    long = ends - starts > BLOCK_BYTES
+    for i in np.flatnonzero(long):
+        out[i] = _long_hash(buf[starts[i] : ends[i]])[0]
+    cuts = np.searchsorted(starts, np.arange(0, len(buf) + BLOCK_BYTES, BLOCK_BYTES))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = a + np.flatnonzero(~long[a:b])
+        if len(own):
+            lo, hi = starts[own[0]], ends[own].max()
+            out[own] = span_hashes(byte_values()[buf[lo:hi]], starts[own] - lo, ends[own] - lo)
+    return out
+
+
 # ---------------------------------------------------------------------------------- tokens
 
 _LOWER = np.arange(256, dtype=np.uint8)

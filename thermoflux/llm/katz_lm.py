@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermoflux.llm.common import NOT_SPACE, U64, byte_values, lowered, mix, slices, span_hashes, staged, words
+from thermoflux.llm.common import NOT_SPACE, U64, lowered, mix, slices, staged, word_hashes, words
 
 #: Counts up to this one are discounted.
 K = 5
 #: Most frequent words that are broadcast.
 KNOWN = 1 << 18
 #: Occurrences in one packed chunk of a task, and (about) in one bucket.
-CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 1_200_000
-LEAST_BUCKETS = 16
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 1_200_000
+LEAST_BUCKETS = 64
 START, END = U64(1), U64(2)
 
 
@@ -155,7 +155,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     s, e, count = words(low, offs, NOT_SPACE)
     doc = np.repeat(np.arange(len(count)), count)
     w = np.full(len(s) + len(count), END, dtype=U64)
-    h = span_hashes(byte_values()[low], s, e)
+    h = word_hashes(low, s, e)
     w[np.arange(len(s)) + doc] = np.where(h < U64(4), h + U64(4), h)  # the marks have hashes of their own
     v = np.empty_like(w)
     v[1:] = w[:-1]
@@ -177,8 +177,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarra
                 held[t].append((v[own], w[own], ids[lo + doc[own]]))
                 count[t] += int(own.sum())
                 if count[t] >= CHUNK_TOKENS:
-                    yield t, *map(np.concatenate, zip(*held[t], strict=True))
+                    chunk = [np.concatenate(x) for x in zip(*held[t], strict=True)]
                     held[t], count[t] = [], 0
+                    for lo_ in range(0, len(chunk[0]), 2 * CHUNK_TOKENS):  # a very long text is several chunks
+                        yield t, *[x[lo_ : lo_ + 2 * CHUNK_TOKENS] for x in chunk]
     for t in (True, False):
         if count[t]:
             yield t, *map(np.concatenate, zip(*held[t], strict=True))
