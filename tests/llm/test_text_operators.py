@@ -8,12 +8,15 @@ import math
 import os
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, queries, substring_dedup, toxicity
+from thermoflux.llm import chat_format, common, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, queries, substring_dedup, toxicity
+from thermoflux.llm.linear import dual_coordinate_descent, probability
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, score string, size string, position int"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -354,7 +357,124 @@ def test_toxicity_held_out(spark):
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
 
 
-def katz_by_force(docs, train):
+def test_very_long_texts_in_blocks(monkeypatch):
+    """Texts beyond a block give what they give in one piece."""
+    rng = np.random.default_rng(9)
+    letters = np.frombuffer(b"abcdefgh \n\xc3\xa9", dtype=np.uint8)
+    buf = letters[rng.integers(0, 10, 60_000)].copy()
+    buf[20_000:31_000] = ord("x")  # one word longer than a block
+    s, e, _ = common.words(buf, np.array([0, len(buf)]), common.NOT_SPACE)
+    whole = common.span_hashes(common.byte_values()[buf], s, e)
+    monkeypatch.setattr(common, "BLOCK_BYTES", 4096)
+    assert (common.word_hashes(buf, s, e) == whole).all()
+
+    text = " ".join(["".join(rng.choice(list("abcdé"), 5)) for _ in range(4000)]).encode()
+    model = np.log(rng.random((language_id.BUCKETS, 2))).astype(np.float32)
+    whole, letter = language_id.log_posteriors(model, np.zeros(2), pa.array([text]))
+    monkeypatch.setattr(language_id, "PART_BYTES", 1000)
+    parts, _ = language_id.log_posteriors(model, np.zeros(2), pa.array([text]))
+    assert letter.all() and np.allclose(whole, parts)
+
+    words_ = text.split()
+    for at, w in ((100, b"idiot"), (1500, b"idixot"), (3900, b"worthless")):
+        words_[at] = w
+    toxic = toxicity.ToxicityModel([b" idiot ", b" worthless "], rng.random((toxicity.RANKS * len(toxicity.LEVELS), 2)), -1.0, (1.0, 0.0), None)
+    whole = toxic.of([b" ".join(words_)])
+    monkeypatch.setattr(toxicity, "PASS_BYTES", 1000)
+    monkeypatch.setattr(toxicity, "OVERLAP", 200)
+    assert toxic.of([b" ".join(words_)]) == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("operator,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_ties_repeats_and_nothing(spark, operator, label):
+    rows = [(i, "good plain words here" if i % 2 else "###!! idiot ###!!") for i in range(60)] * 2 + [(None, None), (None, "good plain words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"predicted": F.lit("mine"), "y": F.lit(1), "_id": F.lit(2)})
+    labels = spark.createDataFrame([(i, int(i % 2 == (label == "quality"))) for i in range(60)] * 2, f"doc_id long, {label} int")
+    model = operator.fit(docs, labels, label)
+    got = operator.score(docs, model).collect()
+    assert len(got) == len(rows) and {(r["y"], r["_id"]) for r in got} == {(1, 2)}
+    assert len({(r["text"], r["score"]) for r in got}) == 3  # equal texts score alike
+    assert operator.score(docs.limit(0), model).count() == 0
+    empty = operator.fit(docs.limit(0), labels, label)
+    assert {r["score"] for r in operator.score(docs, empty).collect()} == {0.5}
+    again = operator.score(docs, operator.fit(docs.repartition(7), labels, label)).collect()
+    assert sorted((str(r["doc_id"]), r["score"]) for r in again) == sorted((str(r["doc_id"]), r["score"]) for r in got)
+    few = operator.fit(docs, labels, label, max_bytes=100) if operator is toxicity else None  # fewer bytes, fewer documents
+    assert few is None or few.constant is not None or few.landmarks is not None
+
+
+def quality_features_by_force(text):
+    """The indicators of a text as names: words, shapes, pairs of shapes, and the shares that they reach."""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    low = [w.translate(LOWER) for w in ws]
+    shape = []
+    for i, w in enumerate(ws):
+        s = re.sub(r"[a-z\u0080-\uffff]+", "a", re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", w)))
+        shape.append("=" if i and low[i] == low[i - 1] else re.sub(r"(.)\1+", r"\1", s))
+    grams = collections.Counter([("s", x) for x in shape] + [("p", a, b) for a, b in itertools.pairwise(shape)])
+    out = {("w", w) for w in low} | set(grams)
+    return out | {(g, k) for g, n in grams.items() for k, least in enumerate(quality._SHARES, 1) if n / len(ws) >= least}
+
+
+def test_quality_by_force():
+    """Features are those of the plain version, ratios are add-one log count ratios, and the weights meet the conditions of the hinge-loss optimum."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["Good", "plain", "word", "and", "more"] if i % 2 else ["BUY", "now!!", "$$$", "click", "1234", "buy", "buy"]) for _ in range(rng.randint(3, 30))) for i in range(80)]
+    y = np.array([i % 2 for i in range(80)])
+    at, bounds = quality.features(*toxicity._joined([t.encode() for t in texts]))
+    own = [at[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    names = [quality_features_by_force(t) for t in texts]
+    assert [len(x) for x in own] == [len(x) for x in names]
+    for i, j in itertools.combinations(range(0, 80, 7), 2):
+        assert len(np.intersect1d(own[i], own[j])) == len(names[i] & names[j])
+    r = quality.log_count_ratios(own, y)
+    p, q = (collections.Counter(f for x, label in zip(own, y, strict=True) if label == k for f in x.tolist()) for k in (1, 0))
+    n = [sum(c.values()) + quality.BUCKETS for c in (p, q)]
+    for f in set(p) | set(q):
+        assert r[f] == pytest.approx(math.log((p[f] + 1) / n[0]) - math.log((q[f] + 1) / n[1]))
+    cost = 1e-3
+    w, bias = dual_coordinate_descent([(x, r[x]) for x in own], y, quality.BUCKETS, cost=cost, epochs=400)
+    sign = np.where(y > 0, 1, -1)
+    dense = np.zeros((80, quality.BUCKETS))
+    for i, x in enumerate(own):
+        dense[i, x] = r[x]
+
+    def loss(w, b):
+        return 0.5 * (w @ w + b * b) + cost * np.maximum(0, 1 - sign * (dense @ w + b)).sum()
+
+    best, gen = loss(w, bias), np.random.default_rng(3)
+    for scale in (1e-3, 1e-2, 0.1):
+        for _ in range(20):
+            assert loss(w + scale * np.abs(w).max() * gen.normal(size=len(w)) * (w != 0), bias + scale * gen.normal() * abs(bias)) >= best - 1e-7
+    model = quality.fit_rows(own, y)
+    got = model.score(pa.array(texts))
+    want = probability(np.array([model.weights[x].astype(float).sum() + model.bias for x in own]), model.calibration)
+    assert got == pytest.approx(want) and ((got >= 0.5) == (y == 1)).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name,columns", [
+    ("op2_language_id", "doc_id bigint, held_out boolean, lang_pred string, score double"), ("op5_suffix_dedup", "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"),
+    ("op7_toxicity", "doc_id bigint, held_out boolean, score double, predicted int"), ("op10_quality", "doc_id bigint, held_out boolean, score double, predicted int"),
+    ("op8_katz_lm", "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"),
+])
+def test_queries_keep_their_contract(spark, name, columns):
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) == columns
+    got = out.collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    rule = {"op2_language_id": (5, 0), "op7_toxicity": (3, 1), "op8_katz_lm": (5, 1), "op10_quality": (4, 2)}.get(name)
+    for r in got:
+        assert rule is None or r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % rule[0] == rule[1])
+        if "predicted" in out.columns:
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+    if name == "op8_katz_lm":
+        want = katz_by_force(docs, {i for i in docs if zlib.crc32(str(i).encode()) % 5 != 1}, check=False)
+        assert {r["doc_id"]: tuple(r)[2:] for r in got} == {i: (*x[:3], pytest.approx(x[3], rel=1e-9), pytest.approx(x[4], rel=1e-9)) for i, x in want.items()}
+
+
+def katz_by_force(docs, train, check=True):
     seq = {i: [*words_of(t), None] for i, t in docs.items()}
     c = collections.Counter(w for i in train for w in seq[i])
     total, types = sum(c.values()), len(c)
@@ -380,7 +500,7 @@ def katz_by_force(docs, train):
             return cut(b[v, w], of[1]) / below[v]
         return ((1 - seen[v]) / (1 - mass[v]) if ctx[v] else 1) * p.get(w, unknown)
 
-    for v in ["<s>", *[w for w in c if w is not None], "never seen"]:  # every context sums to 1
+    for v in ["<s>", *[w for w in c if w is not None], "never seen"] if check else ():  # every context sums to 1
         assert sum(prob(v, w) for w in c) + prob(v, "unknown word") == pytest.approx(1)
     return {i: (len(s), sum(c[w] > 0 for w in s), total, sum(math.log10((c[w] + 0.5) / (total + 0.5 * (types + 1))) for w in s), sum(math.log10(prob(v, w)) for v, w in zip(["<s>", *s], s))) for i, s in seq.items()}
 

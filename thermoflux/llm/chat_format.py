@@ -10,7 +10,9 @@ counted in two levels (buckets of a bounded size by the leading digits of the or
 
 Cases: turns are ordered by turn, role, text (nulls first); a null text is empty and a null role is 'null'; turns repeated
 exactly stay repeated; a conversation without a partner gives a row with null rejected columns, an empty prompt and its
-whole text as the completion; equal conversations give empty completions; an empty table gives no rows.
+whole text as the completion; equal conversations give empty completions; an empty table gives no rows. A conversation is one array in one
+task, so its texts, however long, must fit there. Only conv_id, turn, role and text are read: ``pair_conversations`` leaves other columns of the
+turns out, whatever their names; ``format_pairs`` keeps other columns of the pairs and replaces those that it adds.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermoflux.llm.common import ALNUM, byte_values, lowered, slices, span_hashes, staged, words
+from thermoflux.llm.common import ALNUM, lowered, slices, span_hashes, staged, word_hashes, words
 
 N = 10
 #: Windows in a broadcast set (some 500 bytes each once they are dictionaries).
@@ -48,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id",
             for lo, hi, buf, offs in slices(batch.column(1)):
                 low = lowered(buf)
                 s, e, count = words(low, offs, ALNUM)
-                wh = span_hashes(byte_values()[low], s, e)
+                wh = word_hashes(low, s, e)
                 at = np.concatenate([[0], np.cumsum(count)])
                 for k in range(hi - lo):
                     size = min(n, int(count[k]))
@@ -82,7 +82,7 @@ class _Set:
         low = lowered(buf)
         s, e, count = words(low, offs, ALNUM)
         doc = np.repeat(np.arange(len(count)), count)
-        wh = span_hashes(byte_values()[low], s, e)
+        wh = word_hashes(low, s, e)
         found = []
         for size, table in self.by_size.items():
             if len(s) < size:
@@ -141,7 +141,7 @@ def _text_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
                 low = lowered(buf)
                 s, e, count = words(low, offs, ALNUM)
                 doc = np.repeat(np.arange(len(count)), count)
-                wh = span_hashes(byte_values()[low], s, e)
+                wh = word_hashes(low, s, e)
                 for size in sizes:
                     first = np.arange(max(0, len(s) - size + 1))
                     first = first[doc[first] == doc[first + size - 1]]

@@ -27,6 +27,8 @@ from thermoflux.llm.common import U64, lowered, mix, slices, staged
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 17
 MAX_MATRIX_BYTES = 64 << 20
+#: Bytes of a very long text that are handled at once.
+PART_BYTES = 1 << 22
 #: Added to every count.
 SMOOTHING = 0.5
 
@@ -54,7 +56,19 @@ def _blocks(languages: int, max_bytes: int) -> list[tuple[int, int]]:
 
 
 def _ngrams(buf: np.ndarray, offs: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: bucket of each n-gram, and the offsets of the documents in it. No n-gram crosses documents."""
+    """For each order: bucket of each n-gram, and the offsets of the documents in it. No n-gram crosses documents.
+
+    A very long text (a slice of its own) comes in several parts, each with the n-grams that start in it."""
+    if len(offs) == 2 and len(buf) > 2 * PART_BYTES:
+        cuts = [0]
+        while cuts[-1] + PART_BYTES < len(buf):
+            at = cuts[-1] + PART_BYTES
+            cuts.append(at - next(k for k in range(4) if buf[at - k] & 0xC0 != 0x80))  # the start of a character
+        for lo, hi in zip(cuts, [*cuts[1:], len(buf)], strict=True):
+            chars = int(((buf[lo:hi] & 0xC0) != 0x80).sum())
+            for bucket, _ in _ngrams(buf[lo : hi + 4 * max(ORDERS)], np.array([0, min(len(buf) - lo, hi - lo + 4 * max(ORDERS))]), buckets):
+                yield bucket[:chars], np.array([0, min(chars, len(bucket))])
+        return
     low = lowered(buf)
     start = np.flatnonzero((low & 0xC0) != 0x80)
     size = np.diff(np.append(start, len(low)))
@@ -109,8 +123,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     low = lowered(buf)
-    total = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
-    out = np.diff(total[offs]) > 0
+    letter = (low >= 97) & (low <= 122)
+    out = np.array([letter.any()]) if len(offs) == 2 else np.diff(np.concatenate([[0], np.cumsum(letter)])[offs]) > 0
     for d in np.flatnonzero(~out & (np.diff(offs) > 0)):
         out[d] = any(c.isalpha() for c in buf[offs[d] : offs[d + 1]].tobytes().decode())
     return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoflux.llm.common import NOT_SPACE, U64, byte_values, lowered, mix, slices, span_hashes, staged, words
+from thermoflux.llm.common import NOT_SPACE, U64, lowered, mix, slices, span_hashes, staged, word_hashes, words
 from thermoflux.llm.components import components
 
 SHINGLE = 5
@@ -44,7 +44,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     """Sorted distinct shingle hashes of each document, end to end, and their offsets (at most _DOCS documents)."""
     low = lowered(buf)
     s, e, count = words(low, offs, NOT_SPACE)
-    wh = span_hashes(byte_values()[low], s, e)
+    wh = word_hashes(low, s, e)
     doc = np.repeat(np.arange(len(count), dtype=np.int64), count)
     at = np.concatenate([[0], np.cumsum(count)])
     first = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)

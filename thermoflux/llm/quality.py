@@ -8,8 +8,8 @@ Features of a text are indicators, hashed into ``BUCKETS``:
 The ratio r of a feature is log((1 + p) / |p|) - log((1 + q) / |q|) over the labelled documents; a row holds r at the indices of
 its indicators. Dual coordinate descent fits the hinge-loss model; margins of left-out folds calibrate the probability.
 
-The fit uses at most ``MAX_LABELLED`` labelled documents (those with the smallest hash of their id), whose hashed features
-are collected; scoring runs over all texts with a broadcast weight vector of ``BUCKETS`` floats.
+The fit uses at most ``MAX_LABELLED`` labelled documents and ``MAX_FIT_BYTES`` bytes of them (those with the smallest hash of their id), whose hashed
+features are collected; scoring runs over all texts with a broadcast weight vector of ``BUCKETS`` floats.
 
 Cases: null and empty texts have no features and get the model's base probability; rows without a label (null, or none in
 ``labels``) teach nothing; repeated rows count as often as they occur; with one class only every score is that class's share (0 or 1), without
@@ -23,16 +23,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoflux.llm.common import NOT_SPACE, U64, byte_values, lowered, mix, slices, span_hashes, words
+from thermoflux.llm.common import NOT_SPACE, U64, lowered, mix, slices, word_hashes, words
 from thermoflux.llm.linear import dual_coordinate_descent, margins, platt, probability
 
 BITS = 18
 BUCKETS = 1 << BITS
 #: Bound on the labelled documents that the fit uses.
 MAX_LABELLED = 8000
+MAX_FIT_BYTES = 64 << 20
 THRESHOLD = 0.7
 _SHARES = (1 / 32, 1 / 8, 1 / 2)
 
@@ -45,13 +46,13 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     s, e, count = words(buf, offs, NOT_SPACE)
     n_docs = len(count)
     doc = np.repeat(np.arange(n_docs, dtype=np.int64), count)
-    word = span_hashes(byte_values()[lowered(buf)], s, e)
+    word = word_hashes(lowered(buf), s, e)
     shape = _SHAPE[buf]
     first = np.ones(len(buf), dtype=bool)
     first[1:] = shape[1:] != shape[:-1]
     first[s] = True
     at = np.concatenate([[0], np.cumsum(first)])
-    sh = span_hashes(byte_values()[shape[first]], at[s], at[e])
+    sh = word_hashes(shape[first], at[s], at[e])
     same = np.zeros(len(s), dtype=bool)
     same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     sh[same] = U64(61)
@@ -86,11 +87,16 @@ class QualityModel:
         return np.concatenate(out)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str, text_col: str) -> DataFrame:
-    """At most ``limit`` rows (text, y) of the labelled documents, those with the smallest hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str, text_col: str, max_bytes: int = MAX_FIT_BYTES) -> DataFrame:
+    """(_id, text, y) of the labelled documents with the smallest hash of their id, ``limit`` labels and ``max_bytes`` bytes of text at most."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "y").limit(limit)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "y")
+    # at most ``limit`` labels meet here (more rows only if ids repeat)
+    sizes = rows.select(F.xxhash64("_id").alias("h"), "_id", F.xxhash64("text").alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct()
+    upto = F.sum("size").over(Window.orderBy("h", "_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0))
+    fit_in = sizes.withColumn("sum", upto).filter(F.col("sum") <= max_bytes).select("_id", "digest")
+    return rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(fit_in), ["_id", "digest"]).select("_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> QualityModel:

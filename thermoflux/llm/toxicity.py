@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoflux.llm.common import NOT_SPACE, lowered, slices, words
+from thermoflux.llm.common import NOT_SPACE, U64, lowered, slices, words
 from thermoflux.llm.linear import dual_coordinate_descent, platt, probability
 
 ORDER = 3
@@ -57,6 +57,8 @@ MAX_FIT_BYTES = 48 << 20
 COST = 5.0
 #: Bytes that one numpy pass handles (a longer document is a pass of its own).
 PASS_BYTES = 1 << 19
+#: Bytes by which the pieces of a very long text overlap.
+OVERLAP = 1 << 12
 THRESHOLD = 0.7
 #: Margins beyond these count as these when probabilities are fitted.
 MARGINS = (-1.5, 1.5)
@@ -186,7 +188,28 @@ class Landmarks:
 
     def features(self, text: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Documents x ranks x landmarks: the largest kernel values over different words, 1 at most; below LEAST 0."""
-        out = np.zeros((len(offs) - 1, RANKS, len(self.marks)), dtype=np.float32)
+        return self.ranked(len(offs) - 1, *self.hits(text, offs))
+
+    def ranked(self, docs: int, doc: np.ndarray, mark: np.ndarray, name: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The ``RANKS`` largest values of each document and landmark over different names."""
+        out = np.zeros((docs, RANKS, len(self.marks)), dtype=np.float32)
+        order = np.lexsort((-value, name, mark, doc))
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = np.any([np.diff(x[order]) != 0 for x in (doc, mark, name)], axis=0)
+        best = order[new]
+        doc, mark, value = doc[best], mark[best], value[best]
+        order = np.lexsort((-value, mark, doc))
+        doc, mark, value = doc[order], mark[order], value[order]
+        group = np.ones(len(doc), dtype=bool)
+        group[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+        rank = np.arange(len(doc)) - np.flatnonzero(group)[np.cumsum(group) - 1] if len(doc) else np.zeros(0, int)
+        own = rank < RANKS
+        out[doc[own], rank[own], mark[own]] = value[own]
+        return out
+
+    def hits(self, text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, landmark, word, value) of the best window of each word, where it reaches LEAST."""
+        out = tuple(np.zeros(0, t) for t in (np.int64, np.int64, U64, float))
         if not self.marks or not len(text):
             return out
         item, pos, part = self.matches(text)
@@ -223,15 +246,7 @@ class Landmarks:
         held = np.minimum(np.bincount(back, weights=part[at]), self.full[kind % len(self.mark)])
         value = np.bincount(kind // len(self.mark), weights=held, minlength=len(best))
         keep = value >= LEAST
-        doc, mark, value = doc[keep], mark[keep], value[keep]
-        order = np.lexsort((-value, mark, doc))
-        doc, mark, value = doc[order], mark[order], value[order]
-        group = np.ones(len(doc), dtype=bool)
-        group[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
-        rank = np.arange(len(doc)) - np.flatnonzero(group)[np.cumsum(group) - 1]
-        own = rank < RANKS
-        out[doc[own], rank[own], mark[own]] = value[own]
-        return out
+        return doc[keep], mark[keep], name[best][keep], value[keep]
 
 
 def excess(values: np.ndarray) -> np.ndarray:
@@ -386,7 +401,22 @@ class ToxicityModel:
     def of(self, texts: list[bytes] | pa.Array) -> np.ndarray:
         """Margins of texts."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
-        return np.concatenate([np.zeros(0), *[self.margins(*stream(buf, offs)) for _, _, buf, offs in slices(texts, PASS_BYTES)]])
+        out = [np.zeros(0)]
+        for _, _, buf, offs in slices(texts, PASS_BYTES):
+            out.append(self.margins(*stream(buf, offs)) if len(buf) <= 4 * PASS_BYTES else self._long_margin(buf))
+        return np.concatenate(out)
+
+    def _long_margin(self, buf: np.ndarray) -> np.ndarray:
+        """The margin of one very long text, read in overlapping pieces that start at a space where there is one."""
+        table, found, lo = Landmarks(self.landmarks), [], 0
+        while lo < len(buf):
+            piece = buf[lo : lo + PASS_BYTES + OVERLAP]
+            _, mark, name, value = table.hits(*stream(piece, np.array([0, len(piece)])))
+            found.append((np.zeros(len(mark), np.int64), mark, name, value))
+            space = np.flatnonzero(~NOT_SPACE[buf[lo + PASS_BYTES - OVERLAP : lo + PASS_BYTES]])
+            lo += PASS_BYTES - OVERLAP + (int(space[-1]) if len(space) else 0)
+        values = table.ranked(1, *map(np.concatenate, zip(*found, strict=True)))
+        return np.einsum("drl,rl->d", excess(values), self.weights) + self.bias
 
     def probability(self, texts: list[bytes] | pa.Array) -> np.ndarray:
         if self.constant is not None:
@@ -455,7 +485,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
     # at most ``limit`` labels meet here (more rows only if ids repeat)
     upto = Window.partitionBy("y").orderBy("h", "_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    sized = rows.select(F.xxhash64("_id").alias("h"), "_id", "y", F.octet_length("text").alias("size"), F.xxhash64("text").alias("digest"))
+    sized = rows.select(F.xxhash64("_id").alias("h"), "_id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("digest"))
     fit_in = sized.distinct().withColumn("sum", F.sum("size").over(upto)).filter(F.col("sum") <= max_bytes // 2)
     return rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(fit_in.select("_id", "y", "digest")), ["_id", "y", "digest"]).select(F.xxhash64("_id").alias("id"), "text", "y")
 
