@@ -255,5 +255,16 @@ def test_future_widens_sparse_windows(spark):
     assert len(got) == 48
     warming = spark.createDataFrame([(1, *[1.0] * 12)], ["site_id", *[f"Tmin{m}" for m in range(1, 13)]])
     out = future.future_respiration(nights, windows, warming, spark.createDataFrame([(1, -0.02)], "site_id long, TAS double")).first()
-    course = [r[6] for r in rows if r[1] == 2000]
+    # the mean over the days of any year whose soil is warmer than 1 degree
+    course = list({r[3]: r[6] for r in rows if r[4] > 1}.values())
     assert out["present"] == pytest.approx(sum(course) / len(course), rel=0.1) and out["future"] > out["present"]
+
+
+def test_night_course_fills_holes(spark):
+    from thermoflux.operators import future
+
+    # one time of day; the second day has no air temperature, the fourth no soil temperature, the fifth falls into two months
+    rows = [(1, 2000, 3, 60, 2, 0, 1.0, 2.0), (1, 2000, 3, 61, 2, 0, None, 4.0), (1, 2000, 3, 62, 2, 0, 5.0, 6.0), (1, 2000, 3, 63, 2, 0, 7.0, None), (1, 2000, 3, 64, 2, 0, 9.0, 10.0), (1, 2001, 4, 64, 2, 0, 99.0, 99.0)]
+    nights = spark.createDataFrame(rows, "site_id long, YEAR long, MONTH long, DOY long, HOUR long, MINUTE long, TA double, TS double")
+    got = {r["DOY"]: (r["MONTH"], r["TA"], r["TS"]) for r in future.night_course(nights).collect()}
+    assert got == {60: (3, 1.0, 2.0), 61: (3, 3.0, 4.0), 62: (3, 5.0, 6.0), 63: (3, 7.0, pytest.approx(8.0)), 64: (3, 9.0, 10.0)}

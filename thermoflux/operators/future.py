@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from thermoflux.operators.curves import BOUNDS, er_curve
 from thermoflux.operators.joins import months_to_rows, range_join
-from thermoflux.operators.regression import simple_regression
-from thermoflux.operators.windows import candidate_years
+from thermoflux.operators.regression import fill_by_regression, simple_regression
+from thermoflux.operators.windows import candidate_years, interpolate_linear, pick_first
 from thermoflux.sources.io import stored
 
 #: Lower bound of beta in this job (fixed value).
@@ -47,24 +47,49 @@ def widened(nights: DataFrame, windows: DataFrame, needed: int = 200, step: int
     return own.join(g, key).filter(F.col("_e") <= F.col("extend_days")).drop("_a", "_b", "_e", "_needed", "_most", "w_start", "w_end")
 
 
-def future_respiration(nights: DataFrame, windows: DataFrame, warming: DataFrame, response: DataFrame, min_rows: int = 4, extend: int = 7, needed: int = 200) -> DataFrame:
+def night_course(nights: DataFrame) -> DataFrame:
+    """(site_id, DOY, the times of day that ``nights`` has, MONTH, TA, TS): means over the years, of the earliest month where a day of the year falls into two.
+
+    Holes in TA lie on a straight line between their neighbours, those in TS on the site's regression on TA."""
+    at = ["DOY", *[c for c in ("HOUR", "MINUTE") if c in nights.columns]]
+    mean = nights.groupBy("site_id", *at, "MONTH").agg(F.avg("TA").alias("TA"), F.avg("TS").alias("TS"))
+    mean = pick_first(mean, ["site_id", *at], ["MONTH"])
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy(*at)).cast("double")
+    mean = interpolate_linear(mean.withColumn("_place", place), "TA", ["_place"]).drop("_place")
+    return fill_by_regression(mean, "TS", "TA")
+
+
+def future_respiration(
+    nights: DataFrame,
+    windows: DataFrame,
+    warming: DataFrame,
+    response: DataFrame,
+    min_rows: int = 4,
+    extend: int = 7,
+    needed: int = 200,
+    coldest: float = 1.0,
+    rows: DataFrame | None = None,
+) -> DataFrame:
     """Per site: present and future night respiration over the season and its response-scaled future.
 
-    ``nights``: site_id, YEAR, MONTH, DOY, TS, TA, NEE; ``windows``: site_id, window, w_start, w_end (and needed, where sites differ); ``warming``: site_id, Tmin1..12;
-    ``response``: site_id, TAS. Soil warms by the site's slope of TS on TA (above freezing). Curves are fitted for each window in the
-    three candidate years on the days that ``widened`` finds around it, and applied to the window's night climatology, now and warmed."""
-    nights = stored(nights.select("site_id", "YEAR", "MONTH", "DOY", "TS", "TA", "NEE"), "nights")
-    slope = simple_regression(nights.filter("TA > 0"), "TS", "TA").select("site_id", "slope")
+    ``nights``: site_id, YEAR, MONTH, DOY (HOUR, MINUTE), TS, TA, NEE; ``windows``: site_id, window, w_start, w_end (and needed, where sites differ); ``warming``: site_id, Tmin1..12;
+    ``response``: site_id, TAS. Soil warms by the site's slope of TS on TA (above freezing) in ``rows`` (all rows; by default the nights). Curves are fitted for each window
+    in the three candidate years on the days that ``widened`` finds around it where the soil is warmer than ``coldest``, and applied to the equally warm
+    part of the window's ``night_course``, now and warmed. A time in two windows belongs to the later one."""
+    clock = [c for c in ("HOUR", "MINUTE") if c in nights.columns]
+    nights = stored(nights.select("site_id", "YEAR", "MONTH", "DOY", *clock, "TS", "TA", "NEE"), "nights")
+    slope = simple_regression((nights if rows is None else rows).filter("TA > 0"), "TS", "TA").select("site_id", "slope")
     years = nights.groupBy("site_id", "YEAR").agg(F.count("NEE").alias("n"), F.avg("TS").alias("m"))
-    years = candidate_years(years, "n", "m").select("site_id", "YEAR")
+    years = stored(candidate_years(years, "n", "m").select("site_id", "YEAR"), "candidate-years")
     w = windows.select("site_id", "window", "w_start", "w_end")
-    rows = stored(widened(nights.join(stored(years, "candidate-years"), ["site_id", "YEAR"], "left_semi"), windows, needed, extend), "widened")
-    ref = rows.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"))
-    fits = er_curve(rows, ref, by=("site_id", "window", "YEAR"), min_rows=min_rows, bounds=FUTURE_BOUNDS).select("site_id", "window", "YEAR", "C0", "alpha", "beta")
-    clim = nights.groupBy("site_id", "DOY", "MONTH").agg(F.avg("TS").alias("TS"))
+    warm_rows = nights.filter(F.col("TS") > coldest).join(years, ["site_id", "YEAR"], "left_semi")
+    near = stored(widened(warm_rows, windows, needed, extend), "widened")
+    ref = near.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"))
+    fits = er_curve(near, ref, by=("site_id", "window", "YEAR"), min_rows=min_rows, bounds=FUTURE_BOUNDS).select("site_id", "window", "YEAR", "C0", "alpha", "beta")
     warm = months_to_rows(warming, "Tmin", value="dTA").withColumn("MONTH", F.col("MONTH").cast("bigint"))
-    clim = clim.join(warm, ["site_id", "MONTH"]).join(slope, "site_id").withColumn("dTS", F.col("dTA") * F.col("slope"))
-    days = range_join(clim, w, "DOY", "w_start", "w_end").join(fits, ["site_id", "window"])
+    course = night_course(nights).filter(F.col("TS") > coldest)
+    course = course.join(warm, ["site_id", "MONTH"]).join(slope, "site_id").withColumn("dTS", F.col("dTA") * F.col("slope"))
+    days = pick_first(range_join(course, w, "DOY", "w_start", "w_end"), ["site_id", "DOY", *clock], [F.desc("window")]).join(fits, ["site_id", "window"])
     t, warmer = F.col("TS"), F.col("TS") + F.col("dTS")
     p = (F.col("C0"), F.col("alpha"), F.col("beta"))
     per_year = days.groupBy("site_id", "YEAR").agg(F.avg(curve_value(*p, t)).alias("present"), F.avg(curve_value(*p, warmer)).alias("future"), F.avg("dTS").alias("dTS"))

@@ -86,6 +86,36 @@ def active_season(df: DataFrame, south: Column | None = None, smooth: str = "cyc
     return circular_runs(stored(days.join(some, site_col, "left_semi"), "active-days"), "active", "temp", (site_col,))
 
 
+def season_status(df: DataFrame, min_days: int = 180, fraction: float = 0.2, warm: float = 2.0, half: int = 15, site_col: str = "site_id") -> DataFrame:
+    """(site, flux_days, temperature_days, reason): why ``active_season`` gives a site no season; null where it gives one.
+
+    Smoothing is the circular moving mean here, so that a reason does not depend on a fit."""
+    flux = stored(two_level_climatology(df.filter("NIGHT = 1 AND QC = 0"), "NEE", site_col), "flux-days")
+    soil, air = (stored(two_level_climatology(df, c, site_col), "temperature-days") for c in ("TS", "TA"))
+
+    def days(c: DataFrame, name: str) -> DataFrame:
+        return c.groupBy(site_col).agg(F.count(F.lit(1)).alias(name))
+
+    out = df.select(site_col).distinct()
+    for c, name in ((flux, "flux_days"), (soil, "_soil"), (air, "_air")):
+        out = out.join(days(c, name), site_col, "left")
+    zero = F.lit(0)
+    by_soil = F.coalesce("_soil", zero) >= min_days
+    out = out.select(site_col, F.coalesce("flux_days", zero).alias("flux_days"), F.when(by_soil, F.col("_soil")).otherwise(F.coalesce("_air", zero)).alias("temperature_days"), by_soil.alias("_by_soil"))
+    out = stored(out, "site-days")
+    temp = soil.join(out.filter("_by_soil"), site_col, "left_semi").unionByName(air.join(out.filter("NOT _by_soil"), site_col, "left_semi"))
+    smooth = circular_moving_mean(flux, "value", half, site_col, "flux").join(circular_moving_mean(temp, "value", half, site_col, "temp"), [site_col, "DOY"])
+    smooth = stored(smooth, "smooth-days")
+    limit = smooth.groupBy(site_col).agg((F.min("flux") + fraction * (F.max("flux") - F.min("flux"))).alias("_limit"))
+    some = smooth.join(limit, site_col).groupBy(site_col).agg(F.bool_or((F.col("flux") > F.col("_limit")) & (F.col("temp") > warm)).alias("_some"))
+    reason = (
+        F.when(F.col("flux_days") < min_days, "too few days of night flux")
+        .when(F.col("temperature_days") < min_days, "too few days of temperature")
+        .when(~F.coalesce("_some", F.lit(False)), "no active day")
+    )
+    return out.join(some, site_col, "left").select(site_col, "flux_days", "temperature_days", reason.alias("reason"))
+
+
 def season_by_uptake(clim: DataFrame, fraction: float = 0.2, nth: int = 7, margin: int = 4, site_col: str = "site_id") -> DataFrame:
     """Older rule: the ``nth`` day from either end whose NEE is under ``fraction`` of the minimum, moved outward by ``margin`` days,
     not before the first day with a soil temperature of 0 and more. ``clim``: site, DOY, NEE, TS."""

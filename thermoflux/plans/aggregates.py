@@ -189,6 +189,17 @@ def a23(spark, d):
     return out.select("df1", "df2", F.round("F", 4).alias("F"), F.round("R2", 8).alias("R2"))
 
 
+@query("a23b_anova_p")
+def a23b(spark, d):
+    out = a.one_way_anova(table(spark, d, "orders").withColumn("y", F.sqrt("o_totalprice")), "y", "o_orderpriority")
+    return out.withColumn("p", a.f_tail(F.col("F"), F.col("df1").cast("double"), F.col("df2").cast("double")))
+
+
+@query("a24b_correlation_p")
+def a24b(spark, d):
+    return a.cor_test(a.correlation_matrix(obs_multi(spark, d), ["TA", "NEE", "SWC"], ("site_id",)))
+
+
 @query("a24_correlation_matrix", f"WITH {MULTI} SELECT site_id, 'TA' AS x, 'NEE' AS y, round(corr(TA, NEE), 6) AS r, count(NEE) AS n FROM obs GROUP BY 1 UNION ALL SELECT site_id, 'TA', 'SWC', round(corr(TA, SWC), 6), count(*) FROM obs GROUP BY 1 UNION ALL SELECT site_id, 'NEE', 'SWC', round(corr(NEE, SWC), 6), count(NEE) FROM obs GROUP BY 1")
 def a24(spark, d):
     return rounded(a.correlation_matrix(obs_multi(spark, d), ["TA", "NEE", "SWC"], ("site_id",)), "r")

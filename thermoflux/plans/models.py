@@ -89,6 +89,27 @@ def m6(spark, d):
     return season.active_season(_season_obs(spark, d))
 
 
+@query("m6c_season_status", f"""WITH {MULTI}, s AS (SELECT site_id, YEAR, DOY, NEE + 40 * sin((DOY - 100) * 0.0172::DOUBLE) AS NEE, CASE WHEN site_id NOT IN (5, 6) THEN TS / 10 + CASE WHEN site_id = 7 THEN -90 ELSE 0 END END AS TS,
+ CASE WHEN site_id != 5 THEN TA END AS TA FROM obs WHERE site_id != 3 OR DOY < 100),
+fc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(NEE) AS v FROM s WHERE NEE IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(TS) AS v FROM s WHERE TS IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ac AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(TA) AS v FROM s WHERE TA IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+n AS (SELECT x.site_id, coalesce(f.n, 0) AS nf, coalesce(t.n, 0) AS ns, coalesce(a.n, 0) AS na FROM (SELECT DISTINCT site_id FROM s) x LEFT JOIN (SELECT site_id, count(*) AS n FROM fc GROUP BY 1) f USING (site_id)
+ LEFT JOIN (SELECT site_id, count(*) AS n FROM sc GROUP BY 1) t USING (site_id) LEFT JOIN (SELECT site_id, count(*) AS n FROM ac GROUP BY 1) a USING (site_id)),
+tc AS (SELECT sc.* FROM sc JOIN n USING (site_id) WHERE ns >= 150 UNION ALL SELECT ac.* FROM ac JOIN n USING (site_id) WHERE ns < 150),
+fs AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS f FROM fc, range(-15, 16) t(k) GROUP BY 1, 2), ts AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS t FROM tc, range(-15, 16) t(k) GROUP BY 1, 2),
+lim AS (SELECT site_id, min(f) + 0.2::DOUBLE * (max(f) - min(f)) AS l FROM fs JOIN ts USING (site_id, DOY) GROUP BY 1),
+so AS (SELECT site_id, bool_or(f > l AND t > 2) AS active FROM fs JOIN ts USING (site_id, DOY) JOIN lim USING (site_id) GROUP BY 1)
+SELECT n.site_id, nf AS flux_days, CASE WHEN ns >= 150 THEN ns ELSE na END AS temperature_days, CASE WHEN nf < 150 THEN 'too few days of night flux' WHEN CASE WHEN ns >= 150 THEN ns ELSE na END < 150 THEN 'too few days of temperature'
+ WHEN NOT coalesce(active, false) THEN 'no active day' END AS reason FROM n LEFT JOIN so USING (site_id)""")
+def m6c(spark, d):
+    """Site 3 has days of one season only, 5 no temperature, 6 that of the air alone, 7 is frozen."""
+    obs = _season_obs(spark, d).filter("site_id <> 3 OR DOY < 100")
+    ts = F.when(~F.col("site_id").isin(5, 6), F.col("TS") - 12 * F.sin((F.col("DOY") - 100) * 0.0172) - F.when(F.col("site_id") == 7, 90).otherwise(0))
+    obs = obs.withColumns({"TS": ts, "TA": F.when(F.col("site_id") != 5, F.col("TA"))})
+    return season.season_status(obs, min_days=150)
+
+
 @query("m6b_season_by_uptake", f"""WITH {MULTI}, c AS (SELECT site_id, DOY, avg(NEE) - 30 AS v, avg(TS) - 20 AS t FROM obs GROUP BY 1, 2), l AS (SELECT site_id, min(v) * 0.2::DOUBLE AS cut, min(DOY) FILTER (WHERE t >= 0) AS thaw FROM c GROUP BY 1),
 r AS (SELECT c.site_id, DOY, thaw, row_number() OVER (PARTITION BY c.site_id ORDER BY DOY) AS u, row_number() OVER (PARTITION BY c.site_id ORDER BY DOY DESC) AS e FROM c JOIN l USING (site_id) WHERE v < cut)
 SELECT site_id, greatest(max(DOY) FILTER (WHERE u = 7) - 4, any_value(thaw)) AS gStart, max(DOY) FILTER (WHERE e = 7) + 4 AS gEnd FROM r GROUP BY 1""")
@@ -162,6 +183,11 @@ def _windows(spark, d):
     return sc.season_windows(sites.withColumns({"gStart": F.lit(100), "gEnd": F.lit(200)})).select("site_id", F.col("window").cast("bigint").alias("window"), F.col("w_start").cast("bigint").alias("w_start"), F.col("w_end").cast("bigint").alias("w_end"))
 
 
+def _rounded_windows(spark, d):
+    sites = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("site_id")).distinct()
+    return sc.season_windows_rounded(sites.withColumns({"gStart": F.lit(100), "gEnd": F.lit(200)})).select("site_id", *[F.col(c).cast("bigint").alias(c) for c in ("window", "w_start", "w_end")])
+
+
 @query("m10_adaptive_window", f"""WITH {MULTI}, {_WIN}, e AS (SELECT o.site_id, "window", YEAR, ext, b, NEE, TS FROM obs o JOIN win ON o.site_id = win.site_id JOIN range(0, 25, 3) x(ext) ON DOY BETWEEN a - ext AND b + ext WHERE NEE IS NOT NULL AND TS IS NOT NULL),
 g AS (SELECT site_id, "window", YEAR, ext, max(b) AS b, max(TS) AS warmest, count(*) AS n, quantile_cont(TS, 0.025) AS lo, quantile_cont(TS, 0.975) AS hi, avg(NEE) AS m, quantile_cont(NEE, 0.5) AS md FROM e GROUP BY 1, 2, 3, 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY site_id, "window", YEAR ORDER BY CASE WHEN n >= 60 AND (25 BETWEEN lo AND hi OR ext > 0 AND b + ext >= 200 AND 25 >= warmest) THEN ext ELSE 1000 - ext END) AS k FROM g)
@@ -204,6 +230,12 @@ def m12(spark, d):
     return curves.er_curve(rows, _reference(rows), direct=True)
 
 
+@query("m12b_er_curve_without_swc")
+def m12b(spark, d):
+    rows = _curve_rows(spark, d)
+    return curves.er_curve(rows, _reference(rows), direct=True, use_swc=False)
+
+
 @query("m11w_log_quadratic", f"""WITH {MULTI}, o AS (SELECT site_id, MONTH, ln(NEE) AS y, TS AS x, TS * TS AS z FROM obs WHERE NEE > 0 AND TS IS NOT NULL),
 m AS (SELECT site_id, MONTH, count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(z) AS mz, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM o GROUP BY 1, 2 HAVING count(*) >= 10),
 s AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM m)
@@ -305,7 +337,14 @@ def m21(spark, d):
     rows = _curve_rows(spark, d).drop("window")
     sites = rows.select("site_id").distinct()
     warming = sites.select("site_id", *[F.lit(1.0 + m / 10).alias(f"Tmin{m}") for m in range(1, 13)])
-    return future.future_respiration(rows, _windows(spark, d), warming, sites.withColumn("TAS", F.lit(-0.02)))
+    return future.future_respiration(rows, _rounded_windows(spark, d), warming, sites.withColumn("TAS", F.lit(-0.02)))
+
+
+@query("m21c_widened", f"""WITH {MULTI}, {_WIN}, x AS (SELECT o.site_id, "window", YEAR, e, count(*) AS n FROM obs o JOIN win ON o.site_id = win.site_id JOIN range(7, 57, 7) r(e) ON DOY BETWEEN a - e AND b + e WHERE NEE IS NOT NULL AND TS > 1 GROUP BY 1, 2, 3, 4),
+g AS (SELECT site_id, "window", YEAR, coalesce(min(e) FILTER (WHERE n >= 120), 56) AS e FROM x GROUP BY 1, 2, 3) SELECT site_id, "window", YEAR, e AS extend_days, n FROM g JOIN x USING (site_id, "window", YEAR, e)""")
+def m21c(spark, d):
+    out = future.widened(obs_multi(spark, d).filter("TS > 1"), _windows(spark, d), needed=120)
+    return out.groupBy("site_id", "window", "YEAR", F.col("extend_days").cast("bigint").alias("extend_days")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m21b_future_algebra", f"WITH {MULTI}, y AS (SELECT site_id, YEAR, avg(NEE) AS p, avg(TA) AS f, avg(SWC) AS d FROM obs GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY f / p, YEAR) AS r FROM y) SELECT site_id, round(avg(p), 6) AS present, round(avg(f), 6) AS future, round(avg(f) * exp(-0.02::DOUBLE * avg(d)), 6) AS future_response FROM k WHERE r > 1 GROUP BY 1")
