@@ -4,10 +4,12 @@ import os
 import re
 
 import pytest
+from pyspark.sql.functions import lit
 from test_text_operators import LOWER, components_by_force, shingles, words_of
 
 import corpus_pipeline
 from thermoflux.llm import mixing, quality
+from thermoflux.llm.common import staged
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -66,3 +68,21 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_nulls_and_clashing_columns_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = ["score", "predicted", "keep_id", "group_size", "component_id", "kept", "text_sha256", "y", "_id", "_row", "_text", "_gone", "digest", "_k1", "_spans", "_hit_id"]
+    nothing = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, None), (90001, None, None, "src1", None), (90002, " ", "en", None, 1)], docs.schema)
+    docs = docs.unionByName(nothing).select("*", *[lit(f"own {c}").alias(c) for c in names])
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = staged(stage(spark, docs, DATA), f"odd-{name}")
+        assert name == "mix" or out.columns == docs.columns
+        assert set(docs.columns) <= set(out.columns) and out.count() > 0
+        for c in names:
+            if c not in ("size", "taken"):
+                assert [r[0] for r in out.select(c).distinct().collect()] == [f"own {c}"]
+        docs = out
+        sizes.append(docs.count())
+    assert sizes[4] <= sizes[3] <= sizes[2] <= sizes[1] <= sizes[0]
