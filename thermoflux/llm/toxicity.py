@@ -65,6 +65,8 @@ MARGINS = (-1.5, 1.5)
 #: Least log ratio of a landmark, and the most that two landmarks may be alike.
 CLEAR = 2.0
 ALIKE = 0.7
+#: Share of the largest weight below which a landmark is left out.
+USED = 0.05
 #: Evidence (in nats) from which a landmark is taken in any case; below, only for so many toxic documents without one.
 SURE, NEEDED = 10.0, 1.5
 #: Zero bytes after each document of a stream; no window reaches across.
@@ -449,7 +451,11 @@ def _fit_margins(texts: list[bytes], y: np.ndarray, own: np.ndarray, candidates:
     weight = np.concatenate([np.ones(len(y)), np.full(len(extra), 0.5 * n_toxic / max(1, len(extra)))])
     every = np.arange(x.shape[1])
     w, bias = dual_coordinate_descent([(every, r) for r in x], label, x.shape[1], cost=COST, epochs=40, weight=weight, positive=True, balance=False)
-    return ToxicityModel(marks, np.einsum("rl,lm->rm", w.reshape(RANKS * len(LEVELS), -1), root), bias, (1.0, 0.0), None)
+    weights = np.einsum("rl,lm->rm", w.reshape(RANKS * len(LEVELS), -1), root)
+    # landmarks that tell nothing beside the others are not looked for
+    heavy = np.abs(weights).max(axis=0)
+    used = np.flatnonzero(heavy >= USED * max(heavy.max(), 1e-12))
+    return ToxicityModel([marks[i] for i in used], weights[:, used], bias, (1.0, 0.0), None)
 
 
 def fit_texts(texts: list[bytes], y: np.ndarray, seed: int = 11, folds: int = 3) -> ToxicityModel:
@@ -485,9 +491,18 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
     # at most ``limit`` labels meet here (more rows only if ids repeat)
     upto = Window.partitionBy("y").orderBy("h", "_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    sized = rows.select(F.xxhash64("_id").alias("h"), "_id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("digest"))
+    sized = rows.select(
+        F.xxhash64("_id").alias("h"),
+        "_id",
+        "y",
+        F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"),
+        F.xxhash64("text").alias("digest"),
+    )
     fit_in = sized.distinct().withColumn("sum", F.sum("size").over(upto)).filter(F.col("sum") <= max_bytes // 2)
-    return rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(fit_in.select("_id", "y", "digest")), ["_id", "y", "digest"]).select(F.xxhash64("_id").alias("id"), "text", "y")
+    return rows.withColumn("digest", F.xxhash64("text")).join(
+        F.broadcast(fit_in.select("_id", "y", "digest")),
+        ["_id", "y", "digest"],
+    ).select(F.xxhash64("_id").alias("id"), "text", "y")
 
 
 def fit(
