@@ -46,7 +46,10 @@ def trained_spans(turns: Column) -> Column:
     def add(acc: Column, t: Column) -> Column:
         head = acc["at"] + F.lit(len(OPEN) + len(MIDDLE)) + F.length(t["role"])
         body = head + F.length(t["text"]) + F.lit(len(CLOSE) - 1)
-        span = F.when(t["role"] == "assistant", F.array(F.struct(head.alias("start"), body.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+        span = F.when(
+            t["role"] == "assistant",
+            F.array(F.struct(head.alias("start"), body.alias("end"))),
+        ).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
         return F.struct((body + 1).alias("at"), F.concat(acc["spans"], span).alias("spans"))
 
     return F.aggregate(turns, zero, add, lambda acc: acc["spans"])
@@ -75,7 +78,10 @@ def pair_conversations(conversations: DataFrame, conv_col: str = "conv_id", seed
     """(chosen_id, rejected_id, chosen_turns, rejected_turns); rejected columns are null for a conversation left over."""
     convs = collect_turns(conversations, conv_col)
     first = F.sha2(F.to_json(F.element_at("turns", 1)), 256)
-    convs = convs.withColumn("_first", first).withColumn("_key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).cast("binary")))
+    convs = convs.withColumn("_first", first).withColumn(
+        "_key",
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).cast("binary")),
+    )
     ids = staged(convs.select("conv_id", "_first", "_key"), "first-turns")
     # As many buckets for every first turn as all conversations need; a first turn of one conversation has one bucket.
     buckets = min(16**_DIGITS, max(1, -(-ids.count() // ROWS_PER_BUCKET)))

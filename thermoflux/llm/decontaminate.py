@@ -57,7 +57,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id",
                         for i, h in zip(first, span_hashes(wh, first, first + size).view(np.int64), strict=True):
                             out.append((str(ids[lo + k]) if ids[lo + k] is not None else "null", size, int(h), window_text(low, s, e, i, size)))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["item", "size", "hash", "window"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                ["item", "size", "hash", "window"],
+            )
 
     return benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, _WINDOWS).distinct()
 
@@ -167,7 +170,13 @@ def _given_back(docs: DataFrame, hits: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(hits) if hits.count() <= MAX_HIT_TEXTS else hits, _KEY, how)
 
 
-def _rows(found: list, s: np.ndarray, e: np.ndarray, count: np.ndarray, offs: np.ndarray) -> tuple[list[list[str]], list[list[tuple[int, int]]], np.ndarray]:
+def _rows(
+    found: list,
+    s: np.ndarray,
+    e: np.ndarray,
+    count: np.ndarray,
+    offs: np.ndarray,
+) -> tuple[list[list[str]], list[list[tuple[int, int]]], np.ndarray]:
     """By document: the items, the hit byte spans (runs of hit words), and the number of hit words."""
     edge = np.zeros(len(s) + 1, dtype=np.int64)
     at = np.concatenate([[0], np.cumsum(count)])
@@ -206,7 +215,14 @@ def _scan_columns(texts: pa.Array, hits: Callable) -> list[pa.Array]:
     ]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = N,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_windows: int = MAX_WINDOWS,
+) -> DataFrame:
     """One row per document: id, n_words, n_hit (words inside occurring windows), n_items, items, spans (byte
     offsets of maximal runs of hit words) and contaminated."""
     windows = benchmark_windows(benchmark, n)

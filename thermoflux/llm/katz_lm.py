@@ -94,7 +94,16 @@ def pack_occurrences(v: np.ndarray, w: np.ndarray, c: np.ndarray, doc: np.ndarra
     vocab, at, back = np.unique(w, return_index=True, return_inverse=True)
     ids, dback = np.unique(doc, return_inverse=True)
     flag = np.array([train], "u1")
-    return pack(flag, *pack_words(v[first], known), narrow(np.diff(np.append(first, len(v)))), *pack_words(vocab, known), narrow(c[at]), narrow(back), ids, narrow(dback))
+    return pack(
+        flag,
+        *pack_words(v[first], known),
+        narrow(np.diff(np.append(first, len(v)))),
+        *pack_words(vocab, known),
+        narrow(c[at]),
+        narrow(back),
+        ids,
+        narrow(dback),
+    )
 
 
 def unpack_occurrences(blob: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +203,10 @@ def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _batch(kind: list[int], bucket: list[int], blob: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], ["kind", "bucket", "blob"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())],
+        ["kind", "bucket", "blob"],
+    )
 
 
 _PACKED = "kind int, bucket int, blob binary"
@@ -224,7 +236,10 @@ def count_unigrams(docs: DataFrame, buckets: int) -> Unigrams:
         return pd.DataFrame({"sums": sums[: max(1, len(top))], "word": word[top].view("i8"), "n": n[top]})
 
     # one row a frequent word; the first row of a bucket holds its sums
-    got = staged(docs.mapInArrow(emit, _PACKED).groupBy("bucket").applyInPandas(lambda pdf: add(pdf), "sums array<long>, word long, n long"), "unigrams")
+    got = staged(
+        docs.mapInArrow(emit, _PACKED).groupBy("bucket").applyInPandas(lambda pdf: add(pdf), "sums array<long>, word long, n long"),
+        "unigrams",
+    )
     nums = got.filter("sums IS NOT NULL").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     sums = np.zeros(4 + K, "i8")
     for r in nums:
@@ -241,7 +256,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     sc = docs.sparkSession.sparkContext
     integral = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
     number = F.col(id_col).cast("long") if integral else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
-    rows = docs.select(F.coalesce(number, F.lit(-(2**63))).alias("doc"), F.col(text_col).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    rows = docs.select(
+        F.coalesce(number, F.lit(-(2**63))).alias("doc"),
+        F.col(text_col).alias("text"),
+        F.coalesce(F.col(train), F.lit(False)).alias("train"),
+    )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, int(size // 6 // BUCKET_TOKENS) + 1)
     uni = count_unigrams(rows, buckets)
@@ -264,7 +283,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         ids, back = np.unique(doc, return_inverse=True)
         n = np.bincount(back)
         none = [np.zeros(len(ids), "u1")] * K
-        return parts(ids, n, np.bincount(back, weights=c > 0).astype("i8"), np.bincount(back, weights=np.log10(c + 0.5)), np.zeros(len(ids), "f4"), *none)
+        return parts(
+            ids,
+            n,
+            np.bincount(back, weights=c > 0).astype("i8"),
+            np.bincount(back, weights=np.log10(c + 0.5)),
+            np.zeros(len(ids), "f4"),
+            *none,
+        )
 
     def emit_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, _ = shared.value
@@ -309,7 +335,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["kind"].iloc[0] == _PART:
             ids, n, known, base, lin, *by = summed(pdf["blob"])
-            return pd.DataFrame(parts(ids, n.astype("i8"), known.astype("i8"), base, lin, *[x.astype("i8") for x in by]), columns=["kind", "bucket", "blob"])
+            return pd.DataFrame(
+                parts(ids, n.astype("i8"), known.astype("i8"), base, lin, *[x.astype("i8") for x in by]),
+                columns=["kind", "bucket", "blob"],
+            )
         uni, hot = shared.value
         v, w, c, doc, t = map(np.concatenate, zip(*[unpack_occurrences(x, uni.known) for x in pdf["blob"]], strict=True))
         o = np.lexsort((w, v))

@@ -88,7 +88,13 @@ def _ngrams(buf: np.ndarray, offs: np.ndarray, buckets: int) -> Iterator[tuple[n
         yield (mix(code[keep]) >> shift).astype(np.int64), np.searchsorted(keep, bounds)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_bytes: int = MAX_MATRIX_BYTES) -> LanguageModel:
+def train(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_bytes: int = MAX_MATRIX_BYTES,
+) -> LanguageModel:
     """Learn from every row of ``docs`` with a non-null language."""
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())  # one row a language
@@ -104,12 +110,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 for at, upto, buf, offs in slices(b.column(0)):
                     for bucket, bounds in _ngrams(buf, offs, BUCKETS):
                         own = np.repeat(lang[at:upto], np.diff(bounds))
-                        cell, n = np.unique(own * BUCKETS + bucket, return_counts=True) if hi - lo > 32 else (None, np.bincount(own * BUCKETS + bucket, minlength=len(total)))
+                        cell, n = np.unique(own * BUCKETS + bucket, return_counts=True) if hi - lo > 32 else (
+                            None,
+                            np.bincount(own * BUCKETS + bucket, minlength=len(total)),
+                        )
                         total[slice(None) if cell is None else cell] += n
             at = np.flatnonzero(total)
             for i in range(0, len(at), 50_000):
                 part = at[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array((part // BUCKETS + lo).astype(np.int32)), pa.array((part % BUCKETS).astype(np.int32)), pa.array(total[part])], ["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((part // BUCKETS + lo).astype(np.int32)), pa.array((part % BUCKETS).astype(np.int32)), pa.array(total[part])],
+                    ["lang", "bucket", "n"],
+                )
 
         own = rows if hi - lo == len(languages) else rows.filter(F.col("lang").between(languages[lo], languages[hi - 1]))
         return own.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -172,7 +184,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", max_
                     mass = held * np.exp(before - new) + mass * np.exp(top - new)
                     top = new
                 if hi == count:
-                    last = [pa.array([p if x else "und" for p, x in zip(pred, letter, strict=True)], pa.string()), pa.array(np.where(letter, 1 / mass, 1.0))]
+                    last = [
+                        pa.array([p if x else "und" for p, x in zip(pred, letter, strict=True)], pa.string()),
+                        pa.array(np.where(letter, 1 / mass, 1.0)),
+                    ]
                     names_out = ["lang_pred", "score"]
                 else:
                     last, names_out = [pa.array(pred, pa.string()), pa.array(top), pa.array(mass)], ["_pred", "_top", "_mass"]

@@ -43,7 +43,14 @@ def order_key(id_col: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
 
 
-def source_targets(sizes: DataFrame, weights: list[float], share: float, max_passes: float, source_col: str = "source", size_col: str = "size") -> DataFrame:
+def source_targets(
+    sizes: DataFrame,
+    weights: list[float],
+    share: float,
+    max_passes: float,
+    source_col: str = "source",
+    size_col: str = "size",
+) -> DataFrame:
     """(source, source_size, source_rows, rank, target): weights repeat over the sources by code point, null last.
 
     Targets share ``share`` of all words by weight; none exceeds ``max_passes`` times its source, and what is cut off goes
@@ -100,17 +107,28 @@ def taken_in_pass(p: int) -> Column:
 def demand_curve(knots: Column) -> Column:
     """Knots (t, rate) with the normalised rate and the cumulative demand at each knot; a level schedule where there is no area."""
     level = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(1.0).alias("rate")) for t in (0, 1)])
-    knots = F.array_sort(F.transform(F.filter(knots, lambda k: k["t"].isNotNull()), lambda k: F.struct(k["t"].cast("double").alias("t"), F.greatest(F.coalesce(k["rate"].cast("double"), F.lit(0.0)), F.lit(0.0)).alias("rate"))))
+    knots = F.array_sort(F.transform(
+        F.filter(knots, lambda k: k["t"].isNotNull()),
+        lambda k: F.struct(k["t"].cast("double").alias("t"), F.greatest(F.coalesce(k["rate"].cast("double"), F.lit(0.0)), F.lit(0.0)).alias("rate")),
+    ))
 
     def pieces(x: Column) -> Column:  # area of each piece by the trapezoid rule
-        return F.transform(x, lambda k, i: F.when(i == 0, F.lit(0.0)).otherwise((k["t"] - F.get(x, i - 1)["t"]) * (k["rate"] + F.get(x, i - 1)["rate"]) / 2))
+        return F.transform(
+            x,
+            lambda k,
+            i: F.when(i == 0, F.lit(0.0)).otherwise((k["t"] - F.get(x, i - 1)["t"]) * (k["rate"] + F.get(x, i - 1)["rate"]) / 2),
+        )
 
     def total(x: Column) -> Column:
         return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
     knots = F.when(total(pieces(knots)) > 0, knots).otherwise(level)
     step = pieces(knots)
-    return F.transform(knots, lambda k, i: F.struct(k["t"].alias("t"), (k["rate"] / total(step)).alias("rate"), (total(F.slice(step, 1, i + 1)) / total(step)).alias("area")))
+    return F.transform(
+        knots,
+        lambda k,
+        i: F.struct(k["t"].alias("t"), (k["rate"] / total(step)).alias("rate"), (total(F.slice(step, 1, i + 1)) / total(step)).alias("area")),
+    )
 
 
 def invert_demand(curve: Column, u: Column) -> Column:
@@ -151,7 +169,12 @@ def mix(
     (the first token of the document within its source) are added as well.
     """
     own = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
-    sized = docs.select(*[F.col(c).alias(x) for c, x in own.items()], F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    sized = docs.select(
+        *[F.col(c).alias(x) for c, x in own.items()],
+        F.col(id_col).alias("_id"),
+        F.col(source_col).alias("source"),
+        word_count(text_col).alias("size"),
+    )
     small = staged(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "sizes")
     targets = staged(source_targets(small, weights, share, max_passes), "targets")
     placed = offsets(sized, targets, "_id", seed)
@@ -161,9 +184,16 @@ def mix(
         k = k.select(F.col("source").alias("_ks"), F.col("knots").alias("_knots"))
         placed = placed.join(k, placed["source"].eqNullSafe(k["_ks"]), "left").drop("_ks")
         curve = F.coalesce(F.col("_knots"), curve)
-    passes = F.filter(F.array(*[F.struct(F.lit(p).alias("pass_no"), taken_in_pass(p).alias("taken")) for p in range(max_passes)]), lambda x: x["taken"] > 0)
+    passes = F.filter(
+        F.array(*[F.struct(F.lit(p).alias("pass_no"), taken_in_pass(p).alias("taken")) for p in range(max_passes)]),
+        lambda x: x["taken"] > 0,
+    )
     if every:
-        rows = placed.withColumn("_p", F.explode_outer(passes)).select("*", "_p.pass_no", F.coalesce("_p.taken", F.lit(0).cast("long")).alias("taken"))
+        rows = placed.withColumn("_p", F.explode_outer(passes)).select(
+            "*",
+            "_p.pass_no",
+            F.coalesce("_p.taken", F.lit(0).cast("long")).alias("taken"),
+        )
     else:
         rows = placed.withColumn("_p", F.explode(passes)).select("*", "_p.pass_no", "_p.taken")
     u = F.try_divide(F.col("pass_no") * F.col("source_size") + F.col("start"), F.col("target"))
@@ -178,7 +208,16 @@ def mix(
     return rows.select(*keep, *added)
 
 
-def mix_summary(docs: DataFrame, weights: list[float], share: float = 1.5, max_passes: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-") -> DataFrame:
+def mix_summary(
+    docs: DataFrame,
+    weights: list[float],
+    share: float = 1.5,
+    max_passes: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = "mix-",
+) -> DataFrame:
     """One row per document: id, size, source_size, target (its source's) and taken, summed over the passes of the mix.
 
     These are the rows of the mix itself, in training order, summed by document: one with words is alone at its start within its source, so
@@ -187,6 +226,12 @@ def mix_summary(docs: DataFrame, weights: list[float], share: float = 1.5, max_p
     mixed = mix(docs, weights, share, max_passes, None, id_col, text_col, source_col, seed, every=True)
     facts = ("size", "source_size", "target")
     # documents without words may share a start: as many rows as there are of them
-    taken = mixed.groupBy(id_col, source_col, "start", *facts, F.col("pass_no").isNull().alias("_none")).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("_rows"))
+    taken = mixed.groupBy(
+        id_col,
+        source_col,
+        "start",
+        *facts,
+        F.col("pass_no").isNull().alias("_none"),
+    ).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("_rows"))
     copies = F.explode(F.sequence(F.lit(1), F.when(F.col("_none"), F.col("_rows")).otherwise(F.lit(1))))
     return taken.withColumn("_copy", copies).select(id_col, *facts, "taken")

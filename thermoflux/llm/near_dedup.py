@@ -116,7 +116,10 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     n.append(len(own))
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     band.append(hashes[i] if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+                ["doc", "n_shingles", "digest", "bands"],
+            )
 
     return docs.mapInArrow(run, "doc long, n_shingles long, digest binary, bands array<bigint>")
 
@@ -183,7 +186,10 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     p = staged(p, "rare-elements")
     q = p.toDF("element", "o", "oc", "on", "oi")
     most = F.least(F.col("n") - F.col("i"), F.col("on") - F.col("oi")) + 1
-    found = p.join(q, (p["element"] == q["element"]) & (F.col("doc") > F.col("o")) & (F.col("c") != F.col("oc")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("on"))))
+    found = p.join(
+        q,
+        (p["element"] == q["element"]) & (F.col("doc") > F.col("o")) & (F.col("c") != F.col("oc")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("on"))),
+    )
     return found.select(F.col("doc").alias("a"), F.col("o").alias("b")).distinct()
 
 
@@ -236,7 +242,13 @@ def near_duplicates(
     open_ = staged(members.join(weight, "doc"), "open-members")
 
     # first every member against the most central of its group
-    lead = open_.groupBy("h").agg(F.min(F.struct(-F.col("s") / F.col("n"), F.xxhash64("doc"), F.col("doc").alias("o"), F.col("n").alias("on"), F.col("s").alias("os"))).alias("l"))
+    lead = open_.groupBy("h").agg(F.min(F.struct(
+        -F.col("s") / F.col("n"),
+        F.xxhash64("doc"),
+        F.col("doc").alias("o"),
+        F.col("n").alias("on"),
+        F.col("s").alias("os"),
+    )).alias("l"))
     pairs = open_.join(lead.select("h", "l.o", "l.on", "l.os"), "h").filter((F.col("doc") != F.col("o")) & _may_link(percent))
     pairs = staged(pairs.select(*_ordered(F.col("doc"), F.col("o"))).distinct(), "pairs")
     links = staged(_linked(pairs, sets, percent), "links")

@@ -87,19 +87,42 @@ class QualityModel:
         return np.concatenate(out)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str, text_col: str, max_bytes: int = MAX_FIT_BYTES) -> DataFrame:
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    limit: int,
+    id_col: str,
+    text_col: str,
+    max_bytes: int = MAX_FIT_BYTES,
+) -> DataFrame:
     """(_id, text, y) of the labelled documents with the smallest hash of their id, ``limit`` labels and ``max_bytes`` bytes of text at most."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"),
+        F.col(label).cast("int").alias("y"),
+    )
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "y").limit(limit)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "y")
     # at most ``limit`` labels meet here (more rows only if ids repeat)
-    sizes = rows.select(F.xxhash64("_id").alias("h"), "_id", F.xxhash64("text").alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct()
+    sizes = rows.select(
+        F.xxhash64("_id").alias("h"),
+        "_id",
+        F.xxhash64("text").alias("digest"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"),
+    ).distinct()
     upto = F.sum("size").over(Window.orderBy("h", "_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0))
     fit_in = sizes.withColumn("sum", upto).filter(F.col("sum") <= max_bytes).select("_id", "digest")
     return rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(fit_in), ["_id", "digest"]).select("_id", "text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> QualityModel:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    limit: int = MAX_LABELLED,
+) -> QualityModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -152,7 +175,10 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = shared.value.score(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+                [*b.schema.names, "score", "predicted"],
+            )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, score double, predicted int")

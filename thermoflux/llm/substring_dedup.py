@@ -110,7 +110,15 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int, common: np.ndarray)
 def _pack(runs: np.ndarray) -> bytes:
     """Columns one after the other; keys and hashes as 6 bytes."""
     doc = np.diff(runs["doc"], prepend=0)
-    parts = [np.array([len(runs)], "i8"), np.ascontiguousarray(runs["key"]).view("u1").reshape(-1, 8)[:, 2:], np.ascontiguousarray(runs["seg"]).view("u1").reshape(-1, 8)[:, 2:], np.ascontiguousarray(doc), runs["start"].astype("u4"), runs["n"].astype("u4"), runs["self"]]
+    parts = [
+        np.array([len(runs)], "i8"),
+        np.ascontiguousarray(runs["key"]).view("u1").reshape(-1, 8)[:, 2:],
+        np.ascontiguousarray(runs["seg"]).view("u1").reshape(-1, 8)[:, 2:],
+        np.ascontiguousarray(doc),
+        runs["start"].astype("u4"),
+        runs["n"].astype("u4"),
+        runs["self"],
+    ]
     raw = b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -334,7 +342,10 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 doc.append(np.full(bounds[i + 1] - bounds[i], b.column(0)[i].as_py()))
             part = slice(bounds[0], bounds[-1])
             docs_ = np.concatenate([np.zeros(0, np.int64), *doc]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([flat.field("key")[part], pa.array(docs_), pa.array(start[part]), pa.array(piece, pa.binary())], ["key", "doc", "start", "piece"])
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("key")[part], pa.array(docs_), pa.array(start[part]), pa.array(piece, pa.binary())],
+                ["key", "doc", "start", "piece"],
+            )
 
     pieces = staged(once.mapInArrow(fetch, "key long, doc long, start int, piece binary"), "pieces")
     size = pieces.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
@@ -391,7 +402,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 spans.append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+                ["doc", "kept", "n_bytes", "n_removed", "n_spans"],
+            )
 
     joined = narrow.join(runs, "doc", "left").select("doc", "text", "runs")
     out = joined.mapInArrow(cut, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
