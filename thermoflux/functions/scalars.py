@@ -23,7 +23,14 @@ def parse_stamp(stamp: Column, minutes: float | Column = 0) -> Column:
 
 def calendar_parts(df: DataFrame, ts_col: str = "stamp") -> DataFrame:
     ts = F.col(ts_col)
-    return df.withColumns({"YEAR": F.year(ts), "MONTH": F.month(ts), "DAY": F.dayofmonth(ts), "DOY": F.dayofyear(ts), "HOUR": F.hour(ts), "MINUTE": F.minute(ts)})
+    return df.withColumns({
+        "YEAR": F.year(ts),
+        "MONTH": F.month(ts),
+        "DAY": F.dayofmonth(ts),
+        "DOY": F.dayofyear(ts),
+        "HOUR": F.hour(ts),
+        "MINUTE": F.minute(ts),
+    })
 
 
 def sampling_interval(df: DataFrame, ts_col: str = "stamp", site_col: str = "site_id") -> DataFrame:
@@ -54,7 +61,15 @@ def drop_incomplete_growing_years(df: DataFrame, south_sites: DataFrame, site_co
     return out.filter(F.col("_lo").isNull() | F.col(year_col).between(F.col("_lo"), F.col("_hi") - 1)).drop("_lo", "_hi")
 
 
-def night_quality_filter(df: DataFrame, temperature: str = "TS", qc_allowed: tuple[int, ...] = (0, 1), flux_qc: str = "QC", low: float = -5.0, high: float = 30.0, qc: str | None = None) -> DataFrame:
+def night_quality_filter(
+    df: DataFrame,
+    temperature: str = "TS",
+    qc_allowed: tuple[int, ...] = (0, 1),
+    flux_qc: str = "QC",
+    low: float = -5.0,
+    high: float = 30.0,
+    qc: str | None = None,
+) -> DataFrame:
     """Measured night rows: flux quality 0, NIGHT 1, flux within (low, high), temperature present and of an allowed quality."""
     ok = (F.col(flux_qc) == 0) & (F.col("NIGHT") == 1) & (F.col("NEE") > low) & (F.col("NEE") < high) & F.col(temperature).isNotNull()
     return df.filter(ok & F.col(qc).isin(*qc_allowed) if qc else ok)
@@ -116,7 +131,10 @@ def rh_to_vpd(rh: Column, ta: Column) -> Column:
 def parse_year_list(text: Column) -> Column:
     """``2008, 2011:2013`` as an array of years; null or blank text as an empty one."""
     part = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", ""), ",")
-    spans = F.transform(F.filter(part, lambda p: p != ""), lambda p: F.sequence(F.element_at(F.split(p, ":"), 1).cast("int"), F.element_at(F.split(p, ":"), -1).cast("int")))
+    spans = F.transform(
+        F.filter(part, lambda p: p != ""),
+        lambda p: F.sequence(F.element_at(F.split(p, ":"), 1).cast("int"), F.element_at(F.split(p, ":"), -1).cast("int")),
+    )
     return F.coalesce(F.flatten(spans), F.expr("cast(array() as array<int>)"))
 
 
@@ -154,7 +172,11 @@ def day_night_flag(df: DataFrame, sites: DataFrame, dt_hours: float, ts_col: str
 
 def lagged_year_fill(df: DataFrame, column: str, days: int = 4 * 365, keys: tuple[str, ...] = ("site_id",), ts_col: str = "stamp") -> DataFrame:
     """Missing values take the value ``days`` later."""
-    later = df.select(*keys, (F.col(ts_col) - F.make_dt_interval(days=F.lit(days))).alias(ts_col), F.col(column).alias("_later")).groupBy(*keys, ts_col).agg(F.max("_later").alias("_later"))
+    later = df.select(
+        *keys,
+        (F.col(ts_col) - F.make_dt_interval(days=F.lit(days))).alias(ts_col),
+        F.col(column).alias("_later"),
+    ).groupBy(*keys, ts_col).agg(F.max("_later").alias("_later"))
     return df.join(later, [*keys, ts_col], "left").withColumn(column, F.coalesce(column, "_later")).drop("_later")
 
 

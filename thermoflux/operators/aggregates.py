@@ -55,10 +55,18 @@ def season_mean_ts(df: DataFrame, start: Column, end: Column, by: tuple[str, ...
 def night_coverage(ac: DataFrame, nights: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
     """For each day: unknown_daytime, has_night (unknown counts as night), observed (a flux of that night is there), is_gap."""
     keys = [*by, "DOY"]
-    days = ac.groupBy(*keys).agg((F.count("daytime") == 0).alias("unknown_daytime"), F.coalesce(F.bool_or(~F.col("daytime")), F.lit(False)).alias("_night"))
+    days = ac.groupBy(*keys).agg(
+        (F.count("daytime") == 0).alias("unknown_daytime"),
+        F.coalesce(F.bool_or(~F.col("daytime")), F.lit(False)).alias("_night"),
+    )
     seen = nights.groupBy(*keys).agg((F.count("NEE") > 0).alias("_seen"))
     out = days.join(seen, keys, "left")
-    out = out.select(*keys, "unknown_daytime", (F.col("unknown_daytime") | F.col("_night")).alias("has_night"), F.coalesce("_seen", F.lit(False)).alias("observed"))
+    out = out.select(
+        *keys,
+        "unknown_daytime",
+        (F.col("unknown_daytime") | F.col("_night")).alias("has_night"),
+        F.coalesce("_seen", F.lit(False)).alias("observed"),
+    )
     return out.withColumn("is_gap", F.col("has_night") & ~F.col("observed"))
 
 
@@ -82,13 +90,21 @@ def gap_runs(status: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year"
 def gap_summary(runs: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
     """Run lengths in order as text, the longest, and the sum of squares (long gaps weigh more)."""
     lengths = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gap_start", "gap_days"))), lambda x: x["gap_days"].cast("string")), ", ")
-    return runs.groupBy(*by).agg(lengths.alias("gap_lengths"), F.max("gap_days").alias("max_gap"), F.sum(F.col("gap_days") * F.col("gap_days")).alias("gap_burden"))
+    return runs.groupBy(*by).agg(
+        lengths.alias("gap_lengths"),
+        F.max("gap_days").alias("max_gap"),
+        F.sum(F.col("gap_days") * F.col("gap_days")).alias("gap_burden"),
+    )
 
 
 def year_gap_filter(gaps: DataFrame, season_length: Column, long_gap: int = 14, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
     """Years whose longest gap is under half the season and whose long gaps are under 70 % of it. ``gaps``: by, gap (days), season columns."""
     total = F.sum(F.when(F.col("gap") > long_gap, F.col("gap")).otherwise(0))
-    out = gaps.groupBy(*by).agg(F.max("gap").alias("max_gap"), (total / F.first(season_length)).alias("long_share"), F.first(season_length).alias("_len"))
+    out = gaps.groupBy(*by).agg(
+        F.max("gap").alias("max_gap"),
+        (total / F.first(season_length)).alias("long_share"),
+        F.first(season_length).alias("_len"),
+    )
     return out.filter((F.col("max_gap") < 0.5 * F.col("_len")) & (F.col("long_share") < 0.7)).drop("_len")
 
 
@@ -223,12 +239,20 @@ def significance_counts(df: DataFrame, x: str, p: str, by: tuple[str, ...] = (),
 def variance_shares(df: DataFrame, x: str, y: str, total: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Shares of the variance of total = x + y: (var(x) + cov(x, y)) / var(total), and the same for y."""
     g = df.groupBy(*by).agg(F.var_samp(x).alias("_x"), F.var_samp(y).alias("_y"), F.covar_samp(x, y).alias("_c"), F.var_samp(total).alias("_t"))
-    return g.select(*by, F.try_divide(F.col("_x") + F.col("_c"), F.col("_t")).alias(f"share_{x}"), F.try_divide(F.col("_y") + F.col("_c"), F.col("_t")).alias(f"share_{y}"))
+    return g.select(
+        *by,
+        F.try_divide(F.col("_x") + F.col("_c"), F.col("_t")).alias(f"share_{x}"),
+        F.try_divide(F.col("_y") + F.col("_c"), F.col("_t")).alias(f"share_{y}"),
+    )
 
 
 def one_way_anova(df: DataFrame, y: str, group: str, by: tuple[str, ...] = ()) -> DataFrame:
     """F, R2 and degrees of freedom of y by group, from the groups' counts, sums and sums of squares."""
-    g = df.filter(F.col(y).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+    g = df.filter(F.col(y).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group).agg(
+        F.count(y).alias("n"),
+        F.avg(y).alias("m"),
+        F.var_pop(y).alias("v"),
+    )
     tot = g.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q")
     )
@@ -255,7 +279,12 @@ def cor_test(corr: DataFrame) -> DataFrame:
 
 def estimator_summary(reps: DataFrame, components: list[str], by: tuple[str, ...] = ("scenario",), z: float = 1.96) -> DataFrame:
     """Mean, sd, bias, RMSE and 95 % coverage of est_<c> with se_<c> against true_<c>, by component."""
-    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"est_{c}").alias("est"), F.col(f"se_{c}").alias("se"), F.col(f"true_{c}").alias("truth")) for c in components]))
+    parts = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("component"),
+        F.col(f"est_{c}").alias("est"),
+        F.col(f"se_{c}").alias("se"),
+        F.col(f"true_{c}").alias("truth"),
+    ) for c in components]))
     long = reps.select(*by, parts.alias("_p")).select(*by, "_p.*")
     e = F.col("est") - F.col("truth")
     hit = F.when(F.abs(e) <= z * F.col("se"), 1.0).otherwise(0.0)
@@ -289,7 +318,15 @@ def _hash_number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def repeated_median_test(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ("site_id",), boot: int = 1000, perm: int = 1000, seed: str = "trend") -> DataFrame:
+def repeated_median_test(
+    df: DataFrame,
+    x: str,
+    y: str,
+    by: tuple[str, ...] = ("site_id",),
+    boot: int = 1000,
+    perm: int = 1000,
+    seed: str = "trend",
+) -> DataFrame:
     """(by, slope, ci_low, ci_high, p_perm): the repeated-median slope with its bootstrap interval (2.5 and 97.5 % points) and
     the share of permutations of y whose slope is at least as steep.
 

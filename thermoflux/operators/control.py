@@ -25,7 +25,11 @@ def yearly_table(ac: DataFrame, nights: DataFrame, seasons: DataFrame) -> DataFr
     status = stored(night_coverage(ac, nights), "status")
     gaps = gap_summary(gap_runs(status))
     t = temp.join(coverage_summary(status), list(KEYS), "left").join(gaps, list(KEYS), "left")
-    t = t.withColumns({"gap_lengths": F.coalesce("gap_lengths", F.lit("none")), "max_gap": F.coalesce("max_gap", F.lit(0)), "gap_burden": F.coalesce("gap_burden", F.lit(0))})
+    t = t.withColumns({
+        "gap_lengths": F.coalesce("gap_lengths", F.lit("none")),
+        "max_gap": F.coalesce("max_gap", F.lit(0)),
+        "gap_burden": F.coalesce("gap_burden", F.lit(0)),
+    })
     t = stored(t, "years")
     target = t.groupBy("site_id").agg(F.percentile("mean_TS", F.lit(0.5)).alias("target_TS"))
     t = t.join(target, "site_id").withColumn("distance", F.abs(F.col("mean_TS") - F.col("target_TS")))
@@ -40,10 +44,17 @@ def control_year(table: DataFrame, long_gap: int = 14, gap_weight: float = 4.0)
     The best sum of ranks wins (ties: burden, distance, year). If that year has a gap longer than ``long_gap``, the best of the other years
     without one and without unknown days, weighing the burden by ``gap_weight``, takes its place if there is any."""
     ties = ["gap_burden", "distance", "growing_year"]
-    first = pick_first(table, ["site_id"], ["initial_score", *ties]).select("site_id", F.col("growing_year").alias("initial_year"), F.col("max_gap").alias("_gap"))
+    first = pick_first(table, ["site_id"], ["initial_score", *ties]).select(
+        "site_id",
+        F.col("growing_year").alias("initial_year"),
+        F.col("max_gap").alias("_gap"),
+    )
     t = table.join(first, "site_id").filter((F.col("growing_year") != F.col("initial_year")) & (F.col("_gap") > long_gap) & (F.col("max_gap") <= long_gap) & (F.col("unknown_days") == 0))
     t = t.withColumn("_score", F.col("temperature_rank") + gap_weight * F.col("burden_rank") + F.col("max_gap_rank"))
     other = pick_first(t, ["site_id"], ["_score", *ties]).select("site_id", F.col("growing_year").alias("_other"))
     out = first.join(other, "site_id", "left")
-    reason = F.when(F.col("_gap") <= long_gap, "initial_equal_weight_selection").when(F.col("_other").isNotNull(), "replacement_for_gap_longer_than_threshold").otherwise("initial_year_kept_no_acceptable_alternative")
+    reason = F.when(F.col("_gap") <= long_gap, "initial_equal_weight_selection").when(
+        F.col("_other").isNotNull(),
+        "replacement_for_gap_longer_than_threshold",
+    ).otherwise("initial_year_kept_no_acceptable_alternative")
     return out.select("site_id", F.coalesce("_other", "initial_year").alias("control_year"), "initial_year", reason.alias("reason"))

@@ -65,7 +65,14 @@ def log_quadratic_curve(df: DataFrame, by: tuple[str, ...] = ("site_id", "window
     """ln NEE = ln C0 + alpha TS + beta TS^2 on positive fluxes: a closed-form start, from sums of products."""
     d = df.filter("NEE > 0 AND TS IS NOT NULL").withColumns({"_ln": F.log("NEE"), "_t2": F.col("TS") * F.col("TS")})
     f = ols(d, "_ln", ["TS", "_t2"], by, min_rows)
-    return f.select(*by, "n", F.exp(F.element_at("coef", 1)).alias("C0"), F.element_at("coef", 2).alias("alpha"), F.element_at("coef", 3).alias("beta"), "r2")
+    return f.select(
+        *by,
+        "n",
+        F.exp(F.element_at("coef", 1)).alias("C0"),
+        F.element_at("coef", 2).alias("alpha"),
+        F.element_at("coef", 3).alias("beta"),
+        "r2",
+    )
 
 
 def _model(p: np.ndarray, x: dict[str, np.ndarray], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +94,16 @@ def _model(p: np.ndarray, x: dict[str, np.ndarray], names: list[str]) -> tuple[n
     return y, np.stack([jac[n] for n in names], axis=1)
 
 
-def fit_curve(x: dict[str, np.ndarray], y: np.ndarray, names: list[str], prior: np.ndarray, prior_sd: np.ndarray, bounds: dict[str, tuple[float, float]], draws: int = 400, seed: int = 1) -> dict[str, float]:
+def fit_curve(
+    x: dict[str, np.ndarray],
+    y: np.ndarray,
+    names: list[str],
+    prior: np.ndarray,
+    prior_sd: np.ndarray,
+    bounds: dict[str, tuple[float, float]],
+    draws: int = 400,
+    seed: int = 1,
+) -> dict[str, float]:
     """Penalised least squares by damped Gauss-Newton within the bounds, then means and errors by seeded importance draws
     from the Gaussian at the optimum, truncated to the bounds."""
     lo, hi = (np.array([bounds[n][i] for n in names]) for i in (0, 1))
@@ -127,10 +143,27 @@ def fit_curve(x: dict[str, np.ndarray], y: np.ndarray, names: list[str], prior:
     w /= w.sum()
     mean = w @ z
     sd = np.sqrt(np.maximum(w @ (z - mean) ** 2, 0))
-    return {**dict(zip(names, p, strict=True)), **{f"{n}_mean": m for n, m in zip(names, mean, strict=True)}, **{f"{n}_sd": d for n, d in zip(names, sd, strict=True)}, "sigma": float(np.sqrt(s2)), "n": len(y), "_z": z, "_w": w}
-
-
-def er_curve(df: DataFrame, references: DataFrame, direct: bool = False, use_swc: bool = True, by: tuple[str, ...] = ("site_id", "window"), priors: DataFrame | None = None, min_rows: int = 20, bounds: dict[str, tuple[float, float]] = BOUNDS) -> DataFrame:
+    return {
+        **dict(zip(names, p, strict=True)),
+        **{f"{n}_mean": m for n, m in zip(names, mean, strict=True)},
+        **{f"{n}_sd": d for n, d in zip(names, sd, strict=True)},
+        "sigma": float(np.sqrt(s2)),
+        "n": len(y),
+        "_z": z,
+        "_w": w,
+    }
+
+
+def er_curve(
+    df: DataFrame,
+    references: DataFrame,
+    direct: bool = False,
+    use_swc: bool = True,
+    by: tuple[str, ...] = ("site_id", "window"),
+    priors: DataFrame | None = None,
+    min_rows: int = 20,
+    bounds: dict[str, tuple[float, float]] = BOUNDS,
+) -> DataFrame:
     """Curve of each group: its parameters (best, _mean, _sd), sigma, n, and the reference respiration ERref with its error.
 
     Total: NEE = C0 exp(alpha TS + beta TS^2). Direct: times SWC / (Hs + SWC) (``use_swc``) and with C0 + k2 * GPP in the place of C0.
@@ -160,7 +193,13 @@ def er_curve(df: DataFrame, references: DataFrame, direct: bool = False, use_swc
             prior = np.array([pdf[f"_p_{n}"].iloc[0] for n in names], float)
             sd = np.maximum(np.array([pdf[f"_p_{n}_sd"].iloc[0] for n in names], float) * 3, 1e-4)
         else:
-            start = {"C0": max(float(np.median(y)) / 2, 0.1), "alpha": 0.05, "beta": -0.001, "Hs": float(np.median(x["SWC"])) if "SWC" in x else 0.0, "k2": 0.1}
+            start = {
+                "C0": max(float(np.median(y)) / 2, 0.1),
+                "alpha": 0.05,
+                "beta": -0.001,
+                "Hs": float(np.median(x["SWC"])) if "SWC" in x else 0.0,
+                "k2": 0.1,
+            }
             wide = {"C0": 5.0, "alpha": 0.1, "beta": 0.01, "Hs": max(1.0, 10 * start["Hs"]), "k2": 2.0}
             prior, sd = np.array([start[n] for n in names]), np.array([wide[n] for n in names])
         got = fit_curve(x, y, names, prior, sd, bounds)
@@ -185,7 +224,10 @@ def reference_respiration(estimate: Column, error: Column, factor: float = 0.5)
 def ln_ratio(df: DataFrame, control: DataFrame, year: str = "growing_year") -> DataFrame:
     """Adds lnRatio: ln of ERref over that of the site's control year in the same window, else over the median of its years."""
     c = df.join(control.select("site_id", F.col("control_year").alias("_cy")), "site_id", "left")
-    base = c.groupBy("site_id", "window").agg(F.max(F.when(F.col(year) == F.col("_cy"), F.col("ERref"))).alias("_c"), F.percentile("ERref", F.lit(0.5)).alias("_m"))
+    base = c.groupBy("site_id", "window").agg(
+        F.max(F.when(F.col(year) == F.col("_cy"), F.col("ERref"))).alias("_c"),
+        F.percentile("ERref", F.lit(0.5)).alias("_m"),
+    )
     out = df.join(base, ["site_id", "window"])
     ratio = F.try_divide(F.col("ERref"), F.coalesce("_c", "_m"))
     return out.withColumn("lnRatio", F.when(ratio > 0, F.log(F.when(ratio > 0, ratio)))).drop("_c", "_m")

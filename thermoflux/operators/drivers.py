@@ -39,7 +39,17 @@ def stratified_folds(df: DataFrame, strata: list[str], id_col: str, k: int = 5,
     return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
 
 
-def tune(df: DataFrame, y: str, xs: list[str], strata: list[str], id_col: str, nodes: tuple[int, ...] = (1, 5, 10, 20, 40), mtries: tuple[int, ...] = (1, 2), trees: int = 50, k: int = 5) -> tuple[DataFrame, int, int]:
+def tune(
+    df: DataFrame,
+    y: str,
+    xs: list[str],
+    strata: list[str],
+    id_col: str,
+    nodes: tuple[int, ...] = (1, 5, 10, 20, 40),
+    mtries: tuple[int, ...] = (1, 2),
+    trees: int = 50,
+    k: int = 5,
+) -> tuple[DataFrame, int, int]:
     """(scores: node, mtry, RMSE over left-out folds; best node; best mtry). The loop runs over settings and folds, the fits over the data."""
     spark = df.sparkSession
     d = stratified_folds(df, strata, id_col, k)
@@ -95,7 +105,10 @@ def stratified_bootstrap(df: DataFrame, strata: list[str], id_col: str, times: i
     w = Window.partitionBy(*strata).orderBy(id_col)
     d = df.withColumn("_r", F.row_number().over(w) - 1)
     size = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    draws = d.select(*strata, F.col("_r").alias("_draw")).join(size, strata).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    draws = d.select(*strata, F.col("_r").alias("_draw")).join(size, strata).withColumn(
+        "replicate",
+        F.explode(F.sequence(F.lit(0), F.lit(times - 1))),
+    )
     draws = draws.withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_draw", *strata), F.col("_n")).cast("int")).drop("_n", "_draw")
     return draws.join(d, [*strata, "_r"]).drop("_r")
 
@@ -108,7 +121,20 @@ def partial_dependence(model, df: DataFrame, x: str, xs: list[str], points: int
     return predict(model, grid, xs).groupBy("_g", F.col(x).alias("x")).agg(F.avg("prediction").alias("yhat")).drop("_g")
 
 
-def bootstrap_dependence(df: DataFrame, y: str, xs: list[str], strata: list[str], id_col: str, times: int = 200, points: int = 51, trees: int = 500, node: int = 30, mtry: int = 1, seed: int = 1, at_once: int = 4) -> DataFrame:
+def bootstrap_dependence(
+    df: DataFrame,
+    y: str,
+    xs: list[str],
+    strata: list[str],
+    id_col: str,
+    times: int = 200,
+    points: int = 51,
+    trees: int = 500,
+    node: int = 30,
+    mtry: int = 1,
+    seed: int = 1,
+    at_once: int = 4,
+) -> DataFrame:
     """(replicate, var, x, yhat): partial dependence of every variable under a forest fitted to each of ``times`` stratified resamples.
 
     The forests are fitted ``at_once`` at a time from the driver; a forest's rows, all variables and points, are one job. The
@@ -118,7 +144,10 @@ def bootstrap_dependence(df: DataFrame, y: str, xs: list[str], strata: list[str]
     ends = df.agg(*[f(x).alias(f"{n}_{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))]).first()
     base = df.dropna(subset=xs).select(*xs)
     grid = base.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("var", F.explode(F.array(*[F.lit(x) for x in xs])))
-    at = F.coalesce(*[F.when(F.col("var") == x, F.lit(ends[f"lo_{x}"]) + F.col("_g") * ((ends[f"hi_{x}"] - ends[f"lo_{x}"]) / max(1, points - 1))) for x in xs])
+    at = F.coalesce(*[F.when(
+        F.col("var") == x,
+        F.lit(ends[f"lo_{x}"]) + F.col("_g") * ((ends[f"hi_{x}"] - ends[f"lo_{x}"]) / max(1, points - 1)),
+    ) for x in xs])
     grid = grid.withColumn("x", at).withColumns({x: F.when(F.col("var") == x, F.col("x")).otherwise(F.col(x)) for x in xs})
 
     def one(k: int):

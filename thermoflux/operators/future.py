@@ -26,7 +26,10 @@ def future_summary(df: DataFrame, response: DataFrame) -> DataFrame:
     low = d.groupBy("site_id").agg(F.min_by("YEAR", "_k").alias("_low"), F.count(F.lit(1)).alias("_n"))
     d = d.join(low, "site_id").filter((F.col("_n") == 1) | (F.col("YEAR") != F.col("_low")))
     g = d.groupBy("site_id").agg(F.avg("present").alias("present"), F.avg("future").alias("future"), F.avg("dTS").alias("dTS"))
-    return g.join(response.select("site_id", "TAS"), "site_id", "left").withColumn("future_response", F.col("future") * F.exp(F.col("TAS") * F.col("dTS")))
+    return g.join(response.select("site_id", "TAS"), "site_id", "left").withColumn(
+        "future_response",
+        F.col("future") * F.exp(F.col("TAS") * F.col("dTS")),
+    )
 
 
 def widened(nights: DataFrame, windows: DataFrame, needed: int = 200, step: int = 7) -> DataFrame:
@@ -85,12 +88,26 @@ def future_respiration(
     warm_rows = nights.filter(F.col("TS") > coldest).join(years, ["site_id", "YEAR"], "left_semi")
     near = stored(widened(warm_rows, windows, needed, extend), "widened")
     ref = near.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"))
-    fits = er_curve(near, ref, by=("site_id", "window", "YEAR"), min_rows=min_rows, bounds=FUTURE_BOUNDS).select("site_id", "window", "YEAR", "C0", "alpha", "beta")
+    fits = er_curve(
+        near,
+        ref,
+        by=("site_id", "window", "YEAR"),
+        min_rows=min_rows,
+        bounds=FUTURE_BOUNDS,
+    ).select("site_id", "window", "YEAR", "C0", "alpha", "beta")
     warm = months_to_rows(warming, "Tmin", value="dTA").withColumn("MONTH", F.col("MONTH").cast("bigint"))
     course = night_course(nights).filter(F.col("TS") > coldest)
     course = course.join(warm, ["site_id", "MONTH"]).join(slope, "site_id").withColumn("dTS", F.col("dTA") * F.col("slope"))
-    days = pick_first(range_join(course, w, "DOY", "w_start", "w_end"), ["site_id", "DOY", *clock], [F.desc("window")]).join(fits, ["site_id", "window"])
+    days = pick_first(
+        range_join(course, w, "DOY", "w_start", "w_end"),
+        ["site_id", "DOY", *clock],
+        [F.desc("window")],
+    ).join(fits, ["site_id", "window"])
     t, warmer = F.col("TS"), F.col("TS") + F.col("dTS")
     p = (F.col("C0"), F.col("alpha"), F.col("beta"))
-    per_year = days.groupBy("site_id", "YEAR").agg(F.avg(curve_value(*p, t)).alias("present"), F.avg(curve_value(*p, warmer)).alias("future"), F.avg("dTS").alias("dTS"))
+    per_year = days.groupBy("site_id", "YEAR").agg(
+        F.avg(curve_value(*p, t)).alias("present"),
+        F.avg(curve_value(*p, warmer)).alias("future"),
+        F.avg("dTS").alias("dTS"),
+    )
     return future_summary(per_year, response)

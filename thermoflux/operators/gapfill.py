@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from thermoflux.sources.io import stored
 
 
-def ustar_threshold(df: DataFrame, by: tuple[str, ...] = ("site_id", "season"), t_classes: int = 7, u_classes: int = 20, share: float = 0.99, max_corr: float = 0.5) -> DataFrame:
+def ustar_threshold(
+    df: DataFrame,
+    by: tuple[str, ...] = ("site_id", "season"),
+    t_classes: int = 7,
+    u_classes: int = 20,
+    share: float = 0.99,
+    max_corr: float = 0.5,
+) -> DataFrame:
     """(by, threshold, n_classes): moving-point test. Night rows are cut into temperature classes of equal size and those into friction-velocity
     classes; a class's threshold is the first velocity class whose flux reaches ``share`` of the mean of all later ones. Temperature
     classes in which velocity and temperature correlate are left out; the median over the others is the group's.
@@ -61,7 +68,10 @@ def gap_fill_mds(
     filled = None
     for i, (days, alike) in enumerate(stages):
         donors = known.groupBy(*by, F.col(day).alias("_e"), *alike).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
-        keys = [("_k0", F.col("_d"), F.col("_e"), float(days)), *[(f"_k{j}", F.col(f"_{c}"), F.col(c), tolerance[c]) for j, c in enumerate(alike[:KEYED], 1)]]
+        keys = [
+            ("_k0", F.col("_d"), F.col("_e"), float(days)),
+            *[(f"_k{j}", F.col(f"_{c}"), F.col(c), tolerance[c]) for j, c in enumerate(alike[:KEYED], 1)],
+        ]
         gaps = left
         for name, own, theirs, width in keys:
             at = F.floor(own / width)
@@ -71,7 +81,13 @@ def gap_fill_mds(
         for c in alike:
             ok = ok & (F.abs(F.col(c) - F.col(f"_{c}")) < tolerance[c])
         got = gaps.join(donors, [*by, *[k[0] for k in keys]]).filter(ok).groupBy(*by, id_col).agg(F.sum("_n").alias("n_used"), F.sum("_s").alias("_s"))
-        got = got.filter(F.col("n_used") >= least).select(*by, id_col, (F.col("_s") / F.col("n_used")).alias("filled"), "n_used", F.lit(i + 1).alias("stage"))
+        got = got.filter(F.col("n_used") >= least).select(
+            *by,
+            id_col,
+            (F.col("_s") / F.col("n_used")).alias("filled"),
+            "n_used",
+            F.lit(i + 1).alias("stage"),
+        )
         got = stored(got, f"stage-{i + 1}")
         filled = got if filled is None else filled.unionByName(got)
         left = left.join(got.select(*by, id_col), [*by, id_col], "left_anti")
@@ -81,7 +97,13 @@ def gap_fill_mds(
     left = stored(left, "unfilled")
     course = _diurnal_course(df, left, value, day, hour, by, least)
     stage = (F.col("_k") + len(stages) + 1).cast("int").alias("stage")
-    rest = left.join(course, [*by, "_d", "_h"], "left").select(*by, id_col, F.col("_mean").alias("filled"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_used"), stage)
+    rest = left.join(course, [*by, "_d", "_h"], "left").select(
+        *by,
+        id_col,
+        F.col("_mean").alias("filled"),
+        F.coalesce("_n", F.lit(0).cast("long")).alias("n_used"),
+        stage,
+    )
     return filled.unionByName(rest)
 
 

@@ -45,13 +45,27 @@ def join_season_threshold(df: DataFrame, thresholds: DataFrame, fallback: DataFr
     return out
 
 
-def fill_from_climatology(df: DataFrame, climatology: DataFrame, columns: list[str], keys: tuple[str, ...] = ("site_id", "DOY", "HOUR", "MINUTE")) -> DataFrame:
+def fill_from_climatology(
+    df: DataFrame,
+    climatology: DataFrame,
+    columns: list[str],
+    keys: tuple[str, ...] = ("site_id", "DOY", "HOUR", "MINUTE"),
+) -> DataFrame:
     """Missing values take those of the climatology (same column names)."""
     c = climatology.select(*keys, *[F.col(x).alias(f"_{x}") for x in columns])
     return df.join(c, list(keys), "left").withColumns({x: F.coalesce(x, f"_{x}") for x in columns}).drop(*[f"_{x}" for x in columns])
 
 
-def range_join(df: DataFrame, periods: DataFrame, value: str, low: str, high: str, keys: tuple[str, ...] = ("site_id",), how: str = "inner", bucket: int = 32) -> DataFrame:
+def range_join(
+    df: DataFrame,
+    periods: DataFrame,
+    value: str,
+    low: str,
+    high: str,
+    keys: tuple[str, ...] = ("site_id",),
+    how: str = "inner",
+    bucket: int = 32,
+) -> DataFrame:
     """Rows with the periods that hold ``value`` (low and high included), within equal ``keys``.
 
     A counted, small period table is broadcast. A larger one is joined on buckets of ``bucket`` units: each period is
@@ -62,7 +76,10 @@ def range_join(df: DataFrame, periods: DataFrame, value: str, low: str, high: st
         for k in keys:
             cond = cond & (F.col(k) == F.col(f"_{k}"))
         return df.join(F.broadcast(p), cond, how).drop(*[f"_{k}" for k in keys])
-    p = periods.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket)))).withColumnsRenamed({k: f"_{k}" for k in keys})
+    p = periods.withColumn(
+        "_b",
+        F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))),
+    ).withColumnsRenamed({k: f"_{k}" for k in keys})
     d = df.withColumn("_bucket", F.floor(F.col(value) / bucket))
     cond = cond & (F.col("_bucket") == F.col("_b"))
     for k in keys:

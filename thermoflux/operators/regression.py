@@ -63,12 +63,21 @@ def predict(coef: Column, xs: list[str]) -> Column:
 
 def simple_regression(df: DataFrame, y: str, x: str, by: tuple[str, ...] = ("site_id",)) -> DataFrame:
     """(by, n, slope, intercept, r2) with one regressor, by built-in aggregates only."""
-    return df.groupBy(*by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    return df.groupBy(*by).agg(
+        F.regr_count(y, x).alias("n"),
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("intercept"),
+        F.regr_r2(y, x).alias("r2"),
+    )
 
 
 def fill_by_regression(df: DataFrame, y: str, x: str, by: tuple[str, ...] = ("site_id",), train: Column | None = None) -> DataFrame:
     """Missing y from the group's regression on x."""
-    fit = simple_regression(df if train is None else df.filter(train), y, x, by).select(*by, F.col("slope").alias("_b"), F.col("intercept").alias("_a"))
+    fit = simple_regression(df if train is None else df.filter(train), y, x, by).select(
+        *by,
+        F.col("slope").alias("_b"),
+        F.col("intercept").alias("_a"),
+    )
     return df.join(fit, list(by), "left").withColumn(y, F.coalesce(y, F.col("_a") + F.col("_b") * F.col(x))).drop("_a", "_b")
 
 
@@ -133,7 +142,11 @@ def vif(df: DataFrame, xs: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Variance inflation of each regressor: 1 / (1 - R2) of its regression on the others."""
     out = None
     for x in xs:
-        one = ols(df, x, [c for c in xs if c != x], by).select(*by, F.lit(x).alias("variable"), F.try_divide(F.lit(1.0), 1 - F.col("r2")).alias("vif"))
+        one = ols(df, x, [c for c in xs if c != x], by).select(
+            *by,
+            F.lit(x).alias("variable"),
+            F.try_divide(F.lit(1.0), 1 - F.col("r2")).alias("vif"),
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -165,7 +178,14 @@ def _gls(y: np.ndarray, x: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray
     return like, beta, np.linalg.inv(xtx), s2
 
 
-def thermal_response(df: DataFrame, y: str = "lnRatio", x: str = "TS", window: str = "window", year: str = "growing_year", site_col: str = "site_id") -> DataFrame:
+def thermal_response(
+    df: DataFrame,
+    y: str = "lnRatio",
+    x: str = "TS",
+    window: str = "window",
+    year: str = "growing_year",
+    site_col: str = "site_id",
+) -> DataFrame:
     """(site, TAS, t, df, TASp, rho): slope of y on x with window intercepts and errors that follow rho ** |years apart| within a window.
 
     Restricted likelihood over rho in [0, 1), by a grid and two refinements. One site's rows (windows x years) are one group."""
@@ -176,7 +196,13 @@ def thermal_response(df: DataFrame, y: str = "lnRatio", x: str = "TS", window: s
         dummy = np.stack([np.ones(len(d)), d[x].to_numpy(float), *[(d[window] == n).to_numpy(float) for n in names[1:]]], axis=1)
         key = pdf[site_col].iloc[0]
         if len(d) <= dummy.shape[1] or np.linalg.matrix_rank(dummy) < dummy.shape[1]:
-            return pd.DataFrame({site_col: [key], "TAS": [None], "t": [None], "df": [len(d) - dummy.shape[1]], "rho": [None]}).astype({"TAS": float, "t": float, "rho": float})
+            return pd.DataFrame({
+                site_col: [key],
+                "TAS": [None],
+                "t": [None],
+                "df": [len(d) - dummy.shape[1]],
+                "rho": [None],
+            }).astype({"TAS": float, "t": float, "rho": float})
         blocks = [(np.flatnonzero(d[window] == n), d[year].to_numpy(float)[d[window] == n]) for n in names]
         yy = d[y].to_numpy(float)
         lo, hi = 0.0, 0.98
@@ -186,8 +212,17 @@ def thermal_response(df: DataFrame, y: str = "lnRatio", x: str = "TS", window: s
             step = (hi - lo) / 40
             lo, hi = max(0.0, best - step), min(0.98, best + step)
         _, beta, cov, s2 = _gls(yy, dummy, blocks, best)
-        return pd.DataFrame({site_col: [key], "TAS": [beta[1]], "t": [beta[1] / np.sqrt(cov[1, 1] * s2)], "df": [len(d) - dummy.shape[1]], "rho": [best]})
+        return pd.DataFrame({
+            site_col: [key],
+            "TAS": [beta[1]],
+            "t": [beta[1] / np.sqrt(cov[1, 1] * s2)],
+            "df": [len(d) - dummy.shape[1]],
+            "rho": [best],
+        })
 
     kind = df.schema[site_col].dataType.simpleString()
-    out = df.select(site_col, window, year, y, x).groupBy(site_col).applyInPandas(lambda pdf: fit(pdf), f"`{site_col}` {kind}, TAS double, t double, df long, rho double")
+    out = df.select(site_col, window, year, y, x).groupBy(site_col).applyInPandas(
+        lambda pdf: fit(pdf),
+        f"`{site_col}` {kind}, TAS double, t double, df long, rho double",
+    )
     return out.withColumn("TASp", t_tail(F.col("t"), F.col("df").cast("double")))

@@ -17,7 +17,11 @@ RING = 366
 def circular_moving_mean(clim: DataFrame, x: str, half: int, site_col: str = "site_id", out: str = "smooth") -> DataFrame:
     """Mean over the days within ``half`` of a day on the ring of 366 days (days without data are left out)."""
     steps = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    spread = clim.select(site_col, "DOY", x).withColumn("_s", steps).select(site_col, ((F.col("DOY") - 1 + F.col("_s") + RING) % RING + 1).alias("DOY"), x)
+    spread = clim.select(site_col, "DOY", x).withColumn("_s", steps).select(
+        site_col,
+        ((F.col("DOY") - 1 + F.col("_s") + RING) % RING + 1).alias("DOY"),
+        x,
+    )
     return spread.groupBy(site_col, "DOY").agg(F.avg(x).alias(out))
 
 
@@ -53,10 +57,22 @@ def cyclic_smooth(clim: DataFrame, x: str, weight: str, harmonics: int = 12, sit
         return pd.DataFrame({site_col: pdf[site_col].iloc[0], "DOY": every, out: value})
 
     kind = clim.schema[site_col].dataType.simpleString()
-    return clim.select(site_col, "DOY", x, weight).groupBy(site_col).applyInPandas(lambda pdf: fit(pdf), f"`{site_col}` {kind}, DOY long, `{out}` double")
+    return clim.select(site_col, "DOY", x, weight).groupBy(site_col).applyInPandas(
+        lambda pdf: fit(pdf),
+        f"`{site_col}` {kind}, DOY long, `{out}` double",
+    )
 
 
-def active_season(df: DataFrame, south: Column | None = None, smooth: str = "cyclic", half: int = 15, fraction: float = 0.2, warm: float = 2.0, min_days: int = 180, site_col: str = "site_id") -> DataFrame:
+def active_season(
+    df: DataFrame,
+    south: Column | None = None,
+    smooth: str = "cyclic",
+    half: int = 15,
+    fraction: float = 0.2,
+    warm: float = 2.0,
+    min_days: int = 180,
+    site_col: str = "site_id",
+) -> DataFrame:
     """(site, gStart, gEnd, trimmed_days) of sites with enough days of night flux and temperature.
 
     Climatologies give every year one value a day; soil temperature is used where it covers ``min_days`` days, else air temperature. A day is
@@ -86,7 +102,14 @@ def active_season(df: DataFrame, south: Column | None = None, smooth: str = "cyc
     return circular_runs(stored(days.join(some, site_col, "left_semi"), "active-days"), "active", "temp", (site_col,))
 
 
-def season_status(df: DataFrame, min_days: int = 180, fraction: float = 0.2, warm: float = 2.0, half: int = 15, site_col: str = "site_id") -> DataFrame:
+def season_status(
+    df: DataFrame,
+    min_days: int = 180,
+    fraction: float = 0.2,
+    warm: float = 2.0,
+    half: int = 15,
+    site_col: str = "site_id",
+) -> DataFrame:
     """(site, flux_days, temperature_days, reason): why ``active_season`` gives a site no season; null where it gives one.
 
     Smoothing is the circular moving mean here, so that a reason does not depend on a fit."""
@@ -101,10 +124,18 @@ def season_status(df: DataFrame, min_days: int = 180, fraction: float = 0.2, war
         out = out.join(days(c, name), site_col, "left")
     zero = F.lit(0)
     by_soil = F.coalesce("_soil", zero) >= min_days
-    out = out.select(site_col, F.coalesce("flux_days", zero).alias("flux_days"), F.when(by_soil, F.col("_soil")).otherwise(F.coalesce("_air", zero)).alias("temperature_days"), by_soil.alias("_by_soil"))
+    out = out.select(
+        site_col,
+        F.coalesce("flux_days", zero).alias("flux_days"),
+        F.when(by_soil, F.col("_soil")).otherwise(F.coalesce("_air", zero)).alias("temperature_days"),
+        by_soil.alias("_by_soil"),
+    )
     out = stored(out, "site-days")
     temp = soil.join(out.filter("_by_soil"), site_col, "left_semi").unionByName(air.join(out.filter("NOT _by_soil"), site_col, "left_semi"))
-    smooth = circular_moving_mean(flux, "value", half, site_col, "flux").join(circular_moving_mean(temp, "value", half, site_col, "temp"), [site_col, "DOY"])
+    smooth = circular_moving_mean(flux, "value", half, site_col, "flux").join(
+        circular_moving_mean(temp, "value", half, site_col, "temp"),
+        [site_col, "DOY"],
+    )
     smooth = stored(smooth, "smooth-days")
     limit = smooth.groupBy(site_col).agg((F.min("flux") + fraction * (F.max("flux") - F.min("flux"))).alias("_limit"))
     some = smooth.join(limit, site_col).groupBy(site_col).agg(F.bool_or((F.col("flux") > F.col("_limit")) & (F.col("temp") > warm)).alias("_some"))
@@ -123,5 +154,13 @@ def season_by_uptake(clim: DataFrame, fraction: float = 0.2, nth: int = 7, margi
     d = clim.join(low, site_col).filter(F.col("NEE") < F.col("_cut"))
     up, down = Window.partitionBy(site_col).orderBy("DOY"), Window.partitionBy(site_col).orderBy(F.desc("DOY"))
     d = d.withColumns({"_u": F.row_number().over(up), "_d": F.row_number().over(down)})
-    g = d.groupBy(site_col).agg(F.max(F.when(F.col("_u") == nth, F.col("DOY"))).alias("_a"), F.max(F.when(F.col("_d") == nth, F.col("DOY"))).alias("_b"), F.first("_thaw").alias("_t"))
-    return g.filter("_a IS NOT NULL").select(site_col, F.greatest(F.col("_a") - margin, F.col("_t")).alias("gStart"), (F.col("_b") + margin).alias("gEnd"))
+    g = d.groupBy(site_col).agg(
+        F.max(F.when(F.col("_u") == nth, F.col("DOY"))).alias("_a"),
+        F.max(F.when(F.col("_d") == nth, F.col("DOY"))).alias("_b"),
+        F.first("_thaw").alias("_t"),
+    )
+    return g.filter("_a IS NOT NULL").select(
+        site_col,
+        F.greatest(F.col("_a") - margin, F.col("_t")).alias("gStart"),
+        (F.col("_b") + margin).alias("gEnd"),
+    )

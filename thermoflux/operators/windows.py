@@ -47,7 +47,10 @@ def window_gap_check(days: DataFrame, windows: DataFrame, years: DataFrame, max_
     seen = days.select("site_id", "YEAR", F.col("DOY").cast("int").alias("DOY"), F.lit(True).alias("_seen")).distinct()
     own = every.join(seen, ["site_id", "YEAR", "DOY"], "left").withColumn("_gap", F.col("_seen").isNull())
     by = ["site_id", "window", "YEAR"]
-    runs = own.withColumn("_run", islands(F.col("_gap"), by, ["DOY"])).groupBy(*by, "_run").agg(F.count(F.when(F.col("_gap"), 1)).alias("_g"), F.count(F.lit(1)).alias("_n"))
+    runs = own.withColumn("_run", islands(F.col("_gap"), by, ["DOY"])).groupBy(*by, "_run").agg(
+        F.count(F.when(F.col("_gap"), 1)).alias("_g"),
+        F.count(F.lit(1)).alias("_n"),
+    )
     out = runs.groupBy(*by).agg((F.sum("_g") / F.sum("_n")).alias("missing"), (F.max("_g") / F.sum("_n")).alias("longest"))
     return out.filter((F.col("missing") <= max_total) & (F.col("longest") <= max_run))
 
@@ -64,7 +67,16 @@ def pick_first(df: DataFrame, by: list[str], order: list[Column | str], n: int =
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-def interpolate_linear(df: DataFrame, x: str, order: list[str], by: tuple[str, ...] = ("site_id",), axis: Column | None = None, max_gap: int | None = None, fill_ends: bool = False, out: str | None = None) -> DataFrame:
+def interpolate_linear(
+    df: DataFrame,
+    x: str,
+    order: list[str],
+    by: tuple[str, ...] = ("site_id",),
+    axis: Column | None = None,
+    max_gap: int | None = None,
+    fill_ends: bool = False,
+    out: str | None = None,
+) -> DataFrame:
     """Holes on a straight line between their neighbours along ``axis`` (the first order column by default).
 
     With ``max_gap`` holes of more rows stay; ``fill_ends`` carries the first and last value outward."""
@@ -121,8 +133,18 @@ def circular_runs(days: DataFrame, active: str, temperature: str, by: tuple[str,
     Runs of inactive days are found on the ring (those at both ends of the axis are one); the coldest on average is the off-season, all
     other days are active. Of the up to two active pieces of the axis the longer stays; the days of the other are trimmed."""
     w = Window.partitionBy(*by).orderBy("DOY")
-    d = days.withColumn("_run", F.sum(F.when(F.col(active) & ~F.coalesce(F.lag(active).over(w), F.lit(False)), 1).otherwise(0)).over(w.rowsBetween(_START, 0)))
-    ends = d.groupBy(*by).agg(F.min("DOY").alias("_first"), F.max("DOY").alias("_last"), F.max("_run").alias("_runs"), F.count(F.lit(1)).alias("_n"), F.min_by(active, "DOY").alias("_a0"), F.max_by(active, "DOY").alias("_a1"))
+    d = days.withColumn(
+        "_run",
+        F.sum(F.when(F.col(active) & ~F.coalesce(F.lag(active).over(w), F.lit(False)), 1).otherwise(0)).over(w.rowsBetween(_START, 0)),
+    )
+    ends = d.groupBy(*by).agg(
+        F.min("DOY").alias("_first"),
+        F.max("DOY").alias("_last"),
+        F.max("_run").alias("_runs"),
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(active, "DOY").alias("_a0"),
+        F.max_by(active, "DOY").alias("_a1"),
+    )
     d = d.join(ends, list(by))
     # the run before the first active day and the one after the last are one if both touch their end
     d = d.withColumn("_ring", F.when(~F.col("_a0") & ~F.col("_a1") & (F.col("_run") == F.col("_runs")), 0).otherwise(F.col("_run")))
@@ -130,7 +152,11 @@ def circular_runs(days: DataFrame, active: str, temperature: str, by: tuple[str,
     off = pick_first(off, list(by), ["_t", "_d"]).select(*by, F.col("_ring").alias("_off"))
     d = d.join(off, list(by), "left").withColumn("_on", F.col(active) | F.col("_off").isNull() | (F.col("_ring") != F.col("_off")))
     piece = F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w.rowsBetween(_START, 0))
-    pieces = d.withColumn("_piece", piece).filter("_on").groupBy(*by, "_piece").agg(F.min("DOY").alias("gStart"), F.max("DOY").alias("gEnd"), F.count(F.lit(1)).alias("_k"))
+    pieces = d.withColumn("_piece", piece).filter("_on").groupBy(*by, "_piece").agg(
+        F.min("DOY").alias("gStart"),
+        F.max("DOY").alias("gEnd"),
+        F.count(F.lit(1)).alias("_k"),
+    )
     total = pieces.groupBy(*by).agg(F.sum("_k").alias("_all"))
     best = pick_first(pieces, list(by), [F.desc("_k"), F.col("gStart")]).join(total, list(by))
     return best.select(*by, "gStart", "gEnd", (F.col("_all") - F.col("_k")).alias("trimmed_days"))

@@ -101,7 +101,14 @@ def read_daily_swc(spark: SparkSession, path: str) -> DataFrame:
     """Daily soil water (name, date, SWC) with date parts."""
     df = spark.read.csv(path, header=True, schema="name string, date string, SWC double", nullValue="NA")
     day = F.to_date("date")
-    return df.select(F.col("name").alias("site_id"), day.alias("date"), F.year(day).alias("YEAR"), F.month(day).alias("MONTH"), F.dayofmonth(day).alias("DAY"), "SWC")
+    return df.select(
+        F.col("name").alias("site_id"),
+        day.alias("date"),
+        F.year(day).alias("YEAR"),
+        F.month(day).alias("MONTH"),
+        F.dayofmonth(day).alias("DAY"),
+        "SWC",
+    )
 
 
 def read_supplement(spark: SparkSession, path: str, fmt: str = "dd.MM.yyyy HH:mm") -> DataFrame:
@@ -110,7 +117,14 @@ def read_supplement(spark: SparkSession, path: str, fmt: str = "dd.MM.yyyy HH:mm
     return df.select("site_id", F.to_timestamp_ntz("time", F.lit(fmt)).alias("stamp"), "value")
 
 
-def patch_from_series(df: DataFrame, series: DataFrame, column: str, factor: float = 100.0, qc_col: str | None = None, keys: tuple[str, ...] = ("site_id", "stamp")) -> DataFrame:
+def patch_from_series(
+    df: DataFrame,
+    series: DataFrame,
+    column: str,
+    factor: float = 100.0,
+    qc_col: str | None = None,
+    keys: tuple[str, ...] = ("site_id", "stamp"),
+) -> DataFrame:
     """Override ``column`` by ``factor`` times the series' value where it has one, and set the quality flag to 1 there."""
     s = series.select(*keys, (F.col("value") * factor).alias("_patch"))
     out = df.join(s, list(keys), "left")
