@@ -268,3 +268,23 @@ def test_night_course_fills_holes(spark):
     nights = spark.createDataFrame(rows, "site_id long, YEAR long, MONTH long, DOY long, HOUR long, MINUTE long, TA double, TS double")
     got = {r["DOY"]: (r["MONTH"], r["TA"], r["TS"]) for r in future.night_course(nights).collect()}
     assert got == {60: (3, 1.0, 2.0), 61: (3, 3.0, 4.0), 62: (3, 5.0, 6.0), 63: (3, 7.0, pytest.approx(8.0)), 64: (3, 9.0, 10.0)}
+
+
+def test_stored_tables_are_removed_on_demand(spark):
+    import os
+
+    df = io.stored(spark.range(5), "mine")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert io.remove_stored(spark) >= 1 and not os.path.exists(os.path.dirname(path)) and io.remove_stored(spark) == 0
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    class Cluster:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        io.scratch(Cluster, "x")

@@ -25,13 +25,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``stored`` has written and ``remove_stored`` not removed yet.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for data that is read several times; cuts its lineage."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> int:
+    """Remove the tables that ``stored`` has written so far, once no result that reads them is needed; returns how many."""
+    count = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def site_from_path(path: Column) -> Column:
     """Site of a file name like ``FLX_CH-Dav_FLUXNET_HH_2010.csv`` or ``AMF_US-Ha1_BASE_HR_1.csv``."""
     return F.regexp_extract(path, r"(?:^|[/=])[A-Za-z]+_([A-Z]{2}-[A-Za-z0-9]{3})_", 1)
