@@ -6,8 +6,6 @@ bytes, so that working arrays stay small however long the batch is.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermoflux.sources.io import stored
+
 #: Bytes of text that one numpy pass handles at once (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 21
 
@@ -32,23 +32,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------- staging
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode (tests), an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = getattr(shared_dir, "fallback", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        shared_dir.fallback = found
-    return found.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
+
+    ``sources.io.remove_stored`` removes such tables."""
+    return stored(df, name)
 
 
 # ---------------------------------------------------------------------------------- hashing

@@ -13,7 +13,7 @@ Equal sets are merged before banding, verification runs on the whole sets, and l
 Chances: the bands are as many as make a pair at the threshold escape all of them with probability ``MISS`` at most.
 
 Cases: a document with fewer words than a shingle has them all as its one shingle; one without words (null, empty) has an empty set, is
-linked with nothing and stays; equal texts share a component; ids are taken as unique: rows with
+linked with nothing and stays; equal texts share a component; ids are integers and taken as unique: rows with
 the same id get the same component, the smallest that one of their texts has; rows with a null id are linked with nothing and stay. Other columns pass through ``drop_near_duplicates``.
 """
 

@@ -17,7 +17,7 @@ A minimiser within a very common line meets a different segment in each of its d
 64th document; that only plans the load: windows under them get the hash of the whole window as their minimiser, so they spread evenly.
 
 Cases: a null text is empty; texts shorter than ``length`` lose nothing; a text may repeat itself (the later start is covered, overlaps count);
-doc_ids are taken as unique: rows with the same id and text are one document and get the same result; null ids come before all others.
+doc_ids are integers and taken as unique: rows with the same id and text are one document and get the same result; null ids come before all others.
 """
 
 from __future__ import annotations
