@@ -136,7 +136,7 @@ def test_near_dedup(spark, texts):
         family.append(" ".join(chain))
     every = texts + family
     docs = table(spark, every)
-    for n, s in ((3, 0.85), (5, 0.8)):
+    for n, s in ((3, 0.85), (5, 0.8), (1, 0.5)):
         sets = {i: shingles(t, n) for i, t in enumerate(every)}
         want = components_by_force(sets, round(100 * s))
         got = near_dedup.near_duplicates(docs, n, s).collect()

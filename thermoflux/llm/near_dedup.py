@@ -184,7 +184,7 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     # whatever the other's size, at most n * (100 - p) / 100 elements may be missing
     p = p.filter((F.col("n") - F.col("i") + 1) * 100 >= percent * F.col("n")).join(labels, "doc").select("element", "doc", "c", "n", "i")
     # sizes of linked sets lie in the same or neighbouring classes, so the sets of an element meet only those of like size
-    size_class = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
     p = staged(p.withColumn("z", size_class.cast("long")), "rare-elements")
     q = p.toDF("element", "o", "oc", "on", "oi", "oz").withColumn("oz", F.explode(F.array(F.col("oz") - 1, F.col("oz"), F.col("oz") + 1)))
     most = F.least(F.col("n") - F.col("i"), F.col("on") - F.col("oi")) + 1
