@@ -10,6 +10,10 @@ from thermoflux.operators.windows import average_rank, pick_first
 from thermoflux.sources.io import stored
 
 KEYS = ("site_id", "growing_year")
+# The texts of ``reason`` that readers of the result tables know.
+INITIAL = "initial_equal_weight_selection"
+REPLACED = "replacement_for_gap_longer_than_threshold"
+KEPT = "initial_year_kept_no_acceptable_alternative"
 
 
 def yearly_table(ac: DataFrame, nights: DataFrame, seasons: DataFrame) -> DataFrame:
@@ -53,8 +57,8 @@ def control_year(table: DataFrame, long_gap: int = 14, gap_weight: float = 4.0)
     t = t.withColumn("_score", F.col("temperature_rank") + gap_weight * F.col("burden_rank") + F.col("max_gap_rank"))
     other = pick_first(t, ["site_id"], ["_score", *ties]).select("site_id", F.col("growing_year").alias("_other"))
     out = first.join(other, "site_id", "left")
-    reason = F.when(F.col("_gap") <= long_gap, "initial_equal_weight_selection").when(
+    reason = F.when(F.col("_gap") <= long_gap, INITIAL).when(
         F.col("_other").isNotNull(),
-        "replacement_for_gap_longer_than_threshold",
-    ).otherwise("initial_year_kept_no_acceptable_alternative")
+        REPLACED,
+    ).otherwise(KEPT)
     return out.select("site_id", F.coalesce("_other", "initial_year").alias("control_year"), "initial_year", reason.alias("reason"))
