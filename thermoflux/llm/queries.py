@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
+from thermoflux.llm import chat_format, conversation_repair, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
 from thermoflux.llm.common import crc_mod, documents
 
 
@@ -167,6 +167,45 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.summary(rows, dropped=F.col("dropped"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(k) + 1), lambda i: ord(substr(k, i, 1))::BIGINT),
+          lambda c, b: list_reduce([xor(c, b)] || list_transform(range(8), lambda z: 0::BIGINT), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS h FROM raw),
+live AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, substr(role, 1, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM live),
+f AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN again THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+             count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE i > 1 AND p || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS size FROM f GROUP BY 1),
+-- states: 0 nothing yet, 1 after a system turn, 2 after a user turn, 3 after an assistant turn
+e(a, b, letters, cost, lines) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 5, ['user:']), (0, 3, 'II', 10, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 5, ['user:']),
+             (1, 3, 'II', 10, ['user:', 'assistant:']), (2, 2, '', 0, []), (2, 3, 'I', 5, ['assistant:']), (3, 3, '', 0, []), (3, 2, 'I', 5, ['user:'])),
+g(b, letter, first_, c) AS (VALUES (0, 'D', '', 0), (1, 'D', '', 1), (2, 'D', '', 2), (3, 'D', '', 3), (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (2, 'K', 'a', 3), (3, 'K', 'u', 2),
+             (0, 'R', '', 2), (1, 'R', '', 2), (2, 'R', '', 3), (3, 'R', '', 2)),
+d AS (SELECT conv_id, 0::BIGINT AS i, 0 AS a, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM raw)
+      UNION ALL
+      SELECT conv_id, i, c, cost, audit, lines FROM (
+        SELECT d.conv_id, f.i, g.c, d.cost + e.cost + CASE g.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN fault = 3 AND g.letter <> 'D' THEN 5 ELSE 0 END AS cost,
+               d.audit || e.letters || g.letter AS audit,
+               d.lines || e.lines || CASE g.letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE g.c WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END AS lines
+        FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1 JOIN e ON e.a = d.a
+        JOIN g ON g.b = e.b AND (g.letter = 'D' OR fault NOT IN (1, 2) AND (g.letter = 'R' OR g.first_ = f.r)))
+      QUALIFY row_number() OVER (PARTITION BY conv_id, i, c ORDER BY cost, audit) = 1),
+z AS (SELECT d.conv_id, d.cost + e.cost AS cost, d.audit || e.letters AS audit, d.lines || e.lines AS lines
+      FROM d JOIN e ON e.a = d.a AND e.b IN (0, 3) LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM d.conv_id WHERE d.i = coalesce(n.size, 0)
+      QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY d.cost + e.cost, d.audit || e.letters) = 1)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       z.cost::BIGINT AS cost, z.audit, sha256(array_to_string(z.lines, chr(10))) AS repaired_sha256
+FROM z LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -178,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_lm": op8_katz_lm,
     "op9_mix": op9_mix,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -186,4 +226,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_mix": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
