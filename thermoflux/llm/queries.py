@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, conversation_repair, decontaminate, exact_dedup, katz_lm, language_id, mixing, near_dedup, quality, substring_dedup, toxicity
+from thermoflux.llm import chat_format, conversation_repair, decontaminate, exact_dedup, katz_lm, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 from thermoflux.llm.common import crc_mod, documents
 
 
@@ -206,6 +206,22 @@ FROM z LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id
 """
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = line_dedup.line_report(docs, line_dedup.build(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM s)),
+k AS (SELECT key, max(doc_id) AS top FROM l WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE top <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE top IS NULL OR top = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN k USING (key) GROUP BY 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -218,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix": op9_mix,
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -227,4 +244,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
     "op9_mix": OP9_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_line_dedup": OP12_SQL,
 }
