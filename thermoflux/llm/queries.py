@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoflux.llm import chat_format, conversation_repair, decontaminate, exact_dedup, katz_lm, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from thermoflux.llm import chat_format, conversation_repair, decontaminate, exact_dedup, katz_lm, language_id, lexical_search, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 from thermoflux.llm.common import crc_mod, documents
 
 
@@ -222,6 +222,26 @@ FROM l LEFT JOIN k USING (key) GROUP BY 1
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(documents(spark, sf_dir))
+    found = lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+g AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), g GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER o)::INT AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -235,6 +255,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_line_dedup": op12_line_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -245,4 +266,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_mix": OP9_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_line_dedup": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
