@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thermoflux.functions import scalars as sc
 from thermoflux.operators import aggregates as a
-from thermoflux.operators import curves, drivers, regression
+from thermoflux.operators import curves, regression
 from thermoflux.plans import registry
 from thermoflux.plans.models import _FEATURES, _curve_rows, _features, _reference, m1b, m2
 from thermoflux.plans.views import ORDER, obs_multi
@@ -25,9 +25,15 @@ def obs(spark):
     df = obs_multi(spark, DATA).toPandas().sort_values(["site_id", *ORDER], kind="stable").reset_index(drop=True)
     for name, n in (("d1", 4), ("d8", 32)):
         df[name] = df.groupby("site_id")["TA"].transform(lambda x, n=n: x.rolling(n).mean())
+    # the rule of soil temperatures: the n rows before a row, itself left out; its own value where there is none
+    for name, n in (("p1", 4), ("p8", 32)):
+        df[name] = [own["TA"].iloc[max(0, i - n) : i].mean() if i else own["TA"].iloc[0] for _, own in df.groupby("site_id") for i in range(len(own))]
     return df
 
 
+BEFORE = ("TA", "p1", "p8")
+
+
 def fitted(train, xs=("TA", "d1", "d8")):
     t = train.dropna(subset=["TS", *xs])
     x = np.column_stack([np.ones(len(t)), t[list(xs)]])
@@ -42,21 +48,57 @@ def test_soil_temperature_with_three_regressors(spark, obs):
     got = {r["site_id"]: r for r in m1b(spark, DATA).collect()}
     assert set(got) == set(obs["site_id"])
     for site, own in obs.groupby("site_id"):
-        n, coef = fitted(own[own["TA"] >= 5])
-        ts = predicted(coef, own) if n >= 30 else own["TS"].to_numpy()
+        n, coef = fitted(own[own["TA"] > 5], BEFORE)
+        ts = predicted(coef, own, BEFORE) if n >= 30 else own["TS"].to_numpy()
+        assert got[site]["TS_status"] == ("replaced" if n >= 30 else "too_few")
         assert got[site]["n"] == np.isfinite(ts).sum() and got[site]["ts"] == pytest.approx(np.nanmean(ts), rel=1e-6)
 
 
+def test_soil_temperature_by_row_and_status(spark, obs):
+    """Every value, with training dates, a limit that some rows meet exactly, and sites without configuration or with too few rows."""
+    edge = float(np.sort(obs.loc[obs["site_id"] == 1, "TA"])[300])
+    config = [(1, "1996-03-01", "1999-06-30", edge), (2, None, None, None), (3, "1997-01-01", "1997-01-05", 0.0)]
+    df = obs_multi(spark, DATA).withColumn("TA_QC", F.col("QC") + 5)
+    out = regression.soil_temperature(df, spark.createDataFrame(config, "site_id long, start string, end string, ta_min double"), 4, ORDER)
+    got = out.toPandas().sort_values(["site_id", *ORDER], kind="stable").reset_index(drop=True)
+    for site, own in obs.groupby("site_id"):
+        day, train = own["stamp"].dt.strftime("%Y-%m-%d"), None
+        if site == 1:
+            train = own[(day >= "1996-03-01") & (day <= "1999-06-30") & (own["TA"] > edge)]
+            assert (own["TA"] == edge).any()
+        elif site == 2:
+            train = own
+        rows = got[got["site_id"] == site]
+        want = own["TS"].to_numpy() if train is None else predicted(fitted(train, BEFORE)[1], own, BEFORE)
+        np.testing.assert_allclose(rows["TS"].to_numpy(float), want, rtol=1e-7)
+        assert set(rows["TS_status"]) == {"too_few" if site == 3 else "not_configured" if train is None else "replaced"}
+        assert (rows["TS_QC"].isna() if train is None else rows["TS_QC"] == rows["TA_QC"]).all()
+
+
 def test_reconstruction_from_donors(spark, obs):
     mean = obs.groupby("site_id")["TA"].mean()
     got = {r["site_id"]: r for r in m2(spark, DATA).collect()}
     for site, own in obs.groupby("site_id"):
         near = sorted((abs(mean[site] - v), d) for d, v in mean.items() if d != site)[:3]
-        _, coef = fitted(obs[obs["site_id"].isin([d for _, d in near])])
-        ts = predicted(coef, own)
+        pool = obs[obs["site_id"].isin([d for _, d in near]) & (obs["TA"] > 0)]
+        ts = predicted(fitted(pool, BEFORE)[1], own, BEFORE)
+        assert got[site]["TS_status"] == "replaced"
         assert got[site]["n"] == np.isfinite(ts).sum() and got[site]["ts"] == pytest.approx(np.nanmean(ts), rel=1e-6)
 
 
+def test_donors_keep_their_own_limits(spark, obs):
+    donors = spark.createDataFrame([(1, 2), (1, 3), (4, 2)], "target long, donor long")
+    config = spark.createDataFrame([(2, "1997-01-01", None, 20.0), (9, None, None, 0.0)], "site_id long, start string, end string, ta_min double")
+    out = regression.reconstruct_from_donors(obs_multi(spark, DATA), donors, 4, ORDER, config).groupBy("site_id", "TS_status").agg(F.avg("TS").alias("ts"))
+    got = {r["site_id"]: r for r in out.collect()}
+    two = obs[(obs["site_id"] == 2) & (obs["stamp"] >= "1997-01-01") & (obs["TA"] > 20)]
+    three = obs[(obs["site_id"] == 3) & (obs["TA"] > 0)]
+    for target, pool in ((1, pd.concat([two, three])), (4, two)):
+        ts = predicted(fitted(pool, BEFORE)[1], obs[obs["site_id"] == target], BEFORE)
+        assert got[target]["TS_status"] == "replaced" and got[target]["ts"] == pytest.approx(np.nanmean(ts), rel=1e-6)
+    assert got[2]["TS_status"] == "not_configured" and got[2]["ts"] == pytest.approx(obs.loc[obs["site_id"] == 2, "TS"].mean())
+
+
 def test_repaired_periods(spark, obs):
     bad = pd.DataFrame([(1, 1997, 50, 120), (2, 1999, 10, 200)], columns=["site_id", "YEAR", "DOY_start", "DOY_end"])
     out = regression.repair_periods(obs_multi(spark, DATA), spark.createDataFrame(bad), 4, ORDER, min_rows=20)
@@ -124,16 +166,6 @@ def test_variance_inflation(spark):
         assert vif == pytest.approx(((own[x] - own[x].mean()) ** 2).sum() / (e**2).sum(), rel=1e-6)
 
 
-def test_partial_dependence_is_the_mean_prediction(spark):
-    df = _features(spark, DATA).limit(150)
-    model = drivers.forest(df, "y", _FEATURES, trees=5, node=5, mtry=2)
-    got = sorted(map(tuple, drivers.partial_dependence(model, df, "TA", _FEATURES, points=4).select("x", "yhat").collect()))
-    lo, hi = df.agg(F.min("TA"), F.max("TA")).first()
-    assert [x for x, _ in got] == pytest.approx(list(np.linspace(lo, hi, 4)))
-    for x, y in got:
-        assert y == pytest.approx(drivers.predict(model, df.withColumn("TA", F.lit(x)), _FEATURES).agg(F.avg("prediction")).first()[0])
-
-
 def two_sided(t, df):
     """Two-sided tail of Student's distribution by the trapezoid rule."""
     x = np.linspace(-abs(t), abs(t), 200_001)

@@ -120,7 +120,7 @@ def climatological_budget(clim: DataFrame, factor: float, column: str = "NEE", s
     """Sums (all, day, night) of a climatology whose holes are filled by straight lines, times ``factor``."""
     from thermoflux.operators.windows import interpolate_linear
 
-    filled = interpolate_linear(clim, column, ["DOY"], by=(site_col, "NIGHT"), out="_v")
+    filled = interpolate_linear(clim, column, ["DOY"], by=(site_col, "NIGHT"), out="_v", rows=None)
     night = F.col("NIGHT") == 1
     return filled.groupBy(site_col).agg(
         (F.sum("_v") * factor).alias("all"), (F.sum(F.when(~night, F.col("_v"))) * factor).alias("day"), (F.sum(F.when(night, F.col("_v"))) * factor).alias("night")

@@ -1,36 +1,24 @@
-"""Drivers of the response: forests, permutation importance and partial dependence."""
+"""Drivers of the response: forests, permutation importance and partial dependence, all on forests as rows (``forests``)."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoflux.sources.io import scratch, stored
-
-
-#: Depth at which trees end in any case, and rows that one partition of a fit holds at least.
-DEPTH = 10
-ROWS_PER_PARTITION = 50_000
-
+from thermoflux.operators import forests
+from thermoflux.sources.io import stored
 
-def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=xs, outputCol="features").transform(df)
+#: Settings of the forests (fixed values): trees, rows of a node that is not split, variables tried at a split.
+TREES, NODE, MTRY = 500, 30, 1
 
 
-def forest(df: DataFrame, y: str, xs: list[str], trees: int = 500, node: int = 30, mtry: int = 1, seed: int = 1):
-    """A fitted forest; ``node`` rows at least in a leaf, ``mtry`` variables tried at a split."""
-    rf = RandomForestRegressor(labelCol=y, numTrees=trees, minInstancesPerNode=node, featureSubsetStrategy=str(mtry), maxDepth=DEPTH, seed=seed)
-    rows = df.dropna(subset=[y, *xs]).select(y, *xs)
-    # every partition sends the statistics of all open nodes at every level, so small tables go in few partitions
-    return rf.fit(_assembled(rows.coalesce(max(1, -(-rows.count() // ROWS_PER_PARTITION))), xs))
+def forest(df: DataFrame, y: str, xs: list[str], id_col: str, trees: int = TREES, node: int = NODE, mtry: int = MTRY, seed: int = 1) -> DataFrame:
+    """A forest on the complete rows of ``df``, a row a tree; ``predict`` applies it."""
+    return stored(forests.forests(df.sparkSession, forests.table(df, y, xs, id_col), 1, trees, node, mtry, seed, resampled=False), "forest")
 
 
-def predict(model, df: DataFrame, xs: list[str]) -> DataFrame:
-    return model.transform(_assembled(df, xs)).drop("features")
+predict = forests.predict
 
 
 def stratified_folds(df: DataFrame, strata: list[str], id_col: str, k: int = 5, seed: int = 1) -> DataFrame:
@@ -40,57 +28,30 @@ def stratified_folds(df: DataFrame, strata: list[str], id_col: str, k: int = 5,
 
 
 def tune(
-    df: DataFrame,
-    y: str,
-    xs: list[str],
-    strata: list[str],
-    id_col: str,
-    nodes: tuple[int, ...] = (1, 5, 10, 20, 40),
-    mtries: tuple[int, ...] = (1, 2),
-    trees: int = 50,
-    k: int = 5,
-) -> tuple[DataFrame, int, int]:
-    """(scores: node, mtry, RMSE over left-out folds; best node; best mtry). The loop runs over settings and folds, the fits over the data."""
-    spark = df.sparkSession
-    d = stratified_folds(df, strata, id_col, k)
-    rows = []
-    for node in nodes:
-        for mtry in mtries:
-            se = n = 0.0
-            for f in range(k):
-                m = forest(d.filter(F.col("fold") != f), y, xs, trees, node, mtry)
-                e = predict(m, d.filter(F.col("fold") == f), xs).agg(F.sum((F.col(y) - F.col("prediction")) ** 2), F.count(F.lit(1))).first()
-                se, n = se + (e[0] or 0.0), n + e[1]
-            rows.append((node, mtry, float((se / max(n, 1)) ** 0.5)))
-    best = min(rows, key=lambda r: r[2])
-    return spark.createDataFrame(rows, "node int, mtry int, RMSE double"), best[0], best[1]
-
-
-def ranked(df: DataFrame, group: str, key: Column, tie: str, out: str, buckets: int = 256) -> DataFrame:
-    """Rank of the rows of a group by a hash ``key``, in two levels: buckets of the key, whose sizes are summed up, and ranks within them."""
-    d = df.withColumn("_key", key).withColumn("_b", F.shiftrightunsigned("_key", 64 - (buckets.bit_length() - 1)))
-    before = F.sum("_size").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = d.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_size")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_size")
-    within = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_key", tie))
-    return d.withColumn("_within", within).join(sizes, [group, "_b"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_key", "_b", "_before", "_within")
-
-
-def permutation_importance(model, df: DataFrame, y: str, xs: list[str], id_col: str, repeats: int = 50, seed: int = 1) -> DataFrame:
-    """(var, varImp in %): mean rise of the squared error when a variable is permuted, negative ones as 0, normalised to 100.
-
-    All repeats and variables are one job: rows are listed for each, and a variable's values are dealt to the rows of
-    a repeat by two seeded ranks."""
-    d = df.dropna(subset=[y, *xs]).select(F.col(id_col).alias("_id"), y, *xs)
-    base = predict(model, d, xs).agg(F.avg((F.col(y) - F.col("prediction")) ** 2)).first()[0]
-    runs = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    r = stored(d.withColumn("_k", runs), "repeats")
-    left = ranked(r, "_k", F.xxhash64("_id"), "_id", "_r")
-    right = ranked(r, "_k", F.xxhash64(F.lit(seed), "_k", "_id"), "_id", "_r").select("_k", "_r", *[F.col(c).alias(f"_m_{c}") for c in xs])
-    both = left.join(right, ["_k", "_r"])
-    each = both.withColumn("var", F.explode(F.array(*[F.lit(c) for c in xs])))
-    each = each.withColumns({c: F.when(F.col("var") == c, F.col(f"_m_{c}")).otherwise(F.col(c)) for c in xs})
-    mse = predict(model, each.drop(*[f"_m_{c}" for c in xs]), xs).groupBy("var").agg((F.avg((F.col(y) - F.col("prediction")) ** 2) - F.lit(base)).alias("_rise"))
-    return normalised_importance(mse.select("var", F.col("_rise").alias("varImp")))
+    df: DataFrame, y: str, xs: list[str], strata: list[str], id_col: str, nodes: int = 40, mtries: tuple[int, ...] | None = None, trees: int = TREES, k: int = 5, seed: int = 1
+) -> DataFrame:
+    """(mtry, node, part, RMSE, R2, MAE, n): scores of every leaf size from 1 to ``nodes`` and every number of variables, over ``k`` stratified folds.
+
+    One job: the trees of a fold and a number of variables are grown once and hold those of all leaf sizes."""
+    d = stored(stratified_folds(df.dropna(subset=[y, *xs]), strata, id_col, k, seed), "folds")
+    t = forests.table(d, y, [*xs, "fold"], id_col, strata)
+    folds = t.x[:, -1].astype(np.int64)
+    own = forests.Table(t.x[:, :-1], t.y, t.strata)
+    return forests.nested_scores(df.sparkSession, own, folds, nodes, mtries or tuple(range(1, len(xs) + 1)), trees, seed)
+
+
+def best_setting(scores: DataFrame) -> DataFrame:
+    """(mtry, node, RMSE) of the least error on left-out folds; of equals the smallest."""
+    key = F.struct("RMSE", "mtry", "node")
+    return scores.filter("part = 'test'").agg(F.min(key).alias("_b")).select("_b.mtry", "_b.node", "_b.RMSE")
+
+
+def permutation_importance(df: DataFrame, y: str, xs: list[str], id_col: str, repeats: int = 50, trees: int = TREES, node: int = NODE, mtry: int = MTRY, seed: int = 1) -> DataFrame:
+    """(var, varImp in %): of ``repeats`` forests, the rise of the squared error over its standard error when a variable is permuted among
+    the rows that a tree did not draw; negative ones as 0, normalised to 100 in each forest, then averaged."""
+    rises = forests.permutation_rises(df.sparkSession, forests.table(df, y, xs, id_col), xs, repeats, trees, node, mtry, seed)
+    scaled = rises.select("replicate", "var", F.coalesce(F.try_divide("mean", "error"), F.lit(0.0)).alias("varImp"))
+    return normalised_importance(scaled, ("replicate",)).groupBy("var").agg(F.avg("varImp").alias("varImp"))
 
 
 def normalised_importance(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -100,66 +61,15 @@ def normalised_importance(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumn("varImp", F.try_divide(100 * pos, total))
 
 
-def stratified_bootstrap(df: DataFrame, strata: list[str], id_col: str, times: int = 200, seed: int = 1) -> DataFrame:
-    """``times`` resamples with replacement within strata (column ``replicate``): every draw picks a seeded place of its stratum."""
-    w = Window.partitionBy(*strata).orderBy(id_col)
-    d = df.withColumn("_r", F.row_number().over(w) - 1)
-    size = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    draws = d.select(*strata, F.col("_r").alias("_draw")).join(size, strata).withColumn(
-        "replicate",
-        F.explode(F.sequence(F.lit(0), F.lit(times - 1))),
-    )
-    draws = draws.withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_draw", *strata), F.col("_n")).cast("int")).drop("_n", "_draw")
-    return draws.join(d, [*strata, "_r"]).drop("_r")
-
-
-def partial_dependence(model, df: DataFrame, x: str, xs: list[str], points: int = 51) -> DataFrame:
-    """(x, yhat): mean prediction over the data with the variable set to each of ``points`` values of its range (one job)."""
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
-    values = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    grid = df.dropna(subset=xs).select(*xs).withColumn("_g", values).withColumn(x, F.lit(lo) + F.col("_g") * ((hi - lo) / max(1, points - 1)))
-    return predict(model, grid, xs).groupBy("_g", F.col(x).alias("x")).agg(F.avg("prediction").alias("yhat")).drop("_g")
-
-
 def bootstrap_dependence(
-    df: DataFrame,
-    y: str,
-    xs: list[str],
-    strata: list[str],
-    id_col: str,
-    times: int = 200,
-    points: int = 51,
-    trees: int = 500,
-    node: int = 30,
-    mtry: int = 1,
-    seed: int = 1,
-    at_once: int = 4,
+    df: DataFrame, y: str, xs: list[str], strata: list[str], id_col: str, times: int = 200, points: int = 51, trees: int = TREES, node: int = NODE, mtry: int = MTRY, seed: int = 1
 ) -> DataFrame:
     """(replicate, var, x, yhat): partial dependence of every variable under a forest fitted to each of ``times`` stratified resamples.
 
-    The forests are fitted ``at_once`` at a time from the driver; a forest's rows, all variables and points, are one job. The
-    resamples are one table, and each replicate's rows are written when it is done, so that no plan holds all forests."""
-    boot = stored(stratified_bootstrap(df, strata, id_col, times, seed), "resamples")
-    folder = scratch(df.sparkSession, "dependence")
-    ends = df.agg(*[f(x).alias(f"{n}_{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    base = df.dropna(subset=xs).select(*xs)
-    grid = base.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("var", F.explode(F.array(*[F.lit(x) for x in xs])))
-    at = F.coalesce(*[F.when(
-        F.col("var") == x,
-        F.lit(ends[f"lo_{x}"]) + F.col("_g") * ((ends[f"hi_{x}"] - ends[f"lo_{x}"]) / max(1, points - 1)),
-    ) for x in xs])
-    grid = grid.withColumn("x", at).withColumns({x: F.when(F.col("var") == x, F.col("x")).otherwise(F.col(x)) for x in xs})
-
-    def one(k: int):
-        model = forest(boot.filter(F.col("replicate") == k), y, xs, trees, node, mtry, seed + k)
-        yhat = predict(model, grid, xs).groupBy("var", "_g", "x").agg(F.avg("prediction").alias("yhat"))
-        out = yhat.select(F.lit(k).alias("replicate"), "var", "x", "yhat")
-        out.write.parquet(f"{folder}/{k}")
-        return out.schema
-
-    with ThreadPoolExecutor(at_once) as pool:
-        schema = list(pool.map(one, range(times)))[0]
-    return df.sparkSession.read.schema(schema).parquet(*[f"{folder}/{k}" for k in range(times)])
+    All trees of all resamples are grown in one job, whose rows the dependence reads in the same stage."""
+    t = forests.table(df, y, xs, id_col, strata)
+    grown = forests.forests(df.sparkSession, t, times if len(t) else 0, trees, node, mtry, seed)
+    return forests.dependence(grown, t, xs, points)
 
 
 def partial_bands(replicates: DataFrame, by: tuple[str, ...] = ("var", "x")) -> DataFrame:

@@ -58,7 +58,7 @@ def night_course(nights: DataFrame) -> DataFrame:
     mean = nights.groupBy("site_id", *at, "MONTH").agg(F.avg("TA").alias("TA"), F.avg("TS").alias("TS"))
     mean = pick_first(mean, ["site_id", *at], ["MONTH"])
     place = F.row_number().over(Window.partitionBy("site_id").orderBy(*at)).cast("double")
-    mean = interpolate_linear(mean.withColumn("_place", place), "TA", ["_place"]).drop("_place")
+    mean = interpolate_linear(mean.withColumn("_place", place), "TA", ["_place"], rows=None).drop("_place")
     return fill_by_regression(mean, "TS", "TA")
 
 

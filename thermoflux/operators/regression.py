@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from thermoflux.operators.aggregates import t_tail
 from thermoflux.operators.joins import range_join, small
-from thermoflux.operators.windows import trailing_mean
+from thermoflux.operators.windows import previous_means, trailing_means
 from thermoflux.sources.io import stored
 
 
@@ -81,27 +81,59 @@ def fill_by_regression(df: DataFrame, y: str, x: str, by: tuple[str, ...] = ("si
     return df.join(fit, list(by), "left").withColumn(y, F.coalesce(y, F.col("_a") + F.col("_b") * F.col(x))).drop("_a", "_b")
 
 
+#: Predictors of soil temperature: air temperature, and its means over the day and the eight days before a row.
+_PREVIOUS = ["TA", "_d1", "_d8"]
+
+
+def _with_previous(df: DataFrame, per_day: int, order: list[str]) -> DataFrame:
+    return previous_means(df, "TA", {"_d1": per_day, "_d8": 8 * per_day}, ["site_id"], order)
+
+
+def _trained(w: DataFrame, config: DataFrame, stamp: str) -> DataFrame:
+    """Rows within the site's training dates and warmer than its least temperature; limits that are null do not count."""
+    c = config.select("site_id", F.to_date("start").alias("_s"), F.to_date("end").alias("_e"), F.col("ta_min").cast("double").alias("_t"))
+    day = F.to_date(stamp)
+    keep = (F.col("_s").isNull() | (day >= F.col("_s"))) & (F.col("_e").isNull() | (day <= F.col("_e"))) & (F.col("_t").isNull() | (F.col("TA") > F.col("_t")))
+    return w.join(small(c), "site_id").filter(keep).drop("_s", "_e", "_t")
+
+
+def _replaced(w: DataFrame, fit: DataFrame, known: DataFrame, min_rows: int) -> DataFrame:
+    """The series of every site with a model overwritten as a whole, TS_QC as TA_QC where there is one, and TS_status: replaced, too_few
+    (fewer than ``min_rows`` training rows: the series stays), not_configured."""
+    d = w.join(small(known.select("site_id", F.lit(True).alias("_known")).distinct()), "site_id", "left")
+    d = d.join(small(fit), "site_id", "left")
+    done = F.col("coef").isNotNull()
+    out = d.withColumns({
+        "TS": F.when(done, predict(F.col("coef"), _PREVIOUS)).otherwise(F.col("TS")),
+        "TS_status": F.when(done, "replaced").when(F.col("_known"), "too_few").otherwise("not_configured"),
+        **({"TS_QC": F.when(done, F.col("TA_QC")).otherwise(F.col("TS_QC") if "TS_QC" in w.columns else F.lit(None))} if "TA_QC" in w.columns else {}),
+    })
+    return out.drop("coef", "_known", "_d1", "_d8")
+
+
 def soil_temperature(df: DataFrame, config: DataFrame, per_day: int, order: list[str], min_rows: int = 30) -> DataFrame:
-    """TS of the configured sites, wholly replaced by its regression on TA and the trailing means of one and eight days.
+    """TS of the configured sites, wholly replaced by its regression on TA and the means of TA over the day and the eight days before a row
+    (the row itself left out; its own TA where there is none). Adds TS_status.
 
-    ``config``: site_id, start, end (training stamps), ta_min; the fit uses rows from ``min_rows`` on."""
-    xs = ["TA", "_d1", "_d8"]
-    w = df.withColumns({"_d1": trailing_mean("TA", per_day, ["site_id"], order), "_d8": trailing_mean("TA", 8 * per_day, ["site_id"], order)})
-    c = config.select("site_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("ta_min").alias("_t"))
-    train = w.join(small(c), "site_id").filter(F.col(order[0]).between(F.col("_s"), F.col("_e")) & (F.col("TA") >= F.col("_t")))
-    fit = ols(train, "TS", xs, ("site_id",), min_rows).select("site_id", "coef")
-    out = w.join(fit, "site_id", "left")
-    return out.withColumn("TS", F.when(F.col("coef").isNotNull(), predict(F.col("coef"), xs)).otherwise(F.col("TS"))).drop("coef", "_d1", "_d8")
+    ``config``: site_id, start, end (training dates, inclusive) and ta_min (TA must be above); each may be null."""
+    w = _with_previous(df, per_day, order)
+    fit = stored(ols(_trained(w, config, order[0]), "TS", _PREVIOUS, ("site_id",), min_rows).select("site_id", "coef"), "models")
+    return _replaced(w, fit, config, min_rows)
 
 
-def reconstruct_from_donors(df: DataFrame, donors: DataFrame, per_day: int, order: list[str], min_rows: int = 30) -> DataFrame:
-    """TS of target sites from one regression pooled over their donors. ``donors``: target, donor (one row a pair)."""
-    xs = ["TA", "_d1", "_d8"]
-    w = df.withColumns({"_d1": trailing_mean("TA", per_day, ["site_id"], order), "_d8": trailing_mean("TA", 8 * per_day, ["site_id"], order)})
-    pooled = w.join(small(donors.withColumnRenamed("donor", "site_id")), "site_id")
-    fit = ols(pooled, "TS", xs, ("target",), min_rows).select(F.col("target").alias("site_id"), "coef")
-    out = w.join(fit, "site_id", "left")
-    return out.withColumn("TS", F.when(F.col("coef").isNotNull(), predict(F.col("coef"), xs)).otherwise(F.col("TS"))).drop("coef", "_d1", "_d8")
+def reconstruct_from_donors(df: DataFrame, donors: DataFrame, per_day: int, order: list[str], config: DataFrame | None = None, min_rows: int = 4) -> DataFrame:
+    """TS of target sites from one regression pooled over their donors. ``donors``: target, donor (one row a pair). Adds TS_status.
+
+    A donor's rows are those of its own ``config`` (as for ``soil_temperature``); without one, all with TA above 0."""
+    w = _with_previous(df, per_day, order)
+    own = donors.select(F.col("donor").alias("site_id")).distinct()
+    limits = own.withColumns({"start": F.lit(None).cast("date"), "end": F.lit(None).cast("date"), "ta_min": F.lit(0.0)})
+    if config is not None:
+        c = config.select("site_id", F.to_date("start").alias("start"), F.to_date("end").alias("end"), F.col("ta_min").cast("double").alias("ta_min"))
+        limits = limits.join(c, "site_id", "left_anti").unionByName(c.join(own, "site_id", "left_semi"))
+    pooled = _trained(w, limits, order[0]).join(small(donors.withColumnRenamed("donor", "site_id")), "site_id")
+    fit = stored(ols(pooled, "TS", _PREVIOUS, ("target",), min_rows).select(F.col("target").alias("site_id"), "coef"), "models")
+    return _replaced(w, fit, donors.select(F.col("target").alias("site_id")), min_rows)
 
 
 def repair_periods(df: DataFrame, bad: DataFrame, per_day: int, order: list[str], margin: int = 30, min_rows: int = 100) -> DataFrame:
@@ -110,7 +142,7 @@ def repair_periods(df: DataFrame, bad: DataFrame, per_day: int, order: list[str]
     A period's model is trained on the days within ``margin`` of it in any year, without any bad period, where QC is 0 or 1.
     Adds TS_repair_flag (1 where replaced; QC becomes 1 there). Periods with too few rows stay as they are."""
     xs = ["TA", "_d1", "_d8"]
-    w = df.withColumns({"_d1": trailing_mean("TA", per_day, ["site_id"], order), "_d8": trailing_mean("TA", 8 * per_day, ["site_id"], order)})
+    w = trailing_means(df, "TA", {"_d1": per_day, "_d8": 8 * per_day}, ["site_id"], order)
     p = bad.select("site_id", F.col("YEAR").alias("_by"), F.col("DOY_start").alias("_a"), F.col("DOY_end").alias("_b"))
     p = stored(p.withColumn("_p", F.xxhash64("site_id", "_by", "_a", "_b")), "periods")
     w = stored(w, "trailing-means")

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermoflux.operators.chunked import CHUNK_ROWS, join_on, with_frames, with_neighbours
+
 _START = Window.unboundedPreceding
 
 
-def previous_mean(x: str, n: int, by: list[str], order: list[str]) -> Column:
-    """Mean of the ``n`` rows before (missing skipped); the row's own value where that is null."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-n, -1)
-    return F.coalesce(F.avg(x).over(w), F.col(x))
+def previous_means(df: DataFrame, x: str, sizes: dict[str, int], by: list[str], order: list[str], rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """``df`` with means of the rows before (missing skipped), ``sizes`` rows a column; the row's own value where that is null."""
+    return with_frames(df, max(sizes.values()), lambda w, _: {c: F.coalesce(F.avg(x).over(w.rowsBetween(-n, -1)), F.col(x)) for c, n in sizes.items()}, by, order, rows)
 
 
-def trailing_mean(x: str, n: int, by: list[str], order: list[str]) -> Column:
-    """Mean of the row and the ``n`` - 1 before it (missing skipped); null until there are ``n`` rows."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return F.when(F.row_number().over(w) >= n, F.avg(x).over(w.rowsBetween(-(n - 1), 0)))
+def trailing_means(df: DataFrame, x: str, sizes: dict[str, int], by: list[str], order: list[str], rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """``df`` with means of the row and those before it (missing skipped), ``sizes`` rows a column; null until there are as many."""
+    return with_frames(df, max(sizes.values()), lambda w, at: {c: F.when(at >= n, F.avg(x).over(w.rowsBetween(-(n - 1), 0))) for c, n in sizes.items()}, by, order, rows)
 
 
 def lag_gap(kept: DataFrame, seasons: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
@@ -28,10 +28,9 @@ def lag_gap(kept: DataFrame, seasons: DataFrame, by: tuple[str, ...] = ("site_id
     return days.withColumn("gap", F.col("DOY") - F.lag("DOY").over(w))
 
 
-def rolling3(x: str, by: list[str], order: list[str]) -> Column:
-    """Mean of three rows up to this one; the first two rows take the first value."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return F.when(F.row_number().over(w) < 3, F.first(x).over(w.rowsBetween(_START, 0))).otherwise(F.avg(x).over(w.rowsBetween(-2, 0)))
+def rolling3(df: DataFrame, x: str, out: str, by: list[str], order: list[str], rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """``df`` with the mean of three rows up to each one; the first two rows take the first value."""
+    return with_frames(df, 2, lambda w, at: {out: F.when(at < 3, F.first(x).over(w.rowsBetween(-2, 0))).otherwise(F.avg(x).over(w.rowsBetween(-2, 0)))}, by, order, rows)
 
 
 def islands(flag: Column, by: list[str], order: list[str]) -> Column:
@@ -76,33 +75,30 @@ def interpolate_linear(
     max_gap: int | None = None,
     fill_ends: bool = False,
     out: str | None = None,
+    rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Holes on a straight line between their neighbours along ``axis`` (the first order column by default).
 
     With ``max_gap`` holes of more rows stay; ``fill_ends`` carries the first and last value outward."""
-    axis = F.col(order[0]) if axis is None else axis
-    w = Window.partitionBy(*by).orderBy(*order)
-    # the next value is the last one in the order turned round: a frame up to the end would be read anew for every row
-    back, ahead = w.rowsBetween(_START, 0), Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(_START, 0)
-    known = F.when(F.col(x).isNotNull(), axis)
-    a, ax = F.last(x, True).over(back), F.last(known, True).over(back)
-    b, bx = F.last(x, True).over(ahead), F.last(known, True).over(ahead)
-    line = a + F.try_divide((b - a) * (axis - ax), bx - ax)
+    at = F.col(order[0]) if axis is None else axis
+    d = with_neighbours(df, x, at, list(by), order, rows)
+    a, b = F.col("_last"), F.col("_ahead")
+    line = a["x"] + F.try_divide((b["x"] - a["x"]) * (at - a["at"]), b["at"] - a["at"])
     if fill_ends:
-        line = F.coalesce(line, a, b)
-    tmp = df.withColumn("_line", line)
+        line = F.coalesce(line, a["x"], b["x"])
     if max_gap is not None:
-        run = F.sum(F.when(F.col(x).isNull(), 0).otherwise(1)).over(back)
-        tmp = tmp.withColumn("_run", run)
-        holes = F.count(F.when(F.col(x).isNull(), 1)).over(Window.partitionBy(*by, "_run"))
-        tmp = tmp.withColumn("_line", F.when(holes <= max_gap, F.col("_line"))).drop("_run")
-    return tmp.withColumn(out or x, F.coalesce(x, "_line")).drop("_line")
+        holes = F.coalesce(b["pos"], F.col("_size") + 1) - F.coalesce(a["pos"], F.lit(0)) - 1
+        line = F.when(holes <= max_gap, line)
+    return d.withColumn(out or x, F.coalesce(F.col(x), line)).drop("_last", "_ahead", "_pos", "_size")
 
 
 def previous_day_fill(df: DataFrame, x: str, by: tuple[str, ...] = ("site_id", "HOUR", "MINUTE")) -> DataFrame:
-    """Holes of a diurnal climatology take the value of the nearest earlier day at that time."""
+    """Holes of a diurnal climatology take the value of the nearest earlier day at that time; those before the first known day take the value of the
+    site's first row (the first day's first time), missing if that is. ``by``: the site, then the time of day."""
+    site, *times = by
     w = Window.partitionBy(*by).orderBy("DOY").rowsBetween(_START, 0)
-    return df.withColumn(x, F.last(x, True).over(w))
+    first = df.groupBy(site).agg(F.min_by(F.struct(F.col(x).alias("v")), F.struct("DOY", *times)).alias("_first"))
+    return join_on(df, first, [site]).withColumn(x, F.coalesce(F.last(x, True).over(w), F.col("_first")["v"])).drop("_first")
 
 
 def zscore(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:

@@ -24,7 +24,7 @@ def m1(spark, d):
 def m1b(spark, d):
     obs = obs_multi(spark, d)
     config = obs.groupBy("site_id").agg(F.min("stamp").alias("start"), F.max("stamp").alias("end")).withColumn("ta_min", F.lit(5.0))
-    return regression.soil_temperature(obs, config, 4, ORDER).groupBy("site_id").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
+    return regression.soil_temperature(obs, config, 4, ORDER).groupBy("site_id", "TS_status").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
 
 
 @query("m2_donors")
@@ -34,7 +34,7 @@ def m2(spark, d):
     pairs = means.select(F.col("site_id").alias("target"), F.col("m").alias("own")).join(means.withColumnRenamed("site_id", "donor"), F.col("target") != F.col("donor"))
     near = Window.partitionBy("target").orderBy(F.abs(F.col("own") - F.col("m")), "donor")
     donors = pairs.withColumn("k", F.row_number().over(near)).filter("k <= 3").select("target", "donor")
-    return regression.reconstruct_from_donors(obs, donors, 4, ORDER).groupBy("site_id").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
+    return regression.reconstruct_from_donors(obs, donors, 4, ORDER).groupBy("site_id", "TS_status").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
 
 
 @query("m3_repair_periods")
@@ -287,26 +287,20 @@ def _features(spark, d):
     return g.withColumn("id", F.col("site_id") * 1000000 + F.col("YEAR") * 100 + F.col("MONTH"))
 
 
-def _stored_features(spark, d):
-    """The features as a table, since forests read them again and again."""
-    return drivers.stored(_features(spark, d), "features")
-
-
 @query("m17_tune")
 def m17t(spark, d):
-    return drivers.tune(_stored_features(spark, d), "y", _FEATURES, ["site_id"], "id")[0]
+    return drivers.tune(_features(spark, d), "y", _FEATURES, ["site_id"], "id")
 
 
 @query("m17_forest")
 def m17(spark, d):
-    f = _stored_features(spark, d)
-    return drivers.predict(drivers.forest(f, "y", _FEATURES), f, _FEATURES).select("site_id", "YEAR", "MONTH", "y", "prediction")
+    f = drivers.stored(_features(spark, d), "features")
+    return drivers.predict(drivers.forest(f, "y", _FEATURES, "id"), f, _FEATURES).select("site_id", "YEAR", "MONTH", "y", "prediction")
 
 
 @query("m18_permutation_importance")
 def m18(spark, d):
-    f = _stored_features(spark, d)
-    return drivers.permutation_importance(drivers.forest(f, "y", _FEATURES), f, "y", _FEATURES, "id")
+    return drivers.permutation_importance(_features(spark, d), "y", _FEATURES, "id")
 
 
 @query("m18b_normalised_importance", f"WITH {MULTI}, x AS (SELECT site_id, MONTH, avg(NEE) - 25 AS v FROM obs GROUP BY 1, 2) SELECT site_id, MONTH, round(100 * greatest(v, 0) / sum(greatest(v, 0)) OVER (PARTITION BY site_id), 6) AS varImp FROM x")
@@ -317,8 +311,7 @@ def m18b(spark, d):
 
 @query("m19_partial_dependence")
 def m19(spark, d):
-    f = _stored_features(spark, d)
-    return drivers.partial_bands(drivers.bootstrap_dependence(f, "y", _FEATURES, ["site_id"], "id"))
+    return drivers.partial_bands(drivers.bootstrap_dependence(_features(spark, d), "y", _FEATURES, ["site_id"], "id"))
 
 
 @query("m19b_partial_bands", f"WITH {MULTI}, g AS (SELECT site_id AS var, MONTH AS x, YEAR, avg(NEE) AS v FROM obs GROUP BY 1, 2, 3) SELECT var, x, round(quantile_cont(v, 0.025), 6) AS q2_5, round(quantile_cont(v, 0.05), 6) AS q5, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95, round(quantile_cont(v, 0.975), 6) AS q97_5 FROM g GROUP BY 1, 2")

@@ -20,12 +20,12 @@ def _daily(spark, d):
 
 @query("w1_previous_mean", f"WITH {MULTI} SELECT {_IDS}, round(coalesce(avg(TS) OVER (PARTITION BY site_id ORDER BY {KEY} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), TS), 6) AS prior FROM obs")
 def w1(spark, d):
-    return obs_multi(spark, d).select(*_ID, r6(w.previous_mean("TS", 48, ["site_id"], ORDER)).alias("prior"))
+    return w.previous_means(obs_multi(spark, d), "TS", {"prior": 48}, ["site_id"], ORDER).select(*_ID, r6("prior").alias("prior"))
 
 
 @query("w2_trailing_mean", f"WITH {MULTI} SELECT {_IDS}, round(CASE WHEN row_number() OVER p >= 24 THEN avg(TS) OVER (PARTITION BY site_id ORDER BY {KEY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END, 6) AS trail FROM obs WINDOW p AS (PARTITION BY site_id ORDER BY {KEY})")
 def w2(spark, d):
-    return obs_multi(spark, d).select(*_ID, r6(w.trailing_mean("TS", 24, ["site_id"], ORDER)).alias("trail"))
+    return w.trailing_means(obs_multi(spark, d), "TS", {"trail": 24}, ["site_id"], ORDER).select(*_ID, r6("trail").alias("trail"))
 
 
 @query("w3_lag_gap", f"WITH {MULTI}, {_GAPS} SELECT site_id, YEAR, DOY, gap FROM gg")
@@ -35,7 +35,7 @@ def w3(spark, d):
 
 @query("w4_rolling3", f"WITH {MULTI}, {_DAILY} SELECT site_id, YEAR, DOY, round(CASE WHEN row_number() OVER p < 3 THEN first_value(ta) OVER p ELSE avg(ta) OVER (PARTITION BY site_id ORDER BY YEAR, DOY ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END, 6) AS roll FROM day WINDOW p AS (PARTITION BY site_id ORDER BY YEAR, DOY)")
 def w4(spark, d):
-    return _daily(spark, d).select("site_id", "YEAR", "DOY", r6(w.rolling3("ta", ["site_id"], ["YEAR", "DOY"])).alias("roll"))
+    return w.rolling3(_daily(spark, d), "ta", "roll", ["site_id"], ["YEAR", "DOY"]).select("site_id", "YEAR", "DOY", r6("roll").alias("roll"))
 
 
 @query("w5_gap_islands", f"WITH {MULTI}, {_DAILY}, i AS (SELECT site_id, YEAR, v IS NULL AS gap, sum(CASE WHEN v IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY site_id, YEAR ORDER BY DOY ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM day) SELECT site_id, YEAR, run, count(*) AS k FROM i WHERE gap GROUP BY 1, 2, 3")
@@ -82,9 +82,11 @@ def w9(spark, d):
     return rounded(w.interpolate_linear(h, "v", ["x"], max_gap=8, fill_ends=True), "v")
 
 
-@query("w10_previous_day_fill", f"WITH {MULTI}, c AS (SELECT site_id, l_linenumber AS HOUR, DOY, avg(CASE WHEN DOY % 5 != 2 THEN NEE END) AS v FROM obs GROUP BY 1, 2, 3) SELECT site_id, HOUR, DOY, round(last_value(v IGNORE NULLS) OVER (PARTITION BY site_id, HOUR ORDER BY DOY ROWS UNBOUNDED PRECEDING), 6) AS v FROM c")
+@query("w10_previous_day_fill", f"""WITH {MULTI}, c AS (SELECT site_id, l_linenumber AS HOUR, DOY, avg(CASE WHEN DOY % 5 != 2 AND (DOY > 40 OR l_linenumber = 1) THEN NEE END) AS v FROM obs GROUP BY 1, 2, 3),
+f AS (SELECT site_id, v AS v1 FROM c QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY DOY, HOUR) = 1)
+SELECT site_id, HOUR, DOY, round(coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY site_id, HOUR ORDER BY DOY ROWS UNBOUNDED PRECEDING), v1), 6) AS v FROM c JOIN f USING (site_id)""")
 def w10(spark, d):
-    c = obs_multi(spark, d).groupBy("site_id", F.col("l_linenumber").alias("HOUR"), "DOY").agg(F.avg(F.when(F.col("DOY") % 5 != 2, F.col("NEE"))).alias("v"))
+    c = obs_multi(spark, d).groupBy("site_id", F.col("l_linenumber").alias("HOUR"), "DOY").agg(F.avg(F.when((F.col("DOY") % 5 != 2) & ((F.col("DOY") > 40) | (F.col("l_linenumber") == 1)), F.col("NEE"))).alias("v"))
     return rounded(w.previous_day_fill(c, "v", ("site_id", "HOUR")), "v")
 
 
