@@ -3,9 +3,9 @@
 Windows of ``length`` bytes that are equal have the same minimiser (the least hash of their ``K``-grams), so texts are cut into
 segments - runs of window starts with the same minimiser - and only segments with a common minimiser can share windows.
 
-1. Tasks emit minimiser, segment hash and place of each segment, packed by bucket of the minimiser; equal segments of one task are
-   merged first, so copies send little. A bucket finds the minimisers that occur in different segments. Equal segments
-   (96 bits of hash) but the first are covered as a whole.
+1. Tasks emit minimiser, segment hash and place of each segment by bucket of the minimiser; equal segments of one task are
+   merged first, so copies send little. A bucket finds the minimisers that occur in different segments. Equal segments but the first are
+   covered as a whole; they are equal where the 64 bits of the minimiser and 64 independent bits of the segment are (byte values of another table).
 2. The first segment of each kind whose minimiser other segments share (or that may repeat itself) is fetched from its text.
 3. Such segments form blocks of a bounded size by minimiser. A block is sorted into a suffix array; a breadth-first backward extension
    on its Burrows-Wheeler transform derives the common prefix lengths by increasing value: it starts from the empty string, extends
@@ -16,8 +16,13 @@ segments - runs of window starts with the same minimiser - and only segments wit
 A minimiser within a very common line meets a different segment in each of its documents. Such minimisers are found on every
 64th document; that only plans the load: windows under them get the hash of the whole window as their minimiser, so they spread evenly.
 
+Segments of a task are packed into one blob a bucket while buckets are few enough for a blob to hold some ``BLOB_SEGMENTS`` of them; beyond (some 50 GB
+of text) they are plain rows, whose size does not depend on the number of buckets.
+
 Cases: a null text is empty; texts shorter than ``length`` lose nothing; a text may repeat itself (the later start is covered, overlaps count);
-doc_ids are integers and taken as unique: rows with the same id and text are one document and get the same result; null ids come before all others.
+rows with the same id and text are one document and get the same result; rows that share an id, or have none, with different texts are different documents,
+in the order of a hash of their texts; null ids come before all others; ids are of any type that sorts; other columns are not read; an empty table gives no rows. A text of
+many MB is cut into segments pass by pass, with an overlap of a window.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thermoflux.llm.common import U64, byte_values, mix, slices, span_hashes, staged
 
@@ -44,6 +50,8 @@ BLOCK_BYTES = 1 << 19
 PASS_BYTES = 1 << 19
 #: Segments that one bucket of minimisers holds, about.
 BUCKET_SEGMENTS = 200_000
+#: Segments that a task gathers before it sends them, and that a blob holds at least on average.
+CHUNK_SEGMENTS, BLOB_SEGMENTS = 500_000, 64
 _MULT = 0x9E3779B97F4A7C15
 _RUN = np.dtype([("key", "u8"), ("seg", "u8"), ("doc", "i8"), ("start", "i4"), ("n", "i4"), ("self", "?")])
 
@@ -51,6 +59,11 @@ _RUN = np.dtype([("key", "u8"), ("seg", "u8"), ("doc", "i8"), ("start", "i4"), (
 # ---------------------------------------------------------------------------------- segments
 
 
+def _other_values() -> np.ndarray:
+    """A second table of byte values, independent of the one that minimisers are made of."""
+    return mix(byte_values() ^ U64(0x5851F42D4C957F2D))
+
+
 def _gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-grams of ``buf`` by doubling (k a power of two)."""
     h, power, span = byte_values()[buf], _MULT, 1
@@ -100,20 +113,32 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int, common: np.ndarray)
     out = np.zeros(int(ok.sum()), dtype=_RUN)
     run, size = run[ok], size[ok]
     out["key"], out["doc"], out["start"], out["n"], out["self"] = key[run], doc[run], start[run], size, again[ok]
-    out["seg"] = span_hashes(byte_values()[buf], run, run + size + length - 1)
+    out["seg"] = span_hashes(_other_values()[buf], run, run + size + length - 1)
     return out
 
 
+def all_segments(buf: np.ndarray, offs: np.ndarray, length: int, common: np.ndarray) -> Iterator[np.ndarray]:
+    """``segments`` of a slice; one long text is taken pass by pass, so that working arrays stay small."""
+    if len(offs) > 2 or len(buf) <= 2 * PASS_BYTES:
+        yield segments(buf, offs, length, common)
+        return
+    for at in range(0, len(buf) - length + 1, PASS_BYTES):
+        part = buf[at : at + PASS_BYTES + length - 1]
+        runs = segments(part, np.array([0, len(part)]), length, common)
+        runs["start"] += at
+        yield runs
+
+
 # ---------------------------------------------------------------------------------- packing
 
 
 def _pack(runs: np.ndarray) -> bytes:
-    """Columns one after the other; keys and hashes as 6 bytes."""
+    """Columns one after the other."""
     doc = np.diff(runs["doc"], prepend=0)
     parts = [
         np.array([len(runs)], "i8"),
-        np.ascontiguousarray(runs["key"]).view("u1").reshape(-1, 8)[:, 2:],
-        np.ascontiguousarray(runs["seg"]).view("u1").reshape(-1, 8)[:, 2:],
+        runs["key"],
+        runs["seg"],
         np.ascontiguousarray(doc),
         runs["start"].astype("u4"),
         runs["n"].astype("u4"),
@@ -128,12 +153,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(raw, "i8", 1)[0])
     out = np.zeros(n, dtype=_RUN)
     at = 8
-    for name in ("key", "seg"):
-        wide = np.zeros((n, 8), "u1")
-        wide[:, 2:] = np.frombuffer(raw, "u1", 6 * n, at).reshape(n, 6)
-        out[name] = wide.view("u8")[:, 0]
-        at += 6 * n
-    for name, kind, size in (("doc", "i8", 8), ("start", "u4", 4), ("n", "u4", 4), ("self", "?", 1)):
+    for name, kind, size in (("key", "u8", 8), ("seg", "u8", 8), ("doc", "i8", 8), ("start", "u4", 4), ("n", "u4", 4), ("self", "?", 1)):
         out[name] = np.frombuffer(raw, kind, n, at)
         at += size * n
     out["doc"] = np.cumsum(out["doc"])
@@ -276,8 +296,7 @@ def _as_runs(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def _common_minimisers(docs: DataFrame, length: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offs in slices(b.column(1), PASS_BYTES):
-                runs = segments(buf, offs, length, np.zeros(0, U64))
+            for runs in (r for _, _, buf, offs in slices(b.column(1), PASS_BYTES) for r in all_segments(buf, offs, length, np.zeros(0, U64))):
                 yield pa.RecordBatch.from_arrays([pa.array(runs["key"].view("i8")), pa.array(runs["seg"].view("i8"))], ["key", "seg"])
 
     seen = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(PLAN_EVERY)) == 0).mapInArrow(run, "key long, seg long").distinct()
@@ -291,29 +310,32 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common = spark.sparkContext.broadcast(_common_minimisers(docs, length))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, int(total // 36 // BUCKET_SEGMENTS) + 1)
+    plain = buckets > CHUNK_SEGMENTS // BLOB_SEGMENTS
+    send = _plain if plain else _emit
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             held, count = [], 0
             for lo, _, buf, offs in slices(b.column(1), PASS_BYTES):
-                runs = segments(buf, offs, length, common.value)
-                runs["doc"] = ids[lo + runs["doc"]]
-                held.append(runs)
-                count += len(runs)
-                if count > 500_000:
-                    yield _emit(np.concatenate(held), buckets)
-                    held, count = [], 0
+                for runs in all_segments(buf, offs, length, common.value):
+                    runs["doc"] = ids[lo + runs["doc"]]
+                    held.append(runs)
+                    count += len(runs)
+                    if count > CHUNK_SEGMENTS:
+                        yield send(np.concatenate(held), buckets)
+                        held, count = [], 0
             if count:
-                yield _emit(np.concatenate(held), buckets)
+                yield send(np.concatenate(held), buckets)
 
-    packed = docs.mapInArrow(emit, "bucket int, blob binary")
+    packed = docs.mapInArrow(emit, _PLAIN if plain else "bucket int, blob binary")
 
     def reduce(key, pdf):
+        own = _rows_of(pdf) if plain else np.concatenate([_unpack(x) for x in pdf["blob"]])
         if key[0] < 0:  # covered within a task already
-            runs, asked = np.concatenate([_unpack(x) for x in pdf["blob"]]), np.zeros(0, _RUN)
+            runs, asked = own, np.zeros(0, _RUN)
         else:
-            first, runs = _split_first(np.concatenate([_unpack(x) for x in pdf["blob"]]))
+            first, runs = _split_first(own)
             new = np.ones(len(first), dtype=bool)
             new[1:] = first["key"][1:] != first["key"][:-1]
             several = np.diff(np.append(np.flatnonzero(new), len(first)))[np.cumsum(new) - 1] > 1 if len(first) else new
@@ -362,9 +384,34 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(found)
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key) % U64(buckets)).astype(np.int64)
+
+
+_PLAIN = "bucket int, key long, seg long, doc long, start int, n int, self boolean"
+
+
+def _plain(runs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Segments as rows; those covered within the task stand in buckets below zero, dealt out evenly."""
+    first, later = _split_first(runs)
+    both = np.concatenate([first, later])
+    spread = -1 - (mix(later["doc"].view(U64) ^ later["start"].astype(U64)) % U64(buckets)).astype(np.int64)
+    bucket = np.concatenate([_bucket(first["key"], buckets), spread])
+    columns = [bucket.astype("i4"), both["key"].view("i8"), both["seg"].view("i8"), both["doc"], both["start"], both["n"], both["self"]]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["bucket", *_RUN.names])
+
+
+def _rows_of(pdf: pd.DataFrame) -> np.ndarray:
+    out = np.zeros(len(pdf), _RUN)
+    for name in _RUN.names:
+        x = pdf[name].to_numpy()
+        out[name] = x.view(U64) if name in ("key", "seg") else x
+    return out
+
+
 def _emit(runs: np.ndarray, buckets: int) -> pa.RecordBatch:
     first, later = _split_first(runs)
-    bucket = (mix(first["key"] >> U64(16)) % U64(buckets)).astype(np.int64)
+    bucket = _bucket(first["key"], buckets)
     order = np.lexsort((first["start"], first["doc"], bucket))
     first, bucket = first[order], bucket[order]
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -375,10 +422,25 @@ def _emit(runs: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, doc): documents with a number that grows with their id.
+
+    An integer id is its own number unless it (or null) has several texts. Then, and for other types, all (id, text hash) are sorted and numbered."""
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pairs = keyed.select("id", F.xxhash64("text").alias("_h")).distinct()
+    whole = isinstance(keyed.schema["id"].dataType, T.LongType | T.IntegerType | T.ShortType | T.ByteType)
+    if whole and pairs.groupBy("id").count().filter("count > 1").limit(1).count() == 0:
+        return keyed.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))))
+    ordered = pairs.orderBy(F.asc_nulls_first("id"), "_h").withColumn("doc", F.monotonically_increasing_id())
+    numbers = staged(ordered.withColumnRenamed("id", "_id"), "numbers")  # numbered once
+    keyed = keyed.withColumn("_hash", F.xxhash64("text"))
+    return keyed.join(numbers, keyed["id"].eqNullSafe(numbers["_id"]) & (F.col("_hash") == F.col("_h"))).select("id", "text", "doc")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, kept (remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs)."""
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text_col).alias("text"))
-    runs = covered(narrow, length).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    narrow = _numbered(docs, id_col, text_col)
+    runs = covered(narrow.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -386,27 +448,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             kept, size, removed, spans = [], [], [], []
             for i in range(b.num_rows):
                 raw = texts[i].as_py() or b""
-                size.append(len(raw))
                 own = lists[i].values
-                if own is None:
-                    kept.append(raw)
-                    removed.append(0)
-                    spans.append(0)
-                    continue
-                edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                s = own.field("start").to_numpy()
-                e = np.minimum(s + own.field("n").to_numpy() + length - 1, len(raw))
-                np.add.at(edge, np.minimum(s, len(raw)), 1)
-                np.add.at(edge, e, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-                removed.append(int(gone.sum()))
-                spans.append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
+                s = own.field("start").to_numpy().astype(np.int64) if own is not None else np.zeros(0, np.int64)
+                e = np.minimum(s + own.field("n").to_numpy() + length - 1, len(raw)) if len(s) else s
+                order = np.argsort(s, kind="stable")
+                s, e = s[order], np.maximum.accumulate(e[order])
+                first = np.append(True, s[1:] > e[:-1])[: len(s)]
+                s, e = s[first], e[np.append(first[1:], True)[: len(e)]]
+                edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(raw)]
+                kept.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+                size.append(len(raw))
+                removed.append(len(raw) - len(kept[-1]))
+                spans.append(len(s))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-                ["doc", "kept", "n_bytes", "n_removed", "n_spans"],
+                ["id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    joined = narrow.join(runs, "doc", "left").select("doc", "text", "runs")
-    out = joined.mapInArrow(cut, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
-    return out.select(F.when(F.col("doc") != -(2**63), F.col("doc")).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans")
+    joined = narrow.join(runs, "doc", "left").select("id", "text", "runs")
+    kind = T.StructType([joined.schema["id"], *T.StructType.fromDDL("kept binary, n_bytes long, n_removed long, n_spans long").fields])
+    return joined.mapInArrow(cut, kind).withColumnRenamed("id", id_col)
