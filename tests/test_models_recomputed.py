@@ -143,7 +143,7 @@ def test_curves_are_optimal(spark, kind):
             pr = prior[r["site_id"], r["window"]]
             p0, sd = np.array([pr[n] for n in names]), np.maximum(np.array([pr[f"{n}_sd"] for n in names]) * 3, 1e-4)
         else:
-            p0, sd = np.array([max(float(np.median(own["NEE"])) / 2, 0.1), 0.05, -0.001, 0.1]), np.array([5.0, 0.1, 0.01, 2.0])
+            p0, sd = np.array([max(float(np.percentile(own["NEE"], 50, method="inverted_cdf")) / 2, 0.1), 0.05, -0.001, 0.1]), np.array([5.0, 0.1, 0.01, 2.0])
         best = np.array([r[n] for n in names])
         # the optimum belongs to the noise of the step before, which the last estimate repeats but for rounding
         s2 = r["sigma"] ** 2
@@ -154,6 +154,34 @@ def test_curves_are_optimal(spark, kind):
         assert r["RMSE"] == pytest.approx(math.sqrt(np.mean((own["NEE"] - curves._model(best, {c: own[c].to_numpy(float) for c in ("TS", "SWC", "GPP")}, names)[0]) ** 2)), rel=1e-6)
 
 
+@pytest.mark.parametrize("direct", [False, True])
+def test_large_groups_are_fitted_by_aggregates(spark, monkeypatch, direct):
+    """The same optimum, errors and references whether a group is summed in a task or over all executors."""
+    rows = _curve_rows(spark, DATA).filter("site_id < 3")
+    want = curves.er_curve(rows, _reference(rows), direct=direct).toPandas().sort_values(["site_id", "window"])
+    monkeypatch.setattr(curves, "TASK_ROWS", 20)
+    monkeypatch.setattr(curves, "TOGETHER", 4)
+    df = curves.er_curve(rows.repartition(3), _reference(rows), direct=direct)
+    got = df.toPandas().sort_values(["site_id", "window"])
+    assert len(want) >= 5 and list(got.columns) == list(want.columns)
+    for c in want.columns:
+        np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-6, err_msg=c)
+
+
+def test_sums_are_exact():
+    """Squared errors and their derivatives on sums by distinct predictors are those of the rows."""
+    rng = np.random.default_rng(3)
+    x = {"TS": rng.integers(0, 9, 200) / 2, "GPP": rng.integers(0, 3, 200) * 1.0}
+    y, names, p = rng.normal(size=200), ["C0", "alpha", "beta", "k2"], np.array([1.0, 0.1, -0.004, 0.3])
+    d = pd.DataFrame(x | {"y": y, "yy": y * y, "n": 1.0}).groupby(["TS", "GPP"], as_index=False).sum()
+    own = curves.Sums({c: d[c].to_numpy() for c in x}, *[d[c].to_numpy() for c in ("n", "y", "yy")], names)
+    f, j = curves._model(p, x, names)
+    e, jj, jr = own.step(p)
+    assert e == pytest.approx(((y - f) ** 2).sum()) and own.errors(p) == pytest.approx(e)
+    np.testing.assert_allclose(jj, j.T @ j)
+    np.testing.assert_allclose(jr, j.T @ (y - f))
+
+
 def test_variance_inflation(spark):
     df = _features(spark, "/root/testdata/sf0.01")
     rows = df.toPandas()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thermoflux.operators.joins import range_join
 from thermoflux.operators.regression import ols
+from thermoflux.sources.io import stored
 
 #: Bounds of the parameters (fixed values): total curve, then the two more of the direct curve.
 BOUNDS = {"C0": (0.0, 10.0), "alpha": (0.0, 0.2), "beta": (-0.01, 0.0), "Hs": (0.0, 1000.0), "k2": (0.0, 10.0)}
@@ -94,64 +98,110 @@ def _model(p: np.ndarray, x: dict[str, np.ndarray], names: list[str]) -> tuple[n
     return y, np.stack([jac[n] for n in names], axis=1)
 
 
-def fit_curve(
-    x: dict[str, np.ndarray],
-    y: np.ndarray,
-    names: list[str],
-    prior: np.ndarray,
-    prior_sd: np.ndarray,
-    bounds: dict[str, tuple[float, float]],
-    draws: int = 400,
-    seed: int = 1,
-) -> dict[str, float]:
-    """Penalised least squares by damped Gauss-Newton within the bounds, then means and errors by seeded importance draws
-    from the Gaussian at the optimum, truncated to the bounds."""
-    lo, hi = (np.array([bounds[n][i] for n in names]) for i in (0, 1))
-    p = np.clip(prior, lo + 1e-9 * (hi - lo), hi - 1e-9 * (hi - lo))
-    s2 = max(float(np.var(y)), 1e-6)
-
-    def cost(q: np.ndarray, s2: float) -> float:
-        return float(((y - _model(q, x, names)[0]) ** 2).sum() / s2 + (((q - prior) / prior_sd) ** 2).sum())
-
-    for _ in range(3):  # the noise is estimated anew around each optimum
-        damp, now = 1e-3, cost(p, s2)
-        for _ in range(60):
-            f, j = _model(p, x, names)
-            h = j.T @ j / s2 + np.diag(1 / prior_sd**2)
-            g = j.T @ (y - f) / s2 - (p - prior) / prior_sd**2
-            q = np.clip(p + np.linalg.solve(h + damp * np.diag(np.diag(h)), g), lo, hi)
-            new = cost(q, s2)
+class Sums:
+    """What a fit needs of a group: distinct predictors with the rows that have them, and the sums and squares of their fluxes. Every cost and
+    every derivative of the squared errors is exact on these."""
+
+    def __init__(self, x: dict[str, np.ndarray], n: np.ndarray, y: np.ndarray, yy: np.ndarray, names: list[str]):
+        self.x, self.n, self.y, self.yy, self.names = x, n, y, yy, names
+
+    def errors(self, p: np.ndarray) -> float:
+        """Sum of squared errors."""
+        f = _model(p, self.x, self.names)[0]
+        return float((self.yy - 2 * f * self.y + self.n * f * f).sum())
+
+    def step(self, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(sum of squared errors, J'J, J' times the residuals)"""
+        f, j = _model(p, self.x, self.names)
+        return float((self.yy - 2 * f * self.y + self.n * f * f).sum()), j.T @ (self.n[:, None] * j), j.T @ (self.y - self.n * f)
+
+
+class Fit:
+    """Penalised least squares of one group by damped Gauss-Newton steps within the bounds, fed with sums at the points it asks for.
+
+    ``ask`` is the point to be summed next (None when the optimum is found); ``tell`` takes the sums there. The noise is estimated anew around each of
+    three optima. So the sums may come from arrays in a task or from an aggregate over all executors."""
+
+    def __init__(self, names: list[str], prior: np.ndarray, prior_sd: np.ndarray, bounds: dict[str, tuple[float, float]], n: int, variance: float):
+        self.names, self.prior, self.weight, self.n = names, prior, 1 / prior_sd**2, n
+        self.lo, self.hi = (np.array([bounds[c][i] for c in names]) for i in (0, 1))
+        self.ask = np.clip(prior, self.lo + 1e-9 * (self.hi - self.lo), self.hi - 1e-9 * (self.hi - self.lo))
+        self.s2, self.round, self.tries, self.damp, self.at = max(variance, 1e-6), 0, 0, 1e-3, None
+
+    def _penalty(self, q: np.ndarray) -> float:
+        return float((self.weight * (q - self.prior) ** 2).sum())
+
+    def tell(self, errors: float, jj: np.ndarray, jr: np.ndarray) -> None:
+        errors, q = max(errors, 0.0), self.ask
+        new = errors / self.s2 + self._penalty(q)
+        if self.at is None:
+            self.at = (q, errors, jj, jr)
+        else:
+            now = self.at[1] / self.s2 + self._penalty(self.at[0])
+            self.tries += 1
+            done = self.tries >= 60
             if new < now:
-                done = now - new < 1e-9 * (1 + now)
-                p, now, damp = q, new, damp / 5
-                if done:
-                    break
+                done |= now - new < 1e-9 * (1 + now)
+                self.at, self.damp = (q, errors, jj, jr), self.damp / 5
             else:
-                damp *= 5
-                if damp > 1e12:
-                    break
-        s2 = max(float(((y - _model(p, x, names)[0]) ** 2).sum()) / max(1, len(y) - len(p)), 1e-9)
-    f, j = _model(p, x, names)
-    cov = np.linalg.inv(j.T @ j / s2 + np.diag(1 / prior_sd**2))
-    rng = np.random.default_rng(seed)
-    z = rng.multivariate_normal(p, (cov + cov.T) / 2, size=draws, method="eigh")
-    z = z[((z >= lo) & (z <= hi)).all(axis=1)]
-    z = np.concatenate([p[None], z])
-    inv = np.linalg.inv(cov)
-    logw = np.array([-0.5 * (cost(q, s2) - (q - p) @ inv @ (q - p)) for q in z])
-    w = np.exp(logw - logw.max())
-    w /= w.sum()
-    mean = w @ z
-    sd = np.sqrt(np.maximum(w @ (z - mean) ** 2, 0))
-    return {
-        **dict(zip(names, p, strict=True)),
-        **{f"{n}_mean": m for n, m in zip(names, mean, strict=True)},
-        **{f"{n}_sd": d for n, d in zip(names, sd, strict=True)},
-        "sigma": float(np.sqrt(s2)),
-        "n": len(y),
-        "_z": z,
-        "_w": w,
-    }
+                self.damp *= 5
+                done |= self.damp > 1e12
+            if done:
+                self.s2 = max(self.at[1] / max(1, self.n - len(q)), 1e-9)
+                self.round, self.tries, self.damp = self.round + 1, 0, 1e-3
+                if self.round == 3:
+                    self.ask = None
+                    return
+        p, _, jj, jr = self.at
+        h = jj / self.s2 + np.diag(self.weight)
+        g = jr / self.s2 - self.weight * (p - self.prior)
+        self.ask = np.clip(p + np.linalg.solve(h + self.damp * np.diag(np.diag(h)), g), self.lo, self.hi)
+
+    def draws(self, count: int = 400, seed: int = 1) -> np.ndarray:
+        """The optimum and seeded draws from the Gaussian there, truncated to the bounds."""
+        p, _, jj, _ = self.at
+        self.cov = np.linalg.inv(jj / self.s2 + np.diag(self.weight))
+        z = np.random.default_rng(seed).multivariate_normal(p, (self.cov + self.cov.T) / 2, size=count, method="eigh")
+        self.z = np.concatenate([p[None], z[((z >= self.lo) & (z <= self.hi)).all(axis=1)]])
+        return self.z
+
+    def result(self, errors: np.ndarray) -> dict:
+        """Means and errors by importance weights; ``errors``: sums of squared errors at the draws."""
+        p, inv = self.at[0], np.linalg.inv(self.cov)
+        cost = errors / self.s2 + np.array([self._penalty(q) for q in self.z])
+        logw = -0.5 * (cost - np.einsum("ij,jk,ik->i", self.z - p, inv, self.z - p))
+        w = np.exp(logw - logw.max())
+        w /= w.sum()
+        mean = w @ self.z
+        sd = np.sqrt(np.maximum(w @ (self.z - mean) ** 2, 0))
+        out = dict(zip(self.names, p, strict=True)) | {f"{c}_mean": m for c, m in zip(self.names, mean, strict=True)} | {f"{c}_sd": d for c, d in zip(self.names, sd, strict=True)}
+        return out | {"sigma": float(np.sqrt(self.s2)), "n": self.n, "RMSE": float(np.sqrt(self.at[1] / self.n)), "_w": w}
+
+
+#: Distinct predictors of a group that one task fits, and groups beyond it that are fitted together by aggregates.
+TASK_ROWS, TOGETHER = 200_000, 200
+
+
+def _start(row: dict, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Prior and its width: from the pooled fit where the row has one, else wide around a start."""
+    if row.get("_p_C0") is not None:
+        return np.array([row[f"_p_{n}"] for n in names], float), np.maximum(np.array([row[f"_p_{n}_sd"] for n in names], float) * 3, 1e-4)
+    water = row.get("_mid_SWC") or 0.0
+    start = {"C0": max(row["_mid"] / 2, 0.1), "alpha": 0.05, "beta": -0.001, "Hs": water, "k2": 0.1}
+    wide = {"C0": 5.0, "alpha": 0.1, "beta": 0.01, "Hs": max(1.0, 10 * water), "k2": 2.0}
+    return np.array([start[n] for n in names]), np.array([wide[n] for n in names])
+
+
+def _new_fit(row: dict, names: list[str], bounds: dict) -> Fit:
+    return Fit(names, *_start(row, names), bounds, int(row["n"]), row["_yy"] / row["n"] - (row["_y"] / row["n"]) ** 2)
+
+
+def _outcome(fit: Fit, errors: np.ndarray, row: dict, names: list[str], xs: list[str]) -> dict:
+    got = fit.result(errors)
+    at = {c: np.array([row[f"_ref_{c}"]], float) for c in xs}
+    er = np.array([_model(q, at, names)[0][0] for q in fit.z])
+    mean = float(got["_w"] @ er)
+    return got | {"ERref": mean, "ERref_se": float(np.sqrt(max(got["_w"] @ (er - mean) ** 2, 0)))}
 
 
 def er_curve(
@@ -169,53 +219,95 @@ def er_curve(
     Total: NEE = C0 exp(alpha TS + beta TS^2). Direct: times SWC / (Hs + SWC) (``use_swc``) and with C0 + k2 * GPP in the place of C0.
     ``references``: by's site and window with TS (SWC, GPP) at which ERref is predicted; it is null if less than half its error.
     ``priors`` (site_id, window, one column a parameter and <name>_sd), as a pooled fit gives, lead yearly fits; else wide priors
-    around a log-quadratic start. A group is one window (and year) of one site, so it is bounded by the season's length."""
+    around a start from the lower medians.
+
+    Rows are first summed by distinct predictors (map-side combined). A group of at most ``TASK_ROWS`` of those is fitted in one task. Larger ones
+    are fitted ``TOGETHER`` at a time: each step of all of them is one aggregate of squared errors, J'J and J'r over all executors, and so are the costs
+    of the draws; only these sums, a few numbers a group, come to the driver."""
     names = ["C0", "alpha", "beta", *(["Hs"] if direct and use_swc else []), *(["k2"] if direct else [])]
-    need = ["TS", "NEE", *(["SWC"] if direct and use_swc else []), *(["GPP"] if direct else [])]
-    ref = references.select("site_id", "window", *[F.col(c).alias(f"_ref_{c}") for c in need if c != "NEE"])
-    d = df.select(*by, *need).dropna().join(ref, ["site_id", "window"])
-    cols = [f.name for f in d.schema]
+    xs = ["TS", *(["SWC"] if direct and use_swc else []), *(["GPP"] if direct else [])]
+    keys = list(by)
+    rows = df.select(*keys, *xs, "NEE").dropna()
+    sums = stored(rows.groupBy(*keys, *xs).agg(F.count(F.lit(1)).alias("_n"), F.sum("NEE").alias("_s"), F.sum(F.col("NEE") * F.col("NEE")).alias("_q")), "curve-sums")
+    middle = [F.percentile_approx("NEE", 0.5, 100_000).alias("_mid"), *[F.percentile_approx(c, 0.5, 100_000).alias(f"_mid_{c}") for c in xs if c == "SWC"]]
+    groups = rows.groupBy(*keys).agg(*middle)
+    groups = groups.join(sums.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_s").alias("_y"), F.sum("_q").alias("_yy"), F.count(F.lit(1)).alias("_k")), keys).filter(F.col("n") >= min_rows)
+    groups = groups.join(references.select("site_id", "window", *[F.col(c).alias(f"_ref_{c}") for c in xs]), ["site_id", "window"])
     if priors is not None:
-        pr = priors.select("site_id", "window", *[F.col(c).alias(f"_p_{c}") for n in names for c in (n, f"{n}_sd")])
-        d = d.join(pr, ["site_id", "window"])
-        cols = [f.name for f in d.schema]
-    out = [*[c for n in names for c in (n, f"{n}_mean", f"{n}_sd")], "sigma", "RMSE", "ERref", "ERref_se"]
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", n long, " + ", ".join(f"`{c}` double" for c in out)
+        groups = groups.join(priors.select("site_id", "window", *[F.col(c).alias(f"_p_{c}") for n in names for c in (n, f"{n}_sd")]), ["site_id", "window"])
+    groups = stored(groups, "curve-groups")
+    out = ["n", *[c for n in names for c in (n, f"{n}_mean", f"{n}_sd")], "sigma", "RMSE", "ERref", "ERref_se"]
+    schema = T.StructType([*[groups.schema[c] for c in keys], *[T.StructField(c, T.LongType() if c == "n" else T.DoubleType()) for c in out]])
+    about = [c for c in groups.columns if c not in keys]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {c: pdf[c].iloc[0] for c in by}
-        if len(pdf) < min_rows:
-            return pd.DataFrame(columns=[*by, "n", *out])
-        pdf = pdf.sort_values(need)  # the result does not depend on the order of rows
-        x, y = {c: pdf[c].to_numpy(float) for c in need if c != "NEE"}, pdf["NEE"].to_numpy(float)
-        if "_p_C0" in cols:
-            prior = np.array([pdf[f"_p_{n}"].iloc[0] for n in names], float)
-            sd = np.maximum(np.array([pdf[f"_p_{n}_sd"].iloc[0] for n in names], float) * 3, 1e-4)
-        else:
-            start = {
-                "C0": max(float(np.median(y)) / 2, 0.1),
-                "alpha": 0.05,
-                "beta": -0.001,
-                "Hs": float(np.median(x["SWC"])) if "SWC" in x else 0.0,
-                "k2": 0.1,
-            }
-            wide = {"C0": 5.0, "alpha": 0.1, "beta": 0.01, "Hs": max(1.0, 10 * start["Hs"]), "k2": 2.0}
-            prior, sd = np.array([start[n] for n in names]), np.array([wide[n] for n in names])
-        got = fit_curve(x, y, names, prior, sd, bounds)
-        at = {c: np.array([float(pdf[f"_ref_{c}"].iloc[0])]) for c in x}
-        draws = np.array([_model(q, at, names)[0][0] for q in got["_z"]])
-        er = float(got["_w"] @ draws)
-        se = float(np.sqrt(max(got["_w"] @ (draws - er) ** 2, 0)))
-        best = np.array([got[n] for n in names])
-        row |= {k: got[k] for k in ("n", "sigma", *[c for n in names for c in (n, f"{n}_mean", f"{n}_sd")])}
-        row |= {"RMSE": float(np.sqrt(np.mean((y - _model(best, x, names)[0]) ** 2))), "ERref": er, "ERref_se": se}
-        return pd.DataFrame([row])[[*by, "n", *out]]
-
-    fitted = d.groupBy(*by).applyInPandas(lambda pdf: fit(pdf), schema)
+        pdf = pdf.sort_values(xs)
+        row = {c: pdf[c].iloc[0] for c in [*keys, *about]}
+        own = Sums({c: pdf[c].to_numpy(float) for c in xs}, *[pdf[c].to_numpy(float) for c in ("_n", "_s", "_q")], names)
+        f = _new_fit(row, names, bounds)
+        while f.ask is not None:
+            f.tell(*own.step(f.ask))
+        errors = np.array([own.errors(q) for q in f.draws()])
+        got = row | _outcome(f, errors, row, names, xs)
+        return pd.DataFrame([{c: got[c] for c in [*keys, *out]}])
+
+    small_ = sums.join(groups.filter(F.col("_k") <= TASK_ROWS), keys)
+    fitted = small_.groupBy(*keys).applyInPandas(lambda pdf: fit(pdf), schema)
+    part: list = []
+    for r in groups.filter(F.col("_k") > TASK_ROWS).toLocalIterator():  # TOGETHER at a time
+        part.append(r.asDict())
+        if len(part) == TOGETHER:
+            fitted, part = fitted.unionByName(_fit_by_aggregates(sums, part, keys, xs, names, bounds, schema)), []
+    if part:
+        fitted = fitted.unionByName(_fit_by_aggregates(sums, part, keys, xs, names, bounds, schema))
     return fitted.withColumn("ERref", reference_respiration(F.col("ERref"), F.col("ERref_se")))
 
 
+def _fit_by_aggregates(sums: DataFrame, groups: list[dict], keys: list[str], xs: list[str], names: list[str], bounds: dict, schema: T.StructType) -> DataFrame:
+    """Fits of a few groups whose distinct predictors are too many for a task."""
+    spark = sums.sparkSession
+    known = T.StructType([*[schema[c] for c in keys], T.StructField("_g", T.IntegerType())])
+    number = spark.createDataFrame([(*[g[c] for c in keys], i) for i, g in enumerate(groups)], known)
+    rows = stored(sums.join(F.broadcast(number), keys).select("_g", *xs, "_n", "_s", "_q"), "curve-rows")
+    fits = [_new_fit(g, names, bounds) for g in groups]
+    k = len(names)
+
+    def total(width: int, points: dict[int, np.ndarray], part: Callable[[Sums, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+        """Sums over all rows of the ``width`` numbers that ``part`` makes of a batch's rows of a group and the group's point."""
+        held = spark.sparkContext.broadcast(points)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for g, own in pdf.groupby("_g"):
+                    if g in held.value:
+                        s = Sums({c: own[c].to_numpy(float) for c in xs}, *[own[c].to_numpy(float) for c in ("_n", "_s", "_q")], names)
+                        acc[g] = acc.get(g, 0.0) + part(s, held.value[g])
+            for g, v in acc.items():
+                yield pd.DataFrame({"_g": np.full(width, g, np.int32), "i": np.arange(width, dtype=np.int32), "v": v})
+
+        found = rows.mapInPandas(work, "_g int, i int, v double").groupBy("_g", "i").agg(F.sum("v").alias("v")).collect()
+        out = {g: np.zeros(width) for g in points}
+        for r in found:
+            out[r["_g"]][r["i"]] = r["v"]
+        held.unpersist()
+        return out
+
+    def step(s: Sums, p: np.ndarray) -> np.ndarray:
+        e, jj, jr = s.step(p)
+        return np.concatenate([[e], jj.ravel(), jr])
+
+    while points := {i: f.ask for i, f in enumerate(fits) if f.ask is not None}:
+        for i, v in total(1 + k * k + k, points, step).items():
+            fits[i].tell(float(v[0]), v[1 : 1 + k * k].reshape(k, k), v[1 + k * k :])
+    draws = {i: f.draws() for i, f in enumerate(fits)}
+    width = max(len(z) for z in draws.values())
+    padded = {i: np.concatenate([z, np.repeat(z[:1], width - len(z), axis=0)]) for i, z in draws.items()}
+    errors = total(width, padded, lambda s, z: np.array([s.errors(q) for q in z]))
+    done = [g | _outcome(fits[i], errors[i][: len(draws[i])], g, names, xs) for i, g in enumerate(groups)]
+    return spark.createDataFrame([[r[c] if c in keys else int(r[c]) if c == "n" else float(r[c]) for c in schema.fieldNames()] for r in done], schema)
+
+
 def reference_respiration(estimate: Column, error: Column, factor: float = 0.5) -> Column:
     """The estimate, null where it is less than ``factor`` times its error."""
     return F.when(~(estimate < factor * error), estimate)
