@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from thermoflux.functions import scalars as sc
 from thermoflux.operators import aggregates as a
-from thermoflux.operators import curves, regression
+from thermoflux.operators import curves, regression, response
 from thermoflux.plans import registry
-from thermoflux.plans.models import _FEATURES, _curve_rows, _features, _reference, m1b, m2
+from thermoflux.plans.models import _FEATURES, _RESPONSE, _WARMER, _chain, _curve_rows, _features, _reference, m1b, m2
 from thermoflux.plans.views import ORDER, obs_multi
 
 DATA = "/root/testdata/sf0.001"
@@ -282,3 +282,29 @@ def test_gap_filling_by_force(spark):
                 want = (pytest.approx(np.mean(own)), len(own), k)
                 break
         assert got[r[0]] == want
+
+
+def test_chain_recovers_the_planted_response(spark):
+    """From nights to the response: failing years stay as rows without values, the others follow the planted curve and response."""
+    years = _chain(spark, "/root/testdata/sf0.01").persist()
+    rows = years.toPandas()
+    sizes = rows.groupby("site_id").size()
+    assert set(rows["window"]) == set(range(8)) and sizes[0] == 8 * 7 and sizes[1] == 8 * 6
+    assert not rows.duplicated(["site_id", "window", "growing_year"]).any()
+    assert not ((rows["site_id"] == 1) & (rows["growing_year"] == 1999)).any()  # no nights at all: not among the site's years
+    assert (rows.loc[rows["growing_year"] == 1998, "lnRatio"].dropna() == 0).all()
+    done = rows.dropna(subset=["lnRatio"])
+    assert len(done) > 80 and (done["n"] >= 60).mean() > 0.9
+    # the ratio of a year to the control year is the planted response to the planted warming
+    want = _RESPONSE * _WARMER * (done["growing_year"] - 1998)
+    assert abs(done["lnRatio"] - want).max() < 0.05 and np.corrcoef(done["lnRatio"], want)[0, 1] > 0.99
+    for r in response.total_response(years).collect():
+        assert -0.06 < r["TAS"] < -0.035 and r["TASp"] < 1e-6
+    years.unpersist()
+
+
+def test_outliers_go_only_where_enough_years_failed(spark):
+    rows = [(1, 0, y, 0.01 * y if y < 12 else None if y < 18 else 9.0) for y in range(19)] + [(1, 1, y, 0.01 * y if y < 12 else None if y < 15 else 9.0) for y in range(16)]
+    d = spark.createDataFrame(rows, "site_id int, window int, y int, v double")
+    got = a.extreme_outliers(d, "v", ("site_id", "window")).filter("v > 5").select("window").collect()
+    assert [r["window"] for r in got] == [1]

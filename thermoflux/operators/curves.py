@@ -20,15 +20,58 @@ BOUNDS = {"C0": (0.0, 10.0), "alpha": (0.0, 0.2), "beta": (-0.01, 0.0), "Hs": (0
 ROWS_NEEDED = {48: 100, 24: 60}
 
 
-def window_screen(df: DataFrame, windows: DataFrame, ranges: DataFrame, min_rows: int = 100, coldest: float = 2.0) -> DataFrame:
-    """(site, window, mean_TS, n) of the windows whose mean temperature lies within the site's range (not below ``coldest``; any, where
-    the site has one window) and that have ``min_rows``. ``ranges``: site_id, tStart, tEnd."""
-    own = range_join(df, windows.select("site_id", "window", "w_start", "w_end"), "DOY", "w_start", "w_end")
-    g = own.groupBy("site_id", "window").agg(F.avg("TS").alias("mean_TS"), F.count(F.lit(1)).alias("n"))
+def window_screen(df: DataFrame, nights: DataFrame, windows: DataFrame, ranges: DataFrame, min_rows: int = 100, coldest: float = 2.0) -> DataFrame:
+    """(site, window, mean_TS, n) of the windows to be fitted: the mean over years of the yearly mean temperature - of ``df``; a year with any missing
+    value does not count - lies within the site's range (not below ``coldest``; any, where the site has one window), and the complete
+    ``nights`` have ``min_rows`` rows there. ``ranges``: site_id, tStart, tEnd."""
+    w = windows.select("site_id", "window", "w_start", "w_end")
+    by = ["site_id", "window"]
+    # a day's sums first, so that only one row a day and year meets the windows
+    days = df.groupBy("site_id", "YEAR", "DOY").agg(F.sum("TS").alias("_s"), F.count("TS").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    years = range_join(days, w, "DOY", "w_start", "w_end").groupBy(*by, "YEAR").agg(F.sum("_s").alias("_s"), F.sum("_k").alias("_k"), F.sum("_n").alias("_n"))
+    mean = years.groupBy(*by).agg(F.avg(F.when(F.col("_k") == F.col("_n"), F.col("_s") / F.col("_n"))).alias("mean_TS"))
+    rows = range_join(nights.groupBy("site_id", "DOY").agg(F.count(F.lit(1)).alias("_n")), w, "DOY", "w_start", "w_end").groupBy(*by).agg(F.sum("_n").alias("n"))
     count = windows.groupBy("site_id").agg(F.count(F.lit(1)).alias("_w"))
-    g = g.join(ranges, "site_id").join(count, "site_id")
+    g = mean.join(rows, by).join(ranges, "site_id").join(count, "site_id")
     fits = F.col("mean_TS").between(F.greatest("tStart", F.lit(coldest)), F.col("tEnd"))
-    return g.filter(((F.col("_w") == 1) | fits) & (F.col("n") >= min_rows)).select("site_id", "window", "mean_TS", "n")
+    return g.filter(((F.col("_w") == 1) | fits) & (F.col("n") >= min_rows)).select(*by, "mean_TS", "n")
+
+
+def _rings(df: DataFrame, w: DataFrame, value: str, step: int, most: int) -> DataFrame:
+    """(site_id, window, YEAR, ring, v, k): how often a value occurs in each ring of extension. Rows are counted by day first, and only those
+    counts meet the windows; nothing is copied to further extensions."""
+    days = df.filter(F.col(value).isNotNull()).groupBy("site_id", "YEAR", "DOY", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    wide = w.select("site_id", "window", "w_start", "w_end", (F.col("w_start") - most).alias("_a"), (F.col("w_end") + most).alias("_b"))
+    off = F.greatest(F.col("w_start") - F.col("DOY"), F.col("DOY") - F.col("w_end"), F.lit(0))
+    own = range_join(days, wide, "DOY", "_a", "_b").withColumn("ring", F.ceil(off / step).cast("int"))
+    return own.groupBy("site_id", "window", "YEAR", "ring", "v").agg(F.sum("k").alias("k"))
+
+
+def _ring_quantiles(rings: DataFrame, shares: list[float], extensions: int) -> DataFrame:
+    """(site_id, window, YEAR, n, total, top: arrays by extension; q: array by share of arrays by extension): count, sum, largest value and quantiles of
+    each extension, from running sums of the counts over the rings up to it, in the order of values."""
+    by = ["site_id", "window", "YEAR"]
+    every = range(extensions)
+    inside = [F.when(F.col("ring") <= e, F.col("k")).otherwise(0) for e in every]
+    upto = Window.partitionBy(*by).orderBy("v", "ring").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    d = rings.withColumns({**{f"_c{e}": F.sum(inside[e]).over(upto) for e in every}, **{f"_n{e}": F.sum(inside[e]).over(whole) for e in every}})
+
+    def at(e: int, rank: Column) -> Column:
+        """The value at a rank (from 0) of an extension."""
+        return F.min(F.when((F.col(f"_c{e}") > rank) & (F.col("ring") <= e), F.col("v")))
+
+    def quantile(e: int, p: float) -> Column:
+        place = (F.col(f"_n{e}") - 1) * p
+        low, high = at(e, F.floor(place)), at(e, F.ceil(place))
+        return low + (high - low) * F.first(place - F.floor(place))
+
+    return d.groupBy(*by).agg(
+        F.array(*[F.first(f"_n{e}") for e in every]).alias("n"),
+        F.array(*[F.sum(F.when(F.col("ring") <= e, F.col("v") * F.col("k"))) for e in every]).alias("total"),
+        F.array(*[F.max(F.when(F.col("ring") <= e, F.col("v"))) for e in every]).alias("top"),
+        F.array(*[F.array(*[quantile(e, p) for e in every]) for p in shares]).alias("q"),
+    )
 
 
 def adaptive_window(
@@ -40,29 +83,36 @@ def adaptive_window(
     most: int = 24,
     least_rows: int = 25,
     least_flux: float = 0.2,
+    years: DataFrame | None = None,
 ) -> DataFrame:
-    """(site, window, YEAR, extend_days, n, lo, hi): the smallest extension of a window on either side (0, 3 .. 24 days) with ``needed`` rows
+    """(site_id, window, YEAR, extend_days, n, lo, hi, kept): the smallest extension of a window on either side (0, 3 .. 24 days) with ``needed`` rows
     and the reference temperature within the 2.5 and 97.5 % points - or the widest one. Widening also stops at the first extension with
     ``needed`` rows that reaches the end of the site's season while no row is warmer than the reference temperature.
 
-    Kept if it has more than ``least_rows`` rows, holds the reference temperature, and both mean and median flux reach ``least_flux``.
-    All extensions are tried at once: rows are joined to the widest window, and each extension is an aggregate over those inside it."""
+    A row for each window of ``ts_ref`` (site_id, window, ts_ref) and each of ``years`` (site_id, YEAR; by default those of ``df``), failing ones
+    too: ``kept`` is true if there are more than ``least_rows`` rows, they hold the reference temperature, and both mean and median flux reach ``least_flux``.
+    ``df``: rows with TS and NEE."""
     w = windows.select("site_id", "window", "w_start", "w_end")
-    wide = w.select("site_id", "window", "w_start", "w_end", (F.col("w_start") - most).alias("_a"), (F.col("w_end") + most).alias("_b"))
-    own = range_join(df, wide, "DOY", "_a", "_b")
-    off = F.greatest(F.col("w_start") - F.col("DOY"), F.col("DOY") - F.col("w_end"), F.lit(0))
-    tries = F.sequence((F.ceil(off / step) * step).cast("int"), F.lit(most), F.lit(step))
-    own = own.withColumn("extend_days", F.explode(tries))
+    by, extensions = ["site_id", "window", "YEAR"], most // step + 1
+    warm = _ring_quantiles(_rings(df, w, "TS", step, most), [0.025, 0.975], extensions).select(*by, "n", "top", F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
+    flux = _ring_quantiles(_rings(df, w, "NEE", step, most), [0.5], extensions).select(*by, F.col("n").alias("_fn"), "total", F.col("q")[0].alias("_mid"))
     ends = w.groupBy("site_id").agg(F.max("w_end").alias("_season_end"))
-    g = own.groupBy("site_id", "window", "YEAR", "extend_days").agg(
-        F.max("w_end").alias("_w_end"), F.max("TS").alias("_warmest"), F.count(F.lit(1)).alias("n"), F.percentile("TS", F.lit(0.025)).alias("lo"), F.percentile("TS", F.lit(0.975)).alias("hi"), F.avg("NEE").alias("_mean"), F.percentile("NEE", F.lit(0.5)).alias("_median")
-    ).join(ts_ref, ["site_id", "window"]).join(ends, "site_id")
-    inside = F.col("ts_ref").between(F.col("lo"), F.col("hi"))
-    past = (F.col("extend_days") > 0) & (F.col("_w_end") + F.col("extend_days") >= F.col("_season_end")) & (F.col("ts_ref") >= F.col("_warmest"))
-    enough = (F.col("n") >= needed) & (inside | past)
-    rank = F.row_number().over(Window.partitionBy("site_id", "window", "YEAR").orderBy(F.when(enough, F.col("extend_days")).otherwise(F.lit(1000) - F.col("extend_days"))))
-    g = g.withColumn("_r", rank).filter("_r = 1")
-    return g.filter((F.col("n") > least_rows) & inside & (F.col("_mean") >= least_flux) & (F.col("_median") >= least_flux)).select("site_id", "window", "YEAR", "extend_days", "n", "lo", "hi")
+    every = ts_ref.join(df.select("site_id", "YEAR").distinct() if years is None else years, "site_id").join(w.select("site_id", "window", "w_end"), ["site_id", "window"]).join(ends, "site_id")
+    g = every.join(warm, by, "left").join(flux, by, "left")
+    ref = F.col("ts_ref")
+    found = F.lit(most)
+    for e in reversed(range(extensions)):
+        inside = ref.between(F.col("_lo")[e], F.col("_hi")[e])
+        past = (F.col("w_end") + e * step >= F.col("_season_end")) & (ref >= F.col("top")[e]) if e else F.lit(False)
+        found = F.when((F.col("n")[e] >= needed) & (inside | past), e * step).otherwise(found)
+    g = g.withColumn("extend_days", found.cast("int")).withColumn("_e", (F.col("extend_days") / step).cast("int"))
+
+    def pick(c: str) -> Column:
+        return F.element_at(c, F.col("_e") + 1)
+
+    g = g.select(*by, "extend_days", F.coalesce(pick("n"), F.lit(0)).alias("n"), pick("_lo").alias("lo"), pick("_hi").alias("hi"), ref.alias("_ref"), (pick("total") / pick("_fn")).alias("_mean"), pick("_mid").alias("_median"))
+    ok = (F.col("n") > least_rows) & F.col("_ref").between(F.col("lo"), F.col("hi")) & (F.col("_mean") >= least_flux) & (F.col("_median") >= least_flux)
+    return g.withColumn("kept", F.coalesce(ok, F.lit(False))).drop("_ref", "_mean", "_median")
 
 
 def log_quadratic_curve(df: DataFrame, by: tuple[str, ...] = ("site_id", "window"), min_rows: int = 10) -> DataFrame:

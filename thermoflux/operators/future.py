@@ -39,15 +39,19 @@ def widened(nights: DataFrame, windows: DataFrame, needed: int = 200, step: int
     half = windows.groupBy("site_id").agg(((F.max("w_end") - F.min("w_start")) / 2).alias("_half"))
     most = ((F.floor(F.col("_half") / step) + 1) * step).cast("int")
     w = windows.join(half, "site_id").select("site_id", "window", "w_start", "w_end", least.alias("_needed"), most.alias("_most"))
-    w = w.withColumns({"_a": F.col("w_start") - F.col("_most"), "_b": F.col("w_end") + F.col("_most")})
-    off = F.greatest(F.col("w_start") - F.col("DOY"), F.col("DOY") - F.col("w_end"), F.lit(1))
-    own = range_join(nights.dropna(subset=["TS", "NEE"]), w, "DOY", "_a", "_b").withColumn("_e", (F.ceil(off / step) * step).cast("int"))
-    own = stored(own, "around")
+    w = stored(w, "windows")
+    nights = nights.dropna(subset=["TS", "NEE"])
     key = ["site_id", "window", "YEAR"]
+    # one row a day meets the windows; a row itself only those that hold it after all
+    days = nights.groupBy("site_id", "YEAR", "DOY").agg(F.count(F.lit(1)).alias("_n"))
+    off = F.greatest(F.col("w_start") - F.col("DOY"), F.col("DOY") - F.col("w_end"), F.lit(1))
+    wide = w.withColumns({"_a": F.col("w_start") - F.col("_most"), "_b": F.col("w_end") + F.col("_most")})
+    rings = range_join(days, wide, "DOY", "_a", "_b").groupBy(*key, (F.ceil(off / step) * step).cast("int").alias("_e"), "_needed", "_most").agg(F.sum("_n").alias("_n"))
     inside = F.sum("_n").over(Window.partitionBy(*key).orderBy("_e"))
-    g = own.groupBy(*key, "_e", "_needed", "_most").agg(F.count(F.lit(1)).alias("_n")).withColumn("_inside", inside)
-    g = g.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("_inside") >= F.col("_needed"), F.col("_e"))), F.max("_most")).alias("extend_days"))
-    return own.join(g, key).filter(F.col("_e") <= F.col("extend_days")).drop("_a", "_b", "_e", "_needed", "_most", "w_start", "w_end")
+    g = rings.withColumn("_inside", inside).groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("_inside") >= F.col("_needed"), F.col("_e"))), F.max("_most")).alias("extend_days"))
+    g = g.join(w.select("site_id", "window", "w_start", "w_end"), ["site_id", "window"])
+    g = g.select(*key, "extend_days", (F.col("w_start") - F.col("extend_days")).alias("_a"), (F.col("w_end") + F.col("extend_days")).alias("_b"))
+    return range_join(nights, stored(g, "widened"), "DOY", "_a", "_b", keys=("site_id", "YEAR")).drop("_a", "_b")
 
 
 def night_course(nights: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thermoflux.functions import scalars as sc
-from thermoflux.operators import control, curves, drivers, future, gapfill, regression, season
+from thermoflux.operators import control, curves, drivers, future, gapfill, regression, response, season
 from thermoflux.plans.aggregates import RUNS, STATUS, season_rows
 from thermoflux.plans.registry import query
 from thermoflux.plans.scalars import SOUTH
@@ -188,14 +188,20 @@ def _rounded_windows(spark, d):
     return sc.season_windows_rounded(sites.withColumns({"gStart": F.lit(100), "gEnd": F.lit(200)})).select("site_id", *[F.col(c).cast("bigint").alias(c) for c in ("window", "w_start", "w_end")])
 
 
-@query("m10_adaptive_window", f"""WITH {MULTI}, {_WIN}, e AS (SELECT o.site_id, "window", YEAR, ext, b, NEE, TS FROM obs o JOIN win ON o.site_id = win.site_id JOIN range(0, 25, 3) x(ext) ON DOY BETWEEN a - ext AND b + ext WHERE NEE IS NOT NULL AND TS IS NOT NULL),
-g AS (SELECT site_id, "window", YEAR, ext, max(b) AS b, max(TS) AS warmest, count(*) AS n, quantile_cont(TS, 0.025) AS lo, quantile_cont(TS, 0.975) AS hi, avg(NEE) AS m, quantile_cont(NEE, 0.5) AS md FROM e GROUP BY 1, 2, 3, 4),
-r AS (SELECT *, row_number() OVER (PARTITION BY site_id, "window", YEAR ORDER BY CASE WHEN n >= 60 AND (25 BETWEEN lo AND hi OR ext > 0 AND b + ext >= 200 AND 25 >= warmest) THEN ext ELSE 1000 - ext END) AS k FROM g)
-SELECT site_id, "window", YEAR, ext AS extend_days, n, round(lo, 6) AS lo, round(hi, 6) AS hi FROM r WHERE k = 1 AND n > 25 AND 25 BETWEEN lo AND hi AND m >= 0.2 AND md >= 0.2""")
+@query("m10_adaptive_window", f"""WITH {MULTI}, {_WIN}, n AS (SELECT * FROM obs WHERE NEE IS NOT NULL AND TS IS NOT NULL AND NOT (site_id = 3 AND YEAR = 1998 AND DOY < 230) AND (site_id <> 4 OR DOY % 9 = 0)),
+y AS (SELECT DISTINCT site_id, YEAR FROM n), x AS (SELECT unnest(range(0, 25, 3)) AS ext),
+e AS (SELECT n.site_id, "window", YEAR, ext, NEE, TS FROM n JOIN win ON n.site_id = win.site_id JOIN x ON DOY BETWEEN a - ext AND b + ext),
+g AS (SELECT site_id, "window", YEAR, ext, max(TS) AS warmest, count(*) AS n, quantile_cont(TS, 0.025) AS lo, quantile_cont(TS, 0.975) AS hi, avg(NEE) AS m, quantile_cont(NEE, 0.5) AS md FROM e GROUP BY 1, 2, 3, 4),
+t AS (SELECT win.site_id, win."window", y.YEAR, x.ext, b, warmest, coalesce(n, 0) AS n, lo, hi, m, md FROM win JOIN y ON y.site_id = win.site_id CROSS JOIN x
+      LEFT JOIN g ON g.site_id = win.site_id AND g."window" = win."window" AND g.YEAR = y.YEAR AND g.ext = x.ext),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id, "window", YEAR ORDER BY CASE WHEN n >= 60 AND (25 BETWEEN lo AND hi OR ext > 0 AND b + ext >= 200 AND 25 >= warmest) THEN ext ELSE 1000 - ext END) AS k FROM t)
+SELECT site_id, "window", YEAR, ext AS extend_days, n, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(n > 25 AND 25 BETWEEN lo AND hi AND m >= 0.2 AND md >= 0.2, false) AS kept FROM r WHERE k = 1""")
 def m10(spark, d):
+    """Site 3 has no nights in the season of a year, site 4 few: their rows stay, as not kept."""
     win = _windows(spark, d)
     ref = win.select("site_id", "window", F.lit(25.0).alias("ts_ref"))
-    out = curves.adaptive_window(obs_multi(spark, d).dropna(subset=["NEE", "TS"]), win, ref, needed=60)
+    rows = obs_multi(spark, d).dropna(subset=["NEE", "TS"]).filter("NOT (site_id = 3 AND YEAR = 1998 AND DOY < 230) AND (site_id <> 4 OR DOY % 9 = 0)")
+    out = curves.adaptive_window(rows, win, ref, needed=60)
     return rounded(out.withColumn("extend_days", F.col("extend_days").cast("bigint")), "lo", "hi")
 
 
@@ -265,11 +271,17 @@ def m14(spark, d):
     return rounded(curves.ln_ratio(er, control_).select("site_id", "window", "growing_year", "lnRatio"), "lnRatio")
 
 
-@query("m15_window_screen", f"WITH {MULTI}, {_WIN}, g AS (SELECT o.site_id, \"window\", avg(TS) AS m, count(*) AS n FROM obs o JOIN win ON o.site_id = win.site_id AND DOY BETWEEN a AND b GROUP BY 1, 2) SELECT site_id, \"window\", round(m, 6) AS mean_TS, n FROM g WHERE m BETWEEN 24.5 AND 27 AND n >= 100")
+@query("m15_window_screen", f"""WITH {MULTI}, {_WIN}, t AS (SELECT site_id, YEAR, DOY, CASE WHEN NOT (YEAR % 4 = site_id % 4 AND l_partkey % 37 = 0) THEN TA END AS TS, NEE FROM obs WHERE site_id <> 6 OR DOY < 114),
+y AS (SELECT t.site_id, "window", YEAR, CASE WHEN count(TS) = count(*) THEN avg(TS) END AS m FROM t JOIN win ON t.site_id = win.site_id AND DOY BETWEEN a AND b GROUP BY 1, 2, 3),
+n AS (SELECT t.site_id, "window", count(*) AS n FROM t JOIN win ON t.site_id = win.site_id AND DOY BETWEEN a AND b WHERE TS IS NOT NULL AND NEE IS NOT NULL GROUP BY 1, 2)
+SELECT site_id, "window", round(avg(m), 6) AS mean_TS, any_value(n) AS n FROM y JOIN n USING (site_id, "window") GROUP BY 1, 2 HAVING avg(m) BETWEEN 24 AND 25 AND any_value(n) >= 100""")
 def m15(spark, d):
+    """A quarter of a site's years have missing temperatures; site 6 ends with its first window."""
     win = _windows(spark, d)
-    ranges = win.select("site_id").distinct().withColumns({"tStart": F.lit(24.5), "tEnd": F.lit(27.0)})
-    return rounded(curves.window_screen(obs_multi(spark, d), win, ranges), "mean_TS")
+    ranges = win.select("site_id").distinct().withColumns({"tStart": F.lit(24.0), "tEnd": F.lit(25.0)})
+    missing = (F.col("YEAR") % 4 == F.col("site_id") % 4) & (F.col("l_partkey") % 37 == 0)
+    li = obs_multi(spark, d).filter("site_id <> 6 OR DOY < 114").withColumn("TS", F.when(~missing, F.col("TA")))
+    return rounded(curves.window_screen(li, li.dropna(subset=["TS", "NEE"]), win, ranges), "mean_TS")
 
 
 @query("m16_thermal_response")
@@ -279,6 +291,34 @@ def m16(spark, d):
     return regression.thermal_response(curves.ln_ratio(er, control_))
 
 
+#: Planted in ``_chain``: degrees that a year is warmer than the one before, and the response of ln flux to them.
+_WARMER, _RESPONSE = 0.8, -0.05
+
+
+def _chain(spark, d):
+    """Two sites of nights whose flux follows a curve of temperature, whose years get warmer, and whose level falls by a known response to that; site 1
+    has no nights in one year."""
+    warm = _WARMER * (F.col("YEAR") - 1998)
+    t = F.coalesce("TS", F.lit(25.0)) * 0.12 + 8 + warm
+    flux = 2 * F.exp(0.08 * t - 0.001 * t * t + _RESPONSE * warm) * (1 + (F.col("NEE") - 22) / 2000)
+    obs = obs_multi(spark, d).withColumns({"site_id": F.col("site_id") % 2, "TS": t, "NEE": flux})
+    sites = obs.select("site_id").distinct()
+    win = sc.season_windows(sites.withColumns({"gStart": F.lit(100), "gEnd": F.lit(200)})).select("site_id", *[F.col(c).cast("bigint").alias(c) for c in ("window", "w_start", "w_end")])
+    ranges = sites.withColumns({"tStart": F.lit(0.0), "tEnd": F.lit(40.0)})
+    return response.site_years(obs, obs.filter("NOT (site_id = 1 AND YEAR = 1999)"), win, ranges, sites.withColumn("control_year", F.lit(1998)), needed=60)
+
+
+@query("m16a_site_years")
+def m16a(spark, d):
+    return _chain(spark, d)
+
+
+@query("m16b_total_response")
+def m16b(spark, d):
+    """The whole chain from nights to a response a site."""
+    return response.total_response(_chain(spark, d))
+
+
 _FEATURES = ["MONTH", "TA", "SWC"]
 
 
