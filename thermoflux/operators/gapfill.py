@@ -32,13 +32,28 @@ def ustar_threshold(
     return first.groupBy(*by).agg(F.percentile("_th", F.lit(0.5)).alias("threshold"), F.count(F.lit(1)).alias("n_classes"))
 
 
-#: Stages of the look-up table: days on either side, and whether radiation, temperature and vapour deficit must be alike.
-STAGES = ((7, ("SW_IN", "TA", "VPD")), (14, ("SW_IN", "TA", "VPD")), (7, ("SW_IN",)), (28, ("SW_IN",)))
+# Fixed values of the published method (marginal distribution sampling): largest differences of like weather (that of radiation shrinks in weak light),
+# and rows that a mean needs.
 TOLERANCE = {"SW_IN": 50.0, "TA": 2.5, "VPD": 5.0}
-
-
-#: Drivers whose bins join the key of a stage; every further one is only compared.
-KEYED = 2
+WEAK_LIGHT = 20.0
+LEAST = 2
+#: Stages in order: method (look-up by all drivers, by radiation alone, mean diurnal course) and days on either side.
+LOOK_UP, RADIATION, COURSE = 1, 2, 3
+STAGES = (
+    (LOOK_UP, 7), (LOOK_UP, 14), (RADIATION, 7), (COURSE, 0), (COURSE, 1), (COURSE, 2), *[(LOOK_UP, k) for k in range(21, 71, 7)], *[(RADIATION, k) for k in range(14, 71, 7)],
+    *[(COURSE, k) for k in range(7, 211, 7)],
+)
+#: Length of the whole window in days up to which a method is of quality 1, and of quality 2; beyond, 3.
+QUALITY = {LOOK_UP: (14, 56), RADIATION: (14, 28), COURSE: (1, 5)}
+
+
+def quality_class(method: Column, days: Column) -> Column:
+    """1 to 3, best first, by method and length of the window (days on both sides; a course has its own day too)."""
+    out = F.lit(None).cast("int")
+    for m, (one, two) in QUALITY.items():
+        length = 2 * days + (1 if m == COURSE else 0)
+        out = F.when(method == m, F.when(length <= one, 1).when(length <= two, 2).otherwise(3)).otherwise(out)
+    return out
 
 
 def gap_fill_mds(
@@ -46,93 +61,91 @@ def gap_fill_mds(
     id_col: str,
     value: str = "NEE",
     day: str = "day",
+    hour: str = "HOUR",
     by: tuple[str, ...] = ("site_id",),
-    stages=STAGES,
     tolerance: dict[str, float] = TOLERANCE,
-    least: int = 2,
-    hour: str | None = None,
+    least: int = LEAST,
 ) -> DataFrame:
-    """(id, filled, n_used, stage) of the rows whose ``value`` is missing: the mean of the rows with like weather in the first stage
-    that finds ``least`` of them. Rows that no stage fills stay, with n_used 0 and neither value nor stage.
-
-    A stage is a range join on bins, for the gaps that the ones before left. Its donors are first summed by day and drivers; their day is
-    binned by the reach of the stage and the first ``KEYED`` drivers by their tolerance, and a gap looks at its own bin and both neighbours of each. So a
-    gap meets only donors of nearby days with nearly like weather. What a stage fills is written to the shared folder.
-    With ``hour``, the rest takes the mean diurnal course: the rows of the same hour within 0, 1, 2 .. days, widened until
-    there are ``least`` (stages from ``len(stages) + 1`` on, one a day); only a site without that many rows of the hour stays unfilled."""
-    spark = df.sparkSession
-    drivers = list(tolerance)
-    clock = [F.col(hour).alias("_h")] if hour else []
-    left = df.filter(F.col(value).isNull()).select(*by, F.col(id_col), F.col(day).alias("_d"), *clock, *[F.col(c).alias(f"_{c}") for c in drivers])
+    """(by, id, filled, n_used, method, days, quality) of the rows whose ``value`` is missing: the mean of the rows that the first of ``STAGES`` with
+    ``least`` of them finds. Rows that no stage fills stay, with n_used 0 and nulls.
+
+    Look-up: rows within so many days whose radiation, temperature and vapour deficit differ by less than ``tolerance`` (radiation: less than the gap's own
+    where that is smaller, and ``WEAK_LIGHT`` at least); radiation: the same by radiation alone; course: rows within an hour of the gap's time of day on days not further.
+
+    Stages are not joined one by one. Donors are summed to cells (day and drivers; day and hour) once. Gaps meet the cells of the first two weeks, whose sums by
+    week and likeness decide three stages; what is left meets the course of five days, then only the cells of the weeks beyond, to whose sums the first
+    ones are added, and last the course by weeks. A gap looks at three bins of days and three of radiation. ``day`` counts days, ``hour`` is whole."""
+    light, *others = tolerance
+    key = [*by, id_col]
+    gaps = df.filter(F.col(value).isNull()).select(*key, F.col(day).alias("_d"), F.col(hour).alias("_h"), *[F.col(c).alias(f"_{c}") for c in tolerance])
+    gaps = stored(gaps, "gaps")
     known = df.filter(F.col(value).isNotNull())
-    filled = None
-    for i, (days, alike) in enumerate(stages):
-        donors = known.groupBy(*by, F.col(day).alias("_e"), *alike).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
-        keys = [
-            ("_k0", F.col("_d"), F.col("_e"), float(days)),
-            *[(f"_k{j}", F.col(f"_{c}"), F.col(c), tolerance[c]) for j, c in enumerate(alike[:KEYED], 1)],
-        ]
-        gaps = left
-        for name, own, theirs, width in keys:
-            at = F.floor(own / width)
-            gaps = gaps.withColumn(name, F.explode(F.array(at - 1, at, at + 1)))
-            donors = donors.withColumn(name, F.floor(theirs / width))
-        ok = F.abs(F.col("_d") - F.col("_e")) <= days
-        for c in alike:
-            ok = ok & (F.abs(F.col(c) - F.col(f"_{c}")) < tolerance[c])
-        got = gaps.join(donors, [*by, *[k[0] for k in keys]]).filter(ok).groupBy(*by, id_col).agg(F.sum("_n").alias("n_used"), F.sum("_s").alias("_s"))
-        got = got.filter(F.col("n_used") >= least).select(
-            *by,
-            id_col,
-            (F.col("_s") / F.col("n_used")).alias("filled"),
-            "n_used",
-            F.lit(i + 1).alias("stage"),
-        )
-        got = stored(got, f"stage-{i + 1}")
-        filled = got if filled is None else filled.unionByName(got)
-        left = left.join(got.select(*by, id_col), [*by, id_col], "left_anti")
-    none = [F.lit(None).cast("double").alias("filled"), F.lit(0).cast("long").alias("n_used"), F.lit(None).cast("int").alias("stage")]
-    if not hour:
-        return filled.unionByName(left.select(*by, id_col, *none))
-    left = stored(left, "unfilled")
-    course = _diurnal_course(df, left, value, day, hour, by, least)
-    stage = (F.col("_k") + len(stages) + 1).cast("int").alias("stage")
-    rest = left.join(course, [*by, "_d", "_h"], "left").select(
-        *by,
-        id_col,
-        F.col("_mean").alias("filled"),
-        F.coalesce("_n", F.lit(0).cast("long")).alias("n_used"),
-        stage,
-    )
-    return filled.unionByName(rest)
-
-
-def _diurnal_course(df: DataFrame, missing: DataFrame, value: str, day: str, hour: str, by: tuple[str, ...], least: int) -> DataFrame:
-    """(by, _d, _h, _k, _n, _mean): the mean of the ``_n`` rows of hour ``_h`` within ``_k`` days of ``_d``, the fewest days with ``least`` rows.
-
-    Rows are summed by day and hour first. Every such day holds a row, so the ``least`` nearest days on either side are all that can count, and
-    the windows run over the days of an hour, not over rows."""
-    known = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(day).alias("_d"), F.col(hour).alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
-    w = Window.partitionBy(*by, "_h").orderBy("_d")
-    cell = F.struct(F.col("_d").alias("d"), "n", "s")
-    near = [F.array(*[f(cell, i).over(w) for i in range(least)]) for f in (F.lag, F.lead)]
-    known = known.withColumns({"_before": near[0], "_after": near[1]})
-    places = missing.select(*by, "_d", "_h").distinct().withColumn("_gap", F.lit(True)).join(known, [*by, "_d", "_h"], "full")
-    back = Window.partitionBy(*by, "_h").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last("_after", ignorenulls=True).over(back)
-    places = places.withColumns({"_l": before, "_r": after}).filter("_gap")
-    none = F.array().cast(known.schema["_before"].dataType)
-    cells = F.array_distinct(F.concat(F.coalesce("_l", none), F.coalesce("_r", none)))
-    places = places.withColumn("_c", F.filter(cells, lambda c: c.isNotNull()))
-
-    def within(k: Column) -> Column:
-        return F.filter("_c", lambda c: F.abs(c["d"] - F.col("_d")) <= k)
-
-    def rows(cells: Column) -> Column:
-        return F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-
-    reach = F.array_min(F.filter(F.transform("_c", lambda c: F.abs(c["d"] - F.col("_d"))), lambda k: rows(within(k)) >= least))
-    places = places.withColumn("_k", reach).filter("_k IS NOT NULL").withColumn("_c", within(F.col("_k")))
-    n = rows(F.col("_c"))
-    return places.select(*by, "_d", "_h", "_k", n.alias("_n"), (F.aggregate("_c", F.lit(0.0), lambda a, c: a + c["s"]) / n).alias("_mean"))
+    cells = known.filter(F.col(light).isNotNull()).groupBy(*by, F.col(day).alias("_e"), *tolerance).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    cells = stored(cells, "cells")
+    # a row counts for its own hour and both neighbours, across midnight too
+    hours = known.groupBy(*by, (F.col(day) * 24 + F.col(hour)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    hours = hours.withColumn("_t", F.explode(F.array(F.col("_t") - 1, F.col("_t"), F.col("_t") + 1))).groupBy(*by, "_t").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    hours = stored(hours.select(*by, F.floor(F.col("_t") / 24).alias("_e"), F.pmod("_t", F.lit(24)).alias("_h"), "_n", "_s"), "hours")
+    far = F.abs(F.col("_d") - F.col("_e"))
+
+    def around(c: str) -> Column:
+        return F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+
+    def alike(left: DataFrame, first: int, last: int) -> DataFrame:
+        """(key, week, n and s of all drivers alike, rn and rs of radiation alike) from the cells of the weeks ``first`` to ``last`` around each gap."""
+        reach, width = 7 * last, tolerance[light]
+        g = left.withColumns({"_k": F.floor(F.col("_d") / reach), "_l": F.floor(F.col(f"_{light}") / width)}).withColumn("_k", around("_k")).withColumn("_l", around("_l"))
+        c = cells.withColumns({"_k": F.floor(F.col("_e") / reach), "_l": F.floor(F.col(light) / width)})
+        near = F.abs(F.col(light) - F.col(f"_{light}")) < F.greatest(F.least(F.lit(width), F.col(f"_{light}")), F.lit(WEAK_LIGHT))
+        both = g.join(c, [*by, "_k", "_l"]).withColumn("_w", F.greatest(F.ceil(far / 7), F.lit(1)).cast("int")).filter(near & F.col("_w").between(first, last))
+        like = F.lit(True)
+        for o in others:
+            like = like & (F.abs(F.col(o) - F.col(f"_{o}")) < tolerance[o])
+        like = F.coalesce(like, F.lit(False))
+        return both.groupBy(*key, "_w").agg(F.sum(F.when(like, F.col("_n")).otherwise(0)).alias("n"), F.sum(F.when(like, F.col("_s")).otherwise(0.0)).alias("s"), F.sum("_n").alias("rn"), F.sum("_s").alias("rs"))
+
+    def course(left: DataFrame, step: int, last: int) -> DataFrame:
+        """(key, days, n, s): sums of the hours within 0, step, .. ``last`` days of each gap."""
+        width = 2 * last + 1
+        g = left.withColumn("_k", F.floor(F.col("_d") / width)).withColumn("_k", around("_k"))
+        both = g.join(hours.withColumn("_k", F.floor(F.col("_e") / width)), [*by, "_k", "_h"]).filter(far <= last)
+        ring = both.groupBy(*key, (F.ceil(far / step) * step).cast("int").alias("days")).agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
+        # the gap's own day belongs to the first stage of a course by weeks
+        ring = ring.withColumn("days", F.greatest("days", F.lit(step if step > 1 else 0))).groupBy(*key, "days").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        upto = Window.partitionBy(*key).orderBy("days")
+        return ring.withColumns({"n": F.sum("n").over(upto), "s": F.sum("s").over(upto), "rank": F.col("days"), "method": F.lit(COURSE)})
+
+    def looked_up(weeks: DataFrame, stages: list[tuple[int, int]]) -> DataFrame:
+        """Sums of the weeks added up, as entries of the given stages. A week without cells has the sums of the one before, which found too little."""
+        upto = Window.partitionBy(*key).orderBy("_w").rowsBetween(Window.unboundedPreceding, 0)
+        total = weeks.select(*key, (F.col("_w") * 7).alias("days"), *[F.sum(c).over(upto).alias(c) for c in ("n", "s", "rn", "rs")])
+        both = F.array(F.struct(F.lit(LOOK_UP).alias("method"), "n", "s"), F.struct(F.lit(RADIATION).alias("method"), F.col("rn").alias("n"), F.col("rs").alias("s")))
+        each = total.withColumn("_x", F.explode(both)).select(*key, "days", "_x.*")
+        rank = F.lit(None).cast("int")
+        for i, (m, k) in enumerate(stages):
+            rank = F.when((F.col("method") == m) & (F.col("days") == k), i).otherwise(rank)
+        return each.withColumn("rank", rank).filter("rank IS NOT NULL")
+
+    def chosen(found: DataFrame) -> DataFrame:
+        """The first entry with enough rows, in the order of stages."""
+        best = found.filter(F.col("n") >= least).groupBy(*key).agg(F.min(F.struct("rank", "method", "days", "n", "s")).alias("_b"))
+        return stored(best.select(*key, (F.col("_b.s") / F.col("_b.n")).alias("filled"), F.col("_b.n").alias("n_used"), F.col("_b.method").alias("method"), F.col("_b.days").alias("days")), "filled")
+
+    def unfilled(left: DataFrame, done: DataFrame) -> DataFrame:
+        return stored(left.join(done.select(*key), key, "left_anti"), "left")
+
+    first = list(STAGES[:3])
+    later = [s for s in STAGES[3:] if s[0] != COURSE]
+    near = stored(alike(gaps, 1, 2), "two-weeks")
+    parts = [chosen(looked_up(near, first))]
+    left = unfilled(gaps, parts[-1])
+    parts.append(chosen(course(left, 1, 2)))
+    left = unfilled(left, parts[-1])
+    parts.append(chosen(looked_up(alike(left, 3, 10).unionByName(near.join(left.select(*key), key, "left_semi")), later)))
+    left = unfilled(left, parts[-1])
+    parts.append(chosen(course(left, 7, 210)))
+    left = unfilled(left, parts[-1])
+    out = left.select(*key, F.lit(None).cast("double").alias("filled"), F.lit(0).cast("long").alias("n_used"), F.lit(None).cast("int").alias("method"), F.lit(None).cast("int").alias("days"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out.withColumn("quality", quality_class(F.col("method"), F.col("days")))

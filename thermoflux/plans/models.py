@@ -130,21 +130,47 @@ def m7(spark, d):
     return rounded(gapfill.ustar_threshold(df), "threshold")
 
 
-def _stage_sql() -> str:
-    parts = []
-    for i, (days, alike) in enumerate(gapfill.STAGES):
-        ok = " AND ".join([f"abs(g.x - o.x) <= {days}", *[f"abs(g.{c} - o.{c}) < {gapfill.TOLERANCE[c]}" for c in alike]])
-        parts.append(f"count(*) FILTER (WHERE {ok}) AS n{i}, avg(o.v) FILTER (WHERE {ok}) AS m{i}")
-    return ", ".join(parts)
-
-
-@query("m8_gap_fill_mds", f"""WITH {SUB}, o AS (SELECT event_id AS id, site_id, DOY AS x, CASE WHEN event_id % 11 != 0 THEN NEE END AS v, (HOUR * 40)::DOUBLE AS SW_IN, TS / 5 AS TA, (MINUTE / 6)::DOUBLE AS VPD FROM sub),
-g AS (SELECT g.site_id, g.id, {_stage_sql()} FROM o g JOIN o ON g.site_id = o.site_id AND g.v IS NULL AND o.v IS NOT NULL AND abs(g.x - o.x) <= 28 GROUP BY 1, 2)
-SELECT site_id, id, round(CASE WHEN n0 >= 2 THEN m0 WHEN n1 >= 2 THEN m1 WHEN n2 >= 2 THEN m2 ELSE m3 END, 6) AS filled, CASE WHEN n0 >= 2 THEN n0 WHEN n1 >= 2 THEN n1 WHEN n2 >= 2 THEN n2 ELSE n3 END AS n_used,
- CASE WHEN n0 >= 2 THEN 1 WHEN n1 >= 2 THEN 2 WHEN n2 >= 2 THEN 3 ELSE 4 END AS stage FROM g WHERE n0 >= 2 OR n1 >= 2 OR n2 >= 2 OR n3 >= 2""")
+def _gap_fill_sql(rows: str) -> str:
+    """Every stage by brute force over rows o (site_id, id, x day, h hour, v, SW_IN, TA, VPD)."""
+    n = gapfill.TOLERANCE
+    radiation = f"abs(g.SW_IN - o.SW_IN) < greatest(least({n['SW_IN']}, g.SW_IN), {gapfill.WEAK_LIGHT})"
+    like = f"abs(g.TA - o.TA) < {n['TA']} AND abs(g.VPD - o.VPD) < {n['VPD']}"
+    stages = ", ".join(f"({i}, {m}, {k})" for i, (m, k) in enumerate(gapfill.STAGES))
+    return f"""o AS ({rows}), g AS (SELECT * FROM o WHERE v IS NULL), k AS (SELECT * FROM o WHERE v IS NOT NULL), st(i, method, days) AS (VALUES {stages}),
+w AS (SELECT g.site_id, g.id, greatest(ceil(abs(g.x - o.x) / 7), 1)::INT AS w, count(*) FILTER (WHERE {like}) AS n, coalesce(sum(o.v) FILTER (WHERE {like}), 0) AS s, count(*) AS rn, sum(o.v) AS rs
+ FROM g JOIN k o ON g.site_id = o.site_id AND abs(g.x - o.x) <= 70 AND {radiation} GROUP BY 1, 2, 3),
+c AS (SELECT g.site_id, g.id, abs(g.x - (o.x * 24 + o.h + z) // 24)::INT AS far, count(*) AS n, sum(o.v) AS s
+ FROM g JOIN k o ON g.site_id = o.site_id AND abs(g.x - o.x) <= 211 CROSS JOIN (VALUES (-1), (0), (1)) zz(z) WHERE (o.x * 24 + o.h + z) % 24 = g.h AND abs(g.x - (o.x * 24 + o.h + z) // 24) <= 210 GROUP BY 1, 2, 3),
+e AS (SELECT site_id, id, i, method, days, sum(CASE method WHEN 1 THEN n ELSE rn END) AS n, sum(CASE method WHEN 1 THEN s ELSE rs END) AS s FROM w JOIN st ON method IN (1, 2) AND w * 7 <= days GROUP BY 1, 2, 3, 4, 5
+ UNION ALL SELECT site_id, id, i, method, days, sum(n), sum(s) FROM c JOIN st ON method = 3 AND far <= days GROUP BY 1, 2, 3, 4, 5),
+b AS (SELECT * FROM e WHERE n >= {gapfill.LEAST} QUALIFY row_number() OVER (PARTITION BY site_id, id ORDER BY i) = 1)
+SELECT g.site_id, g.id, round(s / n, 6) AS filled, coalesce(n, 0)::BIGINT AS n_used, method::INT AS method, days::INT AS days,
+ CASE method WHEN 1 THEN CASE WHEN 2 * days <= 14 THEN 1 WHEN 2 * days <= 56 THEN 2 ELSE 3 END WHEN 2 THEN CASE WHEN 2 * days <= 14 THEN 1 WHEN 2 * days <= 28 THEN 2 ELSE 3 END
+ WHEN 3 THEN CASE WHEN 2 * days + 1 <= 1 THEN 1 WHEN 2 * days + 1 <= 5 THEN 2 ELSE 3 END END::INT AS quality FROM g LEFT JOIN b USING (site_id, id)"""
+
+
+_MDS = "SELECT site_id, event_id AS id, DOY AS x, HOUR AS h, CASE WHEN event_id % 11 != 0 THEN NEE END AS v, (HOUR * 40)::DOUBLE AS SW_IN, TS / 5 AS TA, (MINUTE / 6)::DOUBLE AS VPD FROM sub"
+_SPARSE = """SELECT site_id, l_orderkey * 1000003 + l_partkey * 101 + l_linenumber * 7 + l_suppkey * 11 AS id, date_diff('day', DATE '1995-01-01', stamp::DATE) AS x, (l_linenumber * 5) % 24 AS h,
+ CASE WHEN l_orderkey % 4 = 0 AND l_partkey % 3 = 0 THEN NEE END AS v, CASE WHEN l_partkey % 19 <> 4 THEN (l_suppkey * 37 % 60 * l_linenumber * 3)::DOUBLE END AS SW_IN, TA * 3 AS TA, CASE WHEN l_partkey % 23 <> 4 THEN SWC * 400 END AS VPD
+ FROM obs WHERE site_id < 4 AND (site_id > 0 OR DOY < 40)"""
+
+
+@query("m8_gap_fill_mds", f"WITH {SUB}, {_gap_fill_sql(_MDS)}")
 def m8(spark, d):
     df = obs_sub(spark, d).select(F.col("event_id").alias("id"), "site_id", F.col("DOY").alias("day"), F.when(F.col("event_id") % 11 != 0, F.col("NEE")).alias("NEE"), (F.col("HOUR") * 40).cast("double").alias("SW_IN"), (F.col("TS") / 5).alias("TA"), (F.col("MINUTE") / 6).alias("VPD"), "HOUR")
-    return rounded(gapfill.gap_fill_mds(df, "id", hour="HOUR"), "filled")
+    return rounded(gapfill.gap_fill_mds(df, "id"), "filled")
+
+
+@query("m8b_gap_fill_sparse", f"WITH {MULTI}, {_gap_fill_sql(_SPARSE)}")
+def m8b(spark, d):
+    """Four sites so sparse that every kind of stage is needed: most rows are gaps, drivers are missing, and site 0 has the first days of each year only."""
+    obs = obs_multi(spark, d).filter("site_id < 4 AND (site_id > 0 OR DOY < 40)")
+    flux = F.when((F.col("l_orderkey") % 4 == 0) & (F.col("l_partkey") % 3 == 0), F.col("NEE"))
+    df = obs.select(
+        (F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 101 + F.col("l_linenumber") * 7 + F.col("l_suppkey") * 11).alias("id"), "site_id", F.datediff("stamp", F.lit("1995-01-01").cast("date")).cast("long").alias("day"), ((F.col("l_linenumber") * 5) % 24).cast("long").alias("HOUR"),
+        flux.alias("NEE"), F.when(F.col("l_partkey") % 19 != 4, F.col("l_suppkey") * 37 % 60 * F.col("l_linenumber") * 3).cast("double").alias("SW_IN"), (F.col("TA") * 3).alias("TA"), F.when(F.col("l_partkey") % 23 != 4, F.col("SWC") * 400).alias("VPD"),
+    )
+    return rounded(gapfill.gap_fill_mds(df, "id"), "filled")
 
 
 #: Control year on days 100-300 of both axes; temperatures are complete in this view.
