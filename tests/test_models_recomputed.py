@@ -260,28 +260,52 @@ def test_interpolation_of_a_long_site_is_linear_in_time(spark):
     assert out.agg(F.max(F.abs(F.col("x") - F.least(F.col("t"), F.lit(299_000)) * 2.0))).first()[0] < 1e-6
 
 
+def gap_fill_by_force(rows):
+    """{id: (filled, n_used, method, days)} by trying every stage on every pair; rows: id, site_id, day, HOUR, NEE, SW_IN, TA, VPD."""
+    from thermoflux.operators import gapfill as g
+
+    out = {}
+    for r in (r for r in rows if r[4] is None):
+        out[r[0]] = (None, 0, None, None)
+        for method, days in g.STAGES:
+            own = []
+            for o in (o for o in rows if o[4] is not None and o[1] == r[1]):
+                if method == g.COURSE:
+                    hit = any(abs((o[2] * 24 + o[3]) - ((r[2] + j) * 24 + r[3])) <= 1 for j in range(-days, days + 1))
+                else:
+                    light = None if None in (o[5], r[5]) else abs(o[5] - r[5]) < max(min(50, r[5]), 20)
+                    like = method == g.RADIATION or (None not in (o[6], r[6], o[7], r[7]) and abs(o[6] - r[6]) < 2.5 and abs(o[7] - r[7]) < 5)
+                    hit = light and like and abs(o[2] - r[2]) <= days
+                if hit:
+                    own.append(o[4])
+            if len(own) >= 2:
+                out[r[0]] = (pytest.approx(np.mean(own)), len(own), method, days)
+                break
+    return out
+
+
 def test_gap_filling_by_force(spark):
-    """Stages in turn on binned joins against all pairs, with values at the edges of bins, missing drivers and gaps without any like row."""
+    """Stages against all pairs, with values at the edges of bins, weak light, missing drivers, hours about midnight and gaps without any like row."""
     from thermoflux.operators import gapfill
 
     rng = np.random.default_rng(8)
     rows = []
-    for i in range(400):
-        sw, ta, vpd = float(rng.integers(0, 12) * 25), float(rng.integers(-4, 8) * 1.25), float(rng.integers(0, 6) * 2.5)
-        rows.append((i, int(i % 2), int(rng.integers(1, 90)), None if rng.random() < 0.3 else float(rng.normal()), sw if rng.random() < 0.95 else None, ta, vpd))
-    df = spark.createDataFrame(rows, "id long, site_id long, day long, NEE double, SW_IN double, TA double, VPD double")
-    got = {r["id"]: (r["filled"], r["n_used"], r["stage"]) for r in gapfill.gap_fill_mds(df, "id").collect()}
-    assert set(got) == {r[0] for r in rows if r[3] is None}
-    place = {"SW_IN": 4, "TA": 5, "VPD": 6}
-    for r in (r for r in rows if r[3] is None):
-        want = (None, 0, None)
-        for k, (days, alike) in enumerate(gapfill.STAGES, 1):
-            own = [o[3] for o in rows if o[3] is not None and o[1] == r[1] and abs(o[2] - r[2]) <= days
-                   and all(o[place[c]] is not None and r[place[c]] is not None and abs(o[place[c]] - r[place[c]]) < gapfill.TOLERANCE[c] for c in alike)]
-            if len(own) >= 2:
-                want = (pytest.approx(np.mean(own)), len(own), k)
-                break
-        assert got[r[0]] == want
+    for i in range(420):
+        sw, ta, vpd = float(rng.choice([0, 5, 19, 24, 25, 45, 60, 110, 300])), float(rng.integers(-4, 8) * 1.25), float(rng.integers(0, 6) * 2.5)
+        site = int(i % 4)
+        day = int(rng.integers(1, 90)) if site < 2 else int(rng.integers(1, 500))
+        rows.append((i, site, day, int(rng.choice([0, 1, 2, 12, 13, 22, 23])), None if rng.random() < (0.3 if site < 2 else 0.7) else float(rng.normal()), sw if rng.random() < 0.9 else None, ta if rng.random() < 0.95 else None, vpd))
+    rows += [(900, 9, 1, 3, None, 10.0, 1.0, 1.0), (901, 9, 2, 3, 1.0, 10.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, site_id long, day long, HOUR long, NEE double, SW_IN double, TA double, VPD double")
+    got = {r["id"]: r for r in gapfill.gap_fill_mds(df, "id").collect()}
+    want = gap_fill_by_force(rows)
+    assert set(got) == set(want) and want[900][2] is None
+    for i, w in want.items():
+        assert (got[i]["filled"], got[i]["n_used"], got[i]["method"], got[i]["days"]) == w
+    kinds = {(r["method"], r["days"]) for r in got.values()}
+    assert {m for m, _ in kinds} == {None, 1, 2, 3} and {(1, 7), (1, 14), (2, 7), (3, 1)} <= kinds and max(k or 0 for _, k in kinds) > 70 and any(m == 2 and k > 7 for m, k in kinds if m)
+    by_quality = {(r["method"], r["days"]): r["quality"] for r in got.values()}
+    assert by_quality[1, 7] == 1 and by_quality[1, 14] == 2 and by_quality[3, 1] == 2 and {q for (m, k), q in by_quality.items() if m == 3 and k > 2} == {3}
 
 
 def test_chain_recovers_the_planted_response(spark):

@@ -132,25 +132,18 @@ def test_ustar_threshold_finds_planted(spark):
     assert r["threshold"] == pytest.approx(0.2, abs=0.05)
 
 
-def test_gap_fill_takes_like_weather(spark):
-    rows = [(1, i, i // 4, float(100 * (i % 4)), 10.0, 5.0, None if i == 40 else float(i % 4)) for i in range(100)]
-    df = spark.createDataFrame(rows, "site_id long, id long, day long, SW_IN double, TA double, VPD double, NEE double")
-    r = gapfill.gap_fill_mds(df, "id").collect()
-    assert [(x["id"], x["filled"], x["stage"]) for x in r] == [(40, 0.0, 1)]
-
-
-def test_gap_fill_takes_the_diurnal_course(spark):
-    # 100 days of which 40 to 79 are missing, and day 5, hour 1 without radiation; hour 3 has one row only
-    rows = [(1, d * 4 + h, d, h, None if (d, h) == (5, 1) else 100.0 * h, 10.0, 5.0, None if 40 <= d < 80 or (d, h) == (5, 1) else float(d + 1000 * h)) for d in range(100) for h in range(3)]
-    rows += [(1, 1000, 50, 3, 900.0, 10.0, 5.0, None), (1, 1001, 51, 3, 900.0, 10.0, 5.0, 1.0)]
-    df = spark.createDataFrame(rows, "site_id long, id long, day long, HOUR long, SW_IN double, TA double, VPD double, NEE double")
-    got = {r["id"]: (r["filled"], r["n_used"], r["stage"]) for r in gapfill.gap_fill_mds(df, "id", hour="HOUR").collect()}
-    assert set(got) == {r[1] for r in rows if r[-1] is None}
-    assert got[5 * 4 + 1] == (1005.0, 2, 6)  # days 4 and 6
-    assert got[1000] == (None, 0, None)
-    wide = spark.createDataFrame([r for r in rows if r[2] in (0, 1, 60, 99)], df.schema)
-    far = {r["id"]: (r["filled"], r["n_used"], r["stage"]) for r in gapfill.gap_fill_mds(wide, "id", hour="HOUR").collect()}
-    assert far[60 * 4] == (49.5 + 0.5, 2, 5 + 59)  # days 1 and 99, beyond every look-up stage
+def test_thresholds_fall_back(spark):
+    rng = random.Random(5)
+
+    def rows(year, season, n, limit):
+        return [(1, year, season, rng.uniform(0, 20), u, (5.0 if u > limit else 5 * u / limit) + rng.gauss(0, 0.02)) for _ in range(n) for u in [rng.uniform(0, 0.8)]]
+
+    data = rows(2000, 1, 3000, 0.2) + rows(2000, 2, 3000, 0.3) + rows(2000, 3, 50, 0.1) + rows(2001, 1, 150, 0.4) + rows(2001, 2, 150, 0.4) + rows(2001, 3, 700, 0.4)[:150] + rows(2002, 1, 20, 0.1)
+    df = spark.createDataFrame(data, "site_id long, YEAR long, season long, TA double, USTAR double, NEE double")
+    got = {(r["YEAR"], r["season"]): r for r in gapfill.ustar_thresholds(df, least_in_class=60).collect()}
+    assert [got[k]["mode"] for k in sorted(got)] == ["season", "season", "year", "pooled", "pooled", "pooled", "site"]
+    assert got[2000, 1]["threshold"] == pytest.approx(0.2, abs=0.06) and got[2000, 3]["threshold"] == got[2000, 2]["threshold"]
+    assert got[2001, 1]["threshold"] == pytest.approx(0.4, abs=0.1) and got[2002, 1]["threshold"] == pytest.approx((got[2000, 2]["threshold"] + got[2001, 1]["threshold"]) / 2)
 
 
 def test_control_year_replaces_long_gap(spark):

@@ -5,9 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermoflux.operators.chunked import join_on
 from thermoflux.sources.io import stored
 
 
+def class_limits(df: DataFrame, x: str, by: list[str], classes: int) -> DataFrame:
+    """(by, limits): the largest value of each of ``classes`` classes of about equal size. Equal values are counted first and share a class, that of the
+    rows below them."""
+    values = df.groupBy(*by, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*by)
+    below = F.sum("_k").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
+    own = values.withColumns({"_c": F.floor(below * classes / F.sum("_k").over(w)).cast("int")})
+    top = own.groupBy(*by, "_c").agg(F.max("_v").alias("_m"))
+    return top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_m"))), lambda s: s["_m"]).alias("limits"))
+
+
+def with_class(df: DataFrame, x: str, by: list[str], classes: int, out: str) -> DataFrame:
+    """``df`` with the number of the class of ``x`` within its group, from 0 on (empty classes are not counted)."""
+    d = join_on(df, class_limits(df, x, by, classes), by)
+    return d.withColumn(out, F.size(F.filter("limits", lambda v: v < F.col(x)))).drop("limits")
+
+
 def ustar_threshold(
     df: DataFrame,
     by: tuple[str, ...] = ("site_id", "season"),
@@ -15,21 +33,47 @@ def ustar_threshold(
     u_classes: int = 20,
     share: float = 0.99,
     max_corr: float = 0.5,
+    ahead: int = 10,
+    least_rows: int = 160,
+    least_in_class: int = 100,
 ) -> DataFrame:
     """(by, threshold, n_classes): moving-point test. Night rows are cut into temperature classes of equal size and those into friction-velocity
-    classes; a class's threshold is the first velocity class whose flux reaches ``share`` of the mean of all later ones. Temperature
-    classes in which velocity and temperature correlate are left out; the median over the others is the group's.
-
-    ``df``: by, TA, USTAR, NEE of valid nights, and ``id`` to order ties."""
-    own = df.dropna(subset=["TA", "USTAR", "NEE"])
-    own = own.withColumn("_t", F.ntile(t_classes).over(Window.partitionBy(*by).orderBy("TA", "id")))
-    own = own.withColumn("_u", F.ntile(u_classes).over(Window.partitionBy(*by, "_t").orderBy("USTAR", "id")))
-    cls = own.groupBy(*by, "_t", "_u").agg(F.avg("USTAR").alias("_us"), F.avg("NEE").alias("_f"))
-    cor = own.groupBy(*by, "_t").agg(F.corr("USTAR", "TA").alias("_r")).filter(F.abs("_r") < max_corr).select(*by, "_t")
-    later = Window.partitionBy(*by, "_t").orderBy(F.desc("_u")).rowsBetween(Window.unboundedPreceding, -1)
-    cls = cls.withColumn("_later", F.avg("_f").over(later)).join(cor, [*by, "_t"], "left_semi")
-    first = cls.filter(F.col("_f") >= share * F.col("_later")).groupBy(*by, "_t").agg(F.min_by("_us", "_u").alias("_th"))
-    return first.groupBy(*by).agg(F.percentile("_th", F.lit(0.5)).alias("threshold"), F.count(F.lit(1)).alias("n_classes"))
+    classes; a class's threshold is the first velocity class whose flux reaches ``share`` of the mean of the next ``ahead`` ones. Temperature
+    classes of fewer than ``least_in_class`` rows, or in which velocity and temperature correlate, are left out; the median over the others is the group's. Groups
+    of fewer than ``least_rows`` rows, and those without a class left, have no row.
+
+    ``df``: by, TA, USTAR, NEE of valid nights."""
+    keys = list(by)
+    own = df.dropna(subset=["TA", "USTAR", "NEE"]).select(*keys, "TA", "USTAR", "NEE")
+    enough = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_rows)
+    own = own.join(enough.drop("_n"), keys, "left_semi")
+    own = stored(with_class(own, "TA", keys, t_classes, "_t"), "temperature-classes")
+    cor = own.groupBy(*keys, "_t").agg(F.corr("USTAR", "TA").alias("_r"), F.count(F.lit(1)).alias("_n"))
+    cor = cor.filter((F.abs("_r") < max_corr) & (F.col("_n") >= least_in_class)).select(*keys, "_t")
+    own = with_class(own.join(cor, [*keys, "_t"], "left_semi"), "USTAR", [*keys, "_t"], u_classes, "_u")
+    cls = own.groupBy(*keys, "_t", "_u").agg(F.avg("USTAR").alias("_us"), F.avg("NEE").alias("_f"))
+    later = F.avg("_f").over(Window.partitionBy(*keys, "_t").orderBy("_u").rowsBetween(1, ahead))
+    first = cls.withColumn("_later", later).filter(F.col("_f") >= share * F.col("_later")).groupBy(*keys, "_t").agg(F.min_by("_us", "_u").alias("_th"))
+    return first.groupBy(*keys).agg(F.percentile("_th", F.lit(0.5)).alias("threshold"), F.count(F.lit(1)).alias("n_classes"))
+
+
+def ustar_thresholds(df: DataFrame, **options) -> DataFrame:
+    """(site_id, YEAR, season, threshold, mode): a row for every season of ``df`` (site_id, YEAR, season, TA, USTAR, NEE) with the threshold to use there.
+
+    ``mode``: season - the season's own; year - the largest of the year's seasons; pooled - the year's rows taken together, where no season has
+    enough; site - the median of the site's years; null where there is none at all. ``join_season_threshold`` takes the rows as they are."""
+    rows = stored(df.select("site_id", "YEAR", "season", "TA", "USTAR", "NEE"), "nights")
+    seasons = stored(ustar_threshold(rows, ("site_id", "YEAR", "season"), **options).drop("n_classes"), "seasons")
+    every = stored(rows.select("site_id", "YEAR", "season").distinct(), "every-season")
+    best = seasons.groupBy("site_id", "YEAR").agg(F.max("threshold").alias("_year"))
+    bare = rows.join(best, ["site_id", "YEAR"], "left_anti")
+    pooled = ustar_threshold(bare, ("site_id", "YEAR"), **options).select("site_id", "YEAR", F.col("threshold").alias("_pooled"))
+    years = every.select("site_id", "YEAR").distinct().join(best, ["site_id", "YEAR"], "left").join(pooled, ["site_id", "YEAR"], "left")
+    years = stored(years, "years")
+    site = years.groupBy("site_id").agg(F.percentile(F.coalesce("_year", "_pooled"), F.lit(0.5)).alias("_site"))
+    d = every.join(seasons, ["site_id", "YEAR", "season"], "left").join(years, ["site_id", "YEAR"]).join(site, "site_id")
+    mode = F.when(F.col("threshold").isNotNull(), "season").when(F.col("_year").isNotNull(), "year").when(F.col("_pooled").isNotNull(), "pooled").when(F.col("_site").isNotNull(), "site")
+    return d.select("site_id", "YEAR", "season", F.coalesce("threshold", "_year", "_pooled", "_site").alias("threshold"), mode.alias("mode"))
 
 
 # Fixed values of the published method (marginal distribution sampling): largest differences of like weather (that of radiation shrinks in weak light),

@@ -118,16 +118,43 @@ def m6b(spark, d):
     return season.season_by_uptake(clim)
 
 
-@query("m7_ustar_threshold", f"""WITH {MULTI}, o AS (SELECT site_id, MONTH // 4 AS season, TA, sqrt(l_extendedprice) / 300 AS u, NEE + least(sqrt(l_extendedprice) / 300, 0.5) * 30 AS f, l_orderkey * 1000003 + l_partkey * 101 + l_linenumber AS id FROM obs WHERE NEE IS NOT NULL),
-a AS (SELECT *, ntile(7) OVER (PARTITION BY site_id, season ORDER BY TA, id) AS t FROM o), b AS (SELECT *, ntile(20) OVER (PARTITION BY site_id, season, t ORDER BY u, id) AS k FROM a),
-c AS (SELECT site_id, season, t, k, avg(u) AS u, avg(f) AS f FROM b GROUP BY 1, 2, 3, 4), r AS (SELECT site_id, season, t FROM b GROUP BY 1, 2, 3 HAVING abs(corr(u, TA)) < 0.5),
-l AS (SELECT *, avg(f) OVER (PARTITION BY site_id, season, t ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM c SEMI JOIN r USING (site_id, season, t)),
-th AS (SELECT site_id, season, t, arg_min(u, k) AS th FROM l WHERE f >= 0.99 * later GROUP BY 1, 2, 3)
-SELECT site_id, season, round(quantile_cont(th, 0.5), 6) AS threshold, count(*) AS n_classes FROM th GROUP BY 1, 2""")
-def m7(spark, d):
+def _ustar_sql(name: str, rows: str, keys: str, t: int, u: int, least: int, least_in_class: int) -> str:
+    """The moving-point test over rows with ``keys``, TA, u and f, as tables that end in ``name`` (keys, threshold, n_classes)."""
+    n = name
+    return f"""{n}o AS (SELECT * FROM ({rows}) QUALIFY count(*) OVER (PARTITION BY {keys}) >= {least}),
+{n}a AS (SELECT *, (rank() OVER (PARTITION BY {keys} ORDER BY TA) - 1) * {t} // count(*) OVER (PARTITION BY {keys}) AS t FROM {n}o),
+{n}r AS (SELECT {keys}, t FROM {n}a GROUP BY ALL HAVING abs(corr(u, TA)) < 0.5 AND count(*) >= {least_in_class}),
+{n}b AS (SELECT *, (rank() OVER (PARTITION BY {keys}, t ORDER BY u) - 1) * {u} // count(*) OVER (PARTITION BY {keys}, t) AS k FROM {n}a SEMI JOIN {n}r USING ({keys}, t)),
+{n}c AS (SELECT {keys}, t, k, avg(u) AS u, avg(f) AS f FROM {n}b GROUP BY ALL),
+{n}l AS (SELECT *, avg(f) OVER (PARTITION BY {keys}, t ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS later FROM {n}c),
+{n}h AS (SELECT {keys}, t, arg_min(u, k) AS th FROM {n}l WHERE f >= 0.99 * later GROUP BY ALL),
+{n} AS (SELECT {keys}, quantile_cont(th, 0.5) AS threshold, count(*) AS n_classes FROM {n}h GROUP BY ALL)"""
+
+
+_USTAR = "SELECT site_id, YEAR, MONTH // 4 AS season, TA, sqrt(l_extendedprice) / 300 AS u, NEE + least(sqrt(l_extendedprice) / 300, 0.5) * 30 AS f FROM obs WHERE NEE IS NOT NULL"
+#: Years 1997 and 1998 are thin, 1999 is hardly there.
+_THIN = " AND NOT (YEAR = 1997 AND l_partkey % 3 > 0) AND NOT (YEAR = 1998 AND l_partkey % 7 > 0) AND NOT (YEAR = 1999 AND l_partkey % 50 > 0)"
+
+
+def _ustar_rows(spark, d):
     u = F.sqrt("l_extendedprice") / 300
-    df = obs_multi(spark, d).select("site_id", F.floor(F.col("MONTH") / 4).alias("season"), "TA", u.alias("USTAR"), (F.col("NEE") + F.least(u, F.lit(0.5)) * 30).alias("NEE"), (F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 101 + F.col("l_linenumber")).alias("id"))
-    return rounded(gapfill.ustar_threshold(df), "threshold")
+    return obs_multi(spark, d).select("site_id", "YEAR", F.floor(F.col("MONTH") / 4).alias("season"), "TA", u.alias("USTAR"), (F.col("NEE") + F.least(u, F.lit(0.5)) * 30).alias("NEE"), "l_partkey")
+
+
+@query("m7_ustar_threshold", f"WITH {MULTI}, {_ustar_sql('th', _USTAR, 'site_id, season', 7, 20, 160, 40)} SELECT site_id, season, round(threshold, 6) AS threshold, n_classes FROM th")
+def m7(spark, d):
+    return rounded(gapfill.ustar_threshold(_ustar_rows(spark, d), least_in_class=40), "threshold")
+
+
+@query("m7b_ustar_by_season_and_year", f"""WITH {MULTI}, {_ustar_sql('se', _USTAR + _THIN, 'site_id, YEAR, season', 3, 8, 90, 25)}, ye AS (SELECT site_id, YEAR, max(threshold) AS y FROM se GROUP BY 1, 2),
+{_ustar_sql('po', f'SELECT * FROM ({_USTAR}{_THIN}) ANTI JOIN ye USING (site_id, YEAR)', 'site_id, YEAR', 3, 8, 90, 25)},
+ev AS (SELECT DISTINCT site_id, YEAR, season FROM ({_USTAR}{_THIN})),
+yr AS (SELECT e.site_id, e.YEAR, y, p.threshold AS p FROM (SELECT DISTINCT site_id, YEAR FROM ev) e LEFT JOIN ye USING (site_id, YEAR) LEFT JOIN po p USING (site_id, YEAR)), si AS (SELECT site_id, quantile_cont(coalesce(y, p), 0.5) AS s FROM yr GROUP BY 1)
+SELECT ev.site_id, ev.YEAR, ev.season, round(coalesce(se.threshold, y, p, s), 6) AS threshold, CASE WHEN se.threshold IS NOT NULL THEN 'season' WHEN y IS NOT NULL THEN 'year' WHEN p IS NOT NULL THEN 'pooled' WHEN s IS NOT NULL THEN 'site' END AS mode
+FROM ev LEFT JOIN se USING (site_id, YEAR, season) JOIN yr USING (site_id, YEAR) JOIN si USING (site_id)""")
+def m7b(spark, d):
+    rows = _ustar_rows(spark, d).filter("NEE IS NOT NULL AND NOT (YEAR = 1997 AND l_partkey % 3 > 0) AND NOT (YEAR = 1998 AND l_partkey % 7 > 0) AND NOT (YEAR = 1999 AND l_partkey % 50 > 0)")
+    return rounded(gapfill.ustar_thresholds(rows, t_classes=3, u_classes=8, least_rows=90, least_in_class=25), "threshold")
 
 
 def _gap_fill_sql(rows: str) -> str:
