@@ -194,6 +194,31 @@ def test_variance_inflation(spark):
         assert vif == pytest.approx(((own[x] - own[x].mean()) ** 2).sum() / (e**2).sum(), rel=1e-6)
 
 
+def test_coefficient_table(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) + 1e4 * np.array([1, 0, 0])
+    y = x @ np.array([0.5, -2.0, 0.0]) + rng.normal(size=60)
+    rows = [("a", *map(float, r), float(v)) for r, v in zip(x, y)] + [("a", None, 1.0, 1.0, 1.0)] + [("few", 1.0 * i, 2.0, 3.0, 1.0) for i in range(4)] + [("same", 1.0 * i, 2.0 * i, float(i * i), 1.0 * i) for i in range(9)]
+    out = regression.multiple_regression(spark.createDataFrame(rows, "k string, a double, b double, c double, y double"), "y", ["a", "b", "c"], ("k",)).collect()
+    got = {(r["k"], r["term"]): r for r in out}
+    assert len(got) == 12 and all(got[k, t]["estimate"] is None and got[k, t]["p"] is None for k in ("few", "same") for t in "abc")
+    design = np.column_stack([np.ones(60), x])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    e = y - design @ beta
+    s2 = e @ e / 56
+    se = np.sqrt(s2 * np.diag(np.linalg.inv(design.T @ design)))
+    r2 = 1 - e @ e / ((y - y.mean()) ** 2).sum()
+    for i, term in enumerate(["(intercept)", "a", "b", "c"]):
+        r = got["a", term]
+        assert (r["n"], r["df"]) == (60, 56) and r["r2"] == pytest.approx(r2) and r["sigma"] == pytest.approx(np.sqrt(s2)) and r["f"] == pytest.approx(r2 / 3 / ((1 - r2) / 56))
+        assert r["estimate"] == pytest.approx(beta[i], rel=1e-5) and r["se"] == pytest.approx(se[i], rel=1e-5) and r["p"] == pytest.approx(two_sided(beta[i] / se[i], 56), abs=2e-5)
+        if i:
+            others = np.delete(design, i, axis=1)
+            left = x[:, i - 1] - others @ np.linalg.lstsq(others, x[:, i - 1], rcond=None)[0]
+            assert r["vif"] == pytest.approx(((x[:, i - 1] - x[:, i - 1].mean()) ** 2).sum() / (left @ left), rel=1e-5)
+    assert got["a", "b"]["p"] < 1e-9 and got["a", "b"]["f_p"] < 1e-9
+
+
 def two_sided(t, df):
     """Two-sided tail of Student's distribution by the trapezoid rule."""
     x = np.linspace(-abs(t), abs(t), 200_001)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermoflux.operators.aggregates import t_tail
+from thermoflux.operators.aggregates import f_tail, t_tail
 from thermoflux.operators.joins import range_join, small
 from thermoflux.operators.windows import previous_means, trailing_means
 from thermoflux.sources.io import stored
@@ -170,17 +170,63 @@ def with_slope_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p", t_tail(F.col("t"), (F.col("n") - 2).cast("double")))
 
 
+def multiple_regression(df: DataFrame, y: str, xs: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """The coefficient table of y on xs: (by, term, estimate, se, t, p, vif, n, df, r2, sigma, f, f_p), a row for the intercept and each variable.
+
+    One pass: means and covariances of the complete rows (stable, map-side combined), one row a group. Coefficients, errors and r2 come from the covariance
+    matrix; every variance inflation is the diagonal of the inverse correlation matrix. Groups with fewer rows than coefficients + 1, or with
+    variables that others determine, have nulls."""
+    cols = [*xs, y]
+    k = len(xs)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    ok = df.dropna(subset=cols)
+    sums = ok.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in cols]).alias("_m"), F.array(*[F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")) for i, j in pairs]).alias("_c")
+    )
+    names = ["(intercept)", *xs]
+
+    def solve(n: int, m: np.ndarray, c: np.ndarray) -> list[dict]:
+        g = np.zeros((k + 1, k + 1))
+        for (i, j), v in zip(pairs, c, strict=True):
+            g[i, j] = g[j, i] = v
+        sd = np.sqrt(np.diag(g))
+        rows = [{"term": t, "n": n, "df": n - k - 1} for t in names]
+        if n <= k + 1 or not (sd[:-1] > 0).all():
+            return rows
+        r = g / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1))
+        if np.linalg.cond(r[:-1, :-1]) > 1e12:
+            return rows
+        inverse = np.linalg.inv(r[:-1, :-1])
+        beta = (inverse @ r[:-1, -1]) * sd[-1] / sd[:-1]
+        cov = inverse / np.outer(sd[:-1], sd[:-1]) / n  # of the coefficients, but for the variance of the errors
+        rss = max(n * (g[-1, -1] - beta @ g[:-1, -1]), 0.0)
+        var = rss / (n - k - 1)
+        r2 = 1 - rss / (n * g[-1, -1]) if g[-1, -1] > 0 else None
+        estimate = [m[-1] - beta @ m[:-1], *beta]
+        se = np.sqrt(np.array([var * (1 / n + m[:-1] @ cov @ m[:-1]), *(var * np.diag(cov))]))
+        for i, row in enumerate(rows):
+            row |= {"estimate": estimate[i], "se": se[i], "t": estimate[i] / se[i] if se[i] > 0 else None, "vif": inverse[i - 1, i - 1] if i else None, "r2": r2, "sigma": np.sqrt(var)}
+            row["f"] = r2 / k / ((1 - r2) / (n - k - 1)) if r2 is not None and r2 < 1 else None
+        return rows
+
+    numbers = ["estimate", "se", "t", "vif", "r2", "sigma", "f"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = [{c: row[c] for c in by} | term for row in p.to_dict("records") for term in solve(int(row["n"]), np.asarray(row["_m"]), np.asarray(row["_c"]))]
+            yield pd.DataFrame(out, columns=[*by, "term", "n", "df", *numbers]).astype(dict.fromkeys(numbers, float))
+
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sums.schema if f.name in by)
+    table = sums.filter("n > 0").mapInPandas(work, f"{keys}term string, n long, df long, " + ", ".join(f"{c} double" for c in numbers))
+    table = table.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
+    table = table.withColumns({"p": t_tail(F.col("t"), F.col("df").cast("double")), "f_p": f_tail(F.col("f"), F.lit(float(k)), F.col("df").cast("double"))})
+    return table.select(*by, "term", "estimate", "se", "t", "p", "vif", "n", "df", "r2", "sigma", "f", "f_p")
+
+
 def vif(df: DataFrame, xs: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """Variance inflation of each regressor: 1 / (1 - R2) of its regression on the others."""
-    out = None
-    for x in xs:
-        one = ols(df, x, [c for c in xs if c != x], by).select(
-            *by,
-            F.lit(x).alias("variable"),
-            F.try_divide(F.lit(1.0), 1 - F.col("r2")).alias("vif"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(by, variable, vif): variance inflation of each regressor, from one pass over the complete rows of ``xs``."""
+    table = multiple_regression(df.dropna(subset=xs).withColumn("_y", F.col(xs[0])), "_y", xs, by)
+    return table.filter("term <> '(intercept)'").select(*by, F.col("term").alias("variable"), "vif")
 
 
 def soil_carbon_blend(df: DataFrame, observed: str, mapped: str) -> DataFrame:

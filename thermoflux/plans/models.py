@@ -418,6 +418,17 @@ def m20(spark, d):
     return regression.vif(_features(spark, d), _FEATURES, ("site_id",))
 
 
+@query("m20b_multiple_regression", f"""WITH {MULTI}, x AS (SELECT site_id, SWC AS a, TA AS b, NEE AS y FROM obs WHERE NEE IS NOT NULL),
+m AS (SELECT site_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(y) AS yy FROM x GROUP BY 1),
+c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS c1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS c2 FROM m),
+v AS (SELECT *, n * (yy - c1 * ay - c2 * by_) / (n - 3) AS s2, 1 - (yy - c1 * ay - c2 * by_) / yy AS r2, aa * bb / (aa * bb - ab * ab) AS vif FROM c)
+SELECT site_id, 'SWC' AS term, n, round(c1, 6) AS estimate, round(sqrt(s2 * bb / (n * (aa * bb - ab * ab))), 6) AS se, round(c1 / sqrt(s2 * bb / (n * (aa * bb - ab * ab))), 4) AS t, round(vif, 6) AS vif, round(r2, 6) AS r2, round(r2 / 2 / ((1 - r2) / (n - 3)), 4) AS f FROM v
+UNION ALL SELECT site_id, 'TA', n, round(c2, 6), round(sqrt(s2 * aa / (n * (aa * bb - ab * ab))), 6), round(c2 / sqrt(s2 * aa / (n * (aa * bb - ab * ab))), 4), round(vif, 6), round(r2, 6), round(r2 / 2 / ((1 - r2) / (n - 3)), 4) FROM v""")
+def m20b(spark, d):
+    table_ = regression.multiple_regression(obs_multi(spark, d), "NEE", ["SWC", "TA"], ("site_id",)).filter("term <> '(intercept)'")
+    return rounded(table_.select("site_id", "term", "n", "estimate", "se", F.round("t", 4).alias("t"), "vif", "r2", F.round("f", 4).alias("f")), "estimate", "se", "vif", "r2")
+
+
 @query("m21_future_respiration")
 def m21(spark, d):
     rows = _curve_rows(spark, d).drop("window")
