@@ -146,6 +146,36 @@ def test_thresholds_fall_back(spark):
     assert got[2001, 1]["threshold"] == pytest.approx(0.4, abs=0.1) and got[2002, 1]["threshold"] == pytest.approx((got[2000, 2]["threshold"] + got[2001, 1]["threshold"]) / 2)
 
 
+def test_dyadic_blocks_make_up_the_period(spark):
+    rng = random.Random(3)
+    spans = [(a, a + n) for a in (-70, -1, 0, 5, 1000) for n in (0, 1, 2, 3, 7, 8, 30, 365, 4000)] + [(a, a + rng.randint(0, 10**6)) for a in range(20)]
+    d = spark.createDataFrame(spans, "a long, b long").withColumn("x", j.dyadic_blocks(F.col("a"), F.col("b"), 21))
+    for r in d.collect():
+        parts = sorted((x["block"] << x["level"], (x["block"] + 1) << x["level"]) for x in r["x"])
+        assert parts[0][0] == r["a"] and parts[-1][1] == r["b"] + 1 and all(p[1] == q[0] for p, q in zip(parts, parts[1:]))
+        assert len(parts) <= 2 * max(1, (r["b"] - r["a"] + 1).bit_length())
+
+
+def test_range_join_of_long_and_nested_periods(spark):
+    """Short, long and nested periods, one key with hundreds: every pair once, in few copies."""
+    rng = random.Random(7)
+    periods = [(1, k, float(a), float(a + rng.choice([0.0, 0.5, 2, 30, 400, 5000]))) for k in range(300) for a in [rng.randint(-100, 4000)]] + [(1, 1000, -1e5, 1e5), (2, 1001, 3.0, 3.0), (2, 1002, 9.0, 8.0), (None, 1003, 0.0, 9.0)]
+    rows = [(i % 3 or None, i, rng.choice([rng.randint(-200, 9000) * 1.0, rng.uniform(-200, 9000), 3.0])) for i in range(1500)] + [(1, 5000, None)]
+    p = spark.createDataFrame(periods, "site_id long, k long, a double, b double")
+    d = spark.createDataFrame(rows, "site_id long, i long, v double")
+    want = sorted((i, k) for s, i, v in rows for t, k, a, b in periods if s is not None and s == t and v is not None and a <= v <= b)
+    out = j.range_join(d, p, "v", "a", "b")
+    assert set(out.columns) == {"site_id", "i", "v", "k", "a", "b"}
+    assert sorted((r["i"], r["k"]) for r in out.collect()) == want and len(want) > 5000
+    # no row is listed more often than a length has binary digits, no period in more than twice that
+    digits = (2 * 10**5 + 1).bit_length()
+    blocks = p.select(F.size(j.dyadic_blocks(F.floor("a"), F.floor("b"), digits)).alias("n")).agg(F.max("n")).first()[0]
+    levels = p.select(F.explode(j.dyadic_blocks(F.floor("a"), F.floor("b"), digits)).alias("x")).select("x.level").distinct().count()
+    assert blocks <= 2 * digits and levels <= digits
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan and "NestedLoop" not in plan
+
+
 def test_control_year_replaces_long_gap(spark):
     def year(y, ts, missing):
         return [(1, y, d, ts, False) for d in range(1, 41)], [(1, y, d, 1.0) for d in range(1, 41) if d not in missing]

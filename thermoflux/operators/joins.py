@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermoflux.sources.io import stored
+
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -56,35 +58,49 @@ def fill_from_climatology(
     return df.join(c, list(keys), "left").withColumns({x: F.coalesce(x, f"_{x}") for x in columns}).drop(*[f"_{x}" for x in columns])
 
 
-def range_join(
-    df: DataFrame,
-    periods: DataFrame,
-    value: str,
-    low: str,
-    high: str,
-    keys: tuple[str, ...] = ("site_id",),
-    how: str = "inner",
-    bucket: int = 32,
-) -> DataFrame:
+#: Periods of one key up to which a row may meet them all.
+FEW_PERIODS = 64
+
+
+def dyadic_blocks(low: Column, high: Column, levels: int) -> Column:
+    """Array of (level, block): the fewest blocks ``[block * 2**level, (block + 1) * 2**level)`` that make up the whole numbers from ``low`` to ``high``;
+    at most two a level."""
+
+    def at(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k)
+        a, b = F.ceil(low / size), F.floor((high + 1) / size)
+        odd = F.pmod(a, F.lit(2)) == 1
+        none = F.lit(None).cast("struct<level:int,block:bigint>")
+        left = F.when(odd & (a < b), F.struct(k.alias("level"), a.alias("block"))).otherwise(none)
+        right = F.when((F.pmod(b, F.lit(2)) == 1) & (a + odd.cast("long") < b), F.struct(k.alias("level"), (b - 1).alias("block"))).otherwise(none)
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)), lambda x: x.isNotNull())
+
+
+def range_join(df: DataFrame, periods: DataFrame, value: str, low: str, high: str, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
     """Rows with the periods that hold ``value`` (low and high included), within equal ``keys``.
 
-    A counted, small period table is broadcast. A larger one is joined on buckets of ``bucket`` units: each period is
-    listed in the buckets that it touches, so no row meets the periods of other buckets."""
+    Periods are written once and counted. A small table with at most ``FEW_PERIODS`` a key is broadcast. Otherwise a period is listed in its dyadic blocks, at most two for
+    every doubling of its length, and a row in one block of each level that any period uses; that is a join by equality in which a row and a period
+    meet at most once, however long, many or nested the periods are. A period that ends before it begins holds nothing."""
+    p = stored(periods.filter(F.col(low) <= F.col(high)), "periods")
+    size = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+    count, most = (v or 0 for v in size)
+    p = p.withColumnsRenamed({k: f"_{k}" for k in keys})
     cond = F.col(value).between(F.col(low), F.col(high))
-    if periods.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        p = periods.withColumnsRenamed({k: f"_{k}" for k in keys})
-        for k in keys:
-            cond = cond & (F.col(k) == F.col(f"_{k}"))
-        return df.join(F.broadcast(p), cond, how).drop(*[f"_{k}" for k in keys])
-    p = periods.withColumn(
-        "_b",
-        F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))),
-    ).withColumnsRenamed({k: f"_{k}" for k in keys})
-    d = df.withColumn("_bucket", F.floor(F.col(value) / bucket))
-    cond = cond & (F.col("_bucket") == F.col("_b"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
-    return d.join(p, cond, how).drop("_b", "_bucket", *[f"_{k}" for k in keys])
+    if count <= BROADCAST_ROWS and most <= FEW_PERIODS:
+        return df.join(F.broadcast(p), cond).drop(*[f"_{k}" for k in keys])
+    a, b = F.floor(F.col(low).cast("double")), F.floor(F.col(high).cast("double"))
+    levels = max(0, int(p.agg(F.max(b - a + 1)).first()[0]).bit_length())
+    p = p.withColumn("_at", F.explode(dyadic_blocks(a, b, levels))).withColumns({"_pl": F.col("_at")["level"], "_pb": F.col("_at")["block"]}).drop("_at")
+    used = sorted(r[0] for r in p.select("_pl").distinct().collect())  # at most as many as a length has digits
+    d = df.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in used]))).withColumn("_block", F.floor(F.col(value).cast("double") / F.pow(F.lit(2.0), F.col("_level"))))
+    cond = cond & (F.col("_level") == F.col("_pl")) & (F.col("_block") == F.col("_pb"))
+    p = F.broadcast(p) if count * 2 * len(used) <= BROADCAST_ROWS else p
+    return d.join(p, cond).drop("_level", "_block", "_pl", "_pb", *[f"_{k}" for k in keys])
 
 
 def semi_years(df: DataFrame, years: DataFrame, keys: tuple[str, ...] = ("site_id", "YEAR")) -> DataFrame:
