@@ -43,17 +43,20 @@ def join_on(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chunks(df: DataFrame, by: list[str], order: list[str], rows: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(``df`` with _chunk; the table by, _chunk, _before (rows of the site before the chunk), _rows; whether any site has several chunks)."""
+    """(``df`` with _chunk; the table by, _chunk, _before (rows of the site before the chunk), _rows; True), or False as the last where no site has
+    several chunks."""
     at = axis(df, order[0])
-    stats = stored(df.groupBy(*by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count(F.lit(1)) / rows).alias("_k")), "axes")
+    stats = df.groupBy(*by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count(F.lit(1)) / rows).alias("_k"))
+    if (stats.agg(F.max("_k")).first()[0] or 0) <= 1:
+        return df, df, False
+    stats = stored(stats, "axes")
     d = join_on(df, small(stats), by)
     part = F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k"))
     d = d.withColumn("_chunk", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), F.least(part, F.col("_k") - 1)), F.lit(0)).cast("long")).drop("_lo", "_hi", "_k")
-    several = stats.filter("_k > 1").limit(1).count() > 0
     counts = d.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(_START, -1))
     table = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-    return d, stored(table, "chunks") if several else table, several
+    return d, stored(table, "chunks"), True
 
 
 def _numbered(d: DataFrame, table: DataFrame, by: list[str], order: list[str]) -> DataFrame:
