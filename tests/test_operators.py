@@ -71,7 +71,7 @@ def test_day_night(spark):
 def test_circular_runs(spark):
     def run(active, temp):
         days = spark.createDataFrame([(1, i + 1, bool(x), float(t)) for i, (x, t) in enumerate(zip(active, temp, strict=True))], "site_id long, DOY long, act boolean, t double")
-        return [tuple(r) for r in w.circular_runs(days, "act", "t").collect()]
+        return [tuple(r) for r in w.circular_runs(days, "act", "t").select("site_id", "gStart", "gEnd", "trimmed_days").collect()]
 
     # an off-season over the year's end, and a warmer dip that stays inside
     assert run([0, 0, 1, 1, 0, 1, 1, 0], [0, 1, 5, 6, 7, 6, 5, 1]) == [(1, 3, 7, 0)]
@@ -193,6 +193,52 @@ def test_control_year_replaces_long_gap(spark):
     assert control.control_year(t).first()["control_year"] == 2001
 
 
+def test_cyclic_smooth_by_force(spark):
+    """The smooth from sums of harmonics against the one from the rows' own basis, for full, thin and constant sites."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(1, d, float(np.sin(d / 40) * 3 + rng.normal()), int(rng.integers(1, 9))) for d in range(1, 367) if d % 7] + [(2, d, float(rng.normal()), 1) for d in (3, 50, 90, 200, 300)] + [(3, d, 2.5, 2) for d in range(1, 30)]
+    got = {}
+    for r in season.cyclic_smooth(spark.createDataFrame(rows, "site_id long, DOY long, value double, n_years int"), "value", "n_years").collect():
+        got.setdefault(r["site_id"], {})[r["DOY"]] = r["smooth"]
+    for site in (1, 2):
+        t, y, w = (np.array([r[i] for r in rows if r[0] == site], float) for i in (1, 2, 3))
+        k = np.arange(1, min(12, (len(t) - 1) // 2) + 1)
+
+        def basis(days, k=k):
+            a = 2 * np.pi * np.outer(days, k) / 366
+            return np.concatenate([np.ones((len(days), 1)), np.cos(a), np.sin(a)], axis=1)
+
+        b, pen, best = basis(t), np.concatenate([[0.0], k**4, k**4]), None
+        for lam in np.logspace(-6, 6, 49):
+            m = b.T @ (b * w[:, None]) + np.diag(lam * pen)
+            coef = np.linalg.solve(m, b.T @ (w * y))
+            score = (len(y) - 1) * np.log((w * y * y).sum() - coef @ (b.T @ (w * y))) + np.linalg.slogdet(m)[1] - 2 * len(k) * np.log(lam)
+            best = min(best or (score, coef), (score, coef), key=lambda x: x[0])
+        np.testing.assert_allclose([got[site][d] for d in range(1, 367)], basis(np.arange(1, 367)) @ best[1], rtol=1e-6, atol=1e-6)
+    assert set(got[3].values()) == {2.5}
+
+
+def test_season_report_agrees_with_the_season(spark):
+    """Reasons, edges and thresholds from the smooth that the season itself has; southern sites on their own axis."""
+    def site(k, shift, level=10.0, days=range(1, 366)):
+        wave = [math.cos(2 * math.pi * (d - shift) / 366) for d in days]
+        return [(k, 2000, d, 1, 0, 5 + 4 * v, level + 10 * v, 20.0) for d, v in zip(days, wave)]
+
+    rows = site(1, 200) + site(2, 15) + site(3, 200, level=-30.0) + site(4, 200, days=range(1, 100)) + [(5, 2000, d, 1, 0, 1.0 + d % 2, None, None) for d in range(1, 366)]
+    df = spark.createDataFrame(rows, "site_id long, YEAR long, DOY long, NIGHT int, QC int, NEE double, TS double, TA double")
+    got = {r["site_id"]: r for r in season.season_report(df, south=F.col("site_id") == 2).collect()}
+    assert [got[k]["reason"] for k in range(1, 6)] == [None, None, "no active day", "too few days of night flux", "too few days of temperature"]
+    north, south = got[1], got[2]
+    assert north["status"] == "ok" and north["offStart"] == north["gEnd"] + 1 and north["offEnd"] == north["gStart"] - 1 and north["nee_threshold"] == pytest.approx(1 + 0.2 * 8, abs=0.05)
+    assert south["gStart"] >= 183 and south["gEnd"] > 366 and south["offStart"] == south["gEnd"] + 1 and south["offEnd"] == south["gStart"] - 1
+    assert got[3]["nee_threshold"] is not None and got[4]["nee_threshold"] is None
+    seasons = {r["site_id"]: tuple(r) for r in season.active_season(df, F.col("site_id") == 2).collect()}
+    assert seasons == {k: (k, got[k]["gStart"], got[k]["gEnd"], got[k]["trimmed_days"]) for k in (1, 2)}
+    assert {r["site_id"]: r["reason"] for r in season.season_status(df).collect()} == {k: got[k]["reason"] for k in got}
+
+
 def test_cyclic_smooth_follows_course(spark):
     rows = [(1, d, 10 + 5 * math.sin(2 * math.pi * d / 366), 3) for d in range(1, 367) if not 150 < d < 170]
     got = season.cyclic_smooth(spark.createDataFrame(rows, "site_id long, DOY long, value double, n_years long"), "value", "n_years").collect()

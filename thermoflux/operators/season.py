@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,42 +30,51 @@ def circular_moving_mean(clim: DataFrame, x: str, half: int, site_col: str = "si
 def cyclic_smooth(clim: DataFrame, x: str, weight: str, harmonics: int = 12, site_col: str = "site_id", out: str = "smooth") -> DataFrame:
     """Penalised cyclic smooth of each site's climatology at all 366 days; the penalty (on curvature) is chosen by restricted likelihood.
 
-    A site has at most 366 rows here."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.dropna(subset=[x])
-        y, w, t = d[x].to_numpy(float), d[weight].to_numpy(float), d["DOY"].to_numpy(float)
-        every = np.arange(1, RING + 1)
-        k = np.arange(1, min(harmonics, max(1, (len(d) - 1) // 2)) + 1)
-
-        def basis(days: np.ndarray) -> np.ndarray:
-            a = 2 * np.pi * np.outer(days, k) / RING
-            return np.concatenate([np.ones((len(days), 1)), np.cos(a), np.sin(a)], axis=1)
-
-        if not len(y) or np.std(y) < 1e-10:
-            value = np.full(RING, y.mean() if len(y) else np.nan)
-        else:
-            b, pen = basis(t), np.concatenate([[0.0], k**4, k**4]).astype(float)
-            xtx, xty, yty = b.T @ (b * w[:, None]), b.T @ (w * y), (w * y * y).sum()
-            best = None
-            for lam in np.logspace(-6, 6, 49):
-                m = xtx + np.diag(lam * pen)
-                coef = np.linalg.solve(m, xty)
-                rss = yty - coef @ xty
-                score = (len(y) - 1) * np.log(max(rss, 1e-300)) + np.linalg.slogdet(m)[1] - len(pen[1:]) * np.log(lam)
-                if best is None or score < best[0]:
-                    best = (score, coef)
-            value = basis(every) @ best[1]
-        return pd.DataFrame({site_col: pdf[site_col].iloc[0], "DOY": every, out: value})
+    The normal equations need only sums: a product of two harmonics is a sum of harmonics, so the weighted sums of cos and sin up to twice the order
+    hold the whole matrix. Spark aggregates them, and the grid of penalties is solved on one row a site."""
+    angle = F.col("DOY") * (2 * np.pi / RING)
+    w, y = F.col(weight), F.col(x)
+
+    def sums(value: Column, order: int) -> list[Column]:
+        return [F.array(*[F.sum(value * f(angle * k)) for k in range(order + 1)]) for f in (F.cos, F.sin)]
+
+    d = clim.dropna(subset=[x])
+    g = d.groupBy(site_col).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("sd"), F.sum(w * y * y).alias("yy"),
+        *[c.alias(f"_{n}") for n, c in zip(("c", "s", "yc", "ys"), [*sums(w, 2 * harmonics), *sums(w * y, harmonics)], strict=True)],
+    )
+
+    def solve(n: int, mean: float, sd: float, yy: float, c: np.ndarray, s: np.ndarray, yc: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        if sd < 1e-10:
+            return np.full(RING, mean)
+        k = np.arange(1, min(harmonics, max(1, (n - 1) // 2)) + 1)
+        add, gap = k[:, None] + k[None, :], k[None, :] - k[:, None]
+        cos_cos, sin_sin, cos_sin = (c[np.abs(gap)] + c[add]) / 2, (c[np.abs(gap)] - c[add]) / 2, (s[add] + np.sign(gap) * s[np.abs(gap)]) / 2
+        gram = np.block([[c[:1, None], c[None, k], s[None, k]], [c[k, None], cos_cos, cos_sin], [s[k, None], cos_sin.T, sin_sin]])
+        xty = np.concatenate([yc[:1], yc[k], ys[k]])
+        pen = np.concatenate([[0.0], k**4, k**4]).astype(float)
+        best = None
+        for lam in np.logspace(-6, 6, 49):
+            m = gram + np.diag(lam * pen)
+            coef = np.linalg.solve(m, xty)
+            score = (n - 1) * np.log(max(yy - coef @ xty, 1e-300)) + np.linalg.slogdet(m)[1] - len(pen[1:]) * np.log(lam)
+            if best is None or score < best[0]:
+                best = (score, coef)
+        a = 2 * np.pi * np.outer(np.arange(1, RING + 1), k) / RING
+        return np.concatenate([np.ones((RING, 1)), np.cos(a), np.sin(a)], axis=1) @ best[1]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for i in range(len(p)):
+                row = p.iloc[i]
+                value = solve(int(row["n"]), row["m"], row["sd"], row["yy"], *[np.asarray(row[c]) for c in ("_c", "_s", "_yc", "_ys")])
+                yield pd.DataFrame({site_col: [row[site_col]] * RING, "DOY": np.arange(1, RING + 1), out: value})
 
     kind = clim.schema[site_col].dataType.simpleString()
-    return clim.select(site_col, "DOY", x, weight).groupBy(site_col).applyInPandas(
-        lambda pdf: fit(pdf),
-        f"`{site_col}` {kind}, DOY long, `{out}` double",
-    )
+    return g.mapInPandas(work, f"`{site_col}` {kind}, DOY long, `{out}` double")
 
 
-def active_season(
+def season_report(
     df: DataFrame,
     south: Column | None = None,
     smooth: str = "cyclic",
@@ -73,78 +84,61 @@ def active_season(
     min_days: int = 180,
     site_col: str = "site_id",
 ) -> DataFrame:
-    """(site, gStart, gEnd, trimmed_days) of sites with enough days of night flux and temperature.
+    """A row for each site: site, status (ok, skipped), reason, gStart, gEnd, trimmed_days, offStart, offEnd, temperature_source (soil, air), flux_days,
+    temperature_days, nee_threshold.
 
     Climatologies give every year one value a day; soil temperature is used where it covers ``min_days`` days, else air temperature. A day is
-    active if the smoothed night flux exceeds min + ``fraction`` * range and the smoothed temperature exceeds ``warm``. Southern
+    active if the smoothed night flux exceeds min + ``fraction`` * range and the smoothed temperature exceeds ``warm``; the coldest run of inactive
+    days on the ring is the off-season (null if all days are active). A site is skipped, with a reason, for too few days of either or no active day. Southern
     sites (``south``, a condition on the site) are put on the axis 183..548. DOY of ``df`` is the calendar's."""
     flux = two_level_climatology(df.filter("NIGHT = 1 AND QC = 0"), "NEE", site_col)
     soil, air = two_level_climatology(df, "TS", site_col), two_level_climatology(df, "TA", site_col)
-
-    def enough(c: DataFrame, name: str) -> DataFrame:
-        return c.groupBy(site_col).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) >= min_days).select(site_col)
-
     # a row a site and day: written once, since every step below reads them again
     flux, soil, air = stored(flux, "flux-days"), stored(soil, "soil-days"), stored(air, "air-days")
-    soil_sites = enough(soil, "_k")
-    temp = soil.join(soil_sites, site_col, "left_semi").unionByName(air.join(soil_sites, site_col, "left_anti"))
-    sites = enough(flux, "_k").join(enough(temp, "_k"), site_col)
+    sites = df.select(site_col).distinct()
+    for c, name in ((flux, "flux_days"), (soil, "_soil"), (air, "_air")):
+        sites = sites.join(c.groupBy(site_col).agg(F.count(F.lit(1)).alias(name)), site_col, "left")
+    zero = F.lit(0).cast("long")
+    by_soil = F.coalesce("_soil", zero) >= min_days
+    sites = sites.select(
+        site_col,
+        F.coalesce("flux_days", zero).alias("flux_days"),
+        F.when(by_soil, F.col("_soil")).otherwise(F.coalesce("_air", zero)).alias("temperature_days"),
+        F.when(by_soil, "soil").otherwise("air").alias("temperature_source"),
+    )
+    sites = stored(sites, "site-days")
+    enough = sites.filter((F.col("flux_days") >= min_days) & (F.col("temperature_days") >= min_days)).select(site_col, "temperature_source")
+    temp = soil.join(enough.filter("temperature_source = 'soil'"), site_col, "left_semi").unionByName(air.join(enough.filter("temperature_source = 'air'"), site_col, "left_semi"))
+    flux = flux.join(enough, site_col, "left_semi")
     if smooth == "cyclic":
         f, t = cyclic_smooth(flux, "value", "n_years", site_col=site_col, out="flux"), cyclic_smooth(temp, "value", "n_years", site_col=site_col, out="temp")
     else:
         f, t = circular_moving_mean(flux, "value", half, site_col, "flux"), circular_moving_mean(temp, "value", half, site_col, "temp")
-    days = stored(f.join(t, [site_col, "DOY"]).join(sites, site_col, "left_semi"), "smooth-days")
-    limits = days.groupBy(site_col).agg((F.min("flux") + fraction * (F.max("flux") - F.min("flux"))).alias("_limit"))
-    days = days.join(limits, site_col).withColumn("active", (F.col("flux") > F.col("_limit")) & (F.col("temp") > warm))
+    days = stored(f.join(t, [site_col, "DOY"]), "smooth-days")
+    limits = days.groupBy(site_col).agg((F.min("flux") + fraction * (F.max("flux") - F.min("flux"))).alias("nee_threshold"))
+    days = days.join(limits, site_col).withColumn("active", (F.col("flux") > F.col("nee_threshold")) & (F.col("temp") > warm))
     if south is not None:
         days = days.withColumn("DOY", F.when(south & (F.col("DOY") < 183), F.col("DOY") + RING).otherwise(F.col("DOY")))
     some = days.groupBy(site_col).agg(F.bool_or("active").alias("_any")).filter("_any").select(site_col)
-    return circular_runs(stored(days.join(some, site_col, "left_semi"), "active-days"), "active", "temp", (site_col,))
-
-
-def season_status(
-    df: DataFrame,
-    min_days: int = 180,
-    fraction: float = 0.2,
-    warm: float = 2.0,
-    half: int = 15,
-    site_col: str = "site_id",
-) -> DataFrame:
-    """(site, flux_days, temperature_days, reason): why ``active_season`` gives a site no season; null where it gives one.
-
-    Smoothing is the circular moving mean here, so that a reason does not depend on a fit."""
-    flux = stored(two_level_climatology(df.filter("NIGHT = 1 AND QC = 0"), "NEE", site_col), "flux-days")
-    soil, air = (stored(two_level_climatology(df, c, site_col), "temperature-days") for c in ("TS", "TA"))
-
-    def days(c: DataFrame, name: str) -> DataFrame:
-        return c.groupBy(site_col).agg(F.count(F.lit(1)).alias(name))
-
-    out = df.select(site_col).distinct()
-    for c, name in ((flux, "flux_days"), (soil, "_soil"), (air, "_air")):
-        out = out.join(days(c, name), site_col, "left")
-    zero = F.lit(0)
-    by_soil = F.coalesce("_soil", zero) >= min_days
-    out = out.select(
-        site_col,
-        F.coalesce("flux_days", zero).alias("flux_days"),
-        F.when(by_soil, F.col("_soil")).otherwise(F.coalesce("_air", zero)).alias("temperature_days"),
-        by_soil.alias("_by_soil"),
-    )
-    out = stored(out, "site-days")
-    temp = soil.join(out.filter("_by_soil"), site_col, "left_semi").unionByName(air.join(out.filter("NOT _by_soil"), site_col, "left_semi"))
-    smooth = circular_moving_mean(flux, "value", half, site_col, "flux").join(
-        circular_moving_mean(temp, "value", half, site_col, "temp"),
-        [site_col, "DOY"],
-    )
-    smooth = stored(smooth, "smooth-days")
-    limit = smooth.groupBy(site_col).agg((F.min("flux") + fraction * (F.max("flux") - F.min("flux"))).alias("_limit"))
-    some = smooth.join(limit, site_col).groupBy(site_col).agg(F.bool_or((F.col("flux") > F.col("_limit")) & (F.col("temp") > warm)).alias("_some"))
+    runs = circular_runs(stored(days.join(some, site_col, "left_semi"), "active-days"), "active", "temp", (site_col,))
     reason = (
         F.when(F.col("flux_days") < min_days, "too few days of night flux")
         .when(F.col("temperature_days") < min_days, "too few days of temperature")
-        .when(~F.coalesce("_some", F.lit(False)), "no active day")
+        .when(F.col("gStart").isNull(), "no active day")
     )
-    return out.join(some, site_col, "left").select(site_col, "flux_days", "temperature_days", reason.alias("reason"))
+    out = sites.join(limits, site_col, "left").join(runs, site_col, "left").withColumn("reason", reason)
+    status = F.when(F.col("reason").isNull(), "ok").otherwise("skipped").alias("status")
+    return out.select(site_col, status, "reason", "gStart", "gEnd", "trimmed_days", "offStart", "offEnd", "temperature_source", "flux_days", "temperature_days", "nee_threshold")
+
+
+def active_season(df: DataFrame, south: Column | None = None, site_col: str = "site_id", **options) -> DataFrame:
+    """(site, gStart, gEnd, trimmed_days) of the sites that ``season_report`` gives a season."""
+    return season_report(df, south, site_col=site_col, **options).filter("status = 'ok'").select(site_col, "gStart", "gEnd", "trimmed_days")
+
+
+def season_status(df: DataFrame, site_col: str = "site_id", **options) -> DataFrame:
+    """(site, flux_days, temperature_days, reason): why ``active_season`` gives a site no season, from the same smooth; null where it gives one."""
+    return season_report(df, site_col=site_col, **options).select(site_col, "flux_days", "temperature_days", "reason")
 
 
 def season_by_uptake(clim: DataFrame, fraction: float = 0.2, nth: int = 7, margin: int = 4, site_col: str = "site_id") -> DataFrame:

@@ -124,10 +124,10 @@ def candidate_years(df: DataFrame, n: str, x: str, by: tuple[str, ...] = ("site_
 
 
 def circular_runs(days: DataFrame, active: str, temperature: str, by: tuple[str, ...] = ("site_id",)) -> DataFrame:
-    """Active season on a ring of days: (by, gStart, gEnd, trimmed_days).
+    """Active season on a ring of days: (by, gStart, gEnd, trimmed_days, offStart, offEnd).
 
     Runs of inactive days are found on the ring (those at both ends of the axis are one); the coldest on average is the off-season, all
-    other days are active. Of the up to two active pieces of the axis the longer stays; the days of the other are trimmed."""
+    other days are active. Of the up to two active pieces of the axis the longer stays; the days of the other are trimmed. The off-season's ends are in the order of the ring (null where there is none)."""
     w = Window.partitionBy(*by).orderBy("DOY")
     d = days.withColumn(
         "_run",
@@ -147,6 +147,8 @@ def circular_runs(days: DataFrame, active: str, temperature: str, by: tuple[str,
     off = d.filter(~F.col(active)).groupBy(*by, "_ring").agg(F.avg(temperature).alias("_t"), F.min("DOY").alias("_d"))
     off = pick_first(off, list(by), ["_t", "_d"]).select(*by, F.col("_ring").alias("_off"))
     d = d.join(off, list(by), "left").withColumn("_on", F.col(active) | F.col("_off").isNull() | (F.col("_ring") != F.col("_off")))
+    # a run over the end of the axis begins with its last part and ends with its first
+    edges = d.filter(~F.col("_on")).groupBy(*by, "_run").agg(F.min("DOY").alias("_a"), F.max("DOY").alias("_b")).groupBy(*by).agg(F.max_by("_a", "_run").alias("offStart"), F.min_by("_b", "_run").alias("offEnd"))
     piece = F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w.rowsBetween(_START, 0))
     pieces = d.withColumn("_piece", piece).filter("_on").groupBy(*by, "_piece").agg(
         F.min("DOY").alias("gStart"),
@@ -155,4 +157,4 @@ def circular_runs(days: DataFrame, active: str, temperature: str, by: tuple[str,
     )
     total = pieces.groupBy(*by).agg(F.sum("_k").alias("_all"))
     best = pick_first(pieces, list(by), [F.desc("_k"), F.col("gStart")]).join(total, list(by))
-    return best.select(*by, "gStart", "gEnd", (F.col("_all") - F.col("_k")).alias("trimmed_days"))
+    return best.join(edges, list(by), "left").select(*by, "gStart", "gEnd", (F.col("_all") - F.col("_k")).alias("trimmed_days"), "offStart", "offEnd")

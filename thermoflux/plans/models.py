@@ -79,7 +79,7 @@ fc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(NEE
 tc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(TS) AS v FROM s WHERE TS IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
 fs AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS f FROM fc, range(-15, 16) t(k) GROUP BY 1, 2), ts AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS t FROM tc, range(-15, 16) t(k) GROUP BY 1, 2),
 lim AS (SELECT site_id, min(f) + 0.2::DOUBLE * (max(f) - min(f)) AS l FROM fs JOIN ts USING (site_id, DOY) GROUP BY 1),
-days AS (SELECT fs.site_id, fs.DOY, f > l AND t > 2 AS act, t FROM fs JOIN ts USING (site_id, DOY) JOIN lim USING (site_id)), {RING_SQL}""")
+days AS (SELECT fs.site_id, fs.DOY, f > l AND t > 2 AS act, t FROM fs JOIN ts USING (site_id, DOY) JOIN lim USING (site_id)), {RING_SQL} SELECT * FROM runs""")
 def m6a(spark, d):
     return season.active_season(_season_obs(spark, d), smooth="mean", half=15)
 
@@ -89,7 +89,8 @@ def m6(spark, d):
     return season.active_season(_season_obs(spark, d))
 
 
-@query("m6c_season_status", f"""WITH {MULTI}, s AS (SELECT site_id, YEAR, DOY, NEE + 40 * sin((DOY - 100) * 0.0172::DOUBLE) AS NEE, CASE WHEN site_id NOT IN (5, 6) THEN TS / 10 + CASE WHEN site_id = 7 THEN -90 ELSE 0 END END AS TS,
+#: Site 3 has days of one season only, 5 no temperature, 6 that of the air alone, 7 is frozen.
+_REPORT = f"""WITH {MULTI}, s AS (SELECT site_id, YEAR, DOY, NEE + 40 * sin((DOY - 100) * 0.0172::DOUBLE) AS NEE, CASE WHEN site_id NOT IN (5, 6) THEN TS / 10 + CASE WHEN site_id = 7 THEN -90 ELSE 0 END END AS TS,
  CASE WHEN site_id != 5 THEN TA END AS TA FROM obs WHERE site_id != 3 OR DOY < 100),
 fc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(NEE) AS v FROM s WHERE NEE IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
 sc AS (SELECT site_id, DOY, avg(v) AS v FROM (SELECT site_id, YEAR, DOY, avg(TS) AS v FROM s WHERE TS IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
@@ -99,15 +100,28 @@ n AS (SELECT x.site_id, coalesce(f.n, 0) AS nf, coalesce(t.n, 0) AS ns, coalesce
 tc AS (SELECT sc.* FROM sc JOIN n USING (site_id) WHERE ns >= 150 UNION ALL SELECT ac.* FROM ac JOIN n USING (site_id) WHERE ns < 150),
 fs AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS f FROM fc, range(-15, 16) t(k) GROUP BY 1, 2), ts AS (SELECT site_id, (DOY - 1 + k + 366) % 366 + 1 AS DOY, avg(v) AS t FROM tc, range(-15, 16) t(k) GROUP BY 1, 2),
 lim AS (SELECT site_id, min(f) + 0.2::DOUBLE * (max(f) - min(f)) AS l FROM fs JOIN ts USING (site_id, DOY) GROUP BY 1),
-so AS (SELECT site_id, bool_or(f > l AND t > 2) AS active FROM fs JOIN ts USING (site_id, DOY) JOIN lim USING (site_id) GROUP BY 1)
-SELECT n.site_id, nf AS flux_days, CASE WHEN ns >= 150 THEN ns ELSE na END AS temperature_days, CASE WHEN nf < 150 THEN 'too few days of night flux' WHEN CASE WHEN ns >= 150 THEN ns ELSE na END < 150 THEN 'too few days of temperature'
- WHEN NOT coalesce(active, false) THEN 'no active day' END AS reason FROM n LEFT JOIN so USING (site_id)""")
-def m6c(spark, d):
-    """Site 3 has days of one season only, 5 no temperature, 6 that of the air alone, 7 is frozen."""
+days AS (SELECT fs.site_id, fs.DOY, f > l AND t > 2 AS act, t FROM fs JOIN ts USING (site_id, DOY) JOIN lim USING (site_id) JOIN n USING (site_id)
+ WHERE nf >= 150 AND CASE WHEN ns >= 150 THEN ns ELSE na END >= 150 QUALIFY bool_or(f > l AND t > 2) OVER (PARTITION BY fs.site_id)), {RING_SQL},
+rep AS (SELECT n.site_id, nf AS flux_days, CASE WHEN ns >= 150 THEN ns ELSE na END AS temperature_days, CASE WHEN ns >= 150 THEN 'soil' ELSE 'air' END AS temperature_source,
+ CASE WHEN nf < 150 THEN 'too few days of night flux' WHEN CASE WHEN ns >= 150 THEN ns ELSE na END < 150 THEN 'too few days of temperature' WHEN gStart IS NULL THEN 'no active day' END AS reason,
+ gStart, gEnd, trimmed_days, offStart, offEnd, CASE WHEN nf >= 150 AND CASE WHEN ns >= 150 THEN ns ELSE na END >= 150 THEN round(l, 6) END AS nee_threshold
+ FROM n LEFT JOIN lim USING (site_id) LEFT JOIN runs USING (site_id) LEFT JOIN ed USING (site_id))"""
+
+
+def _report_obs(spark, d):
     obs = _season_obs(spark, d).filter("site_id <> 3 OR DOY < 100")
     ts = F.when(~F.col("site_id").isin(5, 6), F.col("TS") - 12 * F.sin((F.col("DOY") - 100) * 0.0172) - F.when(F.col("site_id") == 7, 90).otherwise(0))
-    obs = obs.withColumns({"TS": ts, "TA": F.when(F.col("site_id") != 5, F.col("TA"))})
-    return season.season_status(obs, min_days=150)
+    return obs.withColumns({"TS": ts, "TA": F.when(F.col("site_id") != 5, F.col("TA"))})
+
+
+@query("m6c_season_status", f"{_REPORT} SELECT site_id, flux_days, temperature_days, reason FROM rep")
+def m6c(spark, d):
+    return season.season_status(_report_obs(spark, d), min_days=150, smooth="mean")
+
+
+@query("m6d_season_report", f"{_REPORT} SELECT site_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'skipped' END AS status, reason, gStart, gEnd, trimmed_days, offStart, offEnd, temperature_source, flux_days, temperature_days, nee_threshold FROM rep")
+def m6d(spark, d):
+    return rounded(season.season_report(_report_obs(spark, d), min_days=150, smooth="mean"), "nee_threshold")
 
 
 @query("m6b_season_by_uptake", f"""WITH {MULTI}, c AS (SELECT site_id, DOY, avg(NEE) - 30 AS v, avg(TS) - 20 AS t FROM obs GROUP BY 1, 2), l AS (SELECT site_id, min(v) * 0.2::DOUBLE AS cut, min(DOY) FILTER (WHERE t >= 0) AS thaw FROM c GROUP BY 1),

@@ -118,11 +118,13 @@ off AS (SELECT site_id, na % greatest(nall, 1) AS run, avg(t) AS mt, min(DOY) AS
 cold AS (SELECT site_id, run FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY mt, d0) AS k FROM off) WHERE k = 1),
 onn AS (SELECT r0.site_id, DOY, act OR c.run IS NULL OR na % greatest(nall, 1) != c.run AS o FROM r0 LEFT JOIN cold c ON r0.site_id = c.site_id),
 pc AS (SELECT site_id, DOY, o, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY site_id ORDER BY DOY ROWS UNBOUNDED PRECEDING) AS p FROM onn),
-pp AS (SELECT site_id, p, min(DOY) AS a, max(DOY) AS b, count(*) AS k FROM pc WHERE o GROUP BY 1, 2)
-SELECT site_id, a AS gStart, b AS gEnd, (tot - k)::BIGINT AS trimmed_days FROM (SELECT *, sum(k) OVER (PARTITION BY site_id) AS tot, row_number() OVER (PARTITION BY site_id ORDER BY k DESC, a) AS r FROM pp) WHERE r = 1"""
+ed AS (SELECT r0.site_id, min(DOY) FILTER (WHERE na = hi) AS offStart, max(DOY) FILTER (WHERE na = lo) AS offEnd FROM r0 JOIN cold c ON r0.site_id = c.site_id AND na % greatest(nall, 1) = c.run
+ JOIN (SELECT r0.site_id, max(na) AS hi, min(na) AS lo FROM r0 JOIN cold c ON r0.site_id = c.site_id AND na % greatest(nall, 1) = c.run WHERE NOT act GROUP BY 1) x ON x.site_id = r0.site_id WHERE NOT act GROUP BY 1),
+pp AS (SELECT site_id, p, min(DOY) AS a, max(DOY) AS b, count(*) AS k FROM pc WHERE o GROUP BY 1, 2),
+runs AS (SELECT site_id, a AS gStart, b AS gEnd, (tot - k)::BIGINT AS trimmed_days FROM (SELECT *, sum(k) OVER (PARTITION BY site_id) AS tot, row_number() OVER (PARTITION BY site_id ORDER BY k DESC, a) AS r FROM pp) WHERE r = 1)"""
 
 
-@query("w14_circular_runs", f"WITH {MULTI}, days AS (SELECT site_id, DOY, avg(TA) > 21 AND DOY BETWEEN 20 + site_id * 8 AND 340 AS act, avg(TA) AS t FROM obs GROUP BY 1, 2), {RING_SQL}")
+@query("w14_circular_runs", f"WITH {MULTI}, days AS (SELECT site_id, DOY, avg(TA) > 21 AND DOY BETWEEN 20 + site_id * 8 AND 340 AS act, avg(TA) AS t FROM obs GROUP BY 1, 2), {RING_SQL} SELECT site_id, gStart, gEnd, trimmed_days, offStart, offEnd FROM runs LEFT JOIN ed USING (site_id)")
 def w14(spark, d):
     days = obs_multi(spark, d).groupBy("site_id", "DOY").agg(F.avg("TA").alias("t"))
     days = days.withColumn("act", (F.col("t") > 21) & F.col("DOY").between(20 + F.col("site_id") * 8, 340))
