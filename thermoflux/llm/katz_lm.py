@@ -13,6 +13,8 @@ Words travel as 64-bit hashes, those among the broadcast ones as their places; t
    first pass their word's bucket, which adds the count. Hot contexts (all of them broadcast words) are spread over buckets by word.
 3. A context bucket counts its bigrams over the training texts, and scores every occurrence as far as it can: all but the bigram discounts, of
    which it keeps the numbers a document needs, and the backoff weights, of which it keeps the sums. Counts of counts go along.
+   Beyond ``COARSE`` buckets a task packs by coarse groups of buckets, and a second shuffle (``_spread``) packs each group anew by bucket, so a blob
+   holds some 64 occurrences at least, however many buckets there are.
 4. With the bigram discounts known, the backoff weights are resolved by context and everything is summed by document.
 
 The order is 2: a third word would need either every occurrence routed a second time, by its two-word context, or the contexts with a frequent
@@ -43,6 +45,8 @@ KNOWN = 1 << 18
 #: Occurrences in one packed chunk of a task, and (about) in one bucket.
 CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 1_200_000
 LEAST_BUCKETS = 64
+#: Buckets that a chunk is packed into at most; with more, buckets are dealt out in two steps.
+COARSE = CHUNK_TOKENS // 64
 START, END = U64(1), U64(2)
 
 
@@ -216,13 +220,45 @@ _CONTEXT, _WORD, _PART, _BACKOFF, _STATS = range(5)
 _SUMS = 2 + K
 
 
+def _spread(packed: DataFrame, buckets: int, split) -> DataFrame:
+    """Blobs of coarse groups packed anew by bucket, where there are more buckets than groups. ``split(rows)`` packs many unpacked rows (kind, columns)."""
+    if buckets <= COARSE:
+        return packed
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+
+        def out(kind: int) -> pa.RecordBatch | None:
+            rows = split(kind, held.pop(kind))
+            size[kind] = 0
+            return _batch(*map(list, zip(*rows, strict=True))) if rows else None
+
+        for b in batches:
+            for kind, blob in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                held.setdefault(kind, []).append(blob.as_py())
+                size[kind] = size.get(kind, 0) + len(blob.as_buffer())
+                if size[kind] >= 16 * CHUNK_TOKENS:  # packed bytes of about a chunk
+                    yield from filter(None, [out(kind)])
+        for kind in list(held):
+            yield from filter(None, [out(kind)])
+
+    return packed.repartition(min(COARSE, 4096), "bucket").mapInArrow(work, _PACKED)
+
+
 def count_unigrams(docs: DataFrame, buckets: int) -> Unigrams:
+    def counted(word: np.ndarray, n: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
+        return [(_WORD, k, pack(word[at], narrow(n[at]))) for k, at in _by_bucket((mix(word) % U64(buckets)).astype(int) % groups, groups)]
+
+    def again(_: int, blobs: list[bytes]) -> list[tuple[int, int, bytes]]:
+        word, n = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+        return counted(word, n, buckets)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _, w, _ in _chunks(batches):
             if t:
                 word, n = np.unique(w, return_counts=True)
-                rows = [(k, pack(word[at], narrow(n[at]))) for k, at in _by_bucket((mix(word) % U64(buckets)).astype(int), buckets)]
-                yield _batch([_WORD] * len(rows), [r[0] for r in rows], [r[1] for r in rows])
+                yield _batch(*map(list, zip(*counted(word, n, min(buckets, COARSE)), strict=True)))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(x) for x in pdf["blob"]]
@@ -237,7 +273,7 @@ def count_unigrams(docs: DataFrame, buckets: int) -> Unigrams:
 
     # one row a frequent word; the first row of a bucket holds its sums
     got = staged(
-        docs.mapInArrow(emit, _PACKED).groupBy("bucket").applyInPandas(lambda pdf: add(pdf), "sums array<long>, word long, n long"),
+        _spread(docs.mapInArrow(emit, _PACKED), buckets, again).groupBy("bucket").applyInPandas(lambda pdf: add(pdf), "sums array<long>, word long, n long"),
         "unigrams",
     )
     nums = got.filter("sums IS NOT NULL").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
@@ -263,6 +299,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, int(size // 6 // BUCKET_TOKENS) + 1)
+    coarse = min(buckets, COARSE)
     uni = count_unigrams(rows, buckets)
     # contexts that would fill more than a quarter of a bucket are spread by word
     hot = np.append(uni.known[uni.known_count > uni.total / (4 * buckets)], START)
@@ -272,12 +309,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
         return (mix(np.where(hot[at] == v, v ^ mix(w), v)) % U64(buckets)).astype(int)
 
-    def contexts(v, w, c, doc, t, hot, known) -> list[tuple[int, int, bytes]]:
-        return [(_CONTEXT, k, pack_occurrences(v[at], w[at], c[at], doc[at], t, known)) for k, at in _by_bucket(context_bucket(v, w, hot), buckets)]
+    def contexts(v, w, c, doc, t, hot, known, groups: int = coarse) -> list[tuple[int, int, bytes]]:
+        return [(_CONTEXT, k, pack_occurrences(v[at], w[at], c[at], doc[at], t, known)) for k, at in _by_bucket(context_bucket(v, w, hot) % groups, groups)]
 
-    def parts(doc: np.ndarray, *sums: np.ndarray) -> list[tuple[int, int, bytes]]:
+    def rare_words(w, v, doc, t, known, groups: int = coarse) -> list[tuple[int, int, bytes]]:
+        """Packed with word and context exchanged: the word is the key there."""
+        zero = np.zeros(len(w), "u1")
+        return [(_WORD, k, pack_occurrences(w[at], v[at], zero[at], doc[at], t, known)) for k, at in _by_bucket((mix(w) % U64(buckets)).astype(int) % groups, groups)]
+
+    def parts(doc: np.ndarray, *sums: np.ndarray, groups: int = coarse) -> list[tuple[int, int, bytes]]:
         """Sums (n_tokens, n_known, base, score, numbers of discounted bigrams) of documents, packed by document group."""
-        return [(_PART, k, pack(doc[at], *[narrow(s[at]) if s.dtype.kind in "iu" else s[at] for s in sums])) for k, at in _by_bucket((mix(doc.view("u8")) % U64(buckets)).astype(int), buckets)]
+        own = _by_bucket((mix(doc.view("u8")) % U64(buckets)).astype(int) % groups, groups)
+        return [(_PART, k, pack(doc[at], *[narrow(s[at]) if s.dtype.kind in "iu" else s[at] for s in sums])) for k, at in own]
+
+    def again(kind: int, blobs: list[bytes]) -> list[tuple[int, int, bytes]]:
+        """Blobs of coarse groups packed by bucket."""
+        uni, hot = shared.value
+        if kind == _PART:
+            ids, n, known, base, lin, *by = summed(blobs)
+            return parts(ids, n.astype("i8"), known.astype("i8"), base, lin, *[x.astype("i8") for x in by], groups=buckets)
+        v, w, c, doc, t = map(np.concatenate, zip(*[unpack_occurrences(x, uni.known) for x in blobs], strict=True))
+        out = []
+        for flag in (True, False):
+            own = np.flatnonzero(t == flag)
+            if len(own):
+                out += rare_words(v[own], w[own], doc[own], flag, uni.known, buckets) if kind == _WORD else contexts(v[own], w[own], c[own], doc[own], flag, hot, uni.known, buckets)
+        return out
+
+    def summed(blobs) -> list[np.ndarray]:
+        """Documents and their sums over packed parts."""
+        cols = [np.concatenate(x) for x in zip(*[unpack(b) for b in blobs], strict=True)]
+        ids, back = np.unique(cols[0], return_inverse=True)
+        return [ids, *[np.bincount(back, weights=x.astype(float)) for x in cols[1:]]]
 
     def base_parts(doc: np.ndarray, c: np.ndarray) -> list[tuple[int, int, bytes]]:
         ids, back = np.unique(doc, return_inverse=True)
@@ -296,10 +359,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         uni, _ = shared.value
         for t, v, w, doc in _chunks(batches):
             rare = ~uni.look(w)[0]
-            v, w, doc = v[rare], w[rare], doc[rare]
-            zero = np.zeros(len(w), "u1")
-            # packed with word and context exchanged: the word is the key there
-            out = [(_WORD, k, pack_occurrences(w[at], v[at], zero[at], doc[at], t, uni.known)) for k, at in _by_bucket((mix(w) % U64(buckets)).astype(int), buckets)]
+            out = rare_words(w[rare], v[rare], doc[rare], t, uni.known)
             if out:
                 yield _batch(*map(list, zip(*out, strict=True)))
 
@@ -323,14 +383,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         return pd.DataFrame(out, columns=["kind", "bucket", "blob"])
 
     # the texts are read once for the rare words and once for the others: cheaper than keeping all occurrences
-    more = rows.mapInArrow(emit_rare, _PACKED).groupBy("bucket").applyInPandas(lambda pdf: add_counts(pdf), _PACKED)
-    packed = rows.mapInArrow(emit_known, _PACKED).unionByName(more)
-
-    def summed(blobs: pd.Series) -> list[np.ndarray]:
-        """Documents and their sums over packed parts."""
-        cols = [np.concatenate(x) for x in zip(*[unpack(b) for b in blobs], strict=True)]
-        ids, back = np.unique(cols[0], return_inverse=True)
-        return [ids, *[np.bincount(back, weights=x.astype(float)) for x in cols[1:]]]
+    more = _spread(rows.mapInArrow(emit_rare, _PACKED), buckets, again).groupBy("bucket").applyInPandas(lambda pdf: add_counts(pdf), _PACKED)
+    packed = _spread(rows.mapInArrow(emit_known, _PACKED).unionByName(more), buckets, again)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["kind"].iloc[0] == _PART:
@@ -438,9 +492,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         return pd.DataFrame({"doc": ids, "n_tokens": n.astype("i8"), "n_known": known.astype("i8"), "base_score": base, "score": lin})
 
     uni_total = uni.total + 0.5 * (uni.types + 1)
-    every = counted.filter(F.col("kind") == _PART).select("bucket", "blob")
-    every = every.unionByName(backoff.mapInArrow(back_off, _PACKED).select("bucket", "blob"))
-    out = every.groupBy("bucket").applyInPandas(lambda pdf: total(pdf), "doc long, n_tokens long, n_known long, base_score double, score double")
+    every = counted.filter(F.col("kind") == _PART).unionByName(backoff.mapInArrow(back_off, _PACKED))
+    out = _spread(every, buckets, again).select("bucket", "blob").groupBy("bucket").applyInPandas(lambda pdf: total(pdf), "doc long, n_tokens long, n_known long, base_score double, score double")
     columns = ["n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score"]
     if integral:
         kind = docs.schema[id_col].dataType
