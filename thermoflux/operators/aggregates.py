@@ -52,17 +52,24 @@ def season_mean_ts(df: DataFrame, start: Column, end: Column, by: tuple[str, ...
     return own.filter("mean_TS IS NOT NULL AND NOT isnan(mean_TS)")
 
 
-def night_coverage(ac: DataFrame, nights: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
-    """For each day: unknown_daytime, has_night (unknown counts as night), observed (a flux of that night is there), is_gap."""
-    keys = [*by, "DOY"]
-    days = ac.groupBy(*keys).agg(
-        (F.count("daytime") == 0).alias("unknown_daytime"),
-        F.coalesce(F.bool_or(~F.col("daytime")), F.lit(False)).alias("_night"),
-    )
-    seen = nights.groupBy(*keys).agg((F.count("NEE") > 0).alias("_seen"))
-    out = days.join(seen, keys, "left")
-    out = out.select(
-        *keys,
+def day_light(ac: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
+    """One row a day: unknown_daytime, _night (some row is known as night), and _sum, _known, _rows of TS."""
+    return ac.groupBy(*by, "DOY").agg(
+        (F.count("daytime") == 0).alias("unknown_daytime"), F.coalesce(F.bool_or(~F.col("daytime")), F.lit(False)).alias("_night"),
+        *([F.sum("TS").alias("_sum"), F.count("TS").alias("_known"), F.count(F.lit(1)).alias("_rows")] if "TS" in ac.columns else []),
+    )
+
+
+def nights_seen(nights: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
+    """One row a day of the nights: _seen, whether a flux is there."""
+    return nights.groupBy(*by, "DOY").agg((F.count("NEE") > 0).alias("_seen"))
+
+
+def night_status(days: DataFrame, seen: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
+    """``night_coverage`` from the days of ``day_light`` and ``nights_seen``."""
+    out = days.join(seen, [*by, "DOY"], "left").select(
+        *by,
+        "DOY",
         "unknown_daytime",
         (F.col("unknown_daytime") | F.col("_night")).alias("has_night"),
         F.coalesce("_seen", F.lit(False)).alias("observed"),
@@ -70,6 +77,11 @@ def night_coverage(ac: DataFrame, nights: DataFrame, by: tuple[str, ...] = ("sit
     return out.withColumn("is_gap", F.col("has_night") & ~F.col("observed"))
 
 
+def night_coverage(ac: DataFrame, nights: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
+    """For each day: unknown_daytime, has_night (unknown counts as night), observed (a flux of that night is there), is_gap."""
+    return night_status(day_light(ac, by), nights_seen(nights, by), by)
+
+
 def coverage_summary(status: DataFrame, by: tuple[str, ...] = ("site_id", "growing_year")) -> DataFrame:
     def n(c: Column) -> Column:
         return F.count(F.when(c, 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermoflux.operators.aggregates import coverage_summary, gap_runs, gap_summary, night_coverage, season_mean_ts
+from thermoflux.operators.aggregates import coverage_summary, day_light, gap_runs, gap_summary, night_status, nights_seen
 from thermoflux.operators.windows import average_rank, pick_first
 from thermoflux.sources.io import stored
 
@@ -20,13 +20,14 @@ def yearly_table(ac: DataFrame, nights: DataFrame, seasons: DataFrame) -> DataFr
     """One row a site and year with a complete temperature in both tables: mean_TS, coverage and gaps, the three ranks and their sum.
 
     ``ac``: site_id, growing_year, DOY, TS, daytime; ``nights``: site_id, growing_year, DOY, NEE; ``seasons``: site_id, gStart, gEnd."""
-    s = stored(seasons.select("site_id", "gStart", "gEnd"), "seasons")
-    ac, nights = stored(ac.select(*KEYS, "DOY", "TS", "daytime"), "all-rows"), stored(nights.select(*KEYS, "DOY", "NEE"), "night-rows")
-    years = ac.select(*KEYS).intersect(nights.select(*KEYS))
-    ac = ac.join(s, "site_id").filter(F.col("DOY").between(F.col("gStart"), F.col("gEnd"))).join(years, list(KEYS), "left_semi")
-    nights = nights.join(s, "site_id").filter(F.col("DOY").between(F.col("gStart"), F.col("gEnd")))
-    temp = season_mean_ts(ac, F.col("gStart"), F.col("gEnd"))
-    status = stored(night_coverage(ac, nights), "status")
+    # one pass over either table leaves a row a day, from which all else follows
+    days = stored(day_light(ac.select(*KEYS, "DOY", "TS", "daytime")), "days")
+    seen = stored(nights_seen(nights.select(*KEYS, "DOY", "NEE")), "night-days")
+    years = days.select(*KEYS).distinct().join(seen.select(*KEYS).distinct(), list(KEYS), "left_semi")
+    s = seasons.select("site_id", "gStart", "gEnd")
+    own = days.join(s, "site_id").filter(F.col("DOY").between(F.col("gStart"), F.col("gEnd"))).join(years, list(KEYS), "left_semi")
+    temp = own.groupBy(*KEYS).agg(F.when(F.sum("_known") == F.sum("_rows"), F.sum("_sum") / F.sum("_rows")).alias("mean_TS")).filter("mean_TS IS NOT NULL AND NOT isnan(mean_TS)")
+    status = stored(night_status(own, seen), "status")
     gaps = gap_summary(gap_runs(status))
     t = temp.join(coverage_summary(status), list(KEYS), "left").join(gaps, list(KEYS), "left")
     t = t.withColumns({
