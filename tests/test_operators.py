@@ -321,6 +321,20 @@ def test_stored_tables_are_removed_on_demand(spark):
     assert io.remove_stored(spark) >= 1 and not os.path.exists(os.path.dirname(path)) and io.remove_stored(spark) == 0
 
 
+def test_a_job_removes_its_own_tables_only(spark):
+    with io.Job() as outer:
+        mine = io.stored(spark.range(3), "outer")
+        with io.Job() as inner:
+            other = io.stored(spark.range(4), "inner")
+        also = io.stored(spark.range(5), "outer")
+    elsewhere = io.stored(spark.range(6), "session")
+    assert inner.remove(spark) == 1 and inner.remove(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        other.count()
+    assert mine.count() == 3 and also.count() == 5 and elsewhere.count() == 6
+    assert outer.remove(spark) == 2 and elsewhere.count() == 6
+
+
 def test_no_machine_local_folder_on_a_cluster(monkeypatch):
     class Cluster:
         conf = {}

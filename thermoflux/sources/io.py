@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,33 @@ SENTINELS = (-9999.0,)
 SENTINEL_TEXTS = ("NA", "NaN", "-9999", "-9999.0", "")
 
 
+class Job:
+    """The shared folders that the calls within ``with Job() as job:`` have made; ``job.remove(spark)`` removes these and no others, once no result
+    that reads them is needed. Jobs nest: a folder belongs to the innermost one. Folders made outside any job belong to the session's."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Job:
+        self._before = _job.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _job.reset(self._before)
+
+    def remove(self, spark: SparkSession) -> int:
+        """Returns how many folders there were."""
+        count = len(self.folders)
+        while self.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return count
+
+
+_session = Job()
+_job: ContextVar[Job] = ContextVar("job", default=_session)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,28 +50,21 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-#: Folders that ``stored`` has written and ``remove_stored`` not removed yet.
-_written: list[str] = []
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _job.get().folders.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for data that is read several times; cuts its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_stored(spark: SparkSession) -> int:
-    """Remove the tables that ``stored`` has written so far, once no result that reads them is needed; returns how many."""
-    count = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return count
+    """Remove the folders made outside any ``Job`` so far, once no result that reads them is needed; returns how many."""
+    return _session.remove(spark)
 
 
 def site_from_path(path: Column) -> Column:
