@@ -6,8 +6,11 @@ can lower its signature. Signatures are cut into bands; documents that share a b
 
 No pairs are emitted within a band group. Members with too many elements that no other candidate has can link with nothing and leave.
 Each group picks as leader its most central member (the least such elements), and every member is compared with it; links give
-components. Documents of groups that still span several components are joined across components on their rarest elements, with the
-prefix and position bounds of exact set-similarity joins. So every two candidates are compared, connected already, or proven to be no link.
+components. Documents of groups that still span several components are then compared in ``SWEEPS`` sweeps: those that share two
+bands, and so are more alike than most of the group, meet one of them drawn by hash, which connects most documents of one template in
+a few pairs a document. What is left is joined across components on its rarest elements, with the prefix and position bounds of exact
+set-similarity joins. Pairs of the sweeps and of that join are first held against parities of their sets, which bound the elements that
+only one of both has from below; only pairs that this leaves possible are verified. So every two candidates are compared, connected already, or proven to be no link.
 Equal sets are merged before banding, verification runs on the whole sets, and links are followed by star steps in Spark.
 
 Chances: the bands are as many as make a pair at the threshold escape all of them with probability ``MISS`` at most.
@@ -35,6 +38,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Values of a signature in one band; chance that a pair at the threshold escapes all bands.
 ROWS, MISS = 5, 1e-6
+#: Rounds over documents that share two bands, before the exact join.
+SWEEPS = 2
+#: Bits of a set's parities: bit i tells whether an odd number of elements hashes to i.
+PARITY_BITS = 2048
 #: Documents in one numpy pass; their number fills the top bits of the sort keys, a 52-bit shingle hash the rest.
 _DOCS = 4096
 _HASH_BITS = 52
@@ -195,6 +202,57 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("doc").alias("a"), F.col("o").alias("b")).distinct()
 
 
+def _parities(sets: DataFrame) -> DataFrame:
+    """(doc, n, parity) of each set: its size and, for each of PARITY_BITS hash values, whether it has an odd number of such elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, parity = [], []
+            for x in b.column(1):
+                own = np.frombuffer(x.as_buffer(), dtype=U64)
+                odd = np.bincount((mix(own) % U64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+                n.append(len(own))
+                parity.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(parity, pa.binary())], ["doc", "n", "parity"])
+
+    return sets.select("doc", "elements").mapInArrow(run, "doc long, n long, parity binary")
+
+
+def _possible(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may reach the similarity: bits in which the parities differ are at most the elements that one of both has
+    and the other has not, so (n + m - bits) / 2 elements are shared at most. No link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = b.column(2).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(b.num_rows, PARITY_BITS // 64) for i in (3, 4))
+            bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = (both - bits) * (100 + percent) >= 2 * percent * both
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = parities.select(F.col("doc").alias("a"), F.col("n"), F.col("parity").alias("x"))
+    right = parities.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n") + F.col("m")).alias("both"), "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _sweep_pairs(live: DataFrame, reps: DataFrame, step: int) -> DataFrame:
+    """Pairs (a, b) of different components: of the documents that share a band and the one ``step`` after it, each with one drawn by hash."""
+    twice = F.expr(f"transform(bands, (x, i) -> xxhash64(x, bands[(i + {step}) % size(bands)]))")
+    each = live.join(reps.select("doc", "bands"), "doc").select("doc", "c", F.explode(twice).alias("g"))
+    drawn = F.struct(F.xxhash64("g", "doc"), F.col("doc").alias("o"), F.col("c").alias("oc"))
+    lead = each.groupBy("g").agg(F.min(drawn).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    pairs = each.join(lead.select("g", "l.o", "l.oc"), "g").filter("c <> oc")
+    return pairs.select(*_ordered(F.col("doc"), F.col("o"))).distinct()
+
+
+def _live(labelled: DataFrame) -> DataFrame:
+    """(doc, c) of the members of groups that still have several components."""
+    split = labelled.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
+    return staged(labelled.join(split, "h").select("doc", "c").distinct(), "live")
+
+
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
@@ -256,11 +314,19 @@ def near_duplicates(
     links = staged(_linked(pairs, sets, percent), "links")
     labelled = _relabel(open_, links)
 
-    # then, among the documents of groups that still have several components, a join on their rarest elements
-    split = labelled.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    live = staged(labelled.join(split, "h").select("doc", "c").distinct(), "live")
+    # then the documents of groups that still have several components: some likely pairs, and a join on their rarest elements
+    live = _live(labelled)
+    parities = staged(_parities(sets.join(live, "doc", "left_semi")), "parities")
+    for step in range(1, SWEEPS + 1):
+        tried = staged(_possible(_sweep_pairs(live, reps, step).join(pairs, ["a", "b"], "left_anti"), parities, percent), "sweep-pairs")
+        more = staged(_linked(tried, sets, percent), "sweep-links")
+        if more.isEmpty():
+            break
+        pairs, links = pairs.unionByName(tried), links.unionByName(more)
+        labelled = _relabel(open_, links)
+        live = _live(labelled)
     rest = _rare_pairs(sets.join(live, "doc"), live, percent).join(pairs, ["a", "b"], "left_anti")
-    more = staged(_linked(staged(rest, "more-pairs"), sets, percent), "more-links")
+    more = staged(_linked(staged(_possible(rest, parities, percent), "more-pairs"), sets, percent), "more-links")
     if not more.isEmpty():
         labelled = _relabel(open_, links.unionByName(more))
 
