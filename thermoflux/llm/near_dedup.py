@@ -247,23 +247,18 @@ def _sweep_pairs(live: DataFrame, reps: DataFrame, step: int) -> DataFrame:
     return pairs.select(*_ordered(F.col("doc"), F.col("o"))).distinct()
 
 
-def _live(labelled: DataFrame) -> DataFrame:
-    """(doc, c) of the members of groups that still have several components."""
-    split = labelled.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    return staged(labelled.join(split, "h").select("doc", "c").distinct(), "live")
+def _live(docs: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc, c): current components of those documents that are in a band group with several components. ``found``: (node, component)."""
+    labels = docs.join(found, docs["doc"] == found["node"], "left").select("doc", F.coalesce("component", "doc").alias("c"))
+    each = staged(labels.join(reps.select("doc", "bands"), "doc").select("doc", "c", F.explode("bands").alias("h")), "labelled")
+    split = each.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
+    return staged(each.join(split, "h", "left_semi").select("doc", "c").distinct(), "live")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Group members with their current component."""
-    c = components(links)
-    out = members.join(c, members["doc"] == c["node"], "left").select("h", "doc", "n", "s", F.coalesce("component", "doc").alias("c"))
-    return staged(out, "labelled")
-
-
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     """Bands of ``rows`` values after which a pair at the threshold has escaped with probability ``miss`` at most."""
     return max(1, math.ceil(math.log(miss) / math.log(1 - min(similarity, 0.999) ** rows)))
@@ -312,10 +307,10 @@ def near_duplicates(
     pairs = open_.join(lead.select("h", "l.o", "l.on", "l.os"), "h").filter((F.col("doc") != F.col("o")) & _may_link(percent))
     pairs = staged(pairs.select(*_ordered(F.col("doc"), F.col("o"))).distinct(), "pairs")
     links = staged(_linked(pairs, sets, percent), "links")
-    labelled = _relabel(open_, links)
+    joined = components(links)
 
     # then the documents of groups that still have several components: some likely pairs, and a join on their rarest elements
-    live = _live(labelled)
+    live = _live(open_.select("doc").distinct(), joined, reps)
     parities = staged(_parities(sets.join(live, "doc", "left_semi")), "parities")
     for step in range(1, SWEEPS + 1):
         tried = staged(_possible(_sweep_pairs(live, reps, step).join(pairs, ["a", "b"], "left_anti"), parities, percent), "sweep-pairs")
@@ -323,17 +318,16 @@ def near_duplicates(
         if more.isEmpty():
             break
         pairs, links = pairs.unionByName(tried), links.unionByName(more)
-        labelled = _relabel(open_, links)
-        live = _live(labelled)
+        joined = components(links)
+        live = _live(live.select("doc"), joined, reps)
     rest = _rare_pairs(sets.join(live, "doc"), live, percent).join(pairs, ["a", "b"], "left_anti")
     more = staged(_linked(staged(_possible(rest, parities, percent), "more-pairs"), sets, percent), "more-links")
     if not more.isEmpty():
-        labelled = _relabel(open_, links.unionByName(more))
+        joined = components(links.unionByName(more))
 
     found = filled.select("doc", "digest").join(reps.select("digest", F.col("doc").alias("rep")), "digest")
     found = found.groupBy("doc").agg(F.min("rep").alias("rep"))
-    c = labelled.select(F.col("doc").alias("node"), "c").distinct()
-    component = found.join(c, found["rep"] == c["node"], "left").select("doc", F.coalesce("c", "rep").alias("component_id"))
+    component = found.join(joined, found["rep"] == joined["node"], "left").select("doc", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc", "n_shingles").join(component, "doc", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
