@@ -333,6 +333,49 @@ def test_gap_filling_by_force(spark):
     assert by_quality[1, 7] == 1 and by_quality[1, 14] == 2 and by_quality[3, 1] == 2 and {q for (m, k), q in by_quality.items() if m == 3 and k > 2} == {3}
 
 
+def test_sums_of_crowded_cells_by_force():
+    """Running sums over many cells of one radiation against all pairs, with edges met exactly, missing drivers and cells that stand alone; and the pairs that are compared one by one."""
+    from thermoflux.operators import gapfill
+
+    rng, tol = np.random.default_rng(3), gapfill.TOLERANCE
+    n, k = 6000, 300
+
+    def drawn(size, lights):
+        out = {"_d": rng.integers(1, 60, size).astype(float), "SW_IN": rng.choice(lights, size), "TA": rng.integers(-20, 20, size) * 0.5, "VPD": rng.integers(0, 12, size) * 1.0}
+        for c in ("TA", "VPD"):
+            out[c] = np.where(rng.random(size) < 0.05, np.nan, out[c])
+        return out
+
+    lights = [0.0, 19.0, 24.0, 60.0, 74.0]
+    cells = {**drawn(n, lights), "n": rng.integers(1, 4, n).astype(float), "s": rng.normal(50, 3, n)}
+    cells["SW_IN"] = np.where(np.arange(n) < 500, rng.random(n) * 100, cells["SW_IN"])
+    gaps = drawn(k, [*lights, 30.5])
+    got = gapfill._sums_around(gaps, cells, tol, 3)
+    for i in range(k):
+        far = np.abs(cells["_d"] - gaps["_d"][i])
+        near = np.abs(cells["SW_IN"] - gaps["SW_IN"][i]) < max(min(50, gaps["SW_IN"][i]), 20)
+        like = near & (np.abs(cells["TA"] - gaps["TA"][i]) < tol["TA"]) & (np.abs(cells["VPD"] - gaps["VPD"][i]) < tol["VPD"])
+        for w in (1, 2, 3):
+            want = [cells[c][m & (far <= 7 * w)].sum() for m in (like, near) for c in ("n", "s")]
+            np.testing.assert_allclose(got[:, i, w - 1], want, rtol=1e-11, atol=1e-9)
+
+
+def test_gap_filling_of_crowded_blocks(spark, monkeypatch):
+    """Thousands of gaps of one block, dealt to several tasks that each have all its donors."""
+    from thermoflux.operators import gapfill
+
+    monkeypatch.setattr(gapfill, "TASK_GAPS", 700)
+    df = spark.range(12_000).selectExpr("id", "0L AS site_id", "id % 20 AS day", "id % 24 AS HOUR", "IF(id % 3 = 0, NULL, id % 7 * 1.0D) AS NEE", "10.0D AS SW_IN", "id % 50 / 10D AS TA", "id % 40 / 10D AS VPD")
+    out = gapfill.gap_fill_mds(df, "id")
+    got = {r["id"]: r for r in out.collect()}
+    rows = df.toPandas()
+    known = rows[rows["NEE"].notna()]
+    assert len(got) == rows["NEE"].isna().sum()
+    for g in rows[rows["NEE"].isna()].sample(60, random_state=1).itertuples():
+        own = known[((known["TA"] - g.TA).abs() < 2.5) & ((known["VPD"] - g.VPD).abs() < 5) & ((known["day"] - g.day).abs() <= 7)]
+        assert (got[g.id]["n_used"], got[g.id]["filled"], got[g.id]["method"], got[g.id]["days"]) == (len(own), pytest.approx(own["NEE"].mean()), 1, 7)
+
+
 def test_chain_recovers_the_planted_response(spark):
     """From nights to the response: failing years stay as rows without values, the others follow the planted curve and response."""
     years = _chain(spark, "/root/testdata/sf0.01").persist()

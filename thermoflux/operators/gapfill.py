@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermoflux.operators.chunked import join_on
+from thermoflux.operators.joins import small
 from thermoflux.sources.io import stored
 
 
@@ -100,6 +105,99 @@ def quality_class(method: Column, days: Column) -> Column:
     return out
 
 
+#: Gaps that a task takes with the cells around them, entries of a grid of running sums, and pairs of a gap and a cell that are held at once.
+TASK_GAPS, GRID, PAIRS = 50_000, 1 << 23, 1 << 20
+
+
+def _edges(axis: np.ndarray, at: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places from .. to of the sorted ``axis`` that differ by less than ``tol`` from each of ``at`` (none from a missing one); the comparison itself decides at the edges."""
+
+    def inside(i: np.ndarray) -> np.ndarray:
+        return (i >= 0) & (i < len(axis)) & (np.abs(axis[np.clip(i, 0, len(axis) - 1)] - at) < tol)
+
+    if not len(axis):
+        return np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    lo, hi = np.searchsorted(axis, at - tol), np.searchsorted(axis, at + tol)
+    while (m := inside(lo - 1)).any():
+        lo = lo - m
+    while (m := (lo < hi) & ~inside(lo)).any():
+        lo = lo + m
+    while (m := inside(hi)).any():
+        hi = hi + m
+    while (m := (lo < hi) & ~inside(hi - 1)).any():
+        hi = hi - m
+    return lo, hi
+
+
+def _sums_around(g: dict[str, np.ndarray], c: dict[str, np.ndarray], tolerance: dict[str, float], weeks: int) -> np.ndarray:
+    """For each gap and each number of weeks 1 .. ``weeks`` around it: n and s of the cells of like weather, n and s of those of like radiation, as an array (4, gaps, weeks).
+
+    ``g``: _d and drivers; ``c``: the same, n and s. Cells of one radiation, where many, are put on a grid of days and the other drivers' distinct values and summed up along each of its
+    axes, so a gap takes the corners of its box, whatever lies within. The other cells meet the gaps one by one."""
+    light, *others = tolerance
+    own = np.maximum(np.minimum(tolerance[light], g[light]), WEAK_LIGHT)
+    out = np.zeros((4, len(own), weeks))
+    order, by_light = np.argsort(g[light], kind="stable"), np.argsort(c[light], kind="stable")
+    c = {k: v[by_light] for k, v in c.items()}
+    lights, first = np.unique(c[light], return_index=True)
+    ends = np.append(first[1:], len(c[light]))
+    reach = max(tolerance[light], WEAK_LIGHT)
+    a, b = np.searchsorted(g[light][order], lights - reach), np.searchsorted(g[light][order], lights + reach, "right")
+    alone = np.ones(len(c[light]), bool)
+    mean = c["s"].sum() / max(c["n"].sum(), 1)
+    if np.isfinite(c["s"]).all() and np.isfinite(mean):
+        for j in np.flatnonzero((ends - first) * (b - a) > 10_000):
+            gaps = order[a[j] : b[j]]
+            gaps = gaps[np.abs(lights[j] - g[light][gaps]) < own[gaps]]
+            cell = {k: v[first[j] : ends[j]] for k, v in c.items()}
+            whole = ~np.any([np.isnan(cell[o]) for o in others], axis=0) if others else np.ones(len(cell["n"]), bool)
+            axes = [np.unique(cell["_d"]), *[np.unique(cell[o][whole]) for o in others]]
+            shape = [len(x) + 1 for x in axes]
+            entries = np.prod([float(k) for k in shape])
+            if entries > GRID or entries + len(gaps) * weeks * 2 ** len(shape) > len(cell["n"]) * len(gaps):
+                continue
+            alone[first[j] : ends[j]] = False
+            # sums of the differences from the mean, so that running sums stay small
+            values = [cell["n"].astype(float), cell["s"] - cell["n"] * mean]
+            day = np.searchsorted(axes[0], cell["_d"]) + 1
+            grids, strips = [], []
+            at = np.ravel_multi_index([day[whole], *[np.searchsorted(x, cell[o][whole]) + 1 for x, o in zip(axes[1:], others, strict=True)]], shape)
+            for v in values:
+                grid = np.bincount(at, v[whole], int(entries)).reshape(shape)
+                for k in range(len(shape)):
+                    np.cumsum(grid, axis=k, out=grid)
+                grids.append(grid)
+                strips.append(np.cumsum(np.bincount(day, v, shape[0])))
+            box = [_edges(x, g[o][gaps], tolerance[o]) for x, o in zip(axes[1:], others, strict=True)]
+            for w in range(weeks):
+                ends_ = np.searchsorted(axes[0], g["_d"][gaps] - 7 * (w + 1)), np.searchsorted(axes[0], g["_d"][gaps] + 7 * (w + 1), "right")
+                found = [sum((-1) ** (len(k) - sum(k)) * grid[tuple(e[i] for e, i in zip([ends_, *box], k, strict=True))] for k in product((0, 1), repeat=len(shape))) for grid in grids]
+                found += [strip[ends_[1]] - strip[ends_[0]] for strip in strips]
+                found[1], found[3] = found[1] + found[0] * mean, found[3] + found[2] * mean
+                for k in range(4):
+                    out[k, gaps, w] += found[k]
+    c = {k: v[alone] for k, v in c.items()}
+    lo, hi = np.searchsorted(c[light], g[light] - reach), np.searchsorted(c[light], g[light] + reach, "right")
+    upto = np.cumsum(np.maximum(hi - lo, 0))
+    start, single = 0, np.zeros((4, len(own) * weeks))
+    while start < len(own):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        size = np.maximum(hi[start:stop] - lo[start:stop], 0)
+        i = np.repeat(np.arange(start, stop), size)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + lo[i]
+        far = np.abs(g["_d"][i] - c["_d"][j])
+        near = (far <= 7 * weeks) & (np.abs(c[light][j] - g[light][i]) < own[i])
+        i, j, far = i[near], j[near], far[near]
+        like = np.ones(len(i), bool)
+        for o in others:
+            like &= np.abs(c[o][j] - g[o][i]) < tolerance[o]
+        at = i * weeks + np.maximum(np.ceil(far / 7).astype(np.int64), 1) - 1 - start * weeks
+        for k, (m, v) in enumerate(((like, "n"), (like, "s"), (slice(None), "n"), (slice(None), "s"))):
+            single[k, start * weeks : stop * weeks] = np.bincount(at[m], c[v][j][m], (stop - start) * weeks)
+        start = stop
+    return out + np.cumsum(single.reshape(out.shape), axis=2)
+
+
 def gap_fill_mds(
     df: DataFrame,
     id_col: str,
@@ -116,80 +214,91 @@ def gap_fill_mds(
     Look-up: rows within so many days whose radiation, temperature and vapour deficit differ by less than ``tolerance`` (radiation: less than the gap's own
     where that is smaller, and ``WEAK_LIGHT`` at least); radiation: the same by radiation alone; course: rows within an hour of the gap's time of day on days not further.
 
-    Stages are not joined one by one. Donors are summed to cells (day and drivers; day and hour) once. Gaps meet the cells of the first two weeks, whose sums by
-    week and likeness decide three stages; what is left meets the course of five days, then only the cells of the weeks beyond, to whose sums the first
-    ones are added, and last the course by weeks. A gap looks at three bins of days and three of radiation. ``day`` counts days, ``hour`` is whole."""
-    light, *others = tolerance
+    Stages are not joined one by one. Donors are summed to cells (day and drivers; day and hour) once. A gap goes to one block of days and radiation, cells to all blocks that their reach
+    touches; there running sums over the cells give every stage's sums of a gap (``_sums_around``). A block's gaps are dealt to tasks of ``TASK_GAPS``. The first two weeks decide three stages; what is
+    left meets the course of five days, then ten weeks, and last the course by weeks. A course is worked out once for a site's day and hour. ``day`` counts days, ``hour`` is whole."""
+    light = next(iter(tolerance))
     key = [*by, id_col]
-    gaps = df.filter(F.col(value).isNull()).select(*key, F.col(day).alias("_d"), F.col(hour).alias("_h"), *[F.col(c).alias(f"_{c}") for c in tolerance])
+    gaps = df.filter(F.col(value).isNull()).select(*key, F.col(day).alias("_d"), F.col(hour).alias("_h"), *[F.col(c).cast("double").alias(f"_{c}") for c in tolerance])
     gaps = stored(gaps, "gaps")
     known = df.filter(F.col(value).isNotNull())
-    cells = known.filter(F.col(light).isNotNull()).groupBy(*by, F.col(day).alias("_e"), *tolerance).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
-    cells = stored(cells, "cells")
+    cells = known.filter(F.col(light).isNotNull()).groupBy(*by, F.col(day).alias("_e"), *[F.col(c).cast("double").alias(c) for c in tolerance])
+    cells = stored(cells.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(value).cast("double")).alias("_s")), "cells")
     # a row counts for its own hour and both neighbours, across midnight too
     hours = known.groupBy(*by, (F.col(day) * 24 + F.col(hour)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     hours = hours.withColumn("_t", F.explode(F.array(F.col("_t") - 1, F.col("_t"), F.col("_t") + 1))).groupBy(*by, "_t").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     hours = stored(hours.select(*by, F.floor(F.col("_t") / 24).alias("_e"), F.pmod("_t", F.lit(24)).alias("_h"), "_n", "_s"), "hours")
-    far = F.abs(F.col("_d") - F.col("_e"))
-
-    def around(c: str) -> Column:
-        return F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-
-    def alike(left: DataFrame, first: int, last: int) -> DataFrame:
-        """(key, week, n and s of all drivers alike, rn and rs of radiation alike) from the cells of the weeks ``first`` to ``last`` around each gap."""
-        reach, width = 7 * last, tolerance[light]
-        g = left.withColumns({"_k": F.floor(F.col("_d") / reach), "_l": F.floor(F.col(f"_{light}") / width)}).withColumn("_k", around("_k")).withColumn("_l", around("_l"))
-        c = cells.withColumns({"_k": F.floor(F.col("_e") / reach), "_l": F.floor(F.col(light) / width)})
-        near = F.abs(F.col(light) - F.col(f"_{light}")) < F.greatest(F.least(F.lit(width), F.col(f"_{light}")), F.lit(WEAK_LIGHT))
-        both = g.join(c, [*by, "_k", "_l"]).withColumn("_w", F.greatest(F.ceil(far / 7), F.lit(1)).cast("int")).filter(near & F.col("_w").between(first, last))
-        like = F.lit(True)
-        for o in others:
-            like = like & (F.abs(F.col(o) - F.col(f"_{o}")) < tolerance[o])
-        like = F.coalesce(like, F.lit(False))
-        return both.groupBy(*key, "_w").agg(F.sum(F.when(like, F.col("_n")).otherwise(0)).alias("n"), F.sum(F.when(like, F.col("_s")).otherwise(0.0)).alias("s"), F.sum("_n").alias("rn"), F.sum("_s").alias("rs"))
+    result = "filled double, n_used long, method int, days int"
+    empty = [F.lit(None).cast(kind).alias(c) for c, kind in (f.split() for f in result.split(", "))]
+
+    def looked_up(left: DataFrame, stages: list[tuple[int, int]], weeks: int) -> DataFrame:
+        """``left`` with the result of the first of ``stages`` that finds enough within so many weeks, or nulls."""
+        days, width, reach = 28 * weeks, 2.0 * tolerance[light], max(tolerance[light], WEAK_LIGHT)
+        can = F.lit(True)
+        for c in [*key, "_d", f"_{light}"]:
+            can = can & F.col(c).isNotNull()
+        block = [*by, "_k", "_l"]
+        g = left.filter(can).withColumns({"_k": F.floor(F.col("_d") / days), "_l": F.floor(F.col(f"_{light}") / width)})
+        # blocks with many gaps are dealt to several tasks, each with the cells
+        many = g.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / TASK_GAPS).alias("_p"))
+        many = small(stored(many.filter("_p > 1"), "large-blocks"))
+        parts = F.coalesce("_p", F.lit(1))
+        g = g.join(many, block, "left").withColumn("_p", F.pmod(F.xxhash64(id_col), parts))
+        c = cells.withColumn("_k", F.explode(F.sequence(F.floor((F.col("_e") - 7 * weeks) / days), F.floor((F.col("_e") + 7 * weeks) / days))))
+        c = c.withColumn("_l", F.explode(F.sequence(F.floor((F.col(light) - reach) / width), F.floor((F.col(light) + reach) / width))))
+        c = c.join(many, block, "left").withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        names = left.columns
+
+        def work(gap: pa.Table, cell: pa.Table) -> pa.Table:
+            def numbers(t: pa.Table, c: str) -> np.ndarray:
+                return t.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+
+            own = {"_d": numbers(gap, "_d"), **{c: numbers(gap, f"_{c}") for c in tolerance}}
+            donors = {"_d": numbers(cell, "_e"), **{c: numbers(cell, c) for c in tolerance}, "n": numbers(cell, "_n"), "s": numbers(cell, "_s")}
+            # gaps of one day and weather have one answer
+            asked, which = np.unique(np.stack([own[c] for c in own], axis=1), axis=0, return_inverse=True)
+            which = which.reshape(-1)
+            sums = _sums_around({c: asked[:, i] for i, c in enumerate(own)}, donors, tolerance, weeks)
+            stage = np.full(len(asked), -1)
+            for i, (m, k) in reversed(list(enumerate(stages))):
+                stage[sums[0 if m == LOOK_UP else 2, :, k // 7 - 1] >= least] = i
+            method, span = np.array([m for m, _ in stages]), np.array([k for _, k in stages])
+            kind, week, row = np.where(method[stage] == LOOK_UP, 0, 2), span[stage] // 7 - 1, np.arange(len(asked))
+            n, s = sums[kind, row, week], sums[kind + 1, row, week]
+            none = (stage < 0)[which]
+            new = (np.divide(s, n, out=np.zeros(len(n)), where=n > 0), np.rint(n).astype(np.int64), method[stage].astype(np.int32), span[stage].astype(np.int32))
+            return pa.table([*[gap.column(c) for c in names], *[pa.array(v[which], mask=none) for v in new]], names=[*names, *(f.split()[0] for f in result.split(", "))])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema)
+        found = g.groupBy(*block, "_p").cogroup(c.groupBy(*block, "_p")).applyInArrow(lambda gap, cell: work(gap, cell), f"{kinds}, {result}")
+        return found.unionByName(left.filter(~can).select("*", *empty))
 
     def course(left: DataFrame, step: int, last: int) -> DataFrame:
-        """(key, days, n, s): sums of the hours within 0, step, .. ``last`` days of each gap."""
-        width = 2 * last + 1
-        g = left.withColumn("_k", F.floor(F.col("_d") / width)).withColumn("_k", around("_k"))
+        """``left`` with the mean of the hours within the first of 0, step, .. ``last`` days that has enough, or nulls."""
+        width, at = 2 * last + 1, [*by, "_d", "_h"]
+        far = F.abs(F.col("_d") - F.col("_e"))
+        g = left.select(*at).distinct().withColumn("_k", F.floor(F.col("_d") / width)).withColumn("_k", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)))
         both = g.join(hours.withColumn("_k", F.floor(F.col("_e") / width)), [*by, "_k", "_h"]).filter(far <= last)
-        ring = both.groupBy(*key, (F.ceil(far / step) * step).cast("int").alias("days")).agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
+        ring = both.groupBy(*at, (F.ceil(far / step) * step).cast("int").alias("days")).agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
         # the gap's own day belongs to the first stage of a course by weeks
-        ring = ring.withColumn("days", F.greatest("days", F.lit(step if step > 1 else 0))).groupBy(*key, "days").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        upto = Window.partitionBy(*key).orderBy("days")
-        return ring.withColumns({"n": F.sum("n").over(upto), "s": F.sum("s").over(upto), "rank": F.col("days"), "method": F.lit(COURSE)})
-
-    def looked_up(weeks: DataFrame, stages: list[tuple[int, int]]) -> DataFrame:
-        """Sums of the weeks added up, as entries of the given stages. A week without cells has the sums of the one before, which found too little."""
-        upto = Window.partitionBy(*key).orderBy("_w").rowsBetween(Window.unboundedPreceding, 0)
-        total = weeks.select(*key, (F.col("_w") * 7).alias("days"), *[F.sum(c).over(upto).alias(c) for c in ("n", "s", "rn", "rs")])
-        both = F.array(F.struct(F.lit(LOOK_UP).alias("method"), "n", "s"), F.struct(F.lit(RADIATION).alias("method"), F.col("rn").alias("n"), F.col("rs").alias("s")))
-        each = total.withColumn("_x", F.explode(both)).select(*key, "days", "_x.*")
-        rank = F.lit(None).cast("int")
-        for i, (m, k) in enumerate(stages):
-            rank = F.when((F.col("method") == m) & (F.col("days") == k), i).otherwise(rank)
-        return each.withColumn("rank", rank).filter("rank IS NOT NULL")
-
-    def chosen(found: DataFrame) -> DataFrame:
-        """The first entry with enough rows, in the order of stages."""
-        best = found.filter(F.col("n") >= least).groupBy(*key).agg(F.min(F.struct("rank", "method", "days", "n", "s")).alias("_b"))
-        return stored(best.select(*key, (F.col("_b.s") / F.col("_b.n")).alias("filled"), F.col("_b.n").alias("n_used"), F.col("_b.method").alias("method"), F.col("_b.days").alias("days")), "filled")
-
-    def unfilled(left: DataFrame, done: DataFrame) -> DataFrame:
-        return stored(left.join(done.select(*key), key, "left_anti"), "left")
-
-    first = list(STAGES[:3])
+        ring = ring.withColumn("days", F.greatest("days", F.lit(step if step > 1 else 0))).groupBy(*at, "days").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        upto = Window.partitionBy(*at).orderBy("days")
+        found = ring.withColumns({"n": F.sum("n").over(upto), "s": F.sum("s").over(upto)}).filter(F.col("n") >= least)
+        best = found.groupBy(*at).agg(F.min(F.struct("days", "n", "s")).alias("_b"))
+        best = best.select(*at, (F.col("_b.s") / F.col("_b.n")).alias("filled"), F.col("_b.n").alias("n_used"), F.lit(COURSE).alias("method"), F.col("_b.days").alias("days"))
+        return left.join(best, at, "left")
+
     later = [s for s in STAGES[3:] if s[0] != COURSE]
-    near = stored(alike(gaps, 1, 2), "two-weeks")
-    parts = [chosen(looked_up(near, first))]
-    left = unfilled(gaps, parts[-1])
-    parts.append(chosen(course(left, 1, 2)))
-    left = unfilled(left, parts[-1])
-    parts.append(chosen(looked_up(alike(left, 3, 10).unionByName(near.join(left.select(*key), key, "left_semi")), later)))
-    left = unfilled(left, parts[-1])
-    parts.append(chosen(course(left, 7, 210)))
-    left = unfilled(left, parts[-1])
-    out = left.select(*key, F.lit(None).cast("double").alias("filled"), F.lit(0).cast("long").alias("n_used"), F.lit(None).cast("int").alias("method"), F.lit(None).cast("int").alias("days"))
+    steps = [
+        lambda left: looked_up(left, list(STAGES[:3]), 2), lambda left: course(left, 1, 2),
+        lambda left: looked_up(left, later, 10), lambda left: course(left, 7, 210),
+    ]
+    left, parts = gaps, []
+    for step in steps:
+        tried = stored(step(left), "tried")
+        parts.append(tried.filter("method IS NOT NULL").select(*key, "filled", "n_used", "method", "days"))
+        left = tried.filter("method IS NULL").select(*gaps.columns)
+    out = left.select(*key, *empty).withColumn("n_used", F.lit(0).cast("long"))
     for p in parts:
         out = out.unionByName(p)
     return out.withColumn("quality", quality_class(F.col("method"), F.col("days")))
