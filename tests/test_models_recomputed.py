@@ -376,6 +376,34 @@ def test_gap_filling_of_crowded_blocks(spark, monkeypatch):
         assert (got[g.id]["n_used"], got[g.id]["filled"], got[g.id]["method"], got[g.id]["days"]) == (len(own), pytest.approx(own["NEE"].mean()), 1, 7)
 
 
+def test_least_squares_read_their_rows_once(spark, obs):
+    """A plan with one shuffle, of the sums."""
+    fit = regression.ols(obs_multi(spark, DATA), "TS", ["TA", "SWC"])
+    assert fit._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_bad_periods_are_repaired_with_one_copy_of_the_rows(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(regression, "stored", lambda df, name, real=regression.stored: written.append(df.columns) or real(df, name))
+    bad = spark.createDataFrame([(1, 1997, 50, 120)], "site_id long, YEAR long, DOY_start long, DOY_end long")
+    regression.repair_periods(obs_multi(spark, DATA), bad, 4, ORDER, min_rows=20)
+    assert sum("TS" in c for c in written) == 1
+
+
+def test_curve_queries_read_the_source_once(spark):
+    """Rows of the fits, their references and medians come from one written table."""
+    assert "curve-input" in _curve_rows(spark, DATA).inputFiles()[0]
+
+
+def test_thresholds_do_not_shuffle_their_rows(spark):
+    """Only sums and counts are shuffled: sides with a row a group are broadcast."""
+    from thermoflux.operators import gapfill
+
+    df = spark.range(4000).selectExpr("id % 2 AS site_id", "id % 3 AS season", "id % 97 / 3D AS TA", "id % 89 / 90D AS USTAR", "id % 7 * 1D AS NEE")
+    plan = gapfill.ustar_threshold(df, least_in_class=20)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_chain_recovers_the_planted_response(spark):
     """From nights to the response: failing years stay as rows without values, the others follow the planted curve and response."""
     years = _chain(spark, "/root/testdata/sf0.01").persist()

@@ -18,15 +18,13 @@ from thermoflux.sources.io import stored
 def ols(df: DataFrame, y: str, xs: list[str], by: tuple[str, ...] = ("site_id",), min_rows: int = 3) -> DataFrame:
     """(by, n, coef array: intercept first, r2, se array) of complete rows, for groups of ``min_rows`` and more.
 
-    Only the normal-equation sums travel: one row a group, whatever the group's size. Variables are shifted by their overall means first, for accuracy."""
+    Only means and covariances travel, from one pass over the rows: one row a group, whatever the group's size."""
     ok = df.dropna(subset=[y, *xs])
-    means = ok.groupBy(*by).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate([*xs, y])])
-    joined = ok.join(means, list(by)) if by else ok.crossJoin(F.broadcast(means))
-    z = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate([*xs, y])]
+    z = [F.col(c).cast("double") for c in [*xs, y]]
     k = len(z)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = joined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.first(f"_m{i}") for i in range(k)]).alias("_means"), F.array(*[F.sum(z[i] * z[j]) for i, j in pairs]).alias("_sums")
+    sums = ok.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in z]).alias("_means"), F.array(*[F.covar_pop(z[i], z[j]) for i, j in pairs]).alias("_sums")
     ).filter(F.col("n") >= min_rows)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +33,7 @@ def ols(df: DataFrame, y: str, xs: list[str], by: tuple[str, ...] = ("site_id",)
             for n, m, s in zip(p["n"], p["_means"], p["_sums"], strict=True):
                 g = np.zeros((k, k))
                 for (i, j), v in zip(pairs, s, strict=True):
-                    g[i, j] = g[j, i] = v
+                    g[i, j] = g[j, i] = v * n
                 a, b, yy = g[:-1, :-1], g[:-1, -1], g[-1, -1]
                 inv = np.linalg.pinv(a, hermitian=True)
                 beta = inv @ b
@@ -116,7 +114,7 @@ def soil_temperature(df: DataFrame, config: DataFrame, per_day: int, order: list
     (the row itself left out; its own TA where there is none). Adds TS_status.
 
     ``config``: site_id, start, end (training dates, inclusive) and ta_min (TA must be above); each may be null."""
-    w = _with_previous(df, per_day, order)
+    w = stored(_with_previous(df, per_day, order), "previous-means")
     fit = stored(ols(_trained(w, config, order[0]), "TS", _PREVIOUS, ("site_id",), min_rows).select("site_id", "coef"), "models")
     return _replaced(w, fit, config, min_rows)
 
@@ -125,7 +123,7 @@ def reconstruct_from_donors(df: DataFrame, donors: DataFrame, per_day: int, orde
     """TS of target sites from one regression pooled over their donors. ``donors``: target, donor (one row a pair). Adds TS_status.
 
     A donor's rows are those of its own ``config`` (as for ``soil_temperature``); without one, all with TA above 0."""
-    w = _with_previous(df, per_day, order)
+    w = stored(_with_previous(df, per_day, order), "previous-means")
     own = donors.select(F.col("donor").alias("site_id")).distinct()
     limits = own.withColumns({"start": F.lit(None).cast("date"), "end": F.lit(None).cast("date"), "ta_min": F.lit(0.0)})
     if config is not None:
@@ -145,14 +143,13 @@ def repair_periods(df: DataFrame, bad: DataFrame, per_day: int, order: list[str]
     w = trailing_means(df, "TA", {"_d1": per_day, "_d8": 8 * per_day}, ["site_id"], order)
     p = bad.select("site_id", F.col("YEAR").alias("_by"), F.col("DOY_start").alias("_a"), F.col("DOY_end").alias("_b"))
     p = stored(p.withColumn("_p", F.xxhash64("site_id", "_by", "_a", "_b")), "periods")
-    w = stored(w, "trailing-means")
-    inside = range_join(w, p, "DOY", "_a", "_b").filter("YEAR = _by").select(*df.columns, "_p")
-    flags = inside.select("site_id", "YEAR", "DOY", "_p").groupBy("site_id", "YEAR", "DOY").agg(F.min("_p").alias("_p"))
-    w = stored(w.join(flags, ["site_id", "YEAR", "DOY"], "left"), "flagged")
+    days = stored(df.select("site_id", "YEAR", "DOY").distinct(), "days")
+    flags = range_join(days, p, "DOY", "_a", "_b").filter("YEAR = _by").groupBy("site_id", "YEAR", "DOY").agg(F.min("_p").alias("_p"))
+    w = stored(w.join(small(stored(flags, "flags")), ["site_id", "YEAR", "DOY"], "left"), "flagged")
     around = p.select("site_id", F.col("_p").alias("_q"), (F.col("_a") - margin).alias("_lo"), (F.col("_b") + margin).alias("_hi"))
     train = range_join(w.filter(F.col("_p").isNull() & F.col("QC").isin(0, 1)), around, "DOY", "_lo", "_hi")
-    fit = ols(train, "TS", xs, ("site_id", "_q"), min_rows).select("site_id", F.col("_q").alias("_p"), "coef")
-    out = w.join(fit, ["site_id", "_p"], "left")
+    fit = stored(ols(train, "TS", xs, ("site_id", "_q"), min_rows).select("site_id", F.col("_q").alias("_p"), "coef"), "models")
+    out = w.join(small(fit), ["site_id", "_p"], "left")
     value = predict(F.col("coef"), xs)
     done = value.isNotNull()
     out = out.withColumn("_v", value).withColumns({"TS_repair_flag": F.when(done, 1).otherwise(0), "QC": F.when(done, 1).otherwise(F.col("QC"))})
