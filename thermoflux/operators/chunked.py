@@ -2,7 +2,7 @@
 
 A site's time axis is cut into chunks of about ``CHUNK_ROWS`` rows. Rows are numbered within their chunk and the chunks' counts summed up
 before (a table of one row a chunk). A frame that reaches back over a bounded number of rows gets the rows before its chunk as a
-halo: copies of the last rows of the chunks before, at most ``reach`` a chunk. For an unbounded look (last and next known value) each chunk sends its first
+halo: copies of the last slices (``SLICES`` a chunk) of the chunks before that hold ``reach`` rows; slices are counted first, so rows are shuffled and sorted once. For an unbounded look (last and next known value) each chunk sends its first
 and last known value instead, which are carried over the chunk table. Where every site fits in one chunk, plain windows do.
 
 Stamps are taken to be spread over the axis; rows that share one stamp share a chunk. A null site is a site, and null stamps come first, as
@@ -22,6 +22,8 @@ from thermoflux.operators.joins import small
 from thermoflux.sources.io import stored
 
 CHUNK_ROWS = 1 << 18
+#: Slices of a chunk, by which rows are copied to the chunks after it.
+SLICES = 64
 
 _START = Window.unboundedPreceding
 
@@ -42,17 +44,25 @@ def join_on(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(right, same, "left").drop(*[f"_on_{k}" for k in keys])
 
 
+def _sliced(df: DataFrame, by: list[str], order: list[str], rows: int) -> DataFrame | None:
+    """``df`` with _chunk and _slice, numbered over the site's axis; None where no site has several chunks."""
+    at = axis(df, order[0])
+    stats = stored(df.groupBy(*by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count(F.lit(1)) / rows).alias("_k")), "axes")
+    if (stats.agg(F.max("_k")).first()[0] or 0) <= 1:
+        return None
+    d = join_on(df, small(stats), by)
+    part = F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k") * SLICES)
+    d = d.withColumn("_slice", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), F.least(part, F.col("_k") * SLICES - 1)), F.lit(0)).cast("long")).drop("_lo", "_hi", "_k")
+    return d.withColumn("_chunk", F.floor(F.col("_slice") / SLICES))
+
+
 def chunks(df: DataFrame, by: list[str], order: list[str], rows: int) -> tuple[DataFrame, DataFrame, bool]:
     """(``df`` with _chunk; the table by, _chunk, _before (rows of the site before the chunk), _rows; True), or False as the last where no site has
     several chunks."""
-    at = axis(df, order[0])
-    stats = df.groupBy(*by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count(F.lit(1)) / rows).alias("_k"))
-    if (stats.agg(F.max("_k")).first()[0] or 0) <= 1:
+    d = _sliced(df, by, order, rows)
+    if d is None:
         return df, df, False
-    stats = stored(stats, "axes")
-    d = join_on(df, small(stats), by)
-    part = F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k"))
-    d = d.withColumn("_chunk", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), F.least(part, F.col("_k") - 1)), F.lit(0)).cast("long")).drop("_lo", "_hi", "_k")
+    d = d.drop("_slice")
     counts = d.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(_START, -1))
     table = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
@@ -67,19 +77,28 @@ def _numbered(d: DataFrame, table: DataFrame, by: list[str], order: list[str]) -
 
 def with_frames(df: DataFrame, reach: int, make: Callable[[WindowSpec, Column], dict[str, Column]], by: list[str], order: list[str], rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``df`` with the columns that ``make(window, row number)`` gives; its frames may begin up to ``reach`` rows before a row and end at it."""
-    d, table, several = chunks(df, by, order, rows) if rows else (df, df, False)
-    if not several:
+    d = _sliced(df, by, order, rows) if rows else None
+    if d is None:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumns(make(w, F.row_number().over(w)))
-    ahead = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(1, max(1, reach))
-    halo = table.withColumn("_next", F.collect_list(F.struct("_chunk", "_before")).over(ahead))
+    site = Window.partitionBy(*by)
+    counts = d.groupBy(*by, "_chunk", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    slices = stored(counts.withColumn("_end", F.sum("_rows").over(site.orderBy("_slice").rowsBetween(_START, 0))), "slices")
+    table = slices.groupBy(*by, "_chunk").agg(F.min(F.col("_end") - F.col("_rows")).alias("_before"), F.max("_end").alias("_upto"))
     # only chunks that begin within reach of this one's last row
-    halo = halo.withColumn("_next", F.filter("_next", lambda x: x["_before"] < F.col("_before") + F.col("_rows") + reach))
-    d = _numbered(d, halo, by, order)
-    goes = F.transform(F.filter("_next", lambda x: x["_before"] < F.col("_pos") + reach), lambda x: x["_chunk"])
-    d = d.withColumn("_to", F.explode(F.concat(F.array("_chunk"), goes))).drop("_next", "_before", "_rows")
-    w = Window.partitionBy(*by, "_to").orderBy("_pos")
-    return d.withColumns(make(w, F.col("_pos"))).filter(F.col("_to") == F.col("_chunk")).drop("_to", "_chunk", "_pos")
+    after = F.collect_list(F.struct("_chunk", "_before")).over(site.orderBy("_chunk").rowsBetween(1, max(1, reach)))
+    table = stored(table.withColumn("_next", F.filter(after, lambda x: x["_before"] < F.col("_upto") + reach)), "chunks")
+    goes = F.transform(F.filter("_next", lambda x: x["_before"] < F.col("_end") + reach), lambda x: x["_chunk"])
+    copied = join_on(slices, table.select(*by, "_chunk", "_next"), [*by, "_chunk"]).select(*by, "_chunk", "_slice", (F.col("_end") - F.col("_rows")).alias("_first"), goes.alias("_goes")).filter(F.size("_goes") > 0)
+    copied = stored(copied, "halos")
+    # rows of the site before the first one that a chunk gets
+    first = copied.select(*by, F.explode("_goes").alias("_to"), "_first").unionByName(table.select(*by, F.col("_chunk").alias("_to"), F.col("_before").alias("_first")))
+    first = first.groupBy(*by, "_to").agg(F.min("_first").alias("_first"))
+    d = join_on(d, small(copied.select(*by, "_slice", "_goes")), [*by, "_slice"]).drop("_slice")
+    d = d.withColumn("_to", F.explode(F.concat(F.array("_chunk"), F.coalesce("_goes", F.array().cast("array<bigint>"))))).drop("_goes")
+    d = join_on(d, small(stored(first, "first-rows")), [*by, "_to"])
+    w = Window.partitionBy(*by, "_to").orderBy(*order)
+    return d.withColumns(make(w, F.col("_first") + F.row_number().over(w))).filter(F.col("_to") == F.col("_chunk")).drop("_to", "_chunk", "_first")
 
 
 def with_neighbours(df: DataFrame, x: str, at: Column, by: list[str], order: list[str], rows: int | None = CHUNK_ROWS) -> DataFrame:
