@@ -26,8 +26,8 @@ def class_limits(df: DataFrame, x: str, by: list[str], classes: int) -> DataFram
 
 
 def with_class(df: DataFrame, x: str, by: list[str], classes: int, out: str) -> DataFrame:
-    """``df`` with the number of the class of ``x`` within its group, from 0 on (empty classes are not counted)."""
-    d = join_on(df, class_limits(df, x, by, classes), by)
+    """``df`` with the number of the class of ``x`` within its group, from 0 on (empty classes are not counted). Limits are a row a group: rows are not shuffled for them."""
+    d = join_on(df, small(stored(class_limits(df, x, by, classes), "class-limits")), by)
     return d.withColumn(out, F.size(F.filter("limits", lambda v: v < F.col(x)))).drop("limits")
 
 
@@ -51,11 +51,11 @@ def ustar_threshold(
     keys = list(by)
     own = df.dropna(subset=["TA", "USTAR", "NEE"]).select(*keys, "TA", "USTAR", "NEE")
     enough = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_rows)
-    own = own.join(enough.drop("_n"), keys, "left_semi")
+    own = own.join(small(stored(enough.drop("_n"), "enough")), keys, "left_semi")
     own = stored(with_class(own, "TA", keys, t_classes, "_t"), "temperature-classes")
     cor = own.groupBy(*keys, "_t").agg(F.corr("USTAR", "TA").alias("_r"), F.count(F.lit(1)).alias("_n"))
     cor = cor.filter((F.abs("_r") < max_corr) & (F.col("_n") >= least_in_class)).select(*keys, "_t")
-    own = with_class(own.join(cor, [*keys, "_t"], "left_semi"), "USTAR", [*keys, "_t"], u_classes, "_u")
+    own = with_class(own.join(small(stored(cor, "uncorrelated")), [*keys, "_t"], "left_semi"), "USTAR", [*keys, "_t"], u_classes, "_u")
     cls = own.groupBy(*keys, "_t", "_u").agg(F.avg("USTAR").alias("_us"), F.avg("NEE").alias("_f"))
     later = F.avg("_f").over(Window.partitionBy(*keys, "_t").orderBy("_u").rowsBetween(1, ahead))
     first = cls.withColumn("_later", later).filter(F.col("_f") >= share * F.col("_later")).groupBy(*keys, "_t").agg(F.min_by("_us", "_u").alias("_th"))
