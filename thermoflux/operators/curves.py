@@ -20,15 +20,17 @@ BOUNDS = {"C0": (0.0, 10.0), "alpha": (0.0, 0.2), "beta": (-0.01, 0.0), "Hs": (0
 ROWS_NEEDED = {48: 100, 24: 60}
 
 
-def window_screen(df: DataFrame, nights: DataFrame, windows: DataFrame, ranges: DataFrame, min_rows: int = 100, coldest: float = 2.0) -> DataFrame:
+def window_screen(df: DataFrame, nights: DataFrame, windows: DataFrame, ranges: DataFrame, min_rows: int = 100, coldest: float = 2.0, days: DataFrame | None = None) -> DataFrame:
     """(site, window, mean_TS, n) of the windows to be fitted: the mean over years of the yearly mean temperature - of ``df``; a year with any missing
     value does not count - lies within the site's range (not below ``coldest``; any, where the site has one window), and the complete
-    ``nights`` have ``min_rows`` rows there. ``ranges``: site_id, tStart, tEnd."""
+    ``nights`` have ``min_rows`` rows there. ``ranges``: site_id, tStart, tEnd. ``days``: the sums of ``df`` by day (site_id, YEAR, DOY, _s_TS, _k_TS, _n), where
+    they are there already."""
     w = windows.select("site_id", "window", "w_start", "w_end")
     by = ["site_id", "window"]
     # a day's sums first, so that only one row a day and year meets the windows
-    days = df.groupBy("site_id", "YEAR", "DOY").agg(F.sum("TS").alias("_s"), F.count("TS").alias("_k"), F.count(F.lit(1)).alias("_n"))
-    years = range_join(days, w, "DOY", "w_start", "w_end").groupBy(*by, "YEAR").agg(F.sum("_s").alias("_s"), F.sum("_k").alias("_k"), F.sum("_n").alias("_n"))
+    if days is None:
+        days = df.groupBy("site_id", "YEAR", "DOY").agg(F.sum("TS").alias("_s_TS"), F.count("TS").alias("_k_TS"), F.count(F.lit(1)).alias("_n"))
+    years = range_join(days, w, "DOY", "w_start", "w_end").groupBy(*by, "YEAR").agg(F.sum("_s_TS").alias("_s"), F.sum("_k_TS").alias("_k"), F.sum("_n").alias("_n"))
     mean = years.groupBy(*by).agg(F.avg(F.when(F.col("_k") == F.col("_n"), F.col("_s") / F.col("_n"))).alias("mean_TS"))
     rows = range_join(nights.groupBy("site_id", "DOY").agg(F.count(F.lit(1)).alias("_n")), w, "DOY", "w_start", "w_end").groupBy(*by).agg(F.sum("_n").alias("n"))
     count = windows.groupBy("site_id").agg(F.count(F.lit(1)).alias("_w"))
@@ -301,7 +303,8 @@ def er_curve(
         got = row | _outcome(f, errors, row, names, xs)
         return pd.DataFrame([{c: got[c] for c in [*keys, *out]}])
 
-    small_ = sums.join(groups.filter(F.col("_k") <= TASK_ROWS), keys)
+    # a fit takes long for its few rows, so groups are spread by number, not by size
+    small_ = sums.join(groups.filter(F.col("_k") <= TASK_ROWS), keys).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     fitted = small_.groupBy(*keys).applyInPandas(lambda pdf: fit(pdf), schema)
     part: list = []
     for r in groups.filter(F.col("_k") > TASK_ROWS).toLocalIterator():  # TOGETHER at a time
