@@ -25,11 +25,11 @@ def site_years(
     xs = ["TS", *(["SWC"] if direct and use_swc else []), *(["GPP"] if direct else [])]
     key, by = ["site_id", "window", "YEAR"], ["site_id", "window"]
     nights = stored(nights.dropna(subset=[*xs, "NEE"]).select("site_id", "YEAR", "DOY", *xs, "NEE"), "nights")
-    w = windows.select("site_id", "window", "w_start", "w_end")
-    w = stored(w.join(window_screen(df, nights, w, ranges, min_rows).select(*by), by), "screened")
+    days = stored(df.groupBy("site_id", "YEAR", "DOY").agg(*[f(c).alias(f"_{n}_{c}") for c in xs for n, f in (("s", F.sum), ("k", F.count))], F.count(F.lit(1)).alias("_n")), "days")
+    w = stored(windows.select("site_id", "window", "w_start", "w_end"), "windows")
+    w = stored(w.join(window_screen(df, nights, w, ranges, min_rows, days=days).select(*by), by), "screened")
     years = stored(nights.select("site_id", "YEAR").distinct(), "years")
     # the window's mean conditions over all years, and its mean temperature each year (missing where any value is)
-    days = df.groupBy("site_id", "YEAR", "DOY").agg(*[f(c).alias(f"_{n}_{c}") for c in xs for n, f in (("s", F.sum), ("k", F.count))], F.count(F.lit(1)).alias("_n"))
     days = range_join(days, w, "DOY", "w_start", "w_end")
     sums = stored(days.groupBy(*key).agg(*[F.sum(c).alias(c) for c in [*[f"_{n}_{c}" for c in xs for n in "sk"], "_n"]]), "window-sums")
     ref = stored(sums.groupBy(*by).agg(*[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_k_{c}")).alias(c) for c in xs]), "references")
