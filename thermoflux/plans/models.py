@@ -12,6 +12,7 @@ from thermoflux.plans.registry import query
 from thermoflux.plans.scalars import SOUTH
 from thermoflux.plans.views import MULTI, ORDER, SUB, obs_multi, obs_sub, r6, rounded, table
 from thermoflux.plans.windows import RING_SQL
+from thermoflux.sources.io import stored
 
 
 @query("m1_ols", f"WITH {MULTI} SELECT site_id, regr_count(NEE, TA) AS n, round(regr_intercept(NEE, TA), 6) AS b0, round(regr_slope(NEE, TA), 6) AS b1, round(regr_r2(NEE, TA), 6) AS r2 FROM obs GROUP BY 1")
@@ -24,7 +25,7 @@ def m1(spark, d):
 def m1b(spark, d):
     obs = obs_multi(spark, d)
     config = obs.groupBy("site_id").agg(F.min("stamp").alias("start"), F.max("stamp").alias("end")).withColumn("ta_min", F.lit(5.0))
-    return regression.soil_temperature(obs, config, 4, ORDER).groupBy("site_id", "TS_status").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
+    return regression.soil_temperature(obs.select("site_id", "TS", "TA", *ORDER), config, 4, ORDER).groupBy("site_id", "TS_status").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
 
 
 @query("m2_donors")
@@ -34,7 +35,7 @@ def m2(spark, d):
     pairs = means.select(F.col("site_id").alias("target"), F.col("m").alias("own")).join(means.withColumnRenamed("site_id", "donor"), F.col("target") != F.col("donor"))
     near = Window.partitionBy("target").orderBy(F.abs(F.col("own") - F.col("m")), "donor")
     donors = pairs.withColumn("k", F.row_number().over(near)).filter("k <= 3").select("target", "donor")
-    return regression.reconstruct_from_donors(obs, donors, 4, ORDER).groupBy("site_id", "TS_status").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
+    return regression.reconstruct_from_donors(obs.select("site_id", "TS", "TA", *ORDER), donors, 4, ORDER).groupBy("site_id", "TS_status").agg(F.count("TS").alias("n"), F.avg("TS").alias("ts"))
 
 
 @query("m3_repair_periods")
@@ -45,7 +46,7 @@ def m3(spark, d):
     share = obs.groupBy("site_id", "YEAR", block.alias("b")).agg(F.avg(F.col("TS").isNull().cast("int")).alias("share"))
     worst = Window.partitionBy("site_id").orderBy(F.desc("share"), "YEAR", "b")
     bad = share.withColumn("k", F.row_number().over(worst)).filter("k = 1").select("site_id", "YEAR", (F.col("b") * 31 + 1).alias("DOY_start"), (F.col("b") * 31 + 31).alias("DOY_end"))
-    out = regression.repair_periods(obs, bad, 4, ORDER)
+    out = regression.repair_periods(obs.select("site_id", "YEAR", "DOY", "TS", "TA", "QC", *ORDER), bad, 4, ORDER)
     return out.groupBy("site_id", "TS_repair_flag").agg(F.count("*").alias("n"), F.count("TS").alias("n_ts"))
 
 
@@ -277,11 +278,13 @@ def _curve_rows(spark, d):
     t = F.col("TS") * 0.5
     y = 2 * F.exp(0.08 * t - 0.001 * t * t) + (F.col("NEE") - 22) / 40
     obs = obs_multi(spark, d).withColumns({"TS": t, "NEE": y, "GPP": F.col("SWC") * 20, "SWC": F.col("SWC") + 0.1})
-    return obs.filter("DOY BETWEEN 100 AND 200").withColumn("window", sc.window_id(F.col("DOY"), F.lit(100), F.lit(200)))
+    rows = obs.filter("DOY BETWEEN 100 AND 200").withColumn("window", sc.window_id(F.col("DOY"), F.lit(100), F.lit(200)))
+    # written once: a fit reads its rows several times
+    return stored(rows.drop("DAY", "NIGHT", "QC", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "curve-input")
 
 
 def _reference(rows):
-    return rows.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"), F.avg("SWC").alias("SWC"), F.avg("GPP").alias("GPP"))
+    return stored(rows.groupBy("site_id", "window").agg(F.avg("TS").alias("TS"), F.avg("SWC").alias("SWC"), F.avg("GPP").alias("GPP")), "references")
 
 
 @query("m11_er_curve_total")
@@ -293,8 +296,9 @@ def m11(spark, d):
 @query("m11b_er_curve_yearly")
 def m11b(spark, d):
     rows = _curve_rows(spark, d)
-    pooled = curves.er_curve(rows, _reference(rows))
-    return curves.er_curve(rows, _reference(rows), by=("site_id", "window", "YEAR"), priors=pooled, min_rows=10)
+    ref = _reference(rows)
+    pooled = stored(curves.er_curve(rows, ref), "pooled")
+    return curves.er_curve(rows, ref, by=("site_id", "window", "YEAR"), priors=pooled, min_rows=10)
 
 
 @query("m12_er_curve_direct")
@@ -369,7 +373,7 @@ def _chain(spark, d):
     t = F.coalesce("TS", F.lit(25.0)) * 0.12 + 8 + warm
     flux = 2 * F.exp(0.08 * t - 0.001 * t * t + _RESPONSE * warm) * (1 + (F.col("NEE") - 22) / 2000)
     obs = obs_multi(spark, d).withColumns({"site_id": F.col("site_id") % 2, "TS": t, "NEE": flux})
-    sites = obs.select("site_id").distinct()
+    sites = stored(obs.select("site_id").distinct(), "sites")
     win = sc.season_windows(sites.withColumns({"gStart": F.lit(100), "gEnd": F.lit(200)})).select("site_id", *[F.col(c).cast("bigint").alias(c) for c in ("window", "w_start", "w_end")])
     ranges = sites.withColumns({"tStart": F.lit(0.0), "tEnd": F.lit(40.0)})
     return response.site_years(obs, obs.filter("NOT (site_id = 1 AND YEAR = 1999)"), win, ranges, sites.withColumn("control_year", F.lit(1998)), needed=60)
