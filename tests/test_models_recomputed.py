@@ -376,6 +376,30 @@ def test_gap_filling_of_crowded_blocks(spark, monkeypatch):
         assert (got[g.id]["n_used"], got[g.id]["filled"], got[g.id]["method"], got[g.id]["days"]) == (len(own), pytest.approx(own["NEE"].mean()), 1, 7)
 
 
+def test_cells_sent_to_gaps_grow_no_faster_than_rows(spark, monkeypatch):
+    """However many tasks a block's gaps would be dealt to, its cells are sent ``COPIES`` times its gaps at most, and a copy; those of blocks without gaps are not sent at all."""
+    from thermoflux.operators import gapfill
+
+    monkeypatch.setattr(gapfill, "TASK_GAPS", 50)
+    sent = spark.sparkContext.accumulator(0)
+    real = gapfill._sums_around
+
+    def counted(g, c, *rest):
+        sent.add(len(c["n"]))
+        assert len(g["_d"]), "a block without gaps"
+        return real(g, c, *rest)
+
+    monkeypatch.setattr(gapfill, "_sums_around", counted)
+    # site 0: 2,000 gaps among 4,000 cells of one block; site 1: cells alone
+    df = spark.range(9000).selectExpr("id", "IF(id < 6000, 0L, 1L) AS site_id", "id % 20 + 20 AS day", "id % 24 AS HOUR", "IF(id % 3 = 0 AND id < 6000, NULL, id % 7 * 1.0D) AS NEE", "60.0D AS SW_IN", "id / 1000D AS TA", "id % 40 / 10D AS VPD")
+    got = {r["id"]: r for r in gapfill.gap_fill_mds(df, "id").collect()}
+    assert len(got) == 2000 and 2 * 4000 <= sent.value <= 4000 + gapfill.COPIES * 2000
+    known = df.filter("NEE IS NOT NULL AND site_id = 0").toPandas()
+    for g in df.filter("NEE IS NULL").toPandas().sample(40, random_state=2).itertuples():
+        own = known[((known["TA"] - g.TA).abs() < 2.5) & ((known["VPD"] - g.VPD).abs() < 5) & ((known["day"] - g.day).abs() <= 7)]
+        assert (got[g.id]["n_used"], got[g.id]["filled"], got[g.id]["method"], got[g.id]["days"]) == (len(own), pytest.approx(own["NEE"].mean()), 1, 7)
+
+
 def test_least_squares_read_their_rows_once(spark, obs):
     """A plan with one shuffle, of the sums."""
     fit = regression.ols(obs_multi(spark, DATA), "TS", ["TA", "SWC"])

@@ -107,6 +107,8 @@ def quality_class(method: Column, days: Column) -> Column:
 
 #: Gaps that a task takes with the cells around them, entries of a grid of running sums, and pairs of a gap and a cell that are held at once.
 TASK_GAPS, GRID, PAIRS = 50_000, 1 << 23, 1 << 20
+#: Copies of cells a gap: a block's cells are sent to no more tasks than make so many, so that what is shuffled grows with the rows and not with cells times gaps.
+COPIES = 4
 
 
 def _edges(axis: np.ndarray, at: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +217,8 @@ def gap_fill_mds(
     where that is smaller, and ``WEAK_LIGHT`` at least); radiation: the same by radiation alone; course: rows within an hour of the gap's time of day on days not further.
 
     Stages are not joined one by one. Donors are summed to cells (day and drivers; day and hour) once. A gap goes to one block of days and radiation, cells to all blocks that their reach
-    touches; there running sums over the cells give every stage's sums of a gap (``_sums_around``). A block's gaps are dealt to tasks of ``TASK_GAPS``. The first two weeks decide three stages; what is
+    touches and that have gaps; there running sums over the cells give every stage's sums of a gap (``_sums_around``). A block's gaps are dealt to tasks of ``TASK_GAPS``, of more where
+    its cells are many (``COPIES``). The first two weeks decide three stages; what is
     left meets the course of five days, then ten weeks, and last the course by weeks. A course is worked out once for a site's day and hour. ``day`` counts days, ``hour`` is whole."""
     light = next(iter(tolerance))
     key = [*by, id_col]
@@ -239,14 +242,14 @@ def gap_fill_mds(
             can = can & F.col(c).isNotNull()
         block = [*by, "_k", "_l"]
         g = left.filter(can).withColumns({"_k": F.floor(F.col("_d") / days), "_l": F.floor(F.col(f"_{light}") / width)})
-        # blocks with many gaps are dealt to several tasks, each with the cells
-        many = g.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / TASK_GAPS).alias("_p"))
-        many = small(stored(many.filter("_p > 1"), "large-blocks"))
-        parts = F.coalesce("_p", F.lit(1))
-        g = g.join(many, block, "left").withColumn("_p", F.pmod(F.xxhash64(id_col), parts))
         c = cells.withColumn("_k", F.explode(F.sequence(F.floor((F.col("_e") - 7 * weeks) / days), F.floor((F.col("_e") + 7 * weeks) / days))))
         c = c.withColumn("_l", F.explode(F.sequence(F.floor((F.col(light) - reach) / width), F.floor((F.col(light) + reach) / width))))
-        c = c.join(many, block, "left").withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        # blocks with many gaps are dealt to several tasks, each with the cells; blocks without gaps need no cells
+        own = g.groupBy(*block).agg(F.count(F.lit(1)).alias("_g")).join(c.groupBy(*block).agg(F.count(F.lit(1)).alias("_c")), block, "left")
+        dealt = F.least(F.ceil(F.col("_g") / TASK_GAPS), F.ceil(COPIES * F.col("_g") / F.coalesce("_c", F.lit(1))))
+        blocks = stored(own.select(*block, dealt.alias("_p")), "blocks")
+        g = g.join(small(blocks.filter("_p > 1")), block, "left").withColumn("_p", F.pmod(F.xxhash64(id_col), F.coalesce("_p", F.lit(1))))
+        c = c.join(small(blocks), block).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)))
         names = left.columns
 
         def work(gap: pa.Table, cell: pa.Table) -> pa.Table:
