@@ -84,6 +84,30 @@ def test_long_text_by_blocks(monkeypatch):
         assert np.array_equal(whole[1][c], parts[1][c]), c
 
 
+def row_groups(table):
+    """(rows, bytes) of every row group of a stored table."""
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+    return [(g.num_rows, g.total_byte_size) for m in files for g in map(m.row_group, range(m.num_row_groups))]
+
+
+def test_stored_segments_are_read_some_at_a_time(spark):
+    """Parquet looks at the size of a row group after a hundred rows first, so that a file of fewer segments was one row group, which a reader holds whole."""
+    rng = np.random.default_rng(1)
+    docs = [" ".join(map(str, rng.integers(0, 60_000, 250_000))) for _ in range(3)]  # a segment each
+    docs += [" ".join(f"w{i}" for i in range(1000))] * 1200  # some segments of lists that compress to little
+    docs, items = list(enumerate(docs)), [(1, "w1 w2 " + docs[0][:200]), (2, docs[2][:200])]
+    index = ls.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    block = ls.Block([t for _, t in docs[:4]])
+    block.weigh(len(docs), 1_950_000, {t: 1 for t in range(len(block.vocabulary))})
+    for table in (index, ls.impact_lists(index, spark.sparkContext.broadcast(block))):
+        groups = row_groups(table)
+        assert sum(n for n, _ in groups) >= 6 and all(n == 1 or size <= 8 << 20 for n, size in groups), groups
+    found = ls.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=repr) == by_force(docs, items)
+
+
 def segments(docs, items, size):
     """The lists of segments of ``size`` documents, made without Spark."""
     import pyarrow as pa

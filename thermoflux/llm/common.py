@@ -32,11 +32,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------- staging
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
-    ``sources.io.remove_stored`` removes such tables."""
-    return stored(df, name)
+    ``sources.io.remove_stored`` removes such tables. ``options`` go to the writer."""
+    return stored(df, name, **options)
 
 
 # ---------------------------------------------------------------------------------- hashing

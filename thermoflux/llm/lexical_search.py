@@ -41,6 +41,11 @@ ITEMS, ITEM_BYTES = 1000, 16 << 20
 #: Fixed values of the score.
 WEIGHT, SCALE, TF, LENGTH, BASE, SLOPE = 1000, 10**9, 1000, 8, 10, 90
 
+#: Bytes of a row group of stored segments, before compression (one row at least). A row has some MB, and Parquet would look at sizes after a hundred
+#: rows first, while a task that reads a row group holds all of it several times. Pages as large: bytes of ended pages would count as compressed.
+ROW_GROUP = 8 << 20
+_WRITER = {"parquet.enable.dictionary": "false", **{f"parquet.{x}.size": str(ROW_GROUP) for x in ("block", "page")}, **{f"parquet.{x}.size.row.check.{y}": "1" for x in ("block", "page") for y in ("min", "max")}}
+
 _INDEX = "n_docs long, n_terms long, sizes binary, hashes binary, words binary, word_ends binary, starts binary, docs binary, counts binary"
 _LISTS = "terms binary, starts binary, docs binary, impacts binary, pairs binary, pair_starts binary, pair_docs binary, pair_impacts binary"
 
@@ -133,7 +138,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 row = [[ids], [len(there)], [int(p["sizes"].sum())], *[[p[c].astype(t).tobytes()] for c, t in types.items()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(i).type) for i, x in enumerate(row)], schema=schema)
 
-    return staged(d.mapInArrow(work, kind), "search-index")
+    return staged(d.mapInArrow(work, kind), "search-index", **_WRITER)
 
 
 # ---------------------------------------------------------------------------------- items and statistics
@@ -263,7 +268,7 @@ def impact_lists(index: DataFrame, block) -> DataFrame:
             blobs = [terms.astype(np.int64), begin.astype(np.int64), docs, value, pairs.astype(np.int64), pair_starts, np.concatenate([np.zeros(0, np.int32), *[x[0] for x in lists]]), np.concatenate([np.zeros(0, np.int64), *[x[1] for x in lists]])]
             yield pa.RecordBatch.from_arrays([pa.array([row["ids"].as_py()], schema.field(0).type), *[pa.array([x.tobytes()], schema.field(i + 1).type) for i, x in enumerate(blobs)]], schema=schema)
 
-    return staged(index.mapInArrow(work, kind), "impact-lists")
+    return staged(index.mapInArrow(work, kind), "impact-lists", **_WRITER)
 
 
 # ---------------------------------------------------------------------------------- search

@@ -55,10 +55,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, for data that is read several times; cuts its lineage."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for data that is read several times; cuts its lineage. ``options`` go to the writer."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
